@@ -1,4 +1,4 @@
 """All registered queries.  Importing the modules registers them."""
 
-from drainwatch.catalog import rule_queries, state_queries  # noqa: F401
+from drainwatch.catalog import creator_queries, rule_queries, state_queries  # noqa: F401
 from drainwatch.catalog.registry import ORACLE, QUERIES  # noqa: F401

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from drainwatch.params import Params
 from drainwatch.plans import rules, tokens
-from drainwatch.session import prepare
+from drainwatch.session import prepare, shared_dir
 
 # Thresholds scaled to the values in the driver's events (0 to about 700).
 PARAMS = Params(min_peak_usd=Decimal(100), max_floor_usd=Decimal(10), burst_window_s=7 * 86400, burst_max_launches=5)
@@ -82,12 +82,14 @@ class Story:
         return self.grads.join(known, "mint", "left").withColumn("creator", F.coalesce("_c", "actor")).drop("_c")
 
     def records(self) -> tuple[DataFrame, DataFrame]:
-        """(alerts, rugs).  The drains are few: written once, since both rules and the reports read them."""
-        from drainwatch.session import shared_dir
+        """(alerts, rugs).
 
+        Drains and red alerts are few, and both rules and every report read them: written once.
+        """
         shared_dir(self.ev.sparkSession)
-        rg = self.rugs().checkpoint()
-        red = self.red(rg)
+        found = self.rugs_plain().checkpoint()
+        red = self.red(found).checkpoint()
+        rg = rules.mechanism(found, red)
         amber = rules.amber_alerts(self.graduations(), rg, self.params)
         return rules.alerts_union(red, amber), rg
 
