@@ -112,7 +112,7 @@ s2 AS (SELECT *, max(CASE WHEN typ = 'graduation' THEN 1 ELSE 0 END) OVER (PARTI
 s3 AS (SELECT *, sum(CASE WHEN gap > 86400 OR (gap > 10800 AND coalesce(was, 0) = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY mint ORDER BY bt, slot) AS session FROM s2)""",
     "SELECT mint, CAST(session AS BIGINT) AS session, min(bt) AS start_s, max(bt) AS end_s, count(*) AS events FROM s3 GROUP BY ALL"))
 def w7(spark, sf_dir):
-    return creators.idle_expiry(token_events(spark, sf_dir), PARAMS.with_(idle_curve_s=10800, idle_graduated_s=86400))
+    return creators.idle_expiry(token_events(spark, sf_dir), PARAMS.with_(idle_curve_s=10800, idle_graduated_s=86400)).drop("graduated")
 
 
 @query("W8_cap_tracked", sql(TOK, "SELECT mint, stage, last_activity_s FROM tok ORDER BY stage = 'graduated' DESC, last_activity_s DESC, mint LIMIT 40"))

@@ -164,5 +164,6 @@ def idle_expiry(ev: DataFrame, params: Params = DEFAULTS, max_group_rows: int =
     steps = steps.withColumn("_break", F.when(breaks, 1).otherwise(0))
     numbered = running(steps, ["mint"], ["pos"], [Running("session", "sum", "_break")], max_group_rows)
     return numbered.groupBy("mint", "session").agg(
-        F.min("block_time_s").alias("start_s"), F.max("block_time_s").alias("end_s"), F.count(F.lit(1)).alias("events")
+        F.min("block_time_s").alias("start_s"), F.max("block_time_s").alias("end_s"), F.count(F.lit(1)).alias("events"),
+        (F.max("_grad") == 1).alias("graduated"),
     )

@@ -23,7 +23,8 @@ def fingerprint(amount: str, quote_mint: str, params: Params = DEFAULTS) -> Colu
 
 
 def tradable_state(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, hottest: int | None = None) -> DataFrame:
-    """After every reading: ``total_usd`` tradable now and ``peak_usd``, the largest tradable reading so far.
+    """After every reading: ``total_usd`` tradable now and ``peak_usd``, the largest tradable reading so far
+    (``all_usd`` and ``all_peak_usd``: the same over every pool, curve pools too).
 
     The total is the sum over non-curve pools of each pool's latest reading.  A reading replaces
     its pool's previous contribution, so the total is a running sum of differences.  It is null
@@ -37,21 +38,35 @@ def tradable_state(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, hottest:
         F.when(priced, F.when(open_, usd).otherwise(F.lit(0).cast("decimal(28,6)"))).alias("_held"),
         F.when(priced, open_.cast("int")).alias("_open"),
         F.when(priced & open_, usd).alias("_top"),
+        usd.alias("_any"),
     )
     # The hottest token bounds its own pools, so one count serves both orders.
     prev = running(held, ["mint", "pool"], ["pos"], [
         Running("_prev", "last", "_held", before=True), Running("_prev_open", "last", "_open", before=True),
+        Running("_prev_any", "last", "_any", before=True),
     ], max_group_rows, hottest)
     change = lambda now, before: F.coalesce(F.col(now) - F.coalesce(before, F.lit(0)), F.lit(0))
-    diff = prev.withColumn("_diff", change("_held", "_prev").cast("decimal(28,6)")).withColumn("_diff_open", change("_open", "_prev_open"))
+    diff = prev.select(
+        "*",
+        change("_held", "_prev").cast("decimal(28,6)").alias("_diff"),
+        change("_open", "_prev_open").alias("_diff_open"),
+        change("_any", "_prev_any").cast("decimal(28,6)").alias("_diff_any"),
+    )
     state = running(diff, ["mint"], ["pos"], [
         Running("_sum", "sum", "_diff"), Running("_pools", "sum", "_diff_open"), Running("peak_usd", "max", "_top"),
+        Running("_sum_any", "sum", "_diff_any"), Running("all_peak_usd", "max", "_any"),
     ], max_group_rows, hottest)
-    return state.select(*rd.columns, F.when(F.col("_pools") > 0, F.col("_sum")).alias("total_usd"), "peak_usd")
+    return state.select(
+        *rd.columns,
+        F.when(F.col("_pools") > 0, F.col("_sum")).alias("total_usd"),
+        "peak_usd",
+        F.when(F.col("all_peak_usd").isNotNull(), F.col("_sum_any")).alias("all_usd"),
+        "all_peak_usd",
+    )
 
 
 def running_tradable(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    return tradable_state(rd, max_group_rows).drop("peak_usd")
+    return tradable_state(rd, max_group_rows).select(*rd.columns, "total_usd")
 
 
 def running_peak(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
