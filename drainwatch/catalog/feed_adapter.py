@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from drainwatch.catalog.adapter import table
 from drainwatch.params import WRAPPED_SOL
-from drainwatch.plans.normalize import STREAM_TYPES
+from drainwatch.plans.normalize import STREAM_TYPES, frames_to_routed
 from drainwatch.session import work_path
+from drainwatch.sources.tables import read_routed, write_routed
 
 SOL = f"'{WRAPPED_SOL}'"
 MINT = "'T' || k"
@@ -88,6 +89,16 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_WRITTEN[key])
 
 
+def routed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The good frames, parsed and filed by type, written once per session and data set."""
+    key = (spark.sparkContext.applicationId, sf_dir + "#routed")
+    if key not in _WRITTEN:
+        path = work_path(spark, "routed")
+        write_routed(frames_to_routed(raw_frames(spark, sf_dir)), path)
+        _WRITTEN[key] = path
+    return read_routed(spark, _WRITTEN[key])
+
+
 def build_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame per event; the type follows from the event number."""
     rows = base(spark, sf_dir)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drainwatch.catalog.adapter import EV, sql, table, token_events
-from drainwatch.catalog.feed_adapter import FEED, HAS_SLOT, RAW, SOL, raw_frames
+from drainwatch.catalog.feed_adapter import FEED, HAS_SLOT, RAW, SOL, raw_frames, routed_frames
 from drainwatch.catalog.registry import query
 from drainwatch.functions import validate as v
 from drainwatch.functions.redact import redact_secrets, redact_url
 from drainwatch.plans import dedup, joins, prices, tokens
 from drainwatch.plans import normalize as nz
+from drainwatch.session import shared_dir
 
 
 def routed(spark, sf_dir):
@@ -233,11 +234,13 @@ def u5(spark, sf_dir):
 
 class Feed:
     def __init__(self, spark, sf_dir):
-        r = routed(spark, sf_dir)
+        shared_dir(spark)
+        r = routed_frames(spark, sf_dir)
         self.norm = {k: nz.normalize(r, k) for k in ("token_create", "meme", "graduation", "liquidity", "swap")}
-        self.tok = prices.token_table(self.norm)
-        self.pairs = prices.pair_rows(self.norm["liquidity"], self.tok)
-        self.swaps = prices.swap_rows(self.norm["swap"], self.tok)
+        self.tok = prices.token_table(self.norm).checkpoint()
+        # Resolved rows feed both the prices and the readings.
+        self.pairs = prices.pair_rows(self.norm["liquidity"], self.tok).checkpoint()
+        self.swaps = prices.swap_rows(self.norm["swap"], self.tok).checkpoint()
         self.px = prices.learn_quote_prices(self.norm["liquidity"], self.pairs, self.swaps)
 
 

@@ -79,16 +79,16 @@ def swaps_of_known(swaps: DataFrame, first_seen: DataFrame) -> DataFrame:
 def mint_prefilter(frames: DataFrame, mints: DataFrame, text: str = "value") -> DataFrame:
     """Raw lines that mention a followed mint, decided before any JSON is parsed.
 
-    Distinct (line, mint) candidates meet the mint list by equi-join; the line itself stays out of
-    the exploded side until it has matched.
+    Nearly every line names one mint besides the native coin: those meet the list by one semi-join.
+    A line that names more (three at most) is asked once per mint and kept once.
     """
     ids = F.array_distinct(F.regexp_extract_all(text, F.lit(r'"(?:mint|base_mint|quote_mint)":"(\w+)"'), 1))
-    # A line names at most three mints, so the explosion is bounded.
-    lines = frames.withColumn("_mint", F.explode(F.filter(ids, lambda m: m != WRAPPED_SOL)))
+    lines = frames.withColumn("_ids", F.filter(ids, lambda m: m != WRAPPED_SOL))
     followed = mints.select(F.col("mint").alias("_mint")).distinct()
-    hit = lines.join(followed, "_mint", "left_semi")
-    keys = frames.columns
-    return hit.select(*keys).distinct() if "line_no" in keys else hit.select(*keys)
+    one = lines.filter(F.size("_ids") == 1).withColumn("_mint", F.col("_ids")[0])
+    more = lines.filter(F.size("_ids") > 1).withColumn("_row", F.monotonically_increasing_id()).withColumn("_mint", F.explode("_ids"))
+    kept = more.join(followed, "_mint", "left_semi").dropDuplicates(["_row"])
+    return one.join(followed, "_mint", "left_semi").select(*frames.columns).unionByName(kept.select(*frames.columns))
 
 
 def merge_creator_history(la: DataFrame, hist_tokens: DataFrame) -> DataFrame:
