@@ -24,10 +24,14 @@ TYPE = r'"type":\s*"(\w+)"'
 STARTS_TRACKING = r'"type":"(?:token_create|meme|graduation)"'
 
 
-def _text(reader, path: str) -> DataFrame:
+def _lines(reader, path: str) -> DataFrame:
     # Lines end at \n only: other Unicode line ends are legal inside JSON text.
     frames = reader.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
-    return frames.filter(F.trim("value") != "").select(
+    return frames.filter(F.trim("value") != "")
+
+
+def _text(reader, path: str) -> DataFrame:
+    return _lines(reader, path).select(
         "value",
         F.col("_metadata.file_path").alias("path"),
         F.struct(
@@ -86,7 +90,7 @@ def stream_frames(spark: SparkSession, directory: str, files_per_trigger: int |
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return _text(reader.schema("value string"), directory)
+    return _lines(reader.schema("value string"), directory).select("value", F.col("_metadata.file_path").alias("path"))
 
 
 def tier_of(text: str = "value") -> Column:

@@ -14,13 +14,13 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_routed(routed: DataFrame, path: str) -> None:
+def write_routed(routed: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parsed frames by type, so that each type's normalization opens its own folder only.
 
     Parsing text is the dear part of the work: done once, whatever reads the types later.
     """
     good = routed.filter("reason is null")
-    good.select(*[c for c in good.columns if c not in ("value", "type")], "type").write.partitionBy("type").parquet(path)
+    good.select(*[c for c in good.columns if c not in ("value", "type")], "type").write.mode(mode).partitionBy("type").parquet(path)
 
 
 def read_routed(spark: SparkSession, path: str) -> DataFrame:
