@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from drainwatch.catalog.adapter import EV, PARAMS, RUGS, as_token_events, sql, table
+from drainwatch.catalog.adapter import EV, PARAMS, RUGS, Story, as_token_events, readings, sql, table, token_events
 from drainwatch.catalog.feed_adapter import FEED, raw_frames
 from drainwatch.catalog.registry import query
+from drainwatch.plans import rules, tokens
 from drainwatch.session import shared_dir, work_path
 from drainwatch.sources import frames as fr
 from drainwatch.streaming import feed, lifecycle
@@ -14,6 +15,7 @@ def event_stream(spark, sf_dir, delay="1 hour", received=False):
     """The events table as a stream of files."""
     batch = table(spark, sf_dir, "events")
     shared_dir(spark)
+    # A micro-batch is bounded by the files it takes, whatever has piled up.
     ev = as_token_events(spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     if received:
         ev = ev.withColumn("received_s", F.col("block_time_s") + (F.col("slot") % 5) * 30 - 120)
@@ -142,4 +144,40 @@ def x14(spark, sf_dir):
     path = work_path(spark, "records")
     rows = records(spark, sf_dir).filter(F.col("kind").isin("alert", "rug")).select("id", "t_at")
     feed.run_to_end(rows.writeStream.foreachBatch(feed.records_sink(path)).option("checkpointLocation", f"{path}-progress"))
-    return spark.read.schema("id string, t_at bigint").parquet(path)
+    return spark.read.parquet(path).select("id", "t_at")
+
+
+_HALF = ", h AS (SELECT min(bt) + (max(bt) - min(bt)) // 2 AS half FROM ev)"
+_WARM = ONLINE + _HALF + """, tok1 AS (SELECT mint, coalesce(arg_min(actor, (bt, slot)) FILTER (WHERE typ = 'token_create'), arg_min(actor, (bt, slot)) FILTER (WHERE typ = 'graduation')) AS creator
+  FROM ev, h WHERE bt <= half GROUP BY mint),
+red1 AS (SELECT DISTINCT e.mint FROM ev e JOIN tok1 t ON t.mint = e.mint AND t.creator = e.actor LEFT JOIN rug0 r ON r.mint = e.mint, h WHERE e.typ = 'add' AND e.bt <= half AND (r.mint IS NULL OR (e.bt, e.slot) < (r.t_at, r.slot))),
+red2 AS (SELECT k.mint, k.bt AS t_at, k.slot FROM known k LEFT JOIN rug0 r ON r.mint = k.mint, h WHERE k.typ = 'add' AND k.actor = k.creator AND k.bt > half AND k.mint NOT IN (SELECT mint FROM red1)
+  AND (r.mint IS NULL OR (k.bt, k.slot) < (r.t_at, r.slot)) QUALIFY row_number() OVER (PARTITION BY k.mint ORDER BY k.bt, k.slot) = 1)"""
+
+
+@query("X10_warm_start", sql(_WARM, """SELECT 'red:' || mint AS id, t_at, CAST(NULL AS VARCHAR) AS mechanism FROM red2
+UNION ALL SELECT 'rug:' || o.mint, o.t_at, CASE WHEN o.mechanism IN ('creator-pull', 'migration-pull') THEN CASE WHEN o.mint IN (SELECT mint FROM red1 UNION ALL SELECT mint FROM red2) THEN 'creator-pull' ELSE 'migration-pull' END
+  ELSE o.mechanism END FROM org o, h WHERE o.t_at > half"""))
+def x10(spark, sf_dir):
+    """The batch state of the first half of the time starts the stream of the second half, which repeats nothing."""
+    ev = token_events(spark, sf_dir)
+    lo, hi = ev.agg(F.min("block_time_s"), F.max("block_time_s")).first()
+    half = lo + (hi - lo) // 2
+    old = ev.filter(F.col("block_time_s") <= half)
+    rd, tok = readings(old), tokens.token_dim(old)
+    rg = rules.rug_confirmations(rd, tok, PARAMS)
+    red = rules.red_alerts(old.filter("type = 'liquidity'"), tok, rg, PARAMS)
+    initial = lifecycle.initial_tokens(old, rd, tok, red, rg)
+    stream = event_stream(spark, sf_dir).filter(F.col("block_time_s") > half)
+    out = feed.drain(lifecycle.token_records(stream, PARAMS, initial=initial), "x10")
+    return out.filter(F.col("kind").isin("alert", "rug")).select("id", "t_at", "mechanism")
+
+
+@query("X11_idempotent_apply", sql(RUGS, """SELECT r.mint, r.t_at, r.slot, CAST(r.peak AS DOUBLE) AS peak_usd, r.mechanism FROM (SELECT r.*, g.mechanism FROM rug0 r JOIN rg g ON g.mint = r.mint) r"""))
+def x11(spark, sf_dir):
+    """Every event delivered twice and out of order: the same drains."""
+    s = Story(spark, sf_dir)
+    s.ev = s.ev.unionByName(s.ev.repartition(7, "slot")).repartition(5, "actor")
+    s.rd, s.tok = readings(s.ev), tokens.token_dim(s.ev)
+    rg = s.rugs()
+    return rg.select("mint", "t_at", F.col("pos.slot").alias("slot"), F.col("peak_usd").cast("double").alias("peak_usd"), "mechanism")

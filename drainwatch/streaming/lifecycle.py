@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from drainwatch.params import CURVE_DEXES, DEFAULTS, Params
+from drainwatch.plans.tokens import tradable_venue
 
 TOKEN = """creator string, created boolean, stage string, graduated boolean, peak decimal(28,6), top decimal(28,6), red_at bigint,
 rug_at bigint, last_s bigint, timer_ms bigint"""
@@ -46,9 +47,9 @@ class TokenLife(StatefulProcessor):
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """Warm start: facts of one token from the batch state; nothing is emitted."""
         s = initialState
-        self.token.update((s.creator, s.creator is not None, s.stage, s.stage == "graduated", s.peak, s.top, s.red_at, s.rug_at, s.last_s, 0))
+        self.token.update((s.creator, s.created, s.stage, s.stage == "graduated", s.peak, s.top, s.red_at, s.rug_at, s.last_s, 0))
         for p in s.pools or []:
-            self.pools.updateValue((p.pool,), (p.usd, p.dex, p.t, p.slot))
+            self.pools.updateValue((p["pool"],), (p["usd"], p["dex"], p["t"], p["slot"]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         mint, (tok, pools) = key[0], self._load()
@@ -187,6 +188,20 @@ def token_records(ev: DataFrame, params: Params = DEFAULTS, fold_idle: bool = Fa
     )
 
 
+def initial_tokens(ev: DataFrame, rd: DataFrame, tok: DataFrame, red: DataFrame, rg: DataFrame) -> DataFrame:
+    """The batch state as the first state of the stream: one row per token with its few pools."""
+    usd = lambda c: c.cast("decimal(28,6)")
+    latest = rd.groupBy("mint", "pool").agg(F.max_by(F.struct("usd", "dex", "at_s", F.col("pos.slot").alias("slot")), "pos").alias("r"))
+    pools = latest.groupBy("mint").agg(F.collect_list(F.struct(
+        "pool", usd(F.col("r.usd")).alias("usd"), F.col("r.dex").alias("dex"), F.col("r.at_s").alias("t"), F.col("r.slot").alias("slot"))).alias("pools"))
+    tops = rd.groupBy("mint").agg(usd(F.max(F.when(tradable_venue(), F.col("usd")))).alias("peak"), usd(F.max("usd")).alias("top"))
+    seen = ev.groupBy("mint").agg(F.max("block_time_s").alias("last_s"))
+    rows = seen.join(tok.select("mint", "creator", F.col("created_at_s").isNotNull().alias("created"), "stage"), "mint", "left")
+    for part in (tops, pools, red.select("mint", F.col("t_at").alias("red_at")), rg.select("mint", F.col("t_at").alias("rug_at"))):
+        rows = rows.join(part, "mint", "left")
+    return rows.na.fill({"stage": "created", "created": False})
+
+
 def amber_records(records: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Amber alerts from drains and graduations, by creator."""
     rows = records.filter(F.col("kind").isin("rug", "graduation") & F.col("creator").isNotNull())
