@@ -8,6 +8,7 @@ from drainwatch.catalog.registry import query
 from drainwatch.catalog.rule_queries import CLOCK, SLOT, clock
 from drainwatch.catalog.state_queries import OUTCOME, outcomes
 from drainwatch.operators.quantiles import auc, index_quantiles
+from drainwatch.operators.running import hottest_group
 from drainwatch.operators.select import tally
 from drainwatch.plans import calibration as cal
 from drainwatch.plans import creators, features
@@ -45,8 +46,9 @@ class Capture:
 
     def full(self):
         ft = self.base()
-        done = ft.join(features.all_pool_collapse(self.legs, ft, PARAMS), "mint", "left")
-        return done.join(features.tradable_series(self.legs, ft, PARAMS), "mint", "left")
+        hot = hottest_group(self.legs, ["mint"])
+        done = ft.join(features.all_pool_collapse(self.legs, ft, PARAMS, hottest=hot), "mint", "left")
+        return done.join(features.tradable_series(self.legs, ft, PARAMS, hottest=hot), "mint", "left")
 
     def facts(self, min_swaps=10):
         """One narrow row per token, read by every table of the report: written once."""

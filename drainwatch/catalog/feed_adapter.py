@@ -84,7 +84,8 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         path = work_path(spark, "feed")
-        build_frames(spark, sf_dir).write.parquet(path)
+        # The driver's table is one small file; a feed lands as many.
+        build_frames(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id").write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 

@@ -12,7 +12,8 @@ from drainwatch.functions import validate as v
 from drainwatch.functions.redact import redact_secrets, redact_url
 from drainwatch.plans import dedup, joins, prices, tokens
 from drainwatch.plans import normalize as nz
-from drainwatch.session import shared_dir
+from drainwatch.session import shared_dir, work_path
+from drainwatch.sources.tables import read_routed, write_routed
 
 
 def routed(spark, sf_dir):
@@ -20,7 +21,7 @@ def routed(spark, sf_dir):
 
 
 def typed(spark, sf_dir, kind, carry=("id",)):
-    return nz.normalize(routed(spark, sf_dir), kind, list(carry))
+    return nz.normalize(routed_frames(spark, sf_dir), kind, list(carry))
 
 
 # How each kind of field is shown for comparison, on both sides.
@@ -68,14 +69,18 @@ def _register(name, kind, overrides=None, skip=(), extra=None):
     @query(name, expected(kind, overrides, skip))
     def run(spark, sf_dir):
         rows = typed(spark, sf_dir, kind)
-        for column, e in (extra or {}).items():
+        for column, e in (extra() if extra else {}).items():
             rows = rows.withColumn(column, e)
         return shown(rows).drop("type", *[s for s in skip if s in rows.columns])
 
     return run
 
 
-_WINDOWS_TEXT = F.array_join(F.transform("windows", lambda w: F.concat(w["window_s"], F.lit(":"), w["trades"], F.lit(":"), w["volume_usd"].cast("double"))), ",")
+def _windows_text():
+    one = lambda w: F.concat(w["window_s"], F.lit(":"), w["trades"], F.lit(":"), w["volume_usd"].cast("double"))
+    return F.array_join(F.transform("windows", one), ",")
+
+
 _WINDOWS_SQL = "'300:' || k || ':1.25,3600:' || (k + 5) || ':' || CAST(CAST(val AS DOUBLE) AS VARCHAR)"
 
 _register("N3_normalize_token_create", "token_create", {"uri": "nullif(CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'https://x/' || id END, '')"})
@@ -85,12 +90,12 @@ _register("N6_normalize_liquidity", "liquidity")
 _register("N7_normalize_swap", "swap", {"price": "0.001"})
 _register("N8_normalize_transfer", "transfer")
 _register("N9_normalize_candle", "candle")
-_register("N10_normalize_stats", "stats", {"shown_windows": _WINDOWS_SQL}, ("windows",), {"shown_windows": _WINDOWS_TEXT})
+_register("N10_normalize_stats", "stats", {"shown_windows": _WINDOWS_SQL}, ("windows",), lambda: {"shown_windows": _windows_text()})
 _register("N11_normalize_meme", "meme", {
     "shown_windows": _WINDOWS_SQL, "meta_name": "CASE WHEN id % 2 = 0 THEN 'Coin ' || k END", "meta_symbol": "CAST(NULL AS VARCHAR)",
     "meta_supply": "CASE WHEN id % 2 = 0 THEN CAST(9007199254740993 + id * 1000 AS VARCHAR) END", "meta_link": "CASE WHEN id % 2 = 0 THEN 'https://x/' || k END",
-}, ("windows", "metadata"), {
-    "shown_windows": _WINDOWS_TEXT, "meta_name": F.col("metadata.name"), "meta_symbol": F.col("metadata.symbol"),
+}, ("windows", "metadata"), lambda: {
+    "shown_windows": _windows_text(), "meta_name": F.col("metadata.name"), "meta_symbol": F.col("metadata.symbol"),
     "meta_supply": F.col("metadata.supply").cast("string"), "meta_link": F.col("metadata.socials")["x"],
 })
 _register("N12_normalize_surge", "surge")
@@ -98,21 +103,20 @@ _register("N12_normalize_radar", "radar")
 _register("N13_normalize_metadata", "metadata", {
     "symbol": "CAST(NULL AS VARCHAR)", "uri": "CAST(NULL AS VARCHAR)", "description": "CAST(NULL AS VARCHAR)", "image_url": "'https://h.example/i/' || k || '?z=1'",
     "resolved_at_ms": "CASE WHEN id % 5 <> 0 THEN bt * 1000 END", "n_links": "CAST(0 AS BIGINT)",
-}, ("socials",), {"n_links": F.size("socials").cast("bigint")})
+}, ("socials",), lambda: {"n_links": F.size("socials").cast("bigint")})
 
 
 @query("N14_normalize_control", sql(FEED, """SELECT id, origin, CASE type WHEN 'connected' THEN 'nyc' END AS region, CASE type WHEN 'connected' THEN 'swap,meme' END AS types,
   CASE type WHEN 'backfill_end' THEN k END AS events FROM feed WHERE reason IS NULL AND type IN ('connected', 'backfill_end')"""))
 def n14(spark, sf_dir):
-    r = routed(spark, sf_dir)
+    r = routed_frames(spark, sf_dir)
     hello = nz.normalize(r, "connected", ["id"]).withColumn("types", F.array_join("subscribed_types", ",")).drop("subscribed_types")
     return hello.unionByName(nz.normalize(r, "backfill_end", ["id"]), allowMissingColumns=True).select("id", "origin", "region", "types", "events")
 
 
 @query("N15_quarantine_snapshots", sql(FEED, "SELECT id, type, origin, false AS verified, k AS items FROM feed WHERE reason IS NULL AND type IN ('launches', 'graduating', 'graduated', 'trending')"))
 def n15(spark, sf_dir):
-    r = routed(spark, sf_dir)
-    rows = reduce(DataFrame.unionByName, [nz.normalize(r, k, ["id"]) for k in nz.SNAPSHOT_TYPES])
+    rows = nz.quarantine_snapshots(routed_frames(spark, sf_dir), ["id"])
     return rows.select("id", "type", "origin", "verified", F.try_variant_get("payload", "$.items", "bigint").alias("items"))
 
 
@@ -192,7 +196,10 @@ def delivered_twice(spark, sf_dir):
 
 
 def keyed(spark, sf_dir, kinds=_KEYED):
-    r = nz.frames_to_routed(delivered_twice(spark, sf_dir))
+    # Seven types are read from the frames: parsed once, filed by type.
+    path = work_path(spark, "twice")
+    write_routed(nz.frames_to_routed(delivered_twice(spark, sf_dir)), path)
+    r = read_routed(spark, path)
     parts = [dedup.dedup_key(nz.normalize(r, k, ["id", "arrival"]), k).select("id", "arrival", "type", "origin", "key") for k in kinds]
     return reduce(DataFrame.unionByName, parts)
 

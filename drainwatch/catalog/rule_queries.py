@@ -7,7 +7,8 @@ from drainwatch.catalog.registry import query
 from drainwatch.operators.select import first_crossing
 from drainwatch.plans import reports, rules
 
-SLOT = F.col("pos.slot").alias("slot")
+# A nested field selected by path keeps its last name.
+SLOT = "pos.slot"
 _DOUBLE = lambda c: F.col(c).cast("double").alias(c)
 
 
@@ -77,9 +78,6 @@ def r3(spark, sf_dir):
     return al.filter("level = 'amber'").select("id", "mint", "creator", "t_at", SLOT, "n_prior")
 
 
-_RUG_COLS = ["mint", "creator", "t_at", SLOT, "actor", "pool", "dex", "peak_usd", "last_usd"]
-
-
 @query("R4_rug_confirmations", sql(RUGS, """SELECT mint, creator, t_at, slot, actor, pool, dex,
   CAST(peak AS DOUBLE) AS peak_usd, CAST(total AS DOUBLE) AS last_usd FROM rug0"""))
 def r4(spark, sf_dir):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drainwatch.operators.running import MAX_GROUP_ROWS, Running, running
+from drainwatch.operators.running import MAX_GROUP_ROWS, Running, hottest_group, running
 from drainwatch.operators.select import newest_per_key
 from drainwatch.params import DEFAULTS, STAGE_RANK, Params
 from drainwatch.plans.tokens import collapsed
@@ -154,15 +154,19 @@ def idle_expiry(ev: DataFrame, params: Params = DEFAULTS, max_group_rows: int =
     A silence longer than the graduated limit always ends a lifetime; one longer than the curve
     limit ends it unless the token graduated earlier in the same lifetime.
     """
-    steps = running(ev, ["mint"], ["pos"], [Running("_prev", "last", "block_time_s", before=True)], max_group_rows)
+    hottest = hottest_group(ev, ["mint"])
+
+    def run(df: DataFrame, keys: list[str], *specs: Running) -> DataFrame:
+        return running(df, keys, ["pos"], list(specs), max_group_rows, hottest)
+
+    steps = run(ev, ["mint"], Running("_prev", "last", "block_time_s", before=True))
     gap = F.col("block_time_s") - F.col("_prev")
     steps = steps.withColumn("_gap", gap).withColumn("_long", F.when(gap > params.idle_graduated_s, 1).otherwise(0))
-    steps = running(steps, ["mint"], ["pos"], [Running("_segment", "sum", "_long")], max_group_rows)
+    steps = run(steps, ["mint"], Running("_segment", "sum", "_long"))
     steps = steps.withColumn("_grad", F.when(F.col("type") == "graduation", 1).otherwise(0))
-    steps = running(steps, ["mint", "_segment"], ["pos"], [Running("_was", "max", "_grad", before=True)], max_group_rows)
+    steps = run(steps, ["mint", "_segment"], Running("_was", "max", "_grad", before=True))
     breaks = (F.col("_long") == 1) | ((F.col("_gap") > params.idle_curve_s) & (F.coalesce("_was", F.lit(0)) == 0))
-    steps = steps.withColumn("_break", F.when(breaks, 1).otherwise(0))
-    numbered = running(steps, ["mint"], ["pos"], [Running("session", "sum", "_break")], max_group_rows)
+    numbered = run(steps.withColumn("_break", F.when(breaks, 1).otherwise(0)), ["mint"], Running("session", "sum", "_break"))
     return numbered.groupBy("mint", "session").agg(
         F.min("block_time_s").alias("start_s"), F.max("block_time_s").alias("end_s"), F.count(F.lit(1)).alias("events"),
         (F.max("_grad") == 1).alias("graduated"),

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drainwatch.operators.running import MAX_GROUP_ROWS, Running, running
+from drainwatch.operators.running import MAX_GROUP_ROWS, Running, hottest_group, running
 from drainwatch.operators.select import first_crossing
 from drainwatch.params import DEFAULTS, Params
 from drainwatch.plans.creators import idle_expiry
@@ -78,15 +78,18 @@ def _cause(event: str = "event", kind: str = "kind"):
     return F.when(F.col(event) == "liquidity", F.concat(F.lit("liquidity "), F.col(kind))).otherwise("swap")
 
 
-def tradable_series(legs: DataFrame, ft: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def tradable_series(
+    legs: DataFrame, ft: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS, hottest: int | None = None
+) -> DataFrame:
     """Native units in non-curve pools at the price of the moment: peak, last, first collapse."""
     units = F.when(F.col("native"), F.col("reserve")).cast("decimal(28,6)")
     rd = legs.filter(F.col("is_base") | (F.col("event") == "liquidity")).withColumn("usd", units)
-    held = tradable_state(rd, max_group_rows).drop("all_usd", "all_peak_usd", "peak_usd")
+    hottest = hottest_group(legs, ["mint"]) if hottest is None else hottest
+    held = tradable_state(rd, max_group_rows, hottest).drop("all_usd", "all_peak_usd", "peak_usd")
     valued = _with_graduation(held, ft).filter(F.col("graduated") & F.col("price").isNotNull()).withColumn(
         "now_usd", (F.coalesce("total_usd", F.lit(0)) * F.col("price")).cast("decimal(28,6)")
     )
-    seen = running(valued, ["mint"], ["pos"], [Running("peak_so_far", "max", "now_usd")], max_group_rows)
+    seen = running(valued, ["mint"], ["pos"], [Running("peak_so_far", "max", "now_usd")], max_group_rows, hottest)
     span = seen.groupBy("mint").agg(
         F.max("now_usd").alias("tradable_peak"), F.max_by("now_usd", "pos").alias("tradable_last")
     )
@@ -99,10 +102,12 @@ def tradable_series(legs: DataFrame, ft: DataFrame, params: Params = DEFAULTS, m
     return span.join(gone, "mint", "left")
 
 
-def all_pool_collapse(legs: DataFrame, ft: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def all_pool_collapse(
+    legs: DataFrame, ft: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS, hottest: int | None = None
+) -> DataFrame:
     """First collapse under the older metric: any pool's peak, and what the token holds now."""
     rd = legs.filter(F.col("is_base") | (F.col("event") == "liquidity"))
-    state = _with_graduation(tradable_state(rd, max_group_rows), ft)
+    state = _with_graduation(tradable_state(rd, max_group_rows, hottest), ft)
     now = F.coalesce(F.when(F.col("graduated"), F.col("total_usd")), F.col("all_usd"))
     hit = (F.col("all_peak_usd") >= params.min_peak_usd) & (now <= params.max_floor_usd)
     first = first_crossing(state.select("mint", "pos", "at_s", "event", "kind", "actor", "graduated", "total_usd", "all_usd", "all_peak_usd"),
@@ -140,10 +145,13 @@ def periodic_samples(ev: DataFrame, every_s: int = 1800, params: Params = DEFAUL
         life.select(gone.alias("at_s"), one(-1).alias("_t"), one(0).alias("_e")),
         ev.groupBy(up(F.col("block_time_s")).alias("at_s")).agg(one(0).alias("_t"), F.count(F.lit(1)).alias("_e")),
     ]
-    span = ev.agg(F.min("block_time_s").alias("lo"), F.max("block_time_s").alias("hi"))
+    lo, hi = ev.agg(F.min("block_time_s"), F.max("block_time_s")).first()
+    first, last = -(-lo // every_s) * every_s, -(-hi // every_s) * every_s
     # One row per sample time, so that quiet samples appear too.
-    marks.append(span.select(F.explode(F.sequence(up(F.col("lo")), up(F.col("hi")), one(every_s))).alias("at_s"), one(0).alias("_t"), one(0).alias("_e")))
+    times = ev.sparkSession.range(first, last + 1, every_s).select(F.col("id").alias("at_s"), one(0).alias("_t"), one(0).alias("_e"))
+    marks.append(times)
     summed = reduce(DataFrame.unionByName, marks).groupBy("at_s").agg(F.sum("_t").alias("_t"), F.sum("_e").alias("_e"))
-    series = running(summed, [], ["at_s"], [Running("tokens", "sum", "_t"), Running("events", "sum", "_e")], max_group_rows)
-    last = ev.agg(F.max("block_time_s")).first()[0]
-    return series.filter(F.col("at_s") <= ((last + every_s - 1) // every_s) * every_s).select("at_s", "tokens", "events")
+    # Departures after the last sample lie within one idle limit of it.
+    samples = (last - first + params.idle_graduated_s) // every_s + 3
+    series = running(summed, [], ["at_s"], [Running("tokens", "sum", "_t"), Running("events", "sum", "_e")], max_group_rows, samples)
+    return series.filter(F.col("at_s") <= last).select("at_s", "tokens", "events")

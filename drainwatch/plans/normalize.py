@@ -202,12 +202,18 @@ def normalize(routed: DataFrame, kind: str, carry: list[str] | None = None) -> D
         swap = {"image_url": lambda c: redact_url(c), "socials": lambda c: F.coalesce(c, _no_links())}
         cols = [swap[name](k.read(v.get(F.col("v"), path))).alias(name) if name in swap else k.read(v.get(F.col("v"), path)).alias(name)
                 for name, path, k in SCHEMAS[kind]]
-    if kind in SNAPSHOT_TYPES:
-        cols = [F.lit(False).alias("verified"), F.col("v").alias("payload")]
     origin = derive_origin(v.get(F.col("v"), "catchup", "boolean"), v.get(F.col("v"), "backfill", "boolean"))
     return good.select(*(carry or []), "type", origin.alias("origin"), *cols)
 
 
+def quarantine_snapshots(routed: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The four unverified types: only type and origin are trusted, the payload stays as it came."""
+    rows = routed.filter(F.col("reason").isNull() & F.col("type").isin(*SNAPSHOT_TYPES))
+    good = rows.filter(F.size(frame_issues(SNAPSHOT_TYPES[0])) == 0)
+    origin = derive_origin(v.get(F.col("v"), "catchup", "boolean"), v.get(F.col("v"), "backfill", "boolean"))
+    return good.select(*(carry or []), "type", origin.alias("origin"), F.lit(False).alias("verified"), F.col("v").alias("payload"))
+
+
 def rejected(frames: DataFrame, text: str = "value") -> DataFrame:
     """Bad frames with their kind, issues and a redacted 200-character sample."""
     bad = validated(frames_to_routed(frames, text)).filter(F.col("reason").isNotNull())
