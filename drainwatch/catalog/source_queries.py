@@ -111,6 +111,9 @@ def s8(spark, sf_dir):
 
 # ---- snapshots: a customer is a creator, its orders are its tokens
 
+BLOCK = 4096
+
+
 def history_lines(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     made = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
@@ -122,8 +125,8 @@ def history_lines(spark, sf_dir):
         F.lit("0.1").alias("price_usd"), price.alias("liquidity_usd"), (F.col("o_orderkey") % 100).alias("holders"), F.lit("0").alias("total_fees_usd"),
         F.lit("0").alias("volume_1h_usd"), F.lit(0).alias("bundlers_count"), F.lit(False).alias("is_current"),
     )
-    # A customer's orders are the rows of one snapshot, which is how the source delivers them.
-    per = o.groupBy("o_custkey").agg(
+    # One snapshot lists a customer's orders of one block of order numbers: never more than the block holds.
+    per = o.groupBy("o_custkey", F.floor(F.col("o_orderkey") / BLOCK).alias("block")).agg(
         F.array_sort(F.collect_list(token)).alias("tokens"), F.min(made).alias("first_launch"), F.max(made).alias("last_launch"), F.count(F.lit(1)).alias("n"),
         F.min("o_orderkey").alias("first_key"), F.min_by(made, "o_orderkey").alias("created_time"),
     )
@@ -140,7 +143,7 @@ HIST = """o AS (SELECT *, CAST(epoch(o_orderdate) AS BIGINT) AS made, 'M' || o_o
 
 
 @query("S10_load_creator_history", sql(HIST, """SELECT creator, 'M' || min(o_orderkey) AS mint, count(*) AS tokens_launched, min(made) AS first_launch_s, max(made) AS last_launch_s,
-  count(*) FILTER (WHERE o_orderstatus = 'F') AS graduated FROM o GROUP BY creator"""))
+  count(*) FILTER (WHERE o_orderstatus = 'F') AS graduated FROM o GROUP BY creator, o_orderkey // 4096"""))
 def s10(spark, sf_dir):
     hist, _ = snapshots.load_creator_history(history_lines(spark, sf_dir))
     grads = F.size(F.filter("tokens", lambda t: t["graduated_s"].isNotNull())).cast("bigint")
@@ -173,7 +176,7 @@ def s11(spark, sf_dir):
     return good.select("mint", "token2022", F.col("total_tax_pct").cast("double").alias("total_tax_pct"), F.col("mint_authority").isNotNull().alias("has_authority"))
 
 
-@query("S12_identity_dim", sql(HIST, """SELECT mint, creator, made AS created_s, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY creator) THEN 'pumpfun' END AS launchpad,
+@query("S12_identity_dim", sql(HIST, """SELECT mint, creator, made AS created_s, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY creator, o_orderkey // 4096) THEN 'pumpfun' END AS launchpad,
   'Name ' || o_orderkey AS name, o_orderstatus AS symbol FROM o"""))
 def s12(spark, sf_dir):
     hist, _ = snapshots.load_creator_history(history_lines(spark, sf_dir))
