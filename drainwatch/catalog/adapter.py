@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from drainwatch.params import Params
 from drainwatch.plans import rules, tokens
-from drainwatch.session import prepare, shared_dir
+from drainwatch.session import prepare, settle
 
 # Thresholds scaled to the values in the driver's events (0 to about 700).
 PARAMS = Params(min_peak_usd=Decimal(100), max_floor_usd=Decimal(10), burst_window_s=7 * 86400, burst_max_launches=5)
@@ -86,9 +86,8 @@ class Story:
 
         Drains and red alerts are few, and both rules and every report read them: written once.
         """
-        shared_dir(self.ev.sparkSession)
-        found = self.rugs_plain().checkpoint()
-        red = self.red(found).checkpoint()
+        found = settle(self.rugs_plain(), "drains")
+        red = settle(self.red(found), "red")
         rg = rules.mechanism(found, red)
         amber = rules.amber_alerts(self.graduations(), rg, self.params)
         return rules.alerts_union(red, amber), rg

@@ -12,7 +12,7 @@ from drainwatch.operators.running import hottest_group
 from drainwatch.operators.select import tally
 from drainwatch.plans import calibration as cal
 from drainwatch.plans import creators, features
-from drainwatch.session import shared_dir, work_path
+from drainwatch.session import settle, work_path
 from drainwatch.sources import tables
 
 _DOUBLE = lambda c: F.col(c).cast("double").alias(c)
@@ -52,11 +52,10 @@ class Capture:
 
     def facts(self, min_swaps=10):
         """One narrow row per token, read by every table of the report: written once."""
-        shared_dir(self.spark)
-        ft = self.full().checkpoint()
+        ft = settle(self.full(), "features")
         liq = features.liquidity_rows(self.legs)
         sw = features.graduated_swaps(self.legs, ft)
-        facts = cal.token_facts(ft, outcomes(self.spark, self.sf_dir), liq, sw, ENDED, min_swaps).checkpoint()
+        facts = settle(cal.token_facts(ft, outcomes(self.spark, self.sf_dir), liq, sw, ENDED, min_swaps), "facts")
         return facts, liq, sw
 
 

@@ -12,7 +12,7 @@ from drainwatch.functions import validate as v
 from drainwatch.functions.redact import redact_secrets, redact_url
 from drainwatch.plans import dedup, joins, prices, tokens
 from drainwatch.plans import normalize as nz
-from drainwatch.session import shared_dir, work_path
+from drainwatch.session import settle, work_path
 from drainwatch.sources.tables import read_routed, write_routed
 
 
@@ -241,13 +241,12 @@ def u5(spark, sf_dir):
 
 class Feed:
     def __init__(self, spark, sf_dir):
-        shared_dir(spark)
         r = routed_frames(spark, sf_dir)
         self.norm = {k: nz.normalize(r, k) for k in ("token_create", "meme", "graduation", "liquidity", "swap")}
-        self.tok = prices.token_table(self.norm).checkpoint()
+        self.tok = settle(prices.token_table(self.norm), "tokens")
         # Resolved rows feed both the prices and the readings.
-        self.pairs = prices.pair_rows(self.norm["liquidity"], self.tok).checkpoint()
-        self.swaps = prices.swap_rows(self.norm["swap"], self.tok).checkpoint()
+        self.pairs = settle(prices.pair_rows(self.norm["liquidity"], self.tok), "pairs")
+        self.swaps = settle(prices.swap_rows(self.norm["swap"], self.tok), "swaps")
         self.px = prices.learn_quote_prices(self.norm["liquidity"], self.pairs, self.swaps)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drainwatch.operators.running import MAX_GROUP_ROWS, Running, running
-from drainwatch.session import shared_dir
+from drainwatch.session import settle
 
 # Which sorted element (0-based) a quantile is.  The three reports use three rules.
 RULES = {
@@ -23,9 +23,8 @@ RULES = {
 
 
 def _counted(df: DataFrame, group: list[str], value: str, aggs: list[Column], max_group_rows: int, specs: list[Running]) -> DataFrame:
-    shared_dir(df.sparkSession)
     # Read three times below (size, order, totals): the distinct values are written once.
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(*aggs).checkpoint()
+    counted = settle(df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(*aggs), "values")
     return running(counted, group, [value], specs, max_group_rows)
 
 

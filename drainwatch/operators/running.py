@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drainwatch.session import shared_dir
+from drainwatch.session import settle
 
 # A window task of this many narrow rows sorts within a normal executor's memory.
 MAX_GROUP_ROWS = 2_000_000
@@ -89,11 +89,10 @@ def running(
 
 
 def _running_chunked(df: DataFrame, keys: list[str], order: list[str], specs: list[Running]) -> DataFrame:
-    shared_dir(df.sparkSession)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The chunk number must be the same wherever it is read again, also after a lost executor:
     # it is written once, to the shared folder.
-    rows = df.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id()).checkpoint()
+    rows = settle(df.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
     within = Window.partitionBy(CHUNK, *keys).orderBy(*order)
     local = rows.select("*", *[_value(s, _frame(within, s)).alias(f"_own_{s.name}") for s in specs])

@@ -12,6 +12,12 @@ STAGE_RANK = {"created": 0, "curve": 1, "graduated": 2}
 TRACKED_TYPES = ("token_create", "pool_create", "graduation", "liquidity", "meme", "swap")
 FIREHOSE_TYPES = ("swap", "transfer")
 
+# How raw text names a token, its time and its type.
+MINT_KEYS = r'"(?:mint|base_mint|quote_mint)":"(\w+)"'
+BLOCK_TIME = r'"block_time":(\d+)'
+FRAME_TYPE = r'"type":\s*"(\w+)"'
+STARTS_TRACKING = r'"type":"(?:token_create|meme|graduation)"'
+
 # Measured precision of each rule and its typical warning time in seconds.
 CONFIDENCE = {"red": (422, 431, 485), "amber": (359, 435, 129)}
 RULE_NAME = {"red": "creator-adds-liquidity", "amber": "repeat-rugger"}

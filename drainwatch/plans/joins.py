@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drainwatch.operators.running import MAX_GROUP_ROWS, Running, running
-from drainwatch.params import DEFAULTS, STAGE_RANK, WRAPPED_SOL
+from drainwatch.params import DEFAULTS, MINT_KEYS, STAGE_RANK, WRAPPED_SOL
 from drainwatch.plans.tokens import stage_name
 
 # Both sides of a pair as a row may carry them.
@@ -82,7 +82,7 @@ def mint_prefilter(frames: DataFrame, mints: DataFrame, text: str = "value") ->
     Nearly every line names one mint besides the native coin: those meet the list by one semi-join.
     A line that names more (three at most) is asked once per mint and kept once.
     """
-    ids = F.array_distinct(F.regexp_extract_all(text, F.lit(r'"(?:mint|base_mint|quote_mint)":"(\w+)"'), 1))
+    ids = F.array_distinct(F.regexp_extract_all(text, F.lit(MINT_KEYS), 1))
     lines = frames.withColumn("_ids", F.filter(ids, lambda m: m != WRAPPED_SOL))
     followed = mints.select(F.col("mint").alias("_mint")).distinct()
     one = lines.filter(F.size("_ids") == 1).withColumn("_mint", F.col("_ids")[0])

@@ -13,15 +13,10 @@ from pyspark.sql import functions as F
 
 from drainwatch.functions.redact import redact_secrets
 from drainwatch.operators.running import MAX_GROUP_ROWS, Running, running
-from drainwatch.params import FIREHOSE_TYPES, WRAPPED_SOL
+from drainwatch.params import BLOCK_TIME, FIREHOSE_TYPES, FRAME_TYPE, STARTS_TRACKING, WRAPPED_SOL
 
 FRAME_FILES = "*.jsonl*"
 STAMP = r"^(\w+)-(\d{8}T\d{6})Z-\d+\.jsonl"
-# The fields that can name a token, and the event time, in raw text.
-MINT_KEYS = r'"(?:mint|base_mint|quote_mint)":"(\w+)"'
-BLOCK_TIME = r'"block_time":(\d+)'
-TYPE = r'"type":\s*"(\w+)"'
-STARTS_TRACKING = r'"type":"(?:token_create|meme|graduation)"'
 
 
 def _lines(reader, path: str) -> DataFrame:
@@ -95,7 +90,7 @@ def stream_frames(spark: SparkSession, directory: str, files_per_trigger: int |
 
 def tier_of(text: str = "value") -> Column:
     """Swaps and transfers are the firehose; everything else, malformed frames too, is lifecycle."""
-    return F.when(F.regexp_extract(text, TYPE, 1).isin(*FIREHOSE_TYPES), "firehose").otherwise("lifecycle")
+    return F.when(F.regexp_extract(text, FRAME_TYPE, 1).isin(*FIREHOSE_TYPES), "firehose").otherwise("lifecycle")
 
 
 def archive_rows(frames: DataFrame, received: str, literal_key: str | None = None) -> DataFrame:
