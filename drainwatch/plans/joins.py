@@ -49,10 +49,10 @@ def price_asof(ev: DataFrame, px: DataFrame, max_group_rows: int = MAX_GROUP_ROW
 
     ``px``: quote_mint, pos, usd_per_unit.  Nearly all events share one quote mint, which is what
     ``running`` is for.  At one position the price counts before the event that follows it, and
-    the first of several prices learned at the same position is kept.
+    of several prices learned at the same position the first (by ``seq``, if given) is kept.
     """
-    first = px.groupBy("quote_mint", "pos").agg(F.first("usd_per_unit").alias("_px")) if "seq" not in px.columns else px.groupBy(
-        "quote_mint", "pos").agg(F.min_by("usd_per_unit", "seq").alias("_px"))
+    kept = F.min_by("usd_per_unit", "seq") if "seq" in px.columns else F.min("usd_per_unit")
+    first = px.groupBy("quote_mint", "pos").agg(kept.alias("_px"))
     rows = ev.withColumn("_kind", F.lit(1)).withColumn("_uid", F.xxhash64(*[c for c in ev.columns if c != "pos"]))
     marks = first.withColumn("_kind", F.lit(0)).withColumn("_uid", F.lit(0).cast("bigint"))
     both = rows.unionByName(marks, allowMissingColumns=True)
