@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline.  Nothing else in the library imports this package."""
 
+from drainwatch.llm.bottom_sketch import OP3_SQL, op3_minhash_near_dedup
 from drainwatch.llm.compress_quality import op2_quality_classifier
 from drainwatch.llm.licence_sentences import OP5_SQL, op5_license_scans
 from drainwatch.llm.line_rules import op7_quality_rules
@@ -11,10 +12,11 @@ from drainwatch.llm.token_prefix import op10_token_counts
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_license_scans": op5_license_scans,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE = {"op1_source_mixing": OP1_SQL, "op5_license_scans": OP5_SQL, "op9_embedding_near_dedup": OP9_SQL}
+ORACLE = {"op1_source_mixing": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL, "op5_license_scans": OP5_SQL, "op9_embedding_near_dedup": OP9_SQL}

@@ -7,12 +7,24 @@ to the shared folder; nothing but two numbers per round reaches the driver.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drainwatch.llm.common import settle
 
 
+def linked(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """The components of a small neighbour matrix as (id, least id)."""
+    low = ids.copy()
+    near = near | np.eye(len(ids), dtype=bool)
+    while True:
+        new = np.where(near, low[None, :], np.iinfo(np.int64).max).min(1)
+        if (new == low).all():
+            return [(int(a), int(b)) for a, b in zip(ids, low, strict=True) if b < a]
+        low = new
+
+
 def _round(links: DataFrame) -> DataFrame:
     """links: (u, v) with v < u."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drainwatch.llm.common import fresh, settle, table
-from drainwatch.llm.components import components
+from drainwatch.llm.components import components, linked
 
 BITS = 48
 
@@ -69,17 +69,6 @@ def units(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def linked(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
-    """The components of a small neighbour matrix as (id, least id)."""
-    low = ids.copy()
-    near = near | np.eye(len(ids), dtype=bool)
-    while True:
-        new = np.where(near, low[None, :], np.iinfo(np.int64).max).min(1)
-        if (new == low).all():
-            return [(int(a), int(b)) for a, b in zip(ids, low, strict=True) if b < a]
-        low = new
-
-
 def neighbour_links(parts: Iterator[pd.DataFrame], how: Passes) -> Iterator[pd.DataFrame]:
     """Walk a sorted part, each block of ``window`` rows against itself and the block before it."""
     before, waiting = None, None
