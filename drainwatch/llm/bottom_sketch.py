@@ -25,12 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drainwatch.llm.common import fresh, settle, table
+from drainwatch.llm.common import fresh, marked, settle, table
 from drainwatch.llm.components import components, linked
 from drainwatch.llm.shingles import shingle_set
 
 SIGN = np.uint64(1 << 63)
-MARKS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -102,13 +101,6 @@ def short_pairs(keys: DataFrame, sizes: DataFrame, how: Sketching) -> DataFrame:
     return short.join(other, fits).select(F.col("id").alias("a"), "b").distinct()
 
 
-def marked(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """Drop most rows whose id is not wanted: a bitmap of at most MARKS hashed ids, so of bounded size, is broadcast.  An exact join follows."""
-    mark = lambda c: F.pmod(F.xxhash64(F.lit(3), F.col(c)), F.lit(MARKS))
-    marks = ids.select(mark(id_column).alias("_mark")).distinct()
-    return rows.join(F.broadcast(marks), mark(column) == F.col("_mark"), "left_semi")
-
-
 def estimated(pairs: DataFrame, classes: DataFrame, how: Sketching) -> DataFrame:
     """Drop pairs that the sketch of their union rules out (six standard deviations below the limit)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id"))

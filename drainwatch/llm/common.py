@@ -12,6 +12,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 # Rows of one Arrow batch: a batch of very long texts must fit a Python worker.
 BATCH_ROWS = 500
+# Entries of the bitmap that ``marked`` broadcasts, at most.
+MARKS = 1 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -33,3 +35,10 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names an operator is about to make (case-insensitive, as Spark resolves them)."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def marked(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """Drop most rows whose id is not wanted: a bitmap of at most MARKS hashed ids, so of bounded size, is broadcast.  An exact join follows."""
+    mark = lambda c: F.pmod(F.xxhash64(F.lit(3), F.col(c)), F.lit(MARKS))
+    marks = ids.select(mark(id_column).alias("_mark")).distinct()
+    return rows.join(F.broadcast(marks), mark(column) == F.col("_mark"), "left_semi")
