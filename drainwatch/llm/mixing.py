@@ -98,7 +98,7 @@ def materialise(mixed: DataFrame) -> DataFrame:
     copies = mixed.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))).otherwise(F.array().cast("array<int>"))))
     short = (size > 0) & (F.col("_copy") * size > F.col("taken"))
     words = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    cut = copies.withColumn("_cut", F.when(short, F.substring_index(words, " ", rest.cast("int"))))
+    cut = copies.withColumn("_cut", F.when(short, F.call_function("substring_index", words, F.lit(" "), rest.cast("int"))))
     out = {"text": F.coalesce(F.col("_cut"), F.col("text"))}
     if "n_chars" in columns:
         out["n_chars"] = F.when(F.col("_cut").isNotNull(), F.length("_cut").cast("long")).otherwise(F.col("n_chars"))
