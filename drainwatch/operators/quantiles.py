@@ -11,8 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drainwatch.operators.running import MAX_GROUP_ROWS, Running, running
-from drainwatch.session import settle
+from drainwatch.operators.running import Running, running, value_bucket
 
 # Which sorted element (0-based) a quantile is.  The three reports use three rules.
 RULES = {
@@ -22,10 +21,9 @@ RULES = {
 }
 
 
-def _counted(df: DataFrame, group: list[str], value: str, aggs: list[Column], max_group_rows: int, specs: list[Running]) -> DataFrame:
-    # Read three times below (size, order, totals): the distinct values are written once.
-    counted = settle(df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(*aggs), "values")
-    return running(counted, group, [value], specs, max_group_rows)
+def _counted(df: DataFrame, group: list[str], value: str, aggs: list[Column], specs: list[Running]) -> DataFrame:
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(*aggs)
+    return running(counted, group, [value], specs, bucket=value_bucket(F.col(value)))
 
 
 def index_quantiles(
@@ -34,13 +32,12 @@ def index_quantiles(
     value: str,
     ps: dict[str, float],
     rule: str = "report",
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """One row per group: ``n`` and one column per entry of ``ps`` (column name -> p)."""
     if not group:
-        one = index_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, ps, rule, max_group_rows)
+        one = index_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, ps, rule)
         return one.drop("_all")
-    ranked = _counted(df, group, value, [F.count(F.lit(1)).alias("_c")], max_group_rows, [Running("_upto", "sum", "_c")])
+    ranked = _counted(df, group, value, [F.count(F.lit(1)).alias("_c")], [Running("_upto", "sum", "_c")])
     sizes = ranked.groupBy(*group).agg(F.max("_upto").alias("n"))
     same = reduce(lambda a, b: a & b, [F.col("v." + g).eqNullSafe(F.col("s." + g)) for g in group])
     joined = ranked.alias("v").join(sizes.alias("s"), same)
@@ -53,14 +50,13 @@ def index_quantiles(
     return joined.groupBy(*group).agg(F.max("n").alias("n"), *picks)
 
 
-def auc(df: DataFrame, score: str, label: Column, group: list[str] | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def auc(df: DataFrame, score: str, label: Column, group: list[str] | None = None) -> DataFrame:
     """P(a positive scores above a negative), ties half: one row per group, null if a side is empty."""
     group = group or []
     base = df.withColumn("_pos", F.when(label, 1).otherwise(0).cast("long"))
     counted = _counted(
         base, group, score,
         [F.sum("_pos").alias("_p"), F.sum(F.lit(1) - F.col("_pos")).alias("_n")],
-        max_group_rows,
         [Running("_below", "sum", "_n", before=True)],
     )
     # Twice the number of won pairs is a whole number: summed exactly, divided once.

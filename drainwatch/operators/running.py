@@ -1,29 +1,27 @@
-"""Running aggregates that stay exact and parallel when one key holds most of the rows.
+"""Running aggregates that stay exact and parallel whatever the size of a key.
 
-A plain ``Window.partitionBy(key).orderBy(pos)`` puts a whole key into one task.  ``running``
-counts the rows of the hottest key first.  While that fits one task comfortably the plain window is
-the best plan (one shuffle).  Beyond it the rows are range-partitioned by (key, position), so a hot
-key spans many partitions, and each partition gets
+A plain ``Window.partitionBy(key).orderBy(pos)`` puts a whole key into one task.  Here the order is cut into buckets of
+fixed width (an hour of chain time, a block of lines, a step of value), and one plan serves every size:
 
-    its own running value  (+)  the value carried over from the earlier partitions of the same key.
+* each (key, bucket) is summed up by an aggregate that combines before the shuffle;
+* a window over those sums, one row per bucket, gives what every bucket inherits from the earlier ones of its key;
+* the inherited value joins the bucket's rows as one more row in front of them, and a window over (key, bucket) runs over both.
 
-Only keys that span partitions carry anything: at most one row per partition, which is what
-makes broadcasting the carry table safe at any data size.
+The rows are shuffled once.  No count decides anything, nothing is written in between, and no row is joined to another.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType, StringType, StructType, TimestampType
 
-from drainwatch.session import settle
-
-# A window task of this many narrow rows sorts within a normal executor's memory.
-MAX_GROUP_ROWS = 2_000_000
-CHUNK = "_chunk"
+BUCKET = "_bucket"
+FRONT = "_front"
+# Width of a bucket in the unit of the order's first number: an hour of seconds.
+HOUR = 3600
 
 
 @dataclass(frozen=True)
@@ -39,91 +37,59 @@ class Running:
     before: bool = False
 
 
-_AGG = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+_AGG = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
 
 
-def hottest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key (map-side combined count, one number to the driver)."""
-    counted = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
-    return counted.agg(F.max("count")).first()[0] or 0
+def _leading(column: Column, kind: DataType) -> tuple[Column, DataType]:
+    while isinstance(kind, StructType):
+        column, kind = column[kind[0].name], kind[0].dataType
+    return column, kind
 
 
-def _value(spec: Running, rows) -> Column:
-    if spec.fn == "last":
-        return F.last(spec.col, ignorenulls=True).over(rows)
-    return _AGG[spec.fn](spec.col).over(rows)
+def bucket_of(df: DataFrame, order: str, width: int = HOUR) -> Column:
+    """A coarse step of the order: rows of a lower bucket come before rows of a higher one."""
+    column, kind = _leading(F.col(order), df.select(order).schema[0].dataType)
+    if isinstance(kind, TimestampType):
+        column = F.unix_timestamp(column)
+    if isinstance(kind, NumericType | TimestampType):
+        return F.floor(column / width)
+    # Stamped names: their beginning, down to the minute of the stamp.
+    return F.substring(column.cast("string"), 1, 24) if isinstance(kind, StringType) else F.lit(0)
 
 
-def _frame(window, spec: Running):
-    return window.rowsBetween(Window.unboundedPreceding, -1 if spec.before else Window.currentRow)
+def value_bucket(column: Column) -> Column:
+    """Steps of about 0.4 % of a value, either sign: for orders by value, whose scale is not known."""
+    value = column.cast("double")
+    # In millionths, so that small values spread as well.
+    return F.floor(F.signum(value) * F.log1p(F.abs(value) * 1_000_000) * 256)
 
 
-def _combine(spec: Running, carried: Column, own: Column) -> Column:
+def _all(spec: Running, order: list[str]) -> Column:
     if spec.fn == "last":
-        return F.coalesce(own, carried)
-    if spec.fn == "max":
-        return F.greatest(carried, own)
-    if spec.fn == "min":
-        return F.least(carried, own)
-    if spec.fn == "count":
-        return F.coalesce(carried, F.lit(0)) + own
-    return F.when(carried.isNull(), own).otherwise(carried + F.coalesce(own, F.lit(0)))
-
-
-def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    specs: list[Running],
-    max_group_rows: int = MAX_GROUP_ROWS,
-    hottest: int | None = None,
-) -> DataFrame:
-    """Add one running column per spec.  ``order`` must identify a row within its key.
-
-    ``hottest``: an upper bound of the largest key's rows, where the caller already has one.
-    """
-    if (hottest_group(df, keys) if hottest is None else hottest) <= max_group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[_value(s, _frame(window, s)).alias(s.name) for s in specs])
-    return _running_chunked(df, keys, order, specs)
-
-
-def _running_chunked(df: DataFrame, keys: list[str], order: list[str], specs: list[Running]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The chunk number must be the same wherever it is read again, also after a lost executor:
-    # it is written once, to the shared folder.
-    rows = settle(df.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id()), "chunks")
-
-    within = Window.partitionBy(CHUNK, *keys).orderBy(*order)
-    local = rows.select("*", *[_value(s, _frame(within, s)).alias(f"_own_{s.name}") for s in specs])
-
-    totals = rows.groupBy(CHUNK, *keys).agg(
-        *[
-            F.max_by(s.col, F.when(F.col(s.col).isNotNull(), F.struct(*order))).alias(f"_all_{s.name}")
-            if s.fn == "last"
-            else (F.count(s.col) if s.fn == "count" else _AGG[s.fn](s.col)).alias(f"_all_{s.name}")
-            for s in specs
-        ]
-    )
-    # A key in several chunks has one row per chunk here, so this window sees at most `parts` rows.
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        CHUNK,
-        *keys,
-        F.count(F.lit(1)).over(earlier).alias("_n"),
-        *[
-            (
-                F.last(f"_all_{s.name}", ignorenulls=True).over(earlier)
-                if s.fn == "last"
-                else (F.sum if s.fn in ("sum", "count") else _AGG[s.fn])(f"_all_{s.name}").over(earlier)
-            ).alias(f"_carry_{s.name}")
-            for s in specs
-        ],
-    ).filter("_n > 0")
-
-    same = [F.col("l." + k).eqNullSafe(F.col("c." + k)) for k in [CHUNK, *keys]]
-    joined = local.alias("l").join(F.broadcast(carry.alias("c")), reduce(lambda a, b: a & b, same), "left")
-    return joined.select(
-        *[F.col("l." + c) for c in df.columns],
-        *[_combine(s, F.col(f"c._carry_{s.name}"), F.col(f"l._own_{s.name}")).alias(s.name) for s in specs],
-    )
+        return F.max_by(spec.col, F.when(F.col(spec.col).isNotNull(), F.struct(*order)))
+    return F.count(spec.col) if spec.fn == "count" else _AGG[spec.fn](spec.col)
+
+
+def _over(spec: Running, column: str, window) -> Column:
+    value = F.last(column, ignorenulls=True).over(window) if spec.fn == "last" else _AGG[spec.fn](column).over(window)
+    return F.coalesce(value, F.lit(0).cast("bigint")) if spec.fn == "count" else value
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], specs: list[Running], width: int = HOUR, bucket: Column | None = None) -> DataFrame:
+    """Add one running column per spec.  ``order`` must identify a row within its key; ``bucket`` must not fall along it."""
+    rows = df.withColumn(BUCKET, bucket_of(df, order[0], width) if bucket is None else bucket)
+    held = [f"_held_{s.name}" for s in specs]
+    totals = rows.groupBy(*keys, BUCKET).agg(*[_all(s, order).alias(h) for s, h in zip(specs, held, strict=True)])
+    # One row per key and bucket; nulls of the order come first here as they do in it.
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    fronts = totals.select(*keys, BUCKET, F.lit(0).alias(FRONT), *[_over(s, h, earlier).alias(h) for s, h in zip(specs, held, strict=True)])
+
+    def own(spec: Running, name: str) -> Column:
+        value = F.col(spec.col).isNotNull().cast("bigint") if spec.fn == "count" else F.col(spec.col).cast(totals.schema[name].dataType)
+        return value.alias(name)
+
+    both = rows.select("*", F.lit(1).alias(FRONT), *[own(s, h) for s, h in zip(specs, held, strict=True)]).unionByName(fronts, allowMissingColumns=True)
+    window = Window.partitionBy(*keys, BUCKET).orderBy(FRONT, *order)
+    frame = lambda s: window.rowsBetween(Window.unboundedPreceding, -1 if s.before else Window.currentRow)
+    run = both.select("*", *[_over(s, h, frame(s)).alias(s.name) for s, h in zip(specs, held, strict=True)])
+    return run.filter(F.col(FRONT) == 1).select(*df.columns, *[s.name for s in specs])

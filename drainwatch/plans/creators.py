@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drainwatch.operators.running import MAX_GROUP_ROWS, Running, hottest_group, running
+from drainwatch.operators.running import Running, running
 from drainwatch.operators.select import newest_per_key
 from drainwatch.params import DEFAULTS, STAGE_RANK, Params
 from drainwatch.plans.tokens import collapsed
@@ -35,7 +35,7 @@ def launches_in_window(la: DataFrame, now_s: Column, window_s: int = DEFAULTS.bu
     return la.groupBy("creator").agg(F.count_if(inside).alias("n"))
 
 
-def rolling_launches(la: DataFrame, window_s: int = DEFAULTS.burst_window_s, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def rolling_launches(la: DataFrame, window_s: int = DEFAULTS.burst_window_s) -> DataFrame:
     """Launches of the creator in the trailing window, at each second with a launch.
 
     A launch counts from its second until ``window_s`` later, so the trailing count is a running
@@ -45,25 +45,25 @@ def rolling_launches(la: DataFrame, window_s: int = DEFAULTS.burst_window_s, max
     at = la.filter(F.col("created_s").isNotNull()).groupBy("creator", "created_s").agg(F.count(F.lit(1)).alias("_n"))
     arrive = at.select("creator", F.col("created_s").alias("t"), F.lit(1).alias("_kind"), "_n")
     leave = at.select("creator", (F.col("created_s") + window_s).alias("t"), F.lit(0).alias("_kind"), (-F.col("_n")).alias("_n"))
-    counted = running(arrive.unionByName(leave), ["creator"], ["t", "_kind"], [Running("n", "sum", "_n")], max_group_rows)
+    counted = running(arrive.unionByName(leave), ["creator"], ["t", "_kind"], [Running("n", "sum", "_n")])
     return counted.filter("_kind = 1").select("creator", F.col("t").alias("created_s"), "n")
 
 
-def serial_creators(la: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def serial_creators(la: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Creators who ever had more launches within the window than the limit; sticky."""
     busy = la.groupBy("creator").agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") > params.burst_max_launches)
-    rolled = rolling_launches(la.join(busy, "creator", "left_semi"), params.burst_window_s, max_group_rows)
+    rolled = rolling_launches(la.join(busy, "creator", "left_semi"), params.burst_window_s)
     most = rolled.groupBy("creator").agg(F.max("n").alias("most"))
     return most.filter(F.col("most") > params.burst_max_launches)
 
 
-def creator_dim(la: DataFrame, ev: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def creator_dim(la: DataFrame, ev: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     acts = ev.filter(F.col("type").isin("token_create", "graduation"))
     seen = acts.groupBy(F.col("actor").alias("creator")).agg(
         F.min("block_time_s").alias("first_seen_s"), F.max("block_time_s").alias("last_seen_s")
     )
     launches = la.groupBy("creator").agg(F.count(F.lit(1)).alias("launches"))
-    serial = serial_creators(la, params, max_group_rows).select("creator", F.lit(True).alias("serial"))
+    serial = serial_creators(la, params).select("creator", F.lit(True).alias("serial"))
     joined = reduce(lambda a, b: a.join(b, "creator", "left"), [launches, serial], seen)
     return joined.na.fill({"launches": 0}).withColumn("serial", F.coalesce("serial", F.lit(False)))
 
@@ -135,7 +135,7 @@ def state_stats(tok: DataFrame, creators: DataFrame, la: DataFrame, rd: DataFram
 
 
 def watermark_and_late(
-    ev: DataFrame, arrival: list[str], params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS
+    ev: DataFrame, arrival: list[str], params: Params = DEFAULTS
 ) -> DataFrame:
     """Event-time clock before each arrival and whether the row came late.
 
@@ -143,21 +143,19 @@ def watermark_and_late(
     There is one clock for the whole feed: ``running`` splits the order over all tasks.
     """
     capped = ev.withColumn("_at", F.least("block_time_s", F.col("received_s") + params.max_future_skew_s))
-    seen = running(capped, [], arrival, [Running("watermark_s", "max", "_at", before=True)], max_group_rows).drop("_at")
+    seen = running(capped, [], arrival, [Running("watermark_s", "max", "_at", before=True)]).drop("_at")
     late = F.coalesce(F.col("watermark_s") - F.col("block_time_s") > params.late_after_s, F.lit(False))
     return seen.withColumn("late", late)
 
 
-def idle_expiry(ev: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def idle_expiry(ev: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Lifetimes of tracked tokens: (mint, session, start, end, events).
 
     A silence longer than the graduated limit always ends a lifetime; one longer than the curve
     limit ends it unless the token graduated earlier in the same lifetime.
     """
-    hottest = hottest_group(ev, ["mint"])
-
     def run(df: DataFrame, keys: list[str], *specs: Running) -> DataFrame:
-        return running(df, keys, ["pos"], list(specs), max_group_rows, hottest)
+        return running(df, keys, ["pos"], list(specs))
 
     steps = run(ev, ["mint"], Running("_prev", "last", "block_time_s", before=True))
     gap = F.col("block_time_s") - F.col("_prev")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drainwatch.operators.running import MAX_GROUP_ROWS, Running, hottest_group, running
+from drainwatch.operators.running import Running, running
 from drainwatch.operators.select import first_crossing
 from drainwatch.params import DEFAULTS, Params
 from drainwatch.plans.creators import idle_expiry
@@ -79,17 +79,16 @@ def _cause(event: str = "event", kind: str = "kind"):
 
 
 def tradable_series(
-    legs: DataFrame, ft: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS, hottest: int | None = None
+    legs: DataFrame, ft: DataFrame, params: Params = DEFAULTS
 ) -> DataFrame:
     """Native units in non-curve pools at the price of the moment: peak, last, first collapse."""
     units = F.when(F.col("native"), F.col("reserve")).cast("decimal(28,6)")
     rd = legs.filter(F.col("is_base") | (F.col("event") == "liquidity")).withColumn("usd", units)
-    hottest = hottest_group(legs, ["mint"]) if hottest is None else hottest
-    held = tradable_state(rd, max_group_rows, hottest).drop("all_usd", "all_peak_usd", "peak_usd")
+    held = tradable_state(rd).drop("all_usd", "all_peak_usd", "peak_usd")
     valued = _with_graduation(held, ft).filter(F.col("graduated") & F.col("price").isNotNull()).withColumn(
         "now_usd", (F.coalesce("total_usd", F.lit(0)) * F.col("price")).cast("decimal(28,6)")
     )
-    seen = running(valued, ["mint"], ["pos"], [Running("peak_so_far", "max", "now_usd")], max_group_rows, hottest)
+    seen = running(valued, ["mint"], ["pos"], [Running("peak_so_far", "max", "now_usd")])
     span = seen.groupBy("mint").agg(
         F.max("now_usd").alias("tradable_peak"), F.max_by("now_usd", "pos").alias("tradable_last")
     )
@@ -103,11 +102,11 @@ def tradable_series(
 
 
 def all_pool_collapse(
-    legs: DataFrame, ft: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS, hottest: int | None = None
+    legs: DataFrame, ft: DataFrame, params: Params = DEFAULTS
 ) -> DataFrame:
     """First collapse under the older metric: any pool's peak, and what the token holds now."""
     rd = legs.filter(F.col("is_base") | (F.col("event") == "liquidity"))
-    state = _with_graduation(tradable_state(rd, max_group_rows, hottest), ft)
+    state = _with_graduation(tradable_state(rd), ft)
     now = F.coalesce(F.when(F.col("graduated"), F.col("total_usd")), F.col("all_usd"))
     hit = (F.col("all_peak_usd") >= params.min_peak_usd) & (now <= params.max_floor_usd)
     first = first_crossing(state.select("mint", "pos", "at_s", "event", "kind", "actor", "graduated", "total_usd", "all_usd", "all_peak_usd"),
@@ -122,20 +121,20 @@ def capture_span(ev: DataFrame) -> DataFrame:
     return span.withColumn("hours", (F.col("end_s") - F.col("start_s")) / 3600)
 
 
-def trader_dictionary(swaps: DataFrame, trader: str = "actor", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def trader_dictionary(swaps: DataFrame, trader: str = "actor") -> DataFrame:
     """A dense number per trader in first-seen order, numbered in parallel."""
     first = swaps.groupBy(F.col(trader).alias("trader")).agg(F.min("pos").alias("first_pos"))
-    numbered = running(first, [], ["first_pos", "trader"], [Running("_no", "count", "trader")], max_group_rows)
+    numbered = running(first, [], ["first_pos", "trader"], [Running("_no", "count", "trader")])
     return numbered.select("trader", (F.col("_no") - 1).alias("id"))
 
 
-def periodic_samples(ev: DataFrame, every_s: int = 1800, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def periodic_samples(ev: DataFrame, every_s: int = 1800, params: Params = DEFAULTS) -> DataFrame:
     """Events so far and tokens alive at every sample time.
 
     A lifetime adds one at its first sample and takes it back after its last: the tokens alive
     are a running sum over the samples, with no row per token and sample.
     """
-    life = idle_expiry(ev, params, max_group_rows)
+    life = idle_expiry(ev, params)
     ttl = F.when(F.col("graduated"), params.idle_graduated_s).otherwise(params.idle_curve_s)
     up = lambda c: (F.ceil(c / every_s) * every_s).cast("bigint")
     gone = ((F.floor((F.col("end_s") + ttl) / every_s) + 1) * every_s).cast("bigint")
@@ -153,5 +152,5 @@ def periodic_samples(ev: DataFrame, every_s: int = 1800, params: Params = DEFAUL
     summed = reduce(DataFrame.unionByName, marks).groupBy("at_s").agg(F.sum("_t").alias("_t"), F.sum("_e").alias("_e"))
     # Departures after the last sample lie within one idle limit of it.
     samples = (last - first + params.idle_graduated_s) // every_s + 3
-    series = running(summed, [], ["at_s"], [Running("tokens", "sum", "_t"), Running("events", "sum", "_e")], max_group_rows, samples)
+    series = running(summed, [], ["at_s"], [Running("tokens", "sum", "_t"), Running("events", "sum", "_e")])
     return series.filter(F.col("at_s") <= last).select("at_s", "tokens", "events")

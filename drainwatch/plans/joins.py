@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drainwatch.operators.running import MAX_GROUP_ROWS, Running, running
+from drainwatch.operators.running import Running, running
 from drainwatch.params import DEFAULTS, MINT_KEYS, STAGE_RANK, WRAPPED_SOL
 from drainwatch.plans.tokens import stage_name
 
@@ -44,7 +44,7 @@ def resolve_pair(ev: DataFrame, tok: DataFrame) -> DataFrame:
     )
 
 
-def price_asof(ev: DataFrame, px: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def price_asof(ev: DataFrame, px: DataFrame) -> DataFrame:
     """The newest price learned for the event's quote mint at or before the event's position.
 
     ``px``: quote_mint, pos, usd_per_unit.  Nearly all events share one quote mint, which is what
@@ -56,7 +56,7 @@ def price_asof(ev: DataFrame, px: DataFrame, max_group_rows: int = MAX_GROUP_ROW
     rows = ev.withColumn("_kind", F.lit(1)).withColumn("_uid", F.xxhash64(*[c for c in ev.columns if c != "pos"]))
     marks = first.withColumn("_kind", F.lit(0)).withColumn("_uid", F.lit(0).cast("bigint"))
     both = rows.unionByName(marks, allowMissingColumns=True)
-    priced = running(both, ["quote_mint"], ["pos", "_kind", "_uid"], [Running("usd_per_unit", "last", "_px")], max_group_rows)
+    priced = running(both, ["quote_mint"], ["pos", "_kind", "_uid"], [Running("usd_per_unit", "last", "_px")])
     return priced.filter("_kind = 1").select(*ev.columns, "usd_per_unit")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drainwatch.functions.events import POSITION, time_position, tx_position
-from drainwatch.operators.running import MAX_GROUP_ROWS
 from drainwatch.params import WRAPPED_SOL
 from drainwatch.plans.joins import price_asof, resolve_pair, swaps_of_known
 from drainwatch.plans.tokens import token_dim
@@ -88,12 +87,12 @@ def learn_quote_prices(liquidity: DataFrame, pairs: DataFrame, swaps: DataFrame)
     return seen[0].unionByName(seen[1]).unionByName(seen[2]).filter("usd_per_unit is not null")
 
 
-def pool_readings(pairs: DataFrame, swaps: DataFrame, px: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def pool_readings(pairs: DataFrame, swaps: DataFrame, px: DataFrame) -> DataFrame:
     """The quote-side reserve after each liquidity or swap event, in USD at the price of the moment."""
     cols = ["mint", "quote_mint", "quote_reserve", "quote_decimals", "pool", "dex", "pos", "event", "block_time_s", "signature"]
     lp = pairs.filter("mint is not null").select(*cols, "kind", F.col("provider").alias("actor"))
     sw = swaps.select(*cols, F.lit(None).cast("string").alias("kind"), F.col("trader").alias("actor"))
-    priced = price_asof(lp.unionByName(sw), px, max_group_rows)
+    priced = price_asof(lp.unionByName(sw), px)
     usd = value_usd(F.col("quote_reserve"), F.col("quote_decimals"), F.col("usd_per_unit"))
     return priced.select(
         "mint", F.lit("pool").alias("source"), "pool", "dex", F.col("block_time_s").alias("at_s"), "pos", usd.alias("usd"),
@@ -101,14 +100,14 @@ def pool_readings(pairs: DataFrame, swaps: DataFrame, px: DataFrame, max_group_r
     )
 
 
-def curve_readings(meme: DataFrame, tok: DataFrame, px: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def curve_readings(meme: DataFrame, tok: DataFrame, px: DataFrame) -> DataFrame:
     """USD held by the bonding curve at each snapshot (in the token's quote asset, usually the native coin).
 
     A snapshot without a price stays, with no value.
     """
     rows = meme.withColumn("pos", time_position()).join(tok.select("mint", "quote_mint"), "mint")
     rows = rows.select("mint", F.coalesce("quote_mint", F.lit(WRAPPED_SOL)).alias("quote_mint"), "quote_reserve", "progress_pct", "pos", "block_time_s")
-    priced = price_asof(rows, px, max_group_rows)
+    priced = price_asof(rows, px)
     usd = value_usd(F.col("quote_reserve"), F.lit(NATIVE_DECIMALS), F.col("usd_per_unit"))
     return priced.select(
         "mint", F.lit("curve").alias("source"), F.lit(None).cast("string").alias("pool"), F.lit(None).cast("string").alias("dex"),

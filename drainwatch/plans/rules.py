@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drainwatch.operators.quantiles import index_quantiles
-from drainwatch.operators.running import MAX_GROUP_ROWS, Running, hottest_group, running
+from drainwatch.operators.running import Running, running
 from drainwatch.operators.select import first_crossing
 from drainwatch.params import CONFIDENCE, DEFAULTS, RULE_NAME, STAGE_RANK, WRAPPED_SOL, Params
 from drainwatch.plans.tokens import stage_rank, tradable_venue
@@ -22,7 +22,7 @@ def fingerprint(amount: str, quote_mint: str, params: Params = DEFAULTS) -> Colu
     return (F.col(quote_mint) == WRAPPED_SOL) & F.col(amount).between(params.fingerprint_min, params.fingerprint_max)
 
 
-def tradable_state(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, hottest: int | None = None) -> DataFrame:
+def tradable_state(rd: DataFrame) -> DataFrame:
     """After every reading: ``total_usd`` tradable now and ``peak_usd``, the largest tradable reading so far
     (``all_usd`` and ``all_peak_usd``: the same over every pool, curve pools too).
 
@@ -30,7 +30,6 @@ def tradable_state(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, hottest:
     its pool's previous contribution, so the total is a running sum of differences.  It is null
     while no tradable pool holds a priced reading; an unpriced reading changes nothing.
     """
-    hottest = hottest_group(rd, ["mint"]) if hottest is None else hottest
     priced, open_ = F.col("usd").isNotNull(), tradable_venue()
     usd = F.col("usd").cast("decimal(28,6)")
     held = rd.select(
@@ -40,14 +39,10 @@ def tradable_state(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, hottest:
         F.when(priced & open_, usd).alias("_top"),
         usd.alias("_any"),
     )
-    # The hottest token bounds its own pools, so one count serves both orders.  While a token fits one
-    # task, placing rows by token serves both as well: one shuffle instead of two.
-    if hottest <= max_group_rows:
-        held = held.repartition("mint")
     prev = running(held, ["mint", "pool"], ["pos"], [
         Running("_prev", "last", "_held", before=True), Running("_prev_open", "last", "_open", before=True),
         Running("_prev_any", "last", "_any", before=True),
-    ], max_group_rows, hottest)
+    ])
     change = lambda now, before: F.coalesce(F.col(now) - F.coalesce(before, F.lit(0)), F.lit(0))
     diff = prev.select(
         "*",
@@ -58,7 +53,7 @@ def tradable_state(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, hottest:
     state = running(diff, ["mint"], ["pos"], [
         Running("_sum", "sum", "_diff"), Running("_pools", "sum", "_diff_open"), Running("peak_usd", "max", "_top"),
         Running("_sum_any", "sum", "_diff_any"), Running("all_peak_usd", "max", "_any"),
-    ], max_group_rows, hottest)
+    ])
     return state.select(
         *rd.columns,
         F.when(F.col("_pools") > 0, F.col("_sum")).alias("total_usd"),
@@ -68,20 +63,20 @@ def tradable_state(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, hottest:
     )
 
 
-def running_tradable(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    return tradable_state(rd, max_group_rows).select(*rd.columns, "total_usd")
+def running_tradable(rd: DataFrame) -> DataFrame:
+    return tradable_state(rd).select(*rd.columns, "total_usd")
 
 
-def running_peak(rd: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def running_peak(rd: DataFrame) -> DataFrame:
     """Largest tradable reading so far, after every reading."""
     keyed = rd.withColumn("_held", F.when(tradable_venue(), F.col("usd")))
-    return running(keyed, ["mint"], ["pos"], [Running("peak_usd", "max", "_held")], max_group_rows).drop("_held")
+    return running(keyed, ["mint"], ["pos"], [Running("peak_usd", "max", "_held")]).drop("_held")
 
 
-def stage_at_event(ev: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def stage_at_event(ev: DataFrame) -> DataFrame:
     """Stage rank of the token when each event is seen."""
     ranked = ev.withColumn("_rank", stage_rank())
-    return running(ranked, ["mint"], ["pos"], [Running("stage_rank", "max", "_rank")], max_group_rows).drop("_rank")
+    return running(ranked, ["mint"], ["pos"], [Running("stage_rank", "max", "_rank")]).drop("_rank")
 
 
 def drain_candidates(rd: DataFrame, tok: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -98,14 +93,14 @@ def drain_candidates(rd: DataFrame, tok: DataFrame, params: Params = DEFAULTS) -
 
 
 def rug_confirmations(
-    rd: DataFrame, tok: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS
+    rd: DataFrame, tok: DataFrame, params: Params = DEFAULTS
 ) -> DataFrame:
     """First reading at which a graduated token, once worth the peak, holds no more than the floor.
 
     ``rd`` carries event (liquidity | swap), actor, pool, dex; ``tok`` carries graduated_pos.
     """
     able = drain_candidates(rd, tok, params)
-    state = tradable_state(able, max_group_rows, hottest_group(rd, ["mint"]))
+    state = tradable_state(able)
     hit = (
         (F.col("pos") > F.col("graduated_pos"))
         & (F.col("peak_usd") >= params.min_peak_usd)
@@ -152,40 +147,36 @@ def mechanism(rg: DataFrame, red: DataFrame) -> DataFrame:
     return rg.join(warned, "mint", "left").withColumn("mechanism", name).drop("_red")
 
 
-def prior_rugs(
-    grads: DataFrame, rg: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """The creator's earlier drains at each graduation: the newest ``prior_rugs_kept`` are remembered.
+def prior_rugs(grads: DataFrame, rg: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """The creator's earlier drains of other tokens at each graduation: ``n_prior`` counts them all, ``prior_rugs`` lists the newest.
 
-    Drains are numbered per creator in the order they were confirmed.  A graduation looks up
-    only the numbers it may remember, so it meets at most that many rows however busy the
-    creator is; nothing pairs all graduations with all drains.
+    Drains are numbered per creator in the order of time, so the count is a number and nothing
+    pairs graduations with drains; a graduation looks up only the numbers that it shows.
     """
     g = grads.select("creator", F.col("mint"), "pos", F.col("block_time_s").alias("t_at"), *[c for c in ("pool", "dex") if c in grads.columns])
     extra = [c for c in g.columns if c not in ("creator", "mint", "pos", "t_at")]
-    marks = rg.select("creator", F.col("pos"), F.lit(1).alias("_is_rug"), F.col("mint").alias("_rmint"), F.col("t_at").alias("_rat"),
-                      "mechanism").filter(F.col("creator").isNotNull())
+    marks = rg.select("creator", F.col("pos"), "t_at", F.lit(1).alias("_is_rug"), F.col("mint").alias("_rmint"), "mechanism").filter(F.col("creator").isNotNull())
     both = g.withColumn("_is_rug", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    # A drain precedes a graduation at the same position.
-    both = both.withColumn("_tie", F.lit(1) - F.col("_is_rug"))
-    numbered = running(both, ["creator"], ["pos", "_tie"], [Running("_no", "sum", "_is_rug")], max_group_rows)
-    drains = numbered.filter("_is_rug = 1").select("creator", "_no", "_rmint", "_rat", "mechanism")
-    asks = numbered.filter("_is_rug = 0 and _no > 0").select(
-        "creator", "mint", "pos", "t_at", *extra,
-        F.explode(F.sequence(F.greatest(F.lit(1).cast("bigint"), F.col("_no") - (params.prior_rugs_kept - 1)), F.col("_no"))).alias("_no"),
-    )
-    hits = asks.join(drains, ["creator", "_no"]).filter((F.col("_rmint") != F.col("mint")) & (F.col("_rat") < F.col("t_at")))
+    # Only drains of an earlier second count: a graduation comes first in its second.
+    numbered = running(both, ["creator"], ["t_at", "_is_rug", "pos", "_rmint"], [Running("_no", "sum", "_is_rug")])
+    drains = numbered.filter("_is_rug = 1").select("creator", "_no", "_rmint", F.col("t_at").alias("_rat"), "mechanism")
+    # The token's own drain, if it is among them, is the one that does not count.
+    own = rg.select(F.col("mint").alias("_omint"), F.col("creator").alias("_ocreator"), F.col("t_at").alias("_oat"))
+    is_own = (F.col("mint") == F.col("_omint")) & (F.col("creator") == F.col("_ocreator")) & (F.col("_oat") < F.col("t_at"))
+    asks = numbered.filter("_is_rug = 0 and _no > 0").drop("_rmint", "mechanism", "_is_rug").join(own, is_own, "left")
+    asks = asks.withColumn("n_prior", F.col("_no") - F.when(F.col("_omint").isNotNull(), 1).otherwise(0)).filter("n_prior > 0")
+    looked = F.sequence(F.greatest(F.lit(1).cast("bigint"), F.col("_no") - params.prior_rugs_shown), F.col("_no"))
+    asks = asks.select("creator", "mint", "pos", "t_at", *extra, "n_prior", F.explode(looked).alias("_no"))
+    hits = asks.join(drains, ["creator", "_no"]).filter(F.col("_rmint") != F.col("mint"))
     entry = F.struct(F.col("_no").alias("no"), F.col("_rmint").alias("mint"), F.col("_rat").alias("t_at"), F.col("mechanism"))
-    # At most prior_rugs_kept entries per graduation.
-    listed = hits.groupBy("creator", "mint", "pos", "t_at", *extra).agg(
-        F.reverse(F.array_sort(F.collect_list(entry))).alias("_all"), F.count(F.lit(1)).alias("n_prior")
-    )
+    # One more than are shown, at most, per graduation.
+    listed = hits.groupBy("creator", "mint", "pos", "t_at", *extra, "n_prior").agg(F.reverse(F.array_sort(F.collect_list(entry))).alias("_all"))
     return listed.withColumn("prior_rugs", F.slice("_all", 1, params.prior_rugs_shown)).drop("_all")
 
 
-def amber_alerts(grads: DataFrame, rg: DataFrame, params: Params = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def amber_alerts(grads: DataFrame, rg: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """A token graduates whose creator already drained another one: once per token, not after its own drain."""
-    first = first_crossing(prior_rugs(grads, rg, params, max_group_rows), ["mint"], ["pos"])
+    first = first_crossing(prior_rugs(grads, rg, params), ["mint"], ["pos"])
     gone = rg.select("mint", F.col("pos").alias("_rug_pos"))
     live = first.join(gone, "mint", "left").filter(F.col("_rug_pos").isNull() | (F.col("pos") < F.col("_rug_pos")))
     return live.select(

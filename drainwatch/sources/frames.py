@@ -10,12 +10,14 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from drainwatch.functions.redact import redact_secrets
-from drainwatch.operators.running import MAX_GROUP_ROWS, Running, running
+from drainwatch.operators.running import Running, running
 from drainwatch.params import BLOCK_TIME, FIREHOSE_TYPES, FRAME_TYPE, STARTS_TRACKING, WRAPPED_SOL
 
 FRAME_FILES = "*.jsonl*"
+LINES_PER_BUCKET = 100_000
 STAMP = r"^(\w+)-(\d{8}T\d{6})Z-\d+\.jsonl"
 
 
@@ -113,10 +115,10 @@ def archive_stream(frames: DataFrame, directory: str, checkpoint: str, received:
 
 
 def retention_plan(
-    files: DataFrame, group: str, order: str, size: str, cap: int, reserve: int = 0, max_group_rows: int = MAX_GROUP_ROWS
+    files: DataFrame, group: str, order: str, size: str, cap: int, reserve: int = 0
 ) -> DataFrame:
     """Add ``drop``: the oldest files go until what is kept and one reserve fit the cap."""
-    sums = running(files, [group], [order], [Running("_before", "sum", size, before=True)], max_group_rows)
+    sums = running(files, [group], [order], [Running("_before", "sum", size, before=True)])
     totals = files.groupBy(group).agg(F.sum(size).alias("_total"))
     joined = sums.join(totals, group)
     return joined.select(*files.columns, (F.col("_total") - F.coalesce("_before", F.lit(0)) > cap - reserve).alias("drop"))
@@ -126,13 +128,19 @@ def block_time(text: str = "value") -> Column:
     return F.nullif(F.regexp_extract(text, BLOCK_TIME, 1), F.lit("")).cast("bigint")
 
 
-def merge_tiers(frames: DataFrame, line: str = "line", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def _stretch(frames: DataFrame, line: str) -> Column:
+    """A stretch of lines: a block of a file, or so many line numbers."""
+    kind = frames.schema[line].dataType
+    return F.struct(f"{line}.path", f"{line}.block") if isinstance(kind, StructType) else F.floor(F.col(line) / LINES_PER_BUCKET)
+
+
+def merge_tiers(frames: DataFrame, line: str = "line") -> DataFrame:
     """Add ``key_s``: the line's block time, or the last one seen earlier in its tier.
 
     Sorting by (key_s, tier, line) interleaves the tiers as they happened.
     """
     timed = frames.withColumn("_bt", block_time())
-    filled = running(timed, ["tier"], [line], [Running("key_s", "last", "_bt")], max_group_rows)
+    filled = running(timed, ["tier"], [line], [Running("key_s", "last", "_bt")], bucket=_stretch(timed, line))
     return filled.withColumn("key_s", F.coalesce("key_s", F.lit(0).cast("bigint"))).drop("_bt")
 
 

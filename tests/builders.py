@@ -35,21 +35,20 @@ class History:
         return spark.createDataFrame(self.rows, EV)
 
 
-def detect(ev, params=None, max_group_rows=None):
+def detect(ev, params=None):
     """(alerts by id, drains by mint) of a history."""
     from drainwatch.catalog.adapter import readings
-    from drainwatch.operators.running import MAX_GROUP_ROWS
     from drainwatch.params import DEFAULTS
     from drainwatch.plans import rules, tokens
 
     from pyspark.sql import functions as F
 
-    params, limit = params or DEFAULTS, max_group_rows or MAX_GROUP_ROWS
+    params = params or DEFAULTS
     rd, tok = readings(ev), tokens.token_dim(ev)
-    rug0 = rules.rug_confirmations(rd, tok, params, limit)
+    rug0 = rules.rug_confirmations(rd, tok, params)
     red = rules.red_alerts(ev.filter("type = 'liquidity'"), tok, rug0, params)
     rg = rules.mechanism(rug0, red)
     grads = ev.filter("type = 'graduation'").join(tok.select("mint", F.col("creator").alias("c")), "mint", "left").withColumn("creator", F.coalesce("c", "actor"))
-    amber = rules.amber_alerts(grads, rg, params, limit)
+    amber = rules.amber_alerts(grads, rg, params)
     al = rules.alerts_union(red, amber)
     return {r.id: r for r in al.collect()}, {r.mint: r for r in rg.collect()}

@@ -1,11 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from drainwatch.operators.quantiles import RULES, auc, index_quantiles
-from drainwatch.operators.running import CHUNK, Running, running
-from drainwatch.plans import creators, features, rules, tokens
+from drainwatch.operators.running import BUCKET, Running, running, value_bucket
+from drainwatch.plans import tokens
 
 SPECS = [
     Running("s", "sum", "v"), Running("m", "max", "v"), Running("n", "min", "v"), Running("c", "count", "v"), Running("l", "last", "v"),
@@ -26,14 +27,14 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [10**9, 1])
-def test_running_equals_brute_force_with_a_hot_key_nulls_and_a_null_key(spark, limit):
+@pytest.mark.parametrize("width", [10**9, 60, 1])
+def test_running_equals_brute_force_with_a_hot_key_nulls_and_a_null_key(spark, width):
     rng = random.Random(5)
     keys = ["hot"] * 300 + ["a", "b", None] * 20 + [f"k{i}" for i in range(40)]
     rows = [(k, i, None if rng.random() < 0.2 else rng.randrange(100)) for i, k in enumerate(rng.sample(keys, len(keys)))]
     df = spark.createDataFrame(rows, "k string, t int, v int").repartition(5)
-    got = running(df, ["k"], ["t"], SPECS, limit)
-    assert CHUNK not in got.columns
+    got = running(df, ["k"], ["t"], SPECS, width)
+    assert BUCKET not in got.columns
     assert {(r.k, r.t): (r.s, r.m, r.n, r.c, r.l, r.sb, r.mb, r.lb) for r in got.collect()} == brute(rows)
 
 
@@ -43,51 +44,46 @@ def test_running_over_everything_in_one_order(spark):
     assert all(r.n == r.t + 1 for r in got.collect())
 
 
-@pytest.mark.parametrize("limit", [10**9, 1])
-def test_index_quantiles_follow_each_rule(spark, limit):
+def test_index_quantiles_follow_each_rule(spark):
     values = {"a": [5, 1, 4, 4, 2, 9, 7], "b": [3], "c": list(range(100))}
     df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v int")
     index = {"report": lambda p, n: min(n - 1, int(p * n)), "extract": lambda p, n: int(p * (n - 1)), "median": lambda p, n: n // 2}
     for rule in RULES:
-        got = index_quantiles(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, rule, limit).collect()
+        got = index_quantiles(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, rule).collect()
         for r in got:
             s = sorted(values[r.g])
             assert [r.p10, r.p50, r.p90] == [s[index[rule](p, len(s))] for p in (0.1, 0.5, 0.9)], (rule, r.g)
 
 
-@pytest.mark.parametrize("limit", [10**9, 1])
-def test_auc_counts_ties_half(spark, limit):
+def test_auc_counts_ties_half(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(12), rng.random() < 0.4) for _ in range(200)]
     pos, neg = [v for v, p in rows if p], [v for v, p in rows if not p]
     want = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg) / (len(pos) * len(neg))
-    got = auc(spark.createDataFrame(rows, "v int, p boolean"), "v", F.col("p"), max_group_rows=limit).first()
+    got = auc(spark.createDataFrame(rows, "v int, p boolean"), "v", F.col("p")).first()
     assert abs(got.auc - want) < 1e-12
     assert auc(spark.createDataFrame([(1, True)], "v int, p boolean"), "v", F.col("p")).first().auc is None
 
 
-def test_every_windowed_operator_gives_the_same_when_split(spark):
-    """The plans for a key that no task could hold, on the smallest driver table."""
-    from drainwatch.catalog.adapter import PARAMS, readings, token_events
-    from drainwatch.catalog.calibration_queries import legs_of
-
-    ev = token_events(spark, "/root/testdata/sf0.001")
-    rd, legs, ft, la = readings(ev), legs_of(ev), features.token_features(ev), creators.creator_launches(ev)
-    arrived = ev.withColumn("received_s", F.col("block_time_s") + (F.col("slot") % 5) * 600)
-    idle = PARAMS.with_(idle_curve_s=10800, idle_graduated_s=86400)
-    cases = {
-        "state": lambda n: rules.tradable_state(rd, n).drop("pos"),
-        "peak": lambda n: rules.running_peak(rd, n).drop("pos"),
-        "stage": lambda n: rules.stage_at_event(ev, n).drop("pos"),
-        "launches": lambda n: creators.rolling_launches(la, PARAMS.burst_window_s, n),
-        "clock": lambda n: creators.watermark_and_late(arrived, ["received_s", "slot"], PARAMS, n).drop("pos"),
-        "idle": lambda n: creators.idle_expiry(ev, idle, n),
-        "series": lambda n: features.tradable_series(legs, ft, PARAMS, n),
-        "traders": lambda n: features.trader_dictionary(ev, max_group_rows=n),
-    }
-    for name, run in cases.items():
-        plain, split = (sorted(map(str, run(n).collect())) for n in (10**9, 3))
-        assert plain == split and plain, name
+def plan_of(df):
+    return re.sub(r"#\d+|plan_id=\d+|\[\d+\]|Location: .*|/tmp/\S+", "", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_the_plan_is_the_same_for_three_rows_and_for_many_and_buckets_bound_the_rows(spark):
+    few, many = (spark.range(n).select((F.col("id") % 2).alias("k"), (F.col("id") * 60).alias("t"), F.lit(1).alias("v")) for n in (3, 200_000))
+    shapes = [re.findall(r"\b(Window|Exchange|HashAggregate|Sort|Union|Join)\b", plan_of(running(df, ["k"], ["t"], [Running("n", "count", "v")]))) for df in (few, many)]
+    assert shapes[0] == shapes[1] and "Join" not in shapes[0]
+    got = running(many, ["k"], ["t"], [Running("n", "count", "v")])
+    # A window task takes one hour of a key and the row in front.
+    assert many.groupBy("k", F.floor(F.col("t") / 3600)).count().agg(F.max("count")).first()[0] == 30
+    assert got.filter(F.col("n") != F.floor(F.col("t") / 120) + 1).count() == 0
+
+
+def test_value_buckets_never_fall(spark):
+    rng = random.Random(8)
+    values = sorted([rng.uniform(-1, 1) * 10 ** rng.randrange(-8, 20) for _ in range(500)] + [0.0, 1e-300, 1e300])
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", value_bucket(F.col("v")).alias("b")).orderBy("i").collect()
+    assert all(a.b <= b.b for a, b in zip(rows, rows[1:]))
 
 
 def test_peak_counts_what_downsampling_replaces(spark):
