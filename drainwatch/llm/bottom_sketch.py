@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     named = rooted.select("_set", "_root").join(least, "_root").select(F.col("_set").alias("_s"), "_least")
     own = sets.select("doc_id", "_text", "_set", "n_shingles").distinct().join(named, F.col("_set") == F.col("_s"), "left")
     own = own.select(F.col("doc_id").alias("_doc"), "_text", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", F.col("doc_id").cast("long"))).alias("component_id"))
-    rows = fresh(docs, "n_shingles", "component_id", "kept", "_print").withColumn("_print", F.xxhash64("text"))
+    rows = fresh(docs, "n_shingles", "component_id", "kept", "_print", "_doc", "_text").withColumn("_print", F.xxhash64("text"))
     out = rows.join(own, rows["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_print") == F.col("_text"))).drop("_doc", "_text", "_print")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -21,6 +21,7 @@ from drainwatch.llm.common import fresh, settle, table, word_count
 
 SYMBOL = r"[#*$%&|<>!]"
 OUTPUT = ("size", "source_size", "target", "taken", "epochs")
+INTERNAL = ("_source", "_rank", "_docs", "_weights", "_key", "_slice", "_r", "_s", "_carried", "_before", "_part")
 
 
 def quality_weight(text: Column) -> Column:
@@ -67,7 +68,7 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 1) -> DataFrame:
     """``rows``: output of ``measured``.  Adds source_size, target, taken (words, repeats counted) and epochs (whole passes over the source)."""
-    rows = fresh(rows, *(set(OUTPUT) - {"size"}), "_rank", "_slice", "_key")
+    rows = fresh(rows, *(set(OUTPUT) - {"size"}), *INTERNAL)
     targets = source_targets(rows, weights, share, most)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
@@ -87,7 +88,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
     placed = placed.withColumn("epochs", epochs.cast("long")).withColumn("_part", words - F.col("epochs") * F.col("source_size") - F.col("_before"))
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_part")))
-    return placed.withColumn("taken", taken.cast("long")).drop("_source", "_rank", "_docs", "_weights", "_weight", "_key", "_slice", "_r", "_s", "_carried", "_before", "_part")
+    return placed.withColumn("taken", taken.cast("long")).drop("_weight", *INTERNAL)
 
 
 def materialise(mixed: DataFrame) -> DataFrame:

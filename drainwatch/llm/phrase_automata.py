@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
         F.when(F.col("_copy"), F.lit(NOTHING)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
         F.when(F.col("_copy"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
     )
-    rows = fresh(docs, "n_words", "n_removed", "kept_sha256", "kept_text", "_row").withColumn("_row", F.xxhash64("doc_id", "text"))
+    rows = fresh(docs, "n_words", "n_removed", "kept_sha256", "kept_text", "_row", "_known").withColumn("_row", F.xxhash64("doc_id", "text"))
     return rows.join(facts, F.col("_row") == F.col("_known")).drop("_row", "_known")
 
 

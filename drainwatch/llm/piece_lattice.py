@@ -135,7 +135,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
     """Add ids: every text's whole sequence.  All segments of the texts are shuffled twice; see ``encode_prints`` for counts."""
-    rows = keyed(fresh(docs, "ids", "_row"))
+    rows = keyed(fresh(docs, "ids", "_row", "_of", "_parts"))
     words = words_of(rows.select("_row", "text").distinct())
     lex = settle(lexicon(words.groupBy("segment").agg(F.count(F.lit(1)).alias("n")), model), "lexicon").withColumnRenamed("segment", "_w")
     each = words.join(lex, F.col("segment") == F.col("_w")).groupBy(F.col("_row").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("_at", "ids"))).alias("_parts"))
@@ -146,7 +146,7 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
 
 def decode(rows: DataFrame, model: PieceModel) -> DataFrame:
     """Add decoded to rows with ids: pieces become text, written spaces become spaces, the one in front goes."""
-    held = fresh(rows, "decoded", "_key", "_k").withColumn("_key", F.xxhash64("ids"))
+    held = fresh(rows, "decoded", "_key", "_k", "_decoded").withColumn("_key", F.xxhash64("ids"))
     text = decoded(held.select("_key", "ids").distinct(), model, ["_key"]).withColumnRenamed("_key", "_k")
     plain = F.coalesce(F.regexp_replace(F.translate("_decoded", SPACE, " "), "^ ", ""), F.lit(""))
     return held.join(text, F.col("_key") == F.col("_k"), "left").withColumn("decoded", plain).drop("_key", "_k", "_decoded")
@@ -154,7 +154,8 @@ def decode(rows: DataFrame, model: PieceModel) -> DataFrame:
 
 def encode_prints(docs: DataFrame, model: PieceModel) -> DataFrame:
     """Add n_tokens, n_byte_tokens, ids_print (of the sequence: which ids at which segment) and round_trip (the ids decode to the text)."""
-    rows = keyed(fresh(docs, "n_tokens", "n_byte_tokens", "ids_print", "round_trip", "_row", "_of", "_spaced"))
+    sums = ("_tokens", "_bytes", "_low", "_high", "_bad", "_copies")
+    rows = keyed(fresh(docs, "n_tokens", "n_byte_tokens", "ids_print", "round_trip", "_row", "_of", "_spaced", *sums))
     words = words_of(rows)
     lex = settle(lexicon(words.groupBy("segment").agg(F.count(F.lit(1)).alias("n")), model), "lexicon")
     back = decoded(lex.select("segment", "ids"), model, ["segment"]).select(F.col("segment").alias("_s"), (F.col("_decoded") == F.col("segment")).alias("good"))
@@ -169,24 +170,24 @@ def encode_prints(docs: DataFrame, model: PieceModel) -> DataFrame:
     def summed(each: DataFrame) -> DataFrame:
         place = F.xxhash64("_at", "print")
         return each.groupBy("_row").agg(
-            F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"), F.sum(place.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(place, 32)).alias("high"),
-            F.sum((~F.col("good")).cast("int")).alias("bad"), F.sum((F.col("_at") == 0).cast("int")).alias("copies"),
+            F.sum("tokens").alias("_tokens"), F.sum("bytes").alias("_bytes"), F.sum(place.bitwiseAND(F.lit(0xFFFFFFFF))).alias("_low"), F.sum(F.shiftrightunsigned(place, 32)).alias("_high"),
+            F.sum((~F.col("good")).cast("int")).alias("_bad"), F.sum((F.col("_at") == 0).cast("int")).alias("_copies"),
         )
 
     parts = summed(words.join(frequent, met)).union(summed(words.join(frequent, met, "left_anti").join(facts, met)))
-    total = parts.groupBy(F.col("_row").alias("_of")).agg(*[F.sum(c).alias(c) for c in ("tokens", "bytes", "low", "high", "bad", "copies")])
+    total = parts.groupBy(F.col("_row").alias("_of")).agg(*[F.sum(c).alias(c) for c in sums])
     # Rows that repeat are summed up together: every sum is a multiple of their number.
-    whole = lambda c: F.expr(f"coalesce({c} div copies, 0L)")
+    whole = lambda c: F.expr(f"coalesce({c} div _copies, 0L)")
     out = rows.withColumn("_spaced", F.coalesce(F.col("text").contains(SPACE), F.lit(False))).drop("text").join(total, F.col("_row") == F.col("_of"), "left")
     out = out.withColumns(
         {
-            "n_tokens": whole("tokens"),
-            "n_byte_tokens": whole("bytes"),
-            "ids_print": F.concat(F.lpad(F.lower(F.hex(whole("high"))), 12, "0"), F.lpad(F.lower(F.hex(whole("low"))), 12, "0")),
-            "round_trip": (F.coalesce("bad", F.lit(0)) == 0) & ~F.col("_spaced"),
+            "n_tokens": whole("_tokens"),
+            "n_byte_tokens": whole("_bytes"),
+            "ids_print": F.concat(F.lpad(F.lower(F.hex(whole("_high"))), 12, "0"), F.lpad(F.lower(F.hex(whole("_low"))), 12, "0")),
+            "round_trip": (F.coalesce("_bad", F.lit(0)) == 0) & ~F.col("_spaced"),
         }
     )
-    return out.drop("_row", "_of", "_spaced", "tokens", "bytes", "low", "high", "bad", "copies")
+    return out.drop("_row", "_of", "_spaced", *sums)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

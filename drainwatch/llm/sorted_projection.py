@@ -113,7 +113,7 @@ def counted_links(rows: pd.DataFrame, how: Passes) -> pd.DataFrame:
 
 def near_vectors(rows: DataFrame, how: Passes = Passes()) -> DataFrame:
     """rows: vec_id, embedding, label and more.  Adds n_links, component_id and kept."""
-    rows = fresh(rows, "n_links", "component_id", "kept")
+    rows = fresh(rows, "n_links", "component_id", "kept", "_label", "_vector")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
     merged = usable.groupBy(F.col("label").alias("_label"), F.col("embedding").alias("_vector")).agg(F.min("vec_id").cast("long").alias("id"), F.count(F.lit(1)).alias("_times"))
