@@ -4,7 +4,8 @@ A window is a run of ``window`` words.  A word goes if a window over it starts e
 
 1. Candidates.  Every window has one anchor, the least fingerprint of the ``anchor``-word runs in it; equal windows have equal anchors.  Anchors that occur once in the
    corpus rule their windows out.  About one word in seven carries an anchor, so this is what the corpus-wide shuffle holds.
-2. Confirmation.  The windows of recurring anchors are counted by 128-bit fingerprints; those found twice or more, with the place where each comes first, are the recurring passages.
+2. Confirmation.  The windows of recurring anchors are counted by 128-bit fingerprints, all windows around one anchor at once where they are always the same; those found twice or more, with the
+   place where each comes first, are the recurring passages.
 3. Automata.  Consecutive recurring windows of their first document form a passage.  Passages are dealt to shards by document, each shard small enough for one
    automaton over its windows, whose letters are words.
 4. Location.  Every document goes, whole, to the shards that hold windows of its anchors, and is streamed through their automata; every occurrence that is not the first marks its words.
@@ -48,47 +49,80 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def anchors_of(prints: np.ndarray, how: Phrases) -> np.ndarray:
-    """The anchor of every window, by its start."""
+def anchors_of(prints: np.ndarray, how: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """For every window, by its start: its anchor, and where the anchor stands (the leftmost, of equal ones).  Places never fall."""
     if len(prints) < how.window:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     runs = chained(prints, how.anchor).view(np.int64)
-    return np.lib.stride_tricks.sliding_window_view(runs, how.window - how.anchor + 1).min(1)
+    place = np.lib.stride_tricks.sliding_window_view(runs, how.window - how.anchor + 1).argmin(1)
+    place += np.arange(len(place))
+    return runs[place], place
+
+
+def spans_of(prints: np.ndarray, recurring: np.ndarray, how: Phrases) -> list[tuple[int, int, int, int, int]]:
+    """(anchor, print of the span, start, windows) for every stretch of windows that share one place of a recurring anchor."""
+    anchors, place = anchors_of(prints, how)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    windows = np.diff(first, append=len(place))
+    raw, size, out = prints.tobytes(), prints.itemsize, []
+    keep = np.isin(anchors[first], recurring)
+    for start, n in zip(first[keep].tolist(), windows[keep].tolist(), strict=True):
+        whole = xxhash.xxh3_128_intdigest(raw[start * size : (start + n + how.window - 1) * size])
+        out.append((int(anchors[start]), (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63), start, n))
+    return out
 
 
 def survey(docs: DataFrame, how: Phrases) -> DataFrame:
-    """(doc_id, _row, n_words, whole, _same, anchors): what is known of a text by itself."""
+    """(doc_id, _row, n_words, whole, same, anchors): what is known of a text by itself.  An anchor that stands there more than once is listed twice."""
 
-    @F.pandas_udf("n_words long, whole string, same binary, anchors array<long>, times array<int>")
+    @F.pandas_udf("n_words long, whole string, same binary, anchors array<long>")
     def surveyed(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             words = words_of(t)
             joined = b" ".join(words)
-            values, times = np.unique(anchors_of(fingerprints(words), how), return_counts=True)
-            rows.append((len(words), hashlib.sha256(joined).hexdigest(), xxhash.xxh3_128_digest(joined), values, np.minimum(times, 1 << 30).astype(np.int32)))
-        return pd.DataFrame(rows, columns=["n_words", "whole", "same", "anchors", "times"])
+            anchors, place = anchors_of(fingerprints(words), how)
+            values, times = np.unique(anchors[np.flatnonzero(np.diff(place, prepend=-1))], return_counts=True)
+            rows.append((len(words), hashlib.sha256(joined).hexdigest(), xxhash.xxh3_128_digest(joined), np.repeat(values, np.minimum(times, 2))))
+        return pd.DataFrame(rows, columns=["n_words", "whole", "same", "anchors"])
 
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), surveyed("text").alias("_s")).select("doc_id", "_row", "_s.*")
 
 
 def recurring_windows(held: DataFrame, how: Phrases) -> DataFrame:
-    """held: (_row, _id, text, anchors), the recurring anchors of each.  (h1, h2, first) of windows found twice or more; first: (_id, start, _row)."""
+    """held: (_row, _id, text, anchors), the recurring anchors of each.  (_row, start, windows): windows found twice or more, where each comes first.
 
-    @F.pandas_udf("array<struct<h1:long,h2:long,start:int,n:int>>")
-    def windows(texts: pd.Series, anchors: pd.Series) -> pd.Series:
-        out = []
-        for t, own in zip(texts, anchors, strict=True):
+    The windows around one place of an anchor are counted together, as one span.  Where an anchor only ever stands in equal spans, all their windows recur
+    together; only the windows of anchors with different spans are counted one by one, once for each different span.
+    """
+
+    @F.pandas_udf("array<struct<anchor:long,k1:long,k2:long,start:int,windows:int>>")
+    def spans(texts: pd.Series, anchors: pd.Series) -> pd.Series:
+        names = ("anchor", "k1", "k2", "start", "windows")
+        return pd.Series([[dict(zip(names, s, strict=True)) for s in spans_of(fingerprints(words_of(t)), np.asarray(own, np.int64), how)] for t, own in zip(texts, anchors, strict=True)])
+
+    @F.pandas_udf("h1 array<long>, h2 array<long>, start array<int>, n array<long>")
+    def windows(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, own in zip(texts, parts, strict=True):
             prints = fingerprints(words_of(t))
-            at = np.flatnonzero(np.isin(anchors_of(prints, how), np.asarray(own, np.int64)))
-            both = np.column_stack([chained(prints, how.window), chained(mixed(prints, MIX[1]), how.window)])[at].view(np.int64)
-            found, first, times = np.unique(both, axis=0, return_index=True, return_counts=True)
-            out.append([{"h1": int(a), "h2": int(b), "start": int(s), "n": int(n)} for (a, b), s, n in zip(found, at[first], times, strict=True)])
-        return pd.Series(out)
+            at = np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in own])
+            n = np.repeat([p["n"] for p in own], [p["windows"] for p in own])
+            rows.append((chained(prints, how.window)[at].view(np.int64), chained(mixed(prints, MIX[1]), how.window)[at].view(np.int64), at.astype(np.int32), n))
+        return pd.DataFrame(rows, columns=["h1", "h2", "start", "n"])
 
-    each = held.select("_row", "_id", F.explode(windows("text", "anchors")).alias("_w")).select("_row", "_id", "_w.*")
-    counted = each.groupBy("h1", "h2").agg(F.sum("n").alias("times"), F.min(F.struct("_id", "start", "_row")).alias("first"))
-    return counted.filter("times > 1").select("first")
+    each = held.select("_row", "_id", F.explode(spans("text", "anchors")).alias("_s")).select("_row", "_id", "_s.*")
+    found = each.groupBy("anchor", "k1", "k2", "windows").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "start", "_row")).alias("first"))
+    found = settle(found.select("anchor", "windows", "n", "first.*"), "spans")
+    kinds = found.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("kinds"))
+    ruled = found.join(kinds, F.col("anchor") == F.col("_a"))
+    alike = ruled.filter("kinds = 1 AND n > 1").select("_row", "start", "windows")
+
+    several = ruled.filter("kinds > 1").groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("start", "windows", "n")).alias("_parts"))
+    one = held.select("_row", "_id", "text").join(several, F.col("_row") == F.col("_of")).select("_row", "_id", windows("text", "_parts").alias("_w"))
+    one = one.select("_row", "_id", F.explode(F.arrays_zip("_w.h1", "_w.h2", "_w.start", "_w.n")).alias("_w")).select("_row", "_id", "_w.*")
+    counted = one.groupBy("h1", "h2").agg(F.sum("n").alias("times"), F.min(F.struct("_id", "start", "_row")).alias("first")).filter("times > 1")
+    return alike.union(counted.select("first._row", "first.start", F.lit(1).alias("windows")))
 
 
 def passages(firsts: DataFrame, held: DataFrame, how: Phrases) -> DataFrame:
@@ -98,8 +132,9 @@ def passages(firsts: DataFrame, held: DataFrame, how: Phrases) -> DataFrame:
     def runs(texts: pd.Series, starts: pd.Series) -> pd.Series:
         out = []
         for t, own in zip(texts, starts, strict=True):
-            words, own = words_of(t), np.asarray(own, np.int64)
-            anchors, found = anchors_of(fingerprints(words), how), []
+            words = words_of(t)
+            own = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in own]))
+            anchors, found = anchors_of(fingerprints(words), how)[0], []
             for run in np.split(own, np.flatnonzero(np.diff(own) != 1) + 1):
                 for k in range(0, len(run), how.passage):
                     part = run[k : k + how.passage]
@@ -108,7 +143,7 @@ def passages(firsts: DataFrame, held: DataFrame, how: Phrases) -> DataFrame:
             out.append(found)
         return pd.Series(out)
 
-    starts = firsts.groupBy(F.col("first._row").alias("_of")).agg(F.sort_array(F.collect_set("first.start")).alias("_starts"))
+    starts = firsts.groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("start", "windows")).alias("_starts"))
     both = held.select("_row", "_id", "text").join(starts, F.col("_row") == F.col("_of"))
     return both.select("_row", "_id", F.explode(runs("text", "_starts")).alias("_p")).select("_row", "_id", "_p.*")
 
@@ -191,11 +226,11 @@ def remove_repeats(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     # The first document of each word sequence stands for its copies.
     leaders = known.filter(F.col("n_words") >= how.window).groupBy("same").agg(F.min(F.struct("_id", "_row")).alias("_lead"))
     leads = settle(leaders.select("same", F.col("_lead._id").alias("_lead_id"), F.col("_lead._row").alias("_lead_row")), "leads")
-    first = known.select("_row", "_id", "same", "anchors", "times").join(leads.select(F.col("_lead_row")), F.col("_row") == F.col("_lead_row"), "left_semi").dropDuplicates(["_row"])
+    first = known.select("_row", "anchors").join(leads.select(F.col("_lead_row")), F.col("_row") == F.col("_lead_row"), "left_semi").dropDuplicates(["_row"])
 
-    marks = first.select("_row", F.explode(F.arrays_zip("anchors", "times")).alias("_a")).select("_row", F.col("_a.anchors").alias("anchor"), F.col("_a.times").alias("times"))
-    again = marks.groupBy("anchor").agg(F.sum("times").alias("all")).filter("all > 1").select(F.col("anchor").alias("_again"))
-    own = marks.join(again, F.col("anchor") == F.col("_again")).groupBy(F.col("_row").alias("_of")).agg(F.collect_list("anchor").alias("anchors"))
+    marks = first.select("_row", F.explode("anchors").alias("anchor"))
+    again = marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select(F.col("anchor").alias("_again"))
+    own = marks.join(again, F.col("anchor") == F.col("_again")).groupBy(F.col("_row").alias("_of")).agg(F.collect_set("anchor").alias("anchors"))
     own = settle(own, "anchors")
     texts = marked(docs.select(F.xxhash64("doc_id", "text").alias("_row"), last.alias("_id"), "text"), "_row", own, "_of")
     held = settle(texts.join(own, F.col("_row") == F.col("_of")).drop("_of").dropDuplicates(["_row"]), "held")
