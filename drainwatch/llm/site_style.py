@@ -54,7 +54,11 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in NOISE_TAGS or (tag == "header" and not in_article) or "hidden" in attrs:
+    if tag in NOISE_TAGS or (tag == "header" and not in_article):
+        return True
+    if not attrs:
+        return False
+    if "hidden" in attrs:
         return True
     if attrs.get("role", "").lower() in NOISE_ROLES:
         return True
@@ -92,7 +96,7 @@ def parse(html: str | None) -> tuple[list[tuple[str, str, int, bool]], dict[str,
             n = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if n is not None:
                 pop(n)
-            elif tag not in INLINE:
+            elif tag == "p":  # makes an empty paragraph; other ends without a start are nothing
                 flush()
             continue
         if tag == "br":
@@ -172,7 +176,8 @@ def branch_importance(pages: DataFrame, how: StyleTree = StyleTree()) -> DataFra
 
     own = pages.filter("_host IS NOT NULL AND html IS NOT NULL").select(F.xxhash64("html").alias("_page"), "_host", F.explode(features("html")).alias("_f"))
     once = own.select("_host", "_page", "_f.*").distinct()
-    counted = once.groupBy("_host", "path", "content", "feature").agg(F.count(F.lit(1)).alias("n"))
+    # Written once: several aggregates read it, and each would parse the pages again.
+    counted = settle(once.groupBy("_host", "path", "content", "feature").agg(F.count(F.lit(1)).alias("n")), "style-counts")
     # Each page has one child sequence per node, so their counts add up to the node's pages.
     shape = counted.filter(~F.col("content")).groupBy("_host", "path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("styles"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     spread = F.when(F.col("pages") > 1, (F.log("pages") - F.col("nlogn") / F.col("pages")) / F.log("pages")).otherwise(1.0)
