@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 # Rows of one Arrow batch: a batch of very long texts must fit a Python worker.
 BATCH_ROWS = 500
-# Entries of the bitmap that ``marked`` broadcasts, at most.
+# Words of the bitmap that ``marked`` broadcasts, at most.
 MARKS = 1 << 20
 
 
@@ -38,7 +38,13 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
 
 
 def marked(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """Drop most rows whose id is not wanted: a bitmap of at most MARKS hashed ids, so of bounded size, is broadcast.  An exact join follows."""
-    mark = lambda c: F.pmod(F.xxhash64(F.lit(3), F.col(c)), F.lit(MARKS))
-    marks = ids.select(mark(id_column).alias("_mark")).distinct()
-    return rows.join(F.broadcast(marks), mark(column) == F.col("_mark"), "left_semi")
+    """Drop most rows whose id is not wanted: a bitmap of hashed ids, at most MARKS words of 64 bits, is broadcast.  An exact join must follow.
+
+    The bitmap's size is bounded whatever the number of ids; where they are so many that it is full, nothing is dropped.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.lit(3), F.col(c)), F.lit(MARKS))
+    bit = lambda c: F.pmod(F.xxhash64(F.lit(8), F.col(c)), F.lit(64)).cast("int")
+    bits = ids.select(place(id_column).alias("_place"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(id_column)).alias("_bit"))
+    words = bits.groupBy("_place").agg(F.bit_or("_bit").alias("_bits"))
+    set_there = F.call_function("getbit", F.col("_bits"), bit(column)) == 1
+    return rows.join(F.broadcast(words), (place(column) == F.col("_place")) & set_there, "left_semi")

@@ -6,10 +6,9 @@ A window is a run of ``window`` words.  A word goes if a window over it starts e
    corpus rule their windows out.  About one word in seven carries an anchor, so this is what the corpus-wide shuffle holds.
 2. Confirmation.  The windows of recurring anchors are counted by 128-bit fingerprints, all windows around one anchor at once where they are always the same; those found twice or more, with the
    place where each comes first, are the recurring passages.
-3. Automata.  Consecutive recurring windows of their first document form a passage.  Passages are dealt to shards by document, each shard small enough for one
-   automaton over its windows, whose letters are words.
-4. Location.  Every document goes, whole, to the shards that hold windows of its anchors, and is streamed through their automata; every occurrence that is not the first marks its words.
-   A shard that many documents need is built several times and each copy takes a part of them.
+3. Automata.  Consecutive recurring windows of their first document form phrases.  Documents with recurring anchors are dealt to shards of bounded size, versions of a text to the same one, and
+   each shard compiles an automaton, whose letters are words, of the phrases that its documents' anchors name.
+4. Location.  Every such document is streamed, whole, through the automaton of its shard; every occurrence that is not the first marks its words.  Documents without recurring anchors hold no phrase.
 
 Documents of the same words as one of a smaller doc_id are that document's copies: all their windows start earlier there, so they need no automaton.
 
@@ -40,9 +39,7 @@ NOTHING = hashlib.sha256(b"").hexdigest()
 class Phrases:
     window: int = 20
     anchor: int = 8
-    passage: int = 2000  # windows of one passage; longer runs are cut, overlapping by a window less one word
-    shard: int = 20_000  # windows of one automaton, about
-    stream: int = 8_000_000  # bytes of documents that one copy of a shard takes, about
+    stream: int = 1_500_000  # bytes of documents that one shard takes, about: its automaton holds what can occur in them
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -125,52 +122,54 @@ def recurring_windows(held: DataFrame, how: Phrases) -> DataFrame:
     return alike.union(counted.select("first._row", "first.start", F.lit(1).alias("windows")))
 
 
-def passages(firsts: DataFrame, held: DataFrame, how: Phrases) -> DataFrame:
-    """(_row, _id, start, words, windows, anchors): runs of consecutive recurring windows, in the document where they come first."""
+def phrases(firsts: DataFrame, held: DataFrame, how: Phrases) -> DataFrame:
+    """(anchor, first, start, words, windows): consecutive recurring windows around one anchor, in the document where they come first."""
 
-    @F.pandas_udf("array<struct<start:int,words:string,windows:int,anchors:array<long>>>")
+    @F.pandas_udf("array<struct<anchor:long,start:int,words:string,windows:int>>")
     def runs(texts: pd.Series, starts: pd.Series) -> pd.Series:
         out = []
         for t, own in zip(texts, starts, strict=True):
-            words = words_of(t)
+            words, found = words_of(t), []
             own = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in own]))
-            anchors, found = anchors_of(fingerprints(words), how)[0], []
-            for run in np.split(own, np.flatnonzero(np.diff(own) != 1) + 1):
-                for k in range(0, len(run), how.passage):
-                    part = run[k : k + how.passage]
-                    low, high = int(part[0]), int(part[-1]) + 1
-                    found.append({"start": low, "words": b" ".join(words[low : high + how.window - 1]).decode("utf-8", "surrogatepass"), "windows": high - low, "anchors": np.unique(anchors[low:high])})
+            anchors, place = anchors_of(fingerprints(words), how)
+            for run in np.split(own, np.flatnonzero((np.diff(own) != 1) | (np.diff(place[own]) != 0)) + 1):
+                low, high = int(run[0]), int(run[-1]) + 1
+                found.append({"anchor": int(anchors[low]), "start": low, "words": b" ".join(words[low : high + how.window - 1]).decode("utf-8", "surrogatepass"), "windows": high - low})
             out.append(found)
         return pd.Series(out)
 
     starts = firsts.groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("start", "windows")).alias("_starts"))
     both = held.select("_row", "_id", "text").join(starts, F.col("_row") == F.col("_of"))
-    return both.select("_row", "_id", F.explode(runs("text", "_starts")).alias("_p")).select("_row", "_id", "_p.*")
+    return both.select(F.col("_id").alias("first"), F.explode(runs("text", "_starts")).alias("_p")).select("first", "_p.*")
 
 
-def located(held: DataFrame, phrases: DataFrame, how: Phrases) -> DataFrame:
-    """(_row, starts): where each document's windows repeat earlier ones."""
-    total = phrases.agg(F.sum("windows")).first()[0] or 0
-    shards = max(1, -(-total // how.shard))
-    dealt = settle(phrases.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int")), "phrases")
+def located(held: DataFrame, known: DataFrame, how: Phrases) -> DataFrame:
+    """(_row, starts): where each document's windows repeat earlier ones.
+
+    Documents are dealt to shards by their least recurring anchor, which versions of one text mostly share, and a shard that is too large is split.
+    Each shard compiles the phrases that the anchors of its documents name, and nothing else can occur in them.
+    """
+    docs = held.select("_row", F.octet_length("text").alias("_bytes"), F.array_min("anchors").alias("_least"), "anchors")
+    shards = max(1, -(-(docs.agg(F.sum("_bytes")).first()[0] or 0) // how.stream))
+    docs = docs.withColumn("_shard", F.pmod(F.xxhash64(F.lit(7), F.col("_least")), F.lit(shards)).cast("int"))
+    parts = docs.groupBy(F.col("_shard").alias("_s")).agg(F.ceil(F.sum("_bytes") / how.stream).cast("int").alias("_parts"))
+    dealt = docs.join(parts, F.col("_shard") == F.col("_s")).withColumn("_part", F.pmod(F.xxhash64(F.lit(4), F.col("_row")), F.col("_parts")).cast("int"))
+    dealt = settle(dealt.select("_row", "_shard", "_part", "anchors"), "dealt")
 
-    where = dealt.select(F.explode("anchors").alias("_a"), "_shard").distinct()
-    routes = held.select("_row", F.octet_length("text").alias("_bytes"), F.explode("anchors").alias("_anchor")).join(where, F.col("_anchor") == F.col("_a")).select("_row", "_bytes", "_shard").distinct()
-    routes = settle(routes, "routes")
-    copies = routes.groupBy("_shard").agg(F.ceil(F.sum("_bytes") / how.stream).cast("int").alias("_copies"))
-    # A document's part of a shard is drawn by hash; the phrases go to every part.
-    sent = routes.join(copies, "_shard").select("_row", "_shard", F.pmod(F.xxhash64(F.lit(4), F.col("_row")), F.col("_copies")).cast("int").alias("_part")).join(held.select("_row", "_id", "text"), "_row")
-    tools = dealt.join(copies, "_shard").select("_shard", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_part"), F.col("_id").alias("_first"), "start", "words", "windows")
+    named = dealt.select("_shard", "_part", F.explode("anchors").alias("_a")).distinct()
+    tools = named.join(known, F.col("_a") == F.col("anchor")).select("_shard", "_part", "first", "start", "words", "windows")
+    to = dealt.select(F.col("_row").alias("_of"), F.col("_shard").alias("_to"), F.col("_part").alias("_nth"))
+    sent = held.select("_row", "_id", "text").join(to, F.col("_row") == F.col("_of")).drop("_of")
 
-    def stream(own: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(occurrences(own, docs, how), columns=["_row", "starts"])
+    def stream(own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(occurrences(own, texts, how), columns=["_row", "starts"])
 
-    return tools.groupBy("_shard", "_part").cogroup(sent.groupBy("_shard", "_part")).applyInPandas(stream, "_row long, starts array<int>")
+    return tools.groupBy("_shard", "_part").cogroup(sent.groupBy("_to", "_nth")).applyInPandas(stream, "_row long, starts array<int>")
 
 
-def occurrences(phrases: pd.DataFrame, docs: pd.DataFrame, how: Phrases) -> list[tuple[int, list[int]]]:
+def occurrences(known: pd.DataFrame, docs: pd.DataFrame, how: Phrases) -> list[tuple[int, list[int]]]:
     """One shard: compile its windows, stream the documents, keep every start that is not the first."""
-    if not len(phrases) or not len(docs):
+    if not len(known) or not len(docs):
         return []
     letters: dict[bytes, str] = {}
 
@@ -182,7 +181,7 @@ def occurrences(phrases: pd.DataFrame, docs: pd.DataFrame, how: Phrases) -> list
         return found
 
     automaton, firsts = ahocorasick.Automaton(), []
-    for first, start, words, windows in zip(phrases["_first"], phrases["start"], phrases["words"], phrases["windows"], strict=True):
+    for first, start, words, windows in zip(known["first"], known["start"], known["words"], known["windows"], strict=True):
         text = "".join(map(letter, words_of(words)))
         for k in range(windows):
             automaton.add_word(text[k : k + how.window], len(firsts))
@@ -230,13 +229,14 @@ def remove_repeats(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
 
     marks = first.select("_row", F.explode("anchors").alias("anchor"))
     again = marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select(F.col("anchor").alias("_again"))
-    own = marks.join(again, F.col("anchor") == F.col("_again")).groupBy(F.col("_row").alias("_of")).agg(F.collect_set("anchor").alias("anchors"))
+    again = settle(again, "recurring-anchors")
+    own = marked(marks, "anchor", again, "_again").join(again, F.col("anchor") == F.col("_again")).groupBy(F.col("_row").alias("_of")).agg(F.collect_set("anchor").alias("anchors"))
     own = settle(own, "anchors")
     texts = marked(docs.select(F.xxhash64("doc_id", "text").alias("_row"), last.alias("_id"), "text"), "_row", own, "_of")
     held = settle(texts.join(own, F.col("_row") == F.col("_of")).drop("_of").dropDuplicates(["_row"]), "held")
 
-    phrases = passages(settle(recurring_windows(held, how), "windows"), held, how)
-    lost = settle(trimmed(held, settle(located(held, phrases, how), "starts"), how), "trimmed")
+    known_phrases = settle(phrases(settle(recurring_windows(held, how), "windows"), held, how), "phrases")
+    lost = settle(trimmed(held, settle(located(held, known_phrases, how), "starts"), how), "trimmed")
 
     facts = known.select("_row", "_id", "n_words", "whole", "same").distinct().join(leads, "same", "left")
     copy = F.col("_id") > F.col("_lead_id")
