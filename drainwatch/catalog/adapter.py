@@ -151,7 +151,7 @@ remembered AS (
   FROM grads g JOIN rg r ON r.creator = g.creator AND (r.t_at, r.slot) < (g.t_at, g.slot)),
 prior AS (
   SELECT mint, creator, t_at, slot, count(*) AS n_prior, string_agg(rmint, ',' ORDER BY back) AS all_mints
-  FROM remembered WHERE back <= 20 AND rmint <> mint AND rat < t_at GROUP BY ALL)"""
+  FROM remembered WHERE rmint <> mint AND rat < t_at GROUP BY ALL)"""
 
 RECORDS = PRIOR + """,
 amber AS (

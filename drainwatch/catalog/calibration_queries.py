@@ -230,26 +230,25 @@ def p6(spark, sf_dir):
     return cal.precision_of_signal(Capture(spark, sf_dir).facts()[0])
 
 
-@query("P7_recall_by_denominator", sql(FACTS, """SELECT denominator, count(*) AS total, count(*) FILTER (WHERE signal) AS found, count(*) FILTER (WHERE signal) / CAST(count(*) AS DOUBLE) AS recall FROM (
+@query("P7_recall_by_denominator", sql(FACTS, """SELECT denominator, count(signal) AS total, count(*) FILTER (WHERE signal) AS found,
+  CASE WHEN count(signal) > 0 THEN count(*) FILTER (WHERE signal) / CAST(count(signal) AS DOUBLE) END AS recall FROM (VALUES ('all'), ('graduated'), ('by remove'), ('by creator remove'), ('by sells')) d(denominator) LEFT JOIN (
   SELECT signal, 'all' AS denominator FROM facts WHERE collapsed UNION ALL SELECT signal, 'graduated' FROM facts WHERE collapsed AND graduated
   UNION ALL SELECT signal, 'by remove' FROM facts WHERE collapsed AND graduated AND collapse_by = 'liquidity remove'
   UNION ALL SELECT signal, 'by creator remove' FROM facts WHERE collapsed AND graduated AND collapse_by = 'liquidity remove' AND collapse_actor = creator
-  UNION ALL SELECT signal, 'by sells' FROM facts WHERE collapsed AND graduated AND collapse_by = 'swap') GROUP BY denominator"""))
+  UNION ALL SELECT signal, 'by sells' FROM facts WHERE collapsed AND graduated AND collapse_by = 'swap') b USING (denominator) GROUP BY denominator"""))
 def p7(spark, sf_dir):
     return cal.recall_by_denominator(Capture(spark, sf_dir).facts()[0])
 
 
-# Any signalled token with a collapse, collapsed for good or not: the lead exists for those.
-_LEADS = "SELECT collapse_at_s - add_at_s AS lead_s FROM facts WHERE signal AND collapse_at_s IS NOT NULL"
+_LEADS = "SELECT collapse_at_s - add_at_s AS lead_s FROM facts WHERE signal AND collapsed AND collapse_at_s IS NOT NULL"
 
 
 @query("P8_lead_distribution", sql(FACTS, f"""SELECT q.*, r.* FROM ({rank_sql(_LEADS, [], 'lead_s', cal.DIST)}) q,
-(SELECT min(lead_s) AS min, max(lead_s) AS max, count(*) FILTER (WHERE lead_s < 30) AS under_30, count(*) FILTER (WHERE lead_s < 60) AS under_60,
+(SELECT min(lead_s) AS min, max(lead_s) AS max, count(*) FILTER (WHERE lead_s < 1) AS under_1, count(*) FILTER (WHERE lead_s < 30) AS under_30, count(*) FILTER (WHERE lead_s < 60) AS under_60,
   count(*) FILTER (WHERE lead_s < 120) AS under_120 FROM ({_LEADS})) r"""))
 def p8(spark, sf_dir):
     facts, _, _ = Capture(spark, sf_dir).facts()
-    rows = facts.filter("signal and collapse_at_s is not null").select((F.col("collapse_at_s") - F.col("add_at_s")).alias("lead_s"))
-    return cal.distribution(rows, "lead_s", below=(30, 60, 120))
+    return cal.distribution(cal.lead_rows(facts), "lead_s", below=(1, 30, 60, 120))
 
 
 @query("P9_net_extraction", sql(FACTS, """SELECT count(*) AS n, CAST(sum(coalesce(net_units, 0)) AS DOUBLE) AS total_units, count(*) FILTER (WHERE coalesce(net_units, 0) < 0) AS losers
@@ -347,13 +346,12 @@ def p20(spark, sf_dir):
     return rows.select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
-@query("P22_name_reuse", """WITH t AS (SELECT lower(trim(regexp_replace(text, '[.\\n].*$', '', 's'))) AS name, source FROM documents),
+@query("P22_name_reuse", """WITH t AS (SELECT lower(trim(text)) AS name, source FROM documents),
 per AS (SELECT name, min(source) <> max(source) AS shared, count(*) AS c FROM t GROUP BY name)
 SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(coalesce(sum(c) FILTER (WHERE shared), 0) AS BIGINT) AS reused FROM per""")
 def p22(spark, sf_dir):
-    """Documents stand for tokens: the first sentence is the name, the source its owner."""
-    docs = table(spark, sf_dir, "documents").withColumn("name", F.regexp_replace("text", r"(?s)[.\n].*$", ""))
-    return cal.name_reuse(docs, "name", "source")
+    """Documents stand for tokens: the text is the name, the source its owner."""
+    return cal.name_reuse(table(spark, sf_dir, "documents"), "text", "source")
 
 
 @query("P22_repeated_final_liquidity", sql(FACTS, """SELECT collapsed, CAST(sum(c) AS BIGINT) AS tokens, CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS repeated

@@ -133,16 +133,21 @@ def w10(spark, sf_dir):
     return reports.event_rate(token_events(spark, sf_dir), 3600)
 
 
-@query("D7_health_check", sql(EV, "SELECT max(bt) AS last_s, count(*) AS frames, 31 > 30 AS stale FROM ev"))
+@query("D7_health_check", sql(EV, """SELECT late, max(bt) AS last_s, count(*) AS frames, min(now) + 3600 - max(bt) > 30 AS stale
+  FROM (SELECT bt, slot % 2 = 0 AS late, max(bt) OVER () - 3600 AS now FROM ev) WHERE NOT late OR bt < now GROUP BY late"""))
 def d7(spark, sf_dir):
+    """Two feeds: one is fed to the end, the other went quiet an hour before."""
     ev = token_events(spark, sf_dir)
-    return reports.health_check(ev, clock(ev) + 31)
+    now, late = clock(ev), F.col("slot") % 2 == 0
+    parts = [(ev.filter(~late), False), (ev.filter(late & (F.col("block_time_s") < now - 3600)), True)]
+    rows = [reports.health_check(e, now).withColumn("late", F.lit(which)) for e, which in parts]
+    return rows[0].unionByName(rows[1])
 
 
 # Who was asked before, and when: every creator whose number is not a multiple of three, at first sight.
 ASKED = DIM + CLOCK + """, cre AS (SELECT creator, serial, CASE WHEN CAST(substr(creator, 2) AS BIGINT) % 3 <> 0 THEN first_seen_s END AS last_asked_s FROM cdim),
 req AS (SELECT e.actor AS creator, e.mint, CASE WHEN typ = 'graduation' THEN 'graduation' WHEN c.serial THEN 'suspect' WHEN c.last_asked_s IS NULL THEN 'new-creator' ELSE 'known-creator' END AS class,
-  e.bt AS enqueued_s, e.bt AS born_s, c.last_asked_s FROM ev e JOIN cre c ON c.creator = e.actor WHERE typ IN ('token_create', 'graduation')),
+  e.bt AS enqueued_s, coalesce(b.born, e.bt) AS born_s, c.last_asked_s FROM ev e JOIN cre c ON c.creator = e.actor LEFT JOIN (SELECT mint, min(bt) AS born FROM ev WHERE typ = 'token_create' GROUP BY mint) b ON b.mint = e.mint WHERE typ IN ('token_create', 'graduation')),
 elig AS (SELECT r.*, now, CASE WHEN last_asked_s IS NOT NULL AND enqueued_s - last_asked_s < CASE class WHEN 'suspect' THEN 600 WHEN 'graduation' THEN 60 WHEN 'known-creator' THEN 21600 ELSE 0 END THEN 'recent'
   WHEN now - enqueued_s > 432000 THEN 'stale' WHEN born_s + 10 > now THEN 'young' ELSE 'ready' END AS status FROM req r, clock),
 one AS (SELECT creator, arg_min(class, (rk, enqueued_s, mint)) AS class, min(enqueued_s) AS enqueued_s, arg_min(mint, (rk, enqueued_s, mint)) AS mint
@@ -166,9 +171,9 @@ class Work:
         return worklist.eligibility(self.requests(), self.now, PATIENT)
 
 
-@query("E1_classify_requests", sql(EV + ", " + ASKED, "SELECT creator, mint, class, enqueued_s FROM req"))
+@query("E1_classify_requests", sql(EV + ", " + ASKED, "SELECT creator, mint, class, enqueued_s, born_s FROM req"))
 def e1(spark, sf_dir):
-    return Work(spark, sf_dir).requests().select("creator", "mint", "class", "enqueued_s")
+    return Work(spark, sf_dir).requests().select("creator", "mint", "class", "enqueued_s", "born_s")
 
 
 @query("E2_suspect_repoll", sql(EV + ", " + ASKED, """SELECT l.creator, arg_max(l.mint, (l.created_s, l.mint)) AS mint, max(l.created_s) AS born_s FROM la l JOIN cre c ON c.creator = l.creator, clock

@@ -184,14 +184,14 @@ def s12(spark, sf_dir):
 
 
 @query("J5_merge_creator_history", sql(HIST + """, seen AS (SELECT 'K' || o_custkey AS creator, 'M' || o_orderkey AS mint, CAST(epoch(o_orderdate) AS BIGINT) - 50 + o_orderkey % 100 AS s FROM orders WHERE o_orderkey % 3 = 0)""", """SELECT coalesce(o.creator, s.creator) AS creator, coalesce(o.mint, s.mint) AS mint, least(coalesce(o.made, s.s), coalesce(s.s, o.made)) AS created_s,
-  CASE WHEN s.mint IS NOT NULL THEN 'stream' ELSE 'rest' END AS source, CASE WHEN o.o_orderstatus = 'F' THEN 'graduated' ELSE 'created' END AS stage,
+  CASE WHEN s.mint IS NOT NULL THEN 'stream' ELSE 'rest' END AS source, CASE WHEN o.o_orderstatus = 'F' THEN 'graduated' WHEN s.mint IS NOT NULL AND CAST(substr(s.mint, 2) AS BIGINT) % 2 = 1 THEN 'curve' END AS stage,
   CASE WHEN o.o_orderstatus = 'F' THEN o.made + 100 END AS graduated_at_s FROM o FULL JOIN seen s ON s.creator = o.creator AND s.mint = o.mint"""))
 def j5(spark, sf_dir):
     """A third of the orders were seen launching too, some earlier and some later than the snapshot says."""
     o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
     made = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
     la = o.select(F.concat(F.lit("K"), "o_custkey").alias("creator"), F.concat(F.lit("M"), "o_orderkey").alias("mint"),
-                  (made - 50 + F.col("o_orderkey") % 100).alias("created_s"), F.lit("stream").alias("source"))
+                  (made - 50 + F.col("o_orderkey") % 100).alias("created_s"), F.lit("stream").alias("source"), F.when(F.col("o_orderkey") % 2 == 1, 1).alias("stage_rank"))
     hist, _ = snapshots.load_creator_history(history_lines(spark, sf_dir))
     out = joins.merge_creator_history(la, snapshots.history_tokens(hist))
     return out.select("creator", "mint", "created_s", "source", "stage", "graduated_at_s")

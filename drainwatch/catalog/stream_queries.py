@@ -11,12 +11,21 @@ from drainwatch.sources import frames as fr
 from drainwatch.streaming import feed, lifecycle
 
 
+# Micro-batches of the registered streams.
+STRETCHES = 5
+
+
 def event_stream(spark, sf_dir, delay="1 hour", received=False):
-    """The events table as a stream of files."""
+    """The events table as a stream: stretches of time land one after the other, and each is a micro-batch that finds the state of those before it."""
     batch = table(spark, sf_dir, "events")
     shared_dir(spark)
-    # A micro-batch is bounded by the files it takes, whatever has piled up.
-    ev = as_token_events(spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    path = work_path(spark, "events")
+    low, high = batch.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+    for k in range(STRETCHES):
+        at = F.floor((F.unix_timestamp("ts") - low) * STRETCHES / (high - low + 1))
+        batch.filter(at == k).write.mode("append").parquet(f"{path}/{k}")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    ev = as_token_events(stream.parquet(path))
     if received:
         ev = ev.withColumn("received_s", F.col("block_time_s") + (F.col("slot") % 5) * 30 - 120)
     return feed.event_clock(ev, PARAMS, delay)
@@ -31,10 +40,10 @@ def s4(spark, sf_dir):
     return lines.select(F.get_json_object("value", "$.id").cast("bigint").alias("id"))
 
 
-@query("X1_stream_normalize", sql(FEED, """SELECT type AS kind, 'good' AS part, count(*) AS n FROM feed WHERE reason IS NULL OR reason = 'invalid_shape' GROUP BY type
+@query("X1_stream_normalize", sql(FEED, """SELECT type AS kind, 'good' AS part, count(*) AS n FROM feed WHERE reason IS NULL GROUP BY type
 UNION ALL SELECT CASE WHEN reason = 'unknown_type' THEN reason || ' rug' WHEN reason = 'invalid_shape' THEN reason || ' ' || type ELSE reason END, 'bad', count(*) FROM feed WHERE reason IS NOT NULL GROUP BY 1"""))
 def x1(spark, sf_dir):
-    """Both outputs of the stream: frames filed by type (before their fields are checked) and the quarantine."""
+    """Both outputs of the stream: valid frames filed by type, and the quarantine."""
     src, good, bad = (work_path(spark, n) for n in ("raw", "good", "bad"))
     raw_frames(spark, sf_dir).select("value").write.text(src)
     stream = fr.stream_frames(spark, src).select("value")
@@ -109,7 +118,7 @@ def x5(spark, sf_dir):
 
 @query("X6_stateful_creator_memory", sql(ONLINE + """, og AS (SELECT k.mint, k.creator, k.bt AS t_at, k.slot FROM known k LEFT JOIN org r ON r.mint = k.mint WHERE k.typ = 'graduation' AND (r.mint IS NULL OR (k.bt, k.slot) < (r.t_at, r.slot))),
 back AS (SELECT g.*, r.mint AS rmint, r.t_at AS rat, row_number() OVER (PARTITION BY g.slot ORDER BY r.t_at DESC, r.slot DESC) AS b FROM og g JOIN org r ON r.creator = g.creator AND (r.t_at, r.slot) < (g.t_at, g.slot)),
-pr AS (SELECT mint, creator, t_at, slot, count(*) AS n_prior FROM back WHERE b <= 20 AND rmint <> mint AND rat < t_at GROUP BY ALL)""", """SELECT 'amber:' || mint AS id, creator, t_at, slot, n_prior FROM pr QUALIFY row_number() OVER (PARTITION BY mint, creator ORDER BY t_at, slot) = 1"""))
+pr AS (SELECT mint, creator, t_at, slot, count(*) AS n_prior FROM back WHERE rmint <> mint AND rat < t_at GROUP BY ALL)""", """SELECT 'amber:' || mint AS id, creator, t_at, slot, n_prior FROM pr QUALIFY row_number() OVER (PARTITION BY mint, creator ORDER BY t_at, slot) = 1"""))
 def x6(spark, sf_dir):
     out = feed.drain(lifecycle.amber_records(records(spark, sf_dir), PARAMS), "x6")
     return out.select("id", "creator", "t_at", "slot", "n_prior")
@@ -130,10 +139,10 @@ def x7(spark, sf_dir):
 
 @query("X8_early_pairs_held", sql(EV + """, f AS (SELECT mint, min((bt, slot)) AS p, min(bt) AS t FROM ev WHERE typ IN ('token_create', 'graduation') GROUP BY mint)""", """SELECT e.mint, e.slot, (e.bt, e.slot) < p AS held FROM ev e JOIN f ON f.mint = e.mint WHERE typ IN ('add', 'remove') AND ((e.bt, e.slot) > p OR e.bt >= f.t - 7200)"""))
 def x8(spark, sf_dir):
-    return feed.drain(lifecycle.release_early_pairs(event_stream(spark, sf_dir), 7200), "x8")
+    return feed.drain(lifecycle.release_early_pairs(event_stream(spark, sf_dir), 7200), "x8").select("mint", "slot", "held")
 
 
-@query("X9_alert_resolution", sql(ONLINE, """SELECT 'unconfirmed:' || o.mint AS id, o.t_at FROM ored o LEFT JOIN org r ON r.mint = o.mint WHERE r.mint IS NULL AND o.t_at + 3601 <= (SELECT max(bt) - 3600 FROM ev)"""))
+@query("X9_alert_resolution", sql(ONLINE, """SELECT 'unconfirmed:' || o.mint AS id, o.t_at FROM ored o LEFT JOIN org r ON r.mint = o.mint WHERE (r.mint IS NULL OR r.t_at > o.t_at + 3600) AND o.t_at + 3601 <= (SELECT max(bt) - 3600 FROM ev)"""))
 def x9(spark, sf_dir):
     out = feed.drain(records(spark, sf_dir, resolve=True), "x9")
     return out.filter("kind = 'unconfirmed'").select("id", "t_at")

@@ -36,11 +36,6 @@ class Params:
     burst_max_launches: int = 10
     resolve_s: int = 60 * MINUTE
     reload_days: int = 7
-    max_tokens: int = 100_000
-    max_creators: int = 200_000
-    max_launches_per_creator: int = 1000
-    max_pools_per_token: int = 8
-    max_readings_per_token: int = 120
     reading_bucket_s: int = 60
     idle_curve_s: int = 60 * MINUTE
     idle_graduated_s: int = 1440 * MINUTE
@@ -50,7 +45,6 @@ class Params:
     max_future_skew_s: int = 60
     pending_ttl_s: int = 600
     prior_rugs_shown: int = 5
-    prior_rugs_kept: int = 20
     suspect_repoll_s: int = 10 * MINUTE
     known_refresh_s: int = 360 * MINUTE
     min_refresh_s: int = 60

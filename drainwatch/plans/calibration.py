@@ -143,7 +143,10 @@ def recall_by_denominator(facts: DataFrame) -> DataFrame:
     belongs = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in tests.items()]), lambda x: x.isNotNull())
     rows = facts.filter("collapsed").select(F.explode(belongs).alias("denominator"), "signal")
     counted = rows.groupBy("denominator").agg(_n(name="total"), _n(F.col("signal"), "found"))
-    return counted.withColumn("recall", F.col("found") / F.col("total"))
+    # A denominator that no token belongs to is a row of zeros.
+    every = facts.sparkSession.createDataFrame([(k,) for k in tests], "denominator string")
+    out = every.join(counted, "denominator", "left").na.fill(0, ["total", "found"])
+    return out.withColumn("recall", F.when(F.col("total") > 0, F.col("found") / F.col("total")))
 
 
 def _hits(facts: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def creator_launches(ev: DataFrame, history: DataFrame | None = None) -> DataFra
     return rows.groupBy("creator", "mint").agg(F.min("created_s").alias("created_s"), F.max("source").alias("source"))
 
 
-def cap_launches(la: DataFrame, n: int = DEFAULTS.max_launches_per_creator) -> DataFrame:
+def cap_launches(la: DataFrame, n: int) -> DataFrame:
     """The newest launches per creator; unknown times go first, ties drop the smaller mint."""
     return newest_per_key(la, ["creator"], [F.desc_nulls_last("created_s"), F.desc("mint")], n)
 
@@ -73,7 +73,7 @@ def creator_retention(creators: DataFrame, now_s: Column, params: Params = DEFAU
     return creators.filter(now_s - F.col("last_seen_s") <= keep)
 
 
-def cap_creators(creators: DataFrame, n: int = DEFAULTS.max_creators) -> DataFrame:
+def cap_creators(creators: DataFrame, n: int) -> DataFrame:
     return creators.orderBy(F.desc("serial"), F.desc("last_seen_s"), "creator").limit(n)
 
 
@@ -110,7 +110,7 @@ def collapse_by_serial(outcomes: DataFrame, serial: DataFrame, params: Params =
     )
 
 
-def cap_tracked(tok: DataFrame, n: int = DEFAULTS.max_tokens) -> DataFrame:
+def cap_tracked(tok: DataFrame, n: int) -> DataFrame:
     """Over capacity, tokens still on the curve go first, then the least recently active."""
     early = F.when(F.col("stage_rank") >= STAGE_RANK["graduated"], 2).otherwise(F.col("stage_rank"))
     return tok.orderBy(early.desc(), F.desc("last_activity_s"), "mint").limit(n)

@@ -86,8 +86,11 @@ def mint_prefilter(frames: DataFrame, mints: DataFrame, text: str = "value") ->
     lines = frames.withColumn("_ids", F.filter(ids, lambda m: m != WRAPPED_SOL))
     followed = mints.select(F.col("mint").alias("_mint")).distinct()
     one = lines.filter(F.size("_ids") == 1).withColumn("_mint", F.col("_ids")[0])
-    more = lines.filter(F.size("_ids") > 1).withColumn("_row", F.monotonically_increasing_id()).withColumn("_mint", F.explode("_ids"))
-    kept = more.join(followed, "_mint", "left_semi").dropDuplicates(["_row"])
+    # The few others: their lists of mints are looked up, not their lines.
+    more = lines.filter(F.size("_ids") > 1).withColumn("_list", F.array_join("_ids", ","))
+    asked = more.select("_list", F.explode("_ids").alias("_mint")).distinct()
+    named = asked.join(followed, "_mint", "left_semi").select("_list").distinct()
+    kept = more.join(named, "_list", "left_semi")
     return one.join(followed, "_mint", "left_semi").select(*frames.columns).unionByName(kept.select(*frames.columns))
 
 
@@ -96,17 +99,19 @@ def merge_creator_history(la: DataFrame, hist_tokens: DataFrame) -> DataFrame:
 
     ``la``: creator, mint, created_s, source.  ``hist_tokens``: creator, mint, created_s,
     graduated, graduated_s, holders, ath_mcap_usd, liquidity_usd, fetched_s.
-    The earliest creation wins, the stream outranks a snapshot as the source.
+    The earliest creation wins, the stream outranks a snapshot as the source.  A snapshot knows of a stage only
+    that the token graduated, so it never lowers the one the stream saw (``stage_rank``, where ``la`` has it).
     """
-    mine = la.select("creator", "mint", F.col("created_s").alias("_seen_s"), F.col("source").alias("_source"))
+    seen_rank = F.col("stage_rank") if "stage_rank" in la.columns else F.lit(None).cast("int")
+    mine = la.select("creator", "mint", F.col("created_s").alias("_seen_s"), F.col("source").alias("_source"), seen_rank.alias("_rank"))
     joined = mine.join(hist_tokens, ["creator", "mint"], "full")
     at = F.when(F.col("graduated"), F.coalesce("graduated_s", "fetched_s"))
-    rank = F.when(F.col("graduated"), STAGE_RANK["graduated"]).otherwise(STAGE_RANK["created"])
+    rank = F.greatest("_rank", F.when(F.col("graduated"), STAGE_RANK["graduated"]))
     return joined.select(
         "creator", "mint",
         F.least("_seen_s", "created_s").alias("created_s"),
         F.when(F.col("_source") == "stream", "stream").otherwise("rest").alias("source"),
-        stage_name(rank).alias("stage"),
+        F.when(rank.isNotNull(), stage_name(rank)).alias("stage"),
         at.alias("graduated_at_s"), "holders", "ath_mcap_usd",
         F.col("liquidity_usd").alias("rest_usd"), F.col("fetched_s").alias("at_s"),
     )

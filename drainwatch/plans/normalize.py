@@ -153,10 +153,11 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 def parse_frames(frames: DataFrame, text: str = "value") -> DataFrame:
     """Add ``v``, the parsed frame, losing no digit.  Anything that is not one JSON value gives null.
 
-    Parsing inside a list makes text after the first value an error, as it must be.
+    Parsing inside a list, in front of a zero, makes text after the first value an error, as it must be:
+    a value that closes the list itself loses the zero.
     """
-    listed = once(frames, _listed=F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]"))))
-    alone = F.try_variant_get("_listed", "$[1]", "variant").isNull()
+    listed = once(frames, _listed=F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(",0]"))))
+    alone = (F.try_variant_get("_listed", "$[1]", "int") == 0) & F.try_variant_get("_listed", "$[2]", "variant").isNull()
     return once(listed, v=F.when(alone, F.try_variant_get("_listed", "$[0]", "variant"))).drop("_listed")
 
 
@@ -216,7 +217,12 @@ def quarantine_snapshots(routed: DataFrame, carry: list[str] | None = None) -> D
 
 def rejected(frames: DataFrame, text: str = "value") -> DataFrame:
     """Bad frames with their kind, issues and a redacted 200-character sample."""
-    bad = validated(frames_to_routed(frames, text)).filter(F.col("reason").isNotNull())
+    return rejections(validated(frames_to_routed(frames, text)), text)
+
+
+def rejections(checked: DataFrame, text: str = "value") -> DataFrame:
+    """The bad ones among validated frames."""
+    bad = checked.filter(F.col("reason").isNotNull())
     kind = F.concat_ws(" ", "reason", F.when(F.col("reason").isin("unknown_type", "invalid_shape"), F.col("type")))
     entry = F.concat(kind, F.lit(": "), F.array_join(F.slice(F.coalesce("issues", F.array().cast("array<string>")), 1, 3), "; "),
                      F.lit(" | "), F.substring(text, 1, 200))

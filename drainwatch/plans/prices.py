@@ -1,7 +1,8 @@
 """USD prices of quote assets learned from the feed, and the readings they value.
 
 Decimals are narrowed before they meet: a product or quotient of two wide decimals would silently
-lose its fraction.
+lose its fraction.  Whoever makes a token chooses its decimals, so nothing here may fail: what does
+not fit the exact types is computed in doubles, and what fits no type at all is null.
 """
 
 from __future__ import annotations
@@ -19,18 +20,41 @@ NATIVE_DECIMALS = 9
 
 
 def to_units(raw: Column, decimals: Column) -> Column:
-    scale = F.pow(F.lit(10.0), decimals).cast("decimal(19,0)")
-    return (raw.try_cast("decimal(20,0)") / scale).cast(UNITS)
+    """Exact units of an asset of up to nine decimals (the kept fraction), null for others."""
+    scale = F.when(decimals.between(0, NATIVE_DECIMALS), F.pow(F.lit(10.0), decimals)).try_cast("decimal(19,0)")
+    return F.try_divide(raw.try_cast("decimal(20,0)"), scale).try_cast(UNITS)
+
+
+def rough_units(raw: Column, decimals: Column) -> Column:
+    """Units as a double, for any number of decimals a byte can hold."""
+    return F.try_divide(raw.try_cast("double"), F.when(decimals.between(0, 255), F.pow(F.lit(10.0), decimals)))
 
 
 def usd_per_unit(usd: Column, raw: Column, decimals: Column) -> Column:
     """Null for no amount or no value: the feed sends "0" where it knows no price."""
     units = to_units(raw, decimals)
-    return F.when((raw > 0) & (usd > 0) & (units > 0), (usd.cast("decimal(20,10)") / units).cast(PRICE))
+    exact = F.when(units > 0, F.try_divide(usd.try_cast("decimal(20,10)"), units).try_cast(PRICE))
+    rough = F.try_divide(usd.try_cast("double"), rough_units(raw, decimals)).try_cast(PRICE)
+    price = F.coalesce(exact, rough)
+    return F.when((raw > 0) & (usd > 0) & (price > 0), price)
 
 
 def value_usd(raw: Column, decimals: Column, price: Column) -> Column:
-    return (to_units(raw, decimals) * price.cast(PRICE)).cast(USD)
+    exact = F.try_multiply(to_units(raw, decimals), price.try_cast(PRICE)).try_cast(USD)
+    return F.coalesce(exact, F.try_multiply(rough_units(raw, decimals), price.try_cast("double")).try_cast(USD))
+
+
+def price_outcomes(rows: DataFrame, usd: str, raw: str, decimals: str) -> DataFrame:
+    """How many amounts got an exact price, a rounded one, none because the feed knows none, or none because no type holds it."""
+    worth = (F.col(raw) > 0) & (F.col(usd) > 0)
+    exact = F.try_divide(F.col(usd).try_cast("decimal(20,10)"), to_units(F.col(raw), F.col(decimals))).try_cast(PRICE)
+    outcome = (
+        F.when(~F.coalesce(worth, F.lit(False)), "unknown")
+        .when((to_units(F.col(raw), F.col(decimals)) > 0) & (exact > 0), "exact")
+        .when(usd_per_unit(F.col(usd), F.col(raw), F.col(decimals)).isNotNull(), "rounded")
+        .otherwise("does not fit")
+    )
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def identity_events(norm: dict[str, DataFrame]) -> DataFrame:

@@ -11,7 +11,7 @@ from drainwatch.operators.select import newest_per_key
 from drainwatch.params import DEFAULTS, HOUR, Params
 from drainwatch.plans import rules
 
-SHOWN_SEQUENCES, SHOWN_PENDING, FEED_RECORDS = 12, 3, 5000
+SHOWN_SEQUENCES, SHOWN_PENDING = 12, 3
 
 
 def recent_sequences(rg: DataFrame, al: DataFrame, n: int = SHOWN_SEQUENCES) -> DataFrame:
@@ -57,14 +57,16 @@ def records_feed_rows(al: DataFrame, rg: DataFrame) -> DataFrame:
     return one.unionByName(rg.select(F.lit("rug").alias("kind"), F.col("mint").alias("key"), "t_at"))
 
 
-def feed(records: DataFrame, n: int = FEED_RECORDS) -> DataFrame:
-    """First alert per id and first drain per token, the newest ``n`` of each."""
+def feed(records: DataFrame, n: int | None = None) -> DataFrame:
+    """First alert per id and first drain per token: all of them, or the newest ``n`` of each."""
     first = records.groupBy("kind", "key").agg(F.min("t_at").alias("t_at"))
+    if n is None:
+        return first.filter(F.col("kind").isin("alert", "rug"))
     parts = [first.filter(F.col("kind") == k).orderBy(F.desc("t_at"), "key").limit(n) for k in ("alert", "rug")]
     return reduce(DataFrame.unionByName, parts)
 
 
-def prior_rug_list(rg: DataFrame, cap: int = DEFAULTS.prior_rugs_kept) -> DataFrame:
+def prior_rug_list(rg: DataFrame, cap: int) -> DataFrame:
     """Per creator the newest ``cap`` drains, newest first."""
     kept = newest_per_key(rg.filter(F.col("creator").isNotNull()), ["creator"], [F.desc("pos")], cap)
     entry = F.struct("pos", "mint")

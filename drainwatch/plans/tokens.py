@@ -103,7 +103,7 @@ def downsample_readings(rd: DataFrame, bucket_s: int = DEFAULTS.reading_bucket_s
     return kept.select(*keys, *[F.col("r")[c].alias(c) for c in rest]).select(*rd.columns)
 
 
-def keep_newest_readings(rd: DataFrame, n: int = DEFAULTS.max_readings_per_token) -> DataFrame:
+def keep_newest_readings(rd: DataFrame, n: int) -> DataFrame:
     order = [F.desc("pos"), F.desc("source"), F.desc(F.coalesce("pool", F.lit(""))), F.desc("usd")]
     return newest_per_key(rd, ["mint"], order, n)
 
@@ -140,7 +140,7 @@ def pool_dim(ev: DataFrame, rd: DataFrame) -> DataFrame:
     )
 
 
-def top_pools(pools: DataFrame, n: int = DEFAULTS.max_pools_per_token) -> DataFrame:
+def top_pools(pools: DataFrame, n: int) -> DataFrame:
     return newest_per_key(pools, ["mint"], [F.desc("last_seen_s"), F.desc("pool")], n)
 
 

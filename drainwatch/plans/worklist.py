@@ -29,18 +29,22 @@ def min_age(params: Params = DEFAULTS) -> Column:
 
 
 def classify_requests(ev: DataFrame, creators: DataFrame) -> DataFrame:
-    """Launches and graduations as look-up requests.  ``creators``: creator, serial, last_asked_s."""
+    """Launches and graduations as look-up requests.  ``creators``: creator, serial, last_asked_s.
+
+    A token is as old as its creation, also where it is asked about because it graduated.
+    """
+    births = ev.filter(F.col("type") == "token_create").groupBy("mint").agg(F.min("block_time_s").alias("_born"))
     acts = ev.filter(F.col("type").isin("token_create", "graduation")).select(
         F.col("actor").alias("creator"), "mint", "type", F.col("block_time_s").alias("enqueued_s")
     )
-    known = acts.join(creators.select("creator", "serial", "last_asked_s"), "creator")
+    known = acts.join(creators.select("creator", "serial", "last_asked_s"), "creator").join(births, "mint", "left")
     name = (
         F.when(F.col("type") == "graduation", "graduation")
         .when(F.col("serial"), "suspect")
         .when(F.col("last_asked_s").isNull(), "new-creator")
         .otherwise("known-creator")
     )
-    return known.select("creator", "mint", name.alias("class"), "enqueued_s", F.col("enqueued_s").alias("born_s"), "last_asked_s")
+    return known.select("creator", "mint", name.alias("class"), "enqueued_s", F.coalesce("_born", "enqueued_s").alias("born_s"), "last_asked_s")
 
 
 def suspect_repoll(creators: DataFrame, la: DataFrame, now_s: Column, params: Params = DEFAULTS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drainwatch.params import DEFAULTS, Params
-from drainwatch.plans.normalize import frames_to_routed, rejected
+from drainwatch.plans.normalize import frames_to_routed, rejections, validated
 from drainwatch.session import work_path
 from drainwatch.sources.tables import write_routed
 
@@ -50,13 +50,18 @@ def rate_stream(ev: DataFrame, seconds: int = 1) -> DataFrame:
 
 
 def normalize_batches(good_dir: str, bad_dir: str) -> Callable[[DataFrame, int], None]:
-    """One micro-batch: parsed frames filed by type, rejected ones to quarantine.
+    """One micro-batch: valid frames filed by type, rejected ones to quarantine.
 
-    Each batch has a folder of its own, so a batch that is run again replaces what it wrote.
+    A batch is parsed and checked once, and every frame goes to exactly one of the two.  Each batch has
+    a folder of its own, so a batch that is run again replaces what it wrote.
     """
     def run(batch: DataFrame, number: int) -> None:
-        write_routed(frames_to_routed(batch), f"{good_dir}/batch={number}", mode="overwrite")
-        rejected(batch).select("value", "kind", "entry").write.mode("overwrite").parquet(f"{bad_dir}/batch={number}")
+        checked = validated(frames_to_routed(batch)).persist()
+        try:
+            write_routed(checked.drop("issues"), f"{good_dir}/batch={number}", mode="overwrite")
+            rejections(checked).select("value", "kind", "entry").write.mode("overwrite").parquet(f"{bad_dir}/batch={number}")
+        finally:
+            checked.unpersist()
 
     return run
 

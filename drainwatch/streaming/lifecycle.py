@@ -11,23 +11,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from drainwatch.params import CURVE_DEXES, DEFAULTS, Params
 from drainwatch.plans.tokens import tradable_venue
 
-TOKEN = """creator string, created boolean, stage string, graduated boolean, peak decimal(28,6), top decimal(28,6), red_at bigint,
-rug_at bigint, last_s bigint, timer_ms bigint"""
-POOL = "usd decimal(28,6), dex string, t bigint, slot bigint"
+TOKEN = """creator string, created boolean, stage string, graduated boolean, peak decimal(28,6), top decimal(28,6), last_s bigint,
+timer_ms bigint"""
+# What the detector said of a token outlives the token's own state: it is not said twice.
+SAID = "red_at bigint, rug_at bigint"
+POOL = "usd decimal(28,6), dex string, place array<bigint>"
 RECORD = """kind string, id string, mint string, creator string, t_at bigint, slot bigint, mechanism string, actor string,
-peak_usd decimal(28,6), last_usd decimal(28,6), stage string, at timestamp"""
+peak_usd decimal(28,6), last_usd decimal(28,6), stage string, at timestamp, place array<bigint>"""
 INPUT = ("mint", "type", "kind", "actor", "pool", "dex", "usd", "block_time_s", "slot", "at")
 
 
-def _by_position(row: Row) -> tuple[int, int]:
-    return (row.block_time_s, row.slot)
+def place_of(ev: DataFrame) -> Column:
+    """The whole position, part by part: many transactions share a second and a slot."""
+    return F.array(*[F.col(f"pos.{f}").cast("bigint") for f in ev.schema["pos"].dataType.names])
+
+
+def _by_position(row: Row) -> list[int]:
+    return row.place
 
 
 class TokenLife(StatefulProcessor):
@@ -37,19 +44,27 @@ class TokenLife(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.token = handle.getValueState("token", TOKEN)
+        self.said = handle.getValueState("said", SAID)
         self.pools = handle.getMapState("pools", "pool string", POOL)
 
     def _load(self) -> tuple[dict, dict]:
-        held = self.token.get() if self.token.exists() else (None, False, "created", False, None, None, None, None, 0, 0)
-        names = [part.split()[0] for part in TOKEN.replace("decimal(28,6)", "decimal").split(",")]
-        return dict(zip(names, held)), {k[0]: tuple(v) for k, v in self.pools.iterator()}
+        held = self.token.get() if self.token.exists() else (None, False, "created", False, None, None, 0, 0)
+        said = self.said.get() if self.said.exists() else (None, None)
+        names = [part.split()[0] for part in f"{TOKEN}, {SAID}".replace("decimal(28,6)", "decimal").split(",")]
+        return dict(zip(names, (*held, *said), strict=True)), {k[0]: (v[0], v[1], list(v[2])) for k, v in self.pools.iterator()}
+
+    def _store(self, tok: dict) -> None:
+        self.token.update(tuple(tok.values())[:-2])
+        if tok["red_at"] is not None or tok["rug_at"] is not None:
+            self.said.update((tok["red_at"], tok["rug_at"]))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """Warm start: facts of one token from the batch state; nothing is emitted."""
         s = initialState
-        self.token.update((s.creator, s.created, s.stage, s.stage == "graduated", s.peak, s.top, s.red_at, s.rug_at, s.last_s, 0))
+        self._store(dict(creator=s.creator, created=s.created, stage=s.stage, graduated=s.stage == "graduated", peak=s.peak, top=s.top, last_s=s.last_s, timer_ms=0,
+                         red_at=s.red_at, rug_at=s.rug_at))
         for p in s.pools or []:
-            self.pools.updateValue((p["pool"],), (p["usd"], p["dex"], p["t"], p["slot"]))
+            self.pools.updateValue((p["pool"],), (p["usd"], p["dex"], list(p["place"])))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         mint, (tok, pools) = key[0], self._load()
@@ -83,7 +98,7 @@ class TokenLife(StatefulProcessor):
                     self.handle.deleteTimer(tok["timer_ms"])
                 self.handle.registerTimer(due)
                 tok["timer_ms"] = due
-        self.token.update(tuple(tok.values()))
+        self._store(tok)
         yield from out
 
     def _reading(self, mint: str, tok: dict, pools: dict, changed: set, r: Row) -> Row | None:
@@ -93,8 +108,8 @@ class TokenLife(StatefulProcessor):
             if r.dex not in CURVE_DEXES:
                 tok["peak"] = r.usd if tok["peak"] is None else max(tok["peak"], r.usd)
             before = pools.get(r.pool)
-            if before is None or _by_position(r) > (before[2], before[3]):
-                pools[r.pool] = (r.usd, r.dex, r.block_time_s, r.slot)
+            if before is None or _by_position(r) > before[2]:
+                pools[r.pool] = (r.usd, r.dex, list(r.place))
                 changed.add(r.pool)
         if not tok["graduated"] or tok["rug_at"] is not None or tok["peak"] is None or tok["peak"] < self.params.min_peak_usd:
             return None
@@ -111,12 +126,17 @@ class TokenLife(StatefulProcessor):
 
     def _record(self, kind: str, id_: str, mint: str, tok: dict, r: Row, how: str | None = None, last: Decimal | None = None) -> Row:
         return Row(kind=kind, id=id_, mint=mint, creator=tok["creator"], t_at=r.block_time_s, slot=r.slot, mechanism=how, actor=r.actor,
-                   peak_usd=tok["peak"], last_usd=last, stage=tok["stage"], at=r.at)
+                   peak_usd=tok["peak"], last_usd=last, stage=tok["stage"], at=r.at, place=list(r.place))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mint, (tok, pools) = key[0], self._load()
         due = expiredTimerInfo.getExpiryTimeInMs()
-        base = dict(mint=mint, creator=tok["creator"], slot=None, mechanism=None, actor=None, stage=tok["stage"])
+        base = dict(mint=mint, creator=tok["creator"], slot=None, mechanism=None, actor=None, stage=tok["stage"], place=None)
+        # Both may fall due at one moment.
+        # A drain after the limit comes too late to confirm, whether or not the stream has seen it by now.
+        late = tok["red_at"] is not None and (tok["rug_at"] is None or tok["rug_at"] > tok["red_at"] + self.params.resolve_s)
+        if self.resolve and late and due == (tok["red_at"] + self.params.resolve_s + 1) * 1000:
+            yield Row(kind="unconfirmed", id=f"unconfirmed:{mint}", t_at=tok["red_at"], peak_usd=None, last_usd=None, at=_moment(due), **base)
         if self.fold_idle and due == tok["timer_ms"]:
             held = [p[0] for p in pools.values() if not tok["graduated"] or p[1] not in CURVE_DEXES] or [p[0] for p in pools.values()]
             peak = tok["peak"] if tok["graduated"] and tok["peak"] is not None else tok["top"]
@@ -124,8 +144,6 @@ class TokenLife(StatefulProcessor):
             self.pools.clear()
             yield Row(kind="outcome", id=f"outcome:{mint}:{tok['last_s']}", t_at=tok["last_s"], peak_usd=peak, last_usd=sum(held) if held else None,
                       at=_moment(due), **base)
-        elif self.resolve and tok["red_at"] is not None and tok["rug_at"] is None:
-            yield Row(kind="unconfirmed", id=f"unconfirmed:{mint}", t_at=tok["red_at"], peak_usd=None, last_usd=None, at=_moment(due), **base)
 
     def close(self) -> None:
         pass
@@ -146,28 +164,39 @@ def _moment(ms: int):
 
 
 class CreatorMemory(StatefulProcessor):
-    """A creator's confirmed drains, newest last, and the tokens already warned about."""
+    """How many drains a creator has, the newest of them, and the tokens already warned about."""
 
     def __init__(self, params: Params = DEFAULTS):
         self.params = params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.drains = handle.getListState("drains", "mint string, t_at bigint, mechanism string")
+        self.count = handle.getValueState("count", "n bigint")
+        self.newest = handle.getListState("newest", "mint string, t_at bigint")
+        self.drained = handle.getMapState("drained", "mint string", "t_at bigint")
         self.warned = handle.getMapState("warned", "mint string", "t_at bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        drains = [tuple(d) for d in self.drains.get()] if self.drains.exists() else []
-        for r in sorted(rows, key=lambda r: (r.t_at, r.slot)):
+        count = self.count.get()[0] if self.count.exists() else 0
+        newest = [tuple(d) for d in self.newest.get()] if self.newest.exists() else []
+        for r in sorted(rows, key=_by_position):
             if r.kind == "rug":
-                if r.mint not in {d[0] for d in drains}:
-                    drains = [*drains, (r.mint, r.t_at, r.mechanism)][-self.params.prior_rugs_kept:]
+                if not self.drained.containsKey((r.mint,)):
+                    self.drained.updateValue((r.mint,), (r.t_at,))
+                    count, newest = count + 1, [*newest, (r.mint, r.t_at)]
+                    # Enough to show, one more as one may be the asking token, and all of the newest second.
+                    older = [d for d in newest if d[1] < r.t_at][-self.params.prior_rugs_shown - 1 :]
+                    newest = older + [d for d in newest if d[1] >= r.t_at]
+                continue
+            if self.warned.containsKey((r.mint,)):
                 continue
-            prior = [d for d in drains if d[0] != r.mint and d[1] < r.t_at]
-            if prior and not self.warned.containsKey((r.mint,)):
+            own = self.drained.getValue((r.mint,))[0] if self.drained.containsKey((r.mint,)) else None
+            n_prior = count - sum(d[1] >= r.t_at for d in newest) - (own is not None and own < r.t_at)
+            if n_prior > 0:
                 self.warned.updateValue((r.mint,), (r.t_at,))
-                shown = [d[0] for d in reversed(prior)][: self.params.prior_rugs_shown]
-                yield Row(id=f"amber:{r.mint}", mint=r.mint, creator=key[0], t_at=r.t_at, slot=r.slot, n_prior=len(prior), prior_rugs=shown)
-        _put(self.drains, drains)
+                shown = [d[0] for d in reversed(newest) if d[0] != r.mint and d[1] < r.t_at][: self.params.prior_rugs_shown]
+                yield Row(id=f"amber:{r.mint}", mint=r.mint, creator=key[0], t_at=r.t_at, slot=r.slot, n_prior=n_prior, prior_rugs=shown)
+        self.count.update((count,))
+        _put(self.newest, newest)
 
     def close(self) -> None:
         pass
@@ -181,7 +210,7 @@ def token_records(ev: DataFrame, params: Params = DEFAULTS, fold_idle: bool = Fa
 
     ``ev`` carries a watermark on ``at`` (event_clock).
     """
-    rows = ev.select(*INPUT).withColumn("usd", F.col("usd").cast("decimal(28,6)"))
+    rows = ev.select(*INPUT, place_of(ev).alias("place")).withColumn("usd", F.col("usd").cast("decimal(28,6)"))
     return rows.groupBy("mint").transformWithState(
         statefulProcessor=TokenLife(params, fold_idle, resolve), outputStructType=RECORD, outputMode="Append", timeMode="EventTime",
         initialState=None if initial is None else initial.groupBy("mint"), eventTimeColumnName="at",
@@ -191,9 +220,9 @@ def token_records(ev: DataFrame, params: Params = DEFAULTS, fold_idle: bool = Fa
 def initial_tokens(ev: DataFrame, rd: DataFrame, tok: DataFrame, red: DataFrame, rg: DataFrame) -> DataFrame:
     """The batch state as the first state of the stream: one row per token with its few pools."""
     usd = lambda c: c.cast("decimal(28,6)")
-    latest = rd.groupBy("mint", "pool").agg(F.max_by(F.struct("usd", "dex", "at_s", F.col("pos.slot").alias("slot")), "pos").alias("r"))
+    latest = rd.groupBy("mint", "pool").agg(F.max_by(F.struct("usd", "dex", place_of(rd).alias("place")), "pos").alias("r"))
     pools = latest.groupBy("mint").agg(F.collect_list(F.struct(
-        "pool", usd(F.col("r.usd")).alias("usd"), F.col("r.dex").alias("dex"), F.col("r.at_s").alias("t"), F.col("r.slot").alias("slot"))).alias("pools"))
+        "pool", usd(F.col("r.usd")).alias("usd"), F.col("r.dex").alias("dex"), F.col("r.place").alias("place"))).alias("pools"))
     tops = rd.groupBy("mint").agg(usd(F.max(F.when(tradable_venue(), F.col("usd")))).alias("peak"), usd(F.max("usd")).alias("top"))
     seen = ev.groupBy("mint").agg(F.max("block_time_s").alias("last_s"))
     rows = seen.join(tok.select("mint", "creator", F.col("created_at_s").isNotNull().alias("created"), "stage"), "mint", "left")
@@ -219,7 +248,7 @@ class HeldPairs(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.known = handle.getValueState("known", "t bigint")
-        self.waiting = handle.getListState("waiting", "t bigint, slot bigint")
+        self.waiting = handle.getListState("waiting", "t bigint, slot bigint, place array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.known.get()[0] if self.known.exists() else None
@@ -227,16 +256,16 @@ class HeldPairs(StatefulProcessor):
         for r in sorted(rows, key=_by_position):
             if r.type == "liquidity":
                 if known is not None:
-                    yield Row(mint=key[0], slot=r.slot, held=False)
+                    yield Row(mint=key[0], slot=r.slot, held=False, place=list(r.place))
                 else:
-                    waiting.append((r.block_time_s, r.slot))
+                    waiting.append((r.block_time_s, r.slot, list(r.place)))
                     self.handle.registerTimer((r.block_time_s + self.ttl_s + 1) * 1000)
             elif known is None:
                 known = r.block_time_s
                 self.known.update((known,))
-                for t, slot in waiting:
+                for t, slot, place in waiting:
                     if t >= known - self.ttl_s:
-                        yield Row(mint=key[0], slot=slot, held=True)
+                        yield Row(mint=key[0], slot=slot, held=True, place=list(place))
                 waiting = []
         _put(self.waiting, waiting)
 
@@ -251,8 +280,8 @@ class HeldPairs(StatefulProcessor):
 
 
 def release_early_pairs(ev: DataFrame, ttl_s: int = DEFAULTS.pending_ttl_s) -> DataFrame:
-    """mint, slot, held: pair events of followed tokens, early ones once their token appears."""
-    rows = ev.filter(F.col("type").isin("token_create", "graduation", "liquidity")).select("mint", "type", "block_time_s", "slot", "at")
+    """mint, slot, held, place: pair events of followed tokens, early ones once their token appears."""
+    rows = ev.filter(F.col("type").isin("token_create", "graduation", "liquidity")).select("mint", "type", "block_time_s", "slot", "at", place_of(ev).alias("place"))
     return rows.groupBy("mint").transformWithState(
-        statefulProcessor=HeldPairs(ttl_s), outputStructType="mint string, slot bigint, held boolean", outputMode="Append", timeMode="EventTime"
+        statefulProcessor=HeldPairs(ttl_s), outputStructType="mint string, slot bigint, held boolean, place array<bigint>", outputMode="Append", timeMode="EventTime"
     )

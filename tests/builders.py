@@ -2,7 +2,7 @@
 
 from decimal import Decimal
 
-T0 = 1790300000
+T0 = 1_805_000_040
 EV = """type string, kind string, mint string, pool string, dex string, actor string, block_time_s bigint, slot bigint,
 pos struct<block_time_s:bigint,slot:bigint>, usd decimal(18,2)"""
 

@@ -10,10 +10,10 @@ from drainwatch.plans import normalize as nz
 from drainwatch.sources import frames as fr
 from drainwatch.sources import registry
 
-TX = {"signature": "s1", "slot": 450160273, "block_time": 1790287954, "tx_index": 3, "ix_index": 2, "inner_ix_index": -1, "indexed_at": 1790287955394}
+TX = {"signature": "sig-a", "slot": 777_000_111, "block_time": 1_801_234_567, "tx_index": 41, "ix_index": 5, "inner_ix_index": 0, "indexed_at": 1_801_234_568_250}
 CREATE = {**TX, "type": "token_create", "kind": "token", "dex": "pumpfun", "mint": "M", "pool": "P", "base_mint": "M", "quote_mint": "Q", "name": "N", "symbol": "S", "creator": "C"}
-LIQ = {**TX, "type": "liquidity", "dex": "d", "pool": "P", "kind": "add", "provider": "C", "base_mint": "M", "quote_mint": "Q", "base_amount": 0, "quote_amount": 18446744073709551615,
-       "base_decimals": 6, "quote_decimals": 9, "base_reserve": 9007199254740993, "quote_reserve": 5, "base_usd": "0", "quote_usd": "116.4218017743128"}
+LIQ = {**TX, "type": "liquidity", "dex": "d", "pool": "P", "kind": "add", "provider": "C", "base_mint": "M", "quote_mint": "Q", "base_amount": 0, "quote_amount": 12345678901234567890,
+       "base_decimals": 6, "quote_decimals": 9, "base_reserve": 36028797018963971, "quote_reserve": 5, "base_usd": "0", "quote_usd": "73.0000000450211"}
 
 
 def routed(spark, frames):
@@ -27,20 +27,28 @@ def without(frame, key):
 
 def test_amounts_past_the_safe_integer_stay_exact(spark):
     row = nz.normalize(nz.frames_to_routed(routed(spark, [LIQ])), "liquidity").first()
-    assert (int(row.quote_amount), int(row.base_reserve), str(row.quote_usd)) == (18446744073709551615, 9007199254740993, "116.421801774312800000")
-
-
-@pytest.mark.parametrize("frame,reason,field", [
-    ({**CREATE, "slot": "450165443"}, "invalid_shape", "slot"), ({**LIQ, "base_usd": 116.42}, "invalid_shape", "base_usd"),
-    ({**CREATE, "block_time": 1790289332000}, "invalid_shape", "block_time"), ({**CREATE, "indexed_at": 1790289333}, "invalid_shape", "indexed_at"),
-    (without(CREATE, "creator"), "invalid_shape", "creator"), ({**LIQ, "kind": "migrate"}, "invalid_shape", "kind"), ({**CREATE, "backfill": None}, "invalid_shape", "backfill"),
-    ("null", "not_an_object", ""), ("42", "not_an_object", ""), ('"x"', "not_an_object", ""), ("[]", "not_an_object", ""),
-    ('{"type":"rug"}', "unknown_type", ""), ("{}", "unknown_type", ""), ('{"type":"toString"}', "unknown_type", ""), ('{"a":', "invalid_json", ""),
-    (json.dumps(CREATE) + " tail", "invalid_json", ""), (json.dumps(CREATE) + "," + json.dumps(CREATE), "invalid_json", ""),
-])
-def test_rejections(spark, frame, reason, field):
-    row = nz.validated(nz.frames_to_routed(routed(spark, [frame]))).first()
-    assert row.reason == reason and (not field or any(i.startswith(field + ":") for i in row.issues))
+    assert (int(row.quote_amount), int(row.base_reserve), str(row.quote_usd)) == (12345678901234567890, 36028797018963971, "73.000000045021100000")
+
+
+# One kind of damage per kind of field, and texts that are no single object.
+DAMAGED = [
+    ({**CREATE, "tx_index": 1.5}, "tx_index"), ({**CREATE, "slot": True}, "slot"), ({**CREATE, "signature": 7}, "signature"),
+    ({**LIQ, "quote_usd": "12,5"}, "quote_usd"), ({**LIQ, "base_usd": 3}, "base_usd"), ({**LIQ, "quote_amount": "9"}, "quote_amount"), ({**LIQ, "kind": "swap"}, "kind"),
+    (without(LIQ, "provider"), "provider"), ({**LIQ, "pool": None}, "pool"), ({**CREATE, "catchup": "yes"}, "catchup"), ({**CREATE, "indexed_at": 1_801_234_568}, "indexed_at"),
+    ({**CREATE, "block_time": 1_801_234_567_000}, "block_time"), ({**CREATE, "kind": ["token"]}, "kind"),
+]
+OTHERS = [
+    ("true", "not_an_object"), ("-1.5e3", "not_an_object"), ('[{"type":"swap"}]', "not_an_object"), ('{"type":"Swap"}', "unknown_type"), ('{"type":["swap"]}', "unknown_type"),
+    ('{"kind":"token"}', "unknown_type"), ('{"type":"swap"', "invalid_json"), ("{'type':'swap'}", "invalid_json"), (json.dumps(LIQ) + "]", "invalid_json"),
+    (json.dumps(LIQ) + " " + json.dumps(LIQ), "invalid_json"),
+]
+
+
+def test_rejections(spark):
+    cases = [(f, "invalid_shape", field) for f, field in DAMAGED] + [(f, reason, "") for f, reason in OTHERS]
+    rows = nz.validated(nz.frames_to_routed(routed(spark, [f for f, _, _ in cases]))).orderBy("id").collect()
+    for row, (frame, reason, field) in zip(rows, cases, strict=True):
+        assert row.reason == reason and (not field or any(i.startswith(field + ":") for i in row.issues)), frame
 
 
 def test_blank_and_missing_texts_are_null_and_extra_fields_are_dropped(spark):

@@ -56,15 +56,15 @@ def test_add_that_follows_the_drain_raises_nothing(spark):
 
 def amber_history():
     h = History()
-    h.create("R1", "dev", 0).graduate("R1", "dev", 10).swap("R1", "t", 20, 2000).swap("R1", "dev", 100, 1)
-    h.create("R2", "dev", 150).graduate("R2", "dev", 201)
+    h.create("First", "dev", 7).graduate("First", "dev", 33).swap("First", "buyer", 61, 3100).swap("First", "dev", 415, 2)
+    h.create("Next", "dev", 500).graduate("Next", "dev", 777)
     # Graduated before the drain, though it arrives after.
-    return h.create("R0", "dev", 40).graduate("R0", "dev", 50)
+    return h.create("Early", "dev", 90).graduate("Early", "dev", 120)
 
 
 def test_amber_needs_an_earlier_drain_of_another_token(spark):
     alerts, _ = detect(amber_history().df(spark))
-    assert set(alerts) == {"amber:R2"} and alerts["amber:R2"].n_prior == 1
+    assert set(alerts) == {"amber:Next"} and alerts["amber:Next"].n_prior == 1
 
 
 def test_amber_counts_all_earlier_drains_and_lists_the_newest(spark):
@@ -79,7 +79,7 @@ def test_amber_counts_all_earlier_drains_and_lists_the_newest(spark):
 
 
 def test_order_and_repeats_change_nothing(spark):
-    h = amber_history().liquidity("R2", "dev", 210, "add", 3000).liquidity("R2", "dev", 300, "remove", 4)
+    h = amber_history().liquidity("Next", "dev", 810, "add", 3000).liquidity("Next", "dev", 905, "remove", 4)
     ev = h.df(spark)
     want = [{k: (r.t_at, r.creator) for k, r in part.items()} for part in detect(ev)]
     for seed in (1, 2):

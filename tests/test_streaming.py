@@ -22,8 +22,8 @@ def as_stream(spark, ev, parts, delay="1 hour"):
 
 def history():
     h = History()
-    h.create("R1", "dev", 0).graduate("R1", "dev", 10).swap("R1", "t", 20, 2000).swap("R1", "dev", 100, 1)
-    h.create("R2", "dev", 150).graduate("R2", "dev", 201).liquidity("R2", "dev", 210, "add", 3000).liquidity("R2", "dev", 300, "remove", 4)
+    h.create("First", "dev", 7).graduate("First", "dev", 33).swap("First", "buyer", 61, 3100).swap("First", "dev", 215, 2)
+    h.create("Next", "dev", 250).graduate("Next", "dev", 277).liquidity("Next", "dev", 310, "add", 3000).liquidity("Next", "dev", 390, "remove", 4)
     h.create("A", "x", 5).graduate("A", "x", 15).liquidity("A", "x", 25, "add", 1500).swap("A", "t", 400, 1600)
     return h
 
@@ -46,7 +46,53 @@ def test_unresolved_alert_and_idle_token_are_reported_by_the_clock(spark):
     assert [(r.id, r.t_at) for r in out] == [("unconfirmed:A", T0 + 25)]
     out = feed.drain(lifecycle.token_records(as_stream(spark, h.df(spark), 4), fold_idle=True), "fold").filter("kind = 'outcome'").collect()
     folded = {r.mint: (r.stage, r.peak_usd and float(r.peak_usd), r.last_usd and float(r.last_usd)) for r in out}
-    assert folded["A"] == ("graduated", 1600.0, 1600.0) and folded["R2"] == ("graduated", 3000.0, 4.0) and folded["Late"] == ("created", None, None)
+    assert folded["A"] == ("graduated", 1600.0, 1600.0) and folded["Next"] == ("graduated", 3000.0, 4.0) and folded["Late"] == ("created", None, None)
+
+
+def shared_slots(spark):
+    """Every event of a minute in one slot: only the index inside it tells their order."""
+    ev = history().df(spark)
+    at = F.col("block_time_s") - F.col("block_time_s") % 60
+    pos = F.struct(at.alias("block_time_s"), F.floor(at / 60).alias("slot"), F.col("slot").alias("tx_index"))
+    return ev.withColumn("pos", pos).withColumn("block_time_s", at).withColumn("slot", F.floor(at / 60))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_order_inside_a_slot(spark, parts):
+    ev = shared_slots(spark)
+    alerts, rugs = detect(ev)
+    out = feed.drain(lifecycle.token_records(as_stream(spark, ev, parts)), "slots").collect()
+    assert {(r.id, r.t_at) for r in out if r.kind == "alert"} == {(k, r.t_at) for k, r in alerts.items() if r.level == "red"}
+    assert {(r.mint, r.t_at, r.mechanism) for r in out if r.kind == "rug"} == {(m, r.t_at, r.mechanism) for m, r in rugs.items()}
+    # Two readings of one pool in one slot: the second one drains it.
+    both = History().create("M", "dev", 0).graduate("M", "dev", 1)
+    both.slot = 9
+    both.swap("M", "t", 60, 2000)
+    both.slot = 9
+    both.swap("M", "t", 60, 1)
+    rows = both.df(spark).withColumn("pos", F.struct("block_time_s", "slot", (F.lit(5000) - F.col("usd")).cast("bigint").alias("tx_index")))
+    out = feed.drain(lifecycle.token_records(as_stream(spark, rows, 1)), "one-slot").collect()
+    assert [r.id for r in out if r.kind == "rug"] == ["rug:M"]
+
+
+def test_both_timers_at_one_moment_and_no_second_alert_after_the_fold(spark):
+    params = DEFAULTS.with_(idle_curve_s=3600, idle_graduated_s=3600, resolve_s=3600)
+    h = History().create("T", "dev", 0).liquidity("T", "dev", 10, "add", 50).create("Clock", "z", 20000).create("Tick", "z", 30000)
+    h.create("T", "dev", 40000).liquidity("T", "dev", 40010, "add", 60).create("End", "z", 90000)
+    out = feed.drain(lifecycle.token_records(as_stream(spark, h.df(spark), 7), params, fold_idle=True, resolve=True), "timers").collect()
+    said = sorted(r.id for r in out if r.mint == "T" and r.kind in ("alert", "unconfirmed"))
+    assert said == ["red:T", "unconfirmed:T"]
+    assert sum(r.kind == "outcome" and r.mint == "T" for r in out) == 2
+
+
+def test_all_earlier_drains_count_in_the_stream_too(spark):
+    h = History()
+    for i in range(25):
+        h.create(f"D{i}", "dev", i * 20).graduate(f"D{i}", "dev", i * 20 + 1).swap(f"D{i}", "t", i * 20 + 2, 2000).swap(f"D{i}", "dev", i * 20 + 3, 1)
+    h.create("Z", "dev", 900).graduate("Z", "dev", 901)
+    rows = lifecycle.amber_records(lifecycle.token_records(as_stream(spark, h.df(spark), 3)))
+    z = next(r for r in feed.drain(rows, "amber").collect() if r.mint == "Z")
+    assert z.n_prior == 25 and z.prior_rugs == ["D24", "D23", "D22", "D21", "D20"]
 
 
 def test_early_pair_events_wait_for_their_token_and_lapse(spark):
