@@ -5,12 +5,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drainwatch.catalog.adapter import EV, sql, table, token_events
+from drainwatch.catalog.adapter import EV, PARAMS, sql, table, token_events
 from drainwatch.catalog.feed_adapter import FEED, HAS_SLOT, RAW, SOL, raw_frames, routed_frames
 from drainwatch.catalog.registry import query
 from drainwatch.functions import validate as v
 from drainwatch.functions.redact import redact_secrets, redact_url
-from drainwatch.plans import dedup, joins, prices, tokens
+from drainwatch.plans import dedup, detect, joins, prices, tokens
 from drainwatch.plans import normalize as nz
 from drainwatch.session import settle, work_path
 from drainwatch.sources.tables import read_routed, write_routed
@@ -304,3 +304,11 @@ def j4(spark, sf_dir):
 def j4b(spark, sf_dir):
     ev = token_events(spark, sf_dir)
     return joins.swaps_of_known(ev.filter("type = 'swap'"), tokens.token_dim(ev)).select("slot", "mint")
+
+
+@query("E2E_batch_records")
+def e2e(spark, sf_dir):
+    """The whole way in one job, over the raw feed: alerts and drains (no SQL; held against hand-made feeds in the tests)."""
+    alerts, drains = detect.detect(raw_frames(spark, sf_dir).select("value"), PARAMS)
+    one = alerts.select("kind", "id", "mint", "creator", "t_at", F.lit(None).cast("string").alias("mechanism"))
+    return one.unionByName(drains.select("kind", "id", "mint", "creator", "t_at", "mechanism"))
