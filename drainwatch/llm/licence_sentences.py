@@ -4,7 +4,7 @@ Texts are cut into sentences, sentences are normalised (lower case, letters and
 known licence sentences by an equi-join; what a document says is then the sequence of its identifiers, and a licence is found where the sequence holds the
 sentences of one of its rules in their order, other sentences in between allowed.  Of two rules that a document meets, one that contains the other hides it.
 
-A sentence ends after . ! or ? before white space, and at an empty line.  As licences are wrapped and also stand on lines of their own, a sentence that is not known as
+A sentence ends after . ! or ? before white space, after a clause that opens a list of conditions, and at an empty line.  As licences are wrapped and also stand on lines of their own, a sentence that is not known as
 a whole is looked up line by line.  Nothing is cut: all sentences of all texts are looked up.
 
 Null and empty texts have no sentences and no licences.  Rows that repeat an id and a text get the same result each; other columns pass through.
@@ -120,7 +120,10 @@ RULES = [
 ]
 
 MARK = "\x01"
-SENTENCE_END = r"([.!?])[\x20\x09-\x0D]+"
+# The sentence table is broadcast: entries at most.
+MOST_SENTENCES = 20_000
+# Clauses that open a list of conditions end like sentences.
+SENTENCE_END = r"([.!?]|conditions:|met:)[\x20\x09-\x0D]+"
 EMPTY_LINE = r"\n[\x20\x09-\x0D]*\n"
 
 
@@ -149,12 +152,14 @@ def sentence_hits(docs: DataFrame, known: DataFrame) -> DataFrame:
     pieces = sentences.select("_row", "_pos", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("_sentence"), lines)).otherwise(F.array("_sentence"))).alias("_line", "_piece"))
     # A normal form is never longer than its text, and at most as much shorter as the wrapping of a long sentence adds.
     pieces = pieces.filter(F.length("_piece") >= (bounds[0] or 0)).select("_row", "_pos", "_line", normalised(F.col("_piece")).alias("sentence"))
-    return pieces.filter(F.length("sentence") <= (bounds[1] or 0)).join(known, "sentence").select("_row", "_pos", "_line", "sentence_id")
+    return pieces.filter(F.length("sentence") <= (bounds[1] or 0)).join(F.broadcast(known), "sentence").select("_row", "_pos", "_line", "sentence_id")
 
 
 def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """Add n_sentences (known sentences found), sentences (their ids in order) and licences (sorted names), both as text joined by commas."""
     spark = docs.sparkSession
+    if len(sentences) > MOST_SENTENCES:
+        raise ValueError("the sentence table is too large to broadcast")
     known = spark.createDataFrame([(normal(s), i) for i, s in sentences.items()], "sentence string, sentence_id string")
     rows = fresh(docs, "n_sentences", "sentences", "licences", "_row", "_of").withColumn("_row", F.xxhash64("doc_id", "text"))
     hits = sentence_hits(rows.select("_row", "text"), known)
@@ -193,7 +198,7 @@ def _oracle() -> str:
     return rf"""
 WITH known(sentence, sentence_id) AS (VALUES {known}),
 cut AS (
-  SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), '\n[\x20\x09-\x0D]*\n', chr(1), 'g'), chr(1)) AS s
+  SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '([.!?]|conditions:|met:)[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), '\n[\x20\x09-\x0D]*\n', chr(1), 'g'), chr(1)) AS s
   FROM documents WHERE text IS NOT NULL),
 sentences AS (SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS sentence FROM cut),
 pieces AS (
