@@ -152,7 +152,7 @@ def x9(spark, sf_dir):
 def x14(spark, sf_dir):
     path = work_path(spark, "records")
     rows = records(spark, sf_dir).filter(F.col("kind").isin("alert", "rug")).select("id", "t_at")
-    feed.run_to_end(rows.writeStream.foreachBatch(feed.records_sink(path)).option("checkpointLocation", f"{path}-progress"))
+    feed.run_to_end(feed.once(rows).writeStream.foreachBatch(feed.records_sink(path)).option("checkpointLocation", f"{path}-progress"))
     return spark.read.parquet(path).select("id", "t_at")
 
 

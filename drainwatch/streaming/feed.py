@@ -70,17 +70,15 @@ def stream_normalize(frames: DataFrame, good_dir: str, bad_dir: str, checkpoint:
     return frames.writeStream.foreachBatch(normalize_batches(good_dir, bad_dir)).option("checkpointLocation", checkpoint)
 
 
-def records_sink(directory: str, key: str = "id") -> Callable[[DataFrame, int], None]:
-    """Append records once per key, whatever is delivered again after a restart."""
+def once(records: DataFrame, key: str = "id") -> DataFrame:
+    """Each record once, however often it is delivered: the keys are state of the stream (records are few beside events)."""
+    return records.dropDuplicates([key])
+
+
+def records_sink(directory: str) -> Callable[[DataFrame, int], None]:
+    """A folder per batch, so a batch that is run again after a restart replaces what it wrote; nothing written earlier is read."""
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        first = batch.dropDuplicates([key])
-        out = f"{directory}/batch={number}"
-        if number > 0:
-            # Only the keys of earlier batches are read; this batch's own folder is replaced.
-            seen = spark.read.parquet(directory).filter(F.col("batch") < number).select(key).distinct()
-            first = first.join(seen, key, "left_anti")
-        first.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{directory}/batch={number}")
 
     return run
 

@@ -102,14 +102,17 @@ def test_early_pair_events_wait_for_their_token_and_lapse(spark):
     assert sorted((r.mint, r.slot, r.held) for r in out) == [("M", 2, True), ("M", 4, False)]
 
 
-def test_records_sink_writes_a_record_once(spark):
-    path = work_path(spark, "sink")
+def test_records_are_written_once_and_a_batch_replaces_itself(spark):
+    source, path = work_path(spark, "ids"), work_path(spark, "sink")
+    for ids in (["a", "b", "a"], ["b", "c"], ["c", "a"]):
+        spark.createDataFrame([(i, 1) for i in ids], "id string, t int").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("id string, t int").option("maxFilesPerTrigger", 1).parquet(source)
     sink = feed.records_sink(path)
-    batch = lambda ids: spark.createDataFrame([(i, 1) for i in ids], "id string, t int")
-    sink(batch(["a", "b", "a"]), 0)
-    sink(batch(["b", "c"]), 1)
-    sink(batch(["b", "c"]), 1)
+    feed.run_to_end(feed.once(stream).writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}-progress"))
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    for _ in range(2):
+        sink(spark.createDataFrame([("z", 1)], "id string, t int"), 99)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "z"]
 
 
 def test_stream_dedup_forgets_only_after_the_delay(spark):
