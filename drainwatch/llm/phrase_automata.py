@@ -7,8 +7,9 @@ A window is a run of ``window`` words.  A word goes if a window over it starts e
 2. Confirmation.  The windows of recurring anchors are counted by 128-bit fingerprints, all windows around one anchor at once where they are always the same; those found twice or more, with the
    place where each comes first, are the recurring passages.
 3. Automata.  Consecutive recurring windows of their first document form phrases.  Documents with recurring anchors are dealt to shards of bounded size, versions of a text to the same one, and
-   each shard compiles an automaton, whose letters are words, of the phrases that its documents' anchors name.
-4. Location.  Every such document is streamed, whole, through the automaton of its shard; every occurrence that is not the first marks its words.  Documents without recurring anchors hold no phrase.
+   each shard compiles an automaton, whose letters are words, of the anchors of the phrases that its documents can hold.
+4. Location.  Every such document is streamed, whole, through the automaton of its shard; at every occurrence the words around are compared with the phrases, word by word, and every window that
+   is not the first of its kind marks its words.  Documents without recurring anchors hold no phrase.
 
 Documents of the same words as one of a smaller doc_id are that document's copies: all their windows start earlier there, so they need no automaton.
 
@@ -25,6 +26,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def pack(text: str | None) -> bytes:
+    """A text's words, compressed: texts meet several small tables by shuffles."""
+    return zstandard.compress(b" ".join(words_of(text)), 3)
+
+
+def unpack(packed: bytes) -> list[bytes]:
+    return zstandard.decompress(packed).split()
+
+
 def anchors_of(prints: np.ndarray, how: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """For every window, by its start: its anchor, and where the anchor stands (the leftmost, of equal ones).  Places never fall."""
     if len(prints) < how.window:
@@ -87,7 +98,7 @@ def survey(docs: DataFrame, how: Phrases) -> DataFrame:
 
 
 def recurring_windows(held: DataFrame, how: Phrases) -> DataFrame:
-    """held: (_row, _id, text, anchors), the recurring anchors of each.  (_row, start, windows): windows found twice or more, where each comes first.
+    """held: (_row, _id, packed, anchors), the recurring anchors of each.  (_row, start, windows): windows found twice or more, where each comes first.
 
     The windows around one place of an anchor are counted together, as one span.  Where an anchor only ever stands in equal spans, all their windows recur
     together; only the windows of anchors with different spans are counted one by one, once for each different span.
@@ -96,19 +107,19 @@ def recurring_windows(held: DataFrame, how: Phrases) -> DataFrame:
     @F.pandas_udf("array<struct<anchor:long,k1:long,k2:long,start:int,windows:int>>")
     def spans(texts: pd.Series, anchors: pd.Series) -> pd.Series:
         names = ("anchor", "k1", "k2", "start", "windows")
-        return pd.Series([[dict(zip(names, s, strict=True)) for s in spans_of(fingerprints(words_of(t)), np.asarray(own, np.int64), how)] for t, own in zip(texts, anchors, strict=True)])
+        return pd.Series([[dict(zip(names, s, strict=True)) for s in spans_of(fingerprints(unpack(t)), np.asarray(own, np.int64), how)] for t, own in zip(texts, anchors, strict=True)])
 
     @F.pandas_udf("h1 array<long>, h2 array<long>, start array<int>, n array<long>")
     def windows(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
         rows = []
         for t, own in zip(texts, parts, strict=True):
-            prints = fingerprints(words_of(t))
+            prints = fingerprints(unpack(t))
             at = np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in own])
             n = np.repeat([p["n"] for p in own], [p["windows"] for p in own])
             rows.append((chained(prints, how.window)[at].view(np.int64), chained(mixed(prints, MIX[1]), how.window)[at].view(np.int64), at.astype(np.int32), n))
         return pd.DataFrame(rows, columns=["h1", "h2", "start", "n"])
 
-    each = held.select("_row", "_id", F.explode(spans("text", "anchors")).alias("_s")).select("_row", "_id", "_s.*")
+    each = held.select("_row", "_id", F.explode(spans("packed", "anchors")).alias("_s")).select("_row", "_id", "_s.*")
     found = each.groupBy("anchor", "k1", "k2", "windows").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "start", "_row")).alias("first"))
     found = settle(found.select("anchor", "windows", "n", "first.*"), "spans")
     kinds = found.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("kinds"))
@@ -116,40 +127,40 @@ def recurring_windows(held: DataFrame, how: Phrases) -> DataFrame:
     alike = ruled.filter("kinds = 1 AND n > 1").select("_row", "start", "windows")
 
     several = ruled.filter("kinds > 1").groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("start", "windows", "n")).alias("_parts"))
-    one = held.select("_row", "_id", "text").join(several, F.col("_row") == F.col("_of")).select("_row", "_id", windows("text", "_parts").alias("_w"))
+    one = held.select("_row", "_id", "packed").join(several, F.col("_row") == F.col("_of")).select("_row", "_id", windows("packed", "_parts").alias("_w"))
     one = one.select("_row", "_id", F.explode(F.arrays_zip("_w.h1", "_w.h2", "_w.start", "_w.n")).alias("_w")).select("_row", "_id", "_w.*")
     counted = one.groupBy("h1", "h2").agg(F.sum("n").alias("times"), F.min(F.struct("_id", "start", "_row")).alias("first")).filter("times > 1")
     return alike.union(counted.select("first._row", "first.start", F.lit(1).alias("windows")))
 
 
 def phrases(firsts: DataFrame, held: DataFrame, how: Phrases) -> DataFrame:
-    """(anchor, first, start, words, windows): consecutive recurring windows around one anchor, in the document where they come first."""
+    """(anchor, first, start, at, words, windows): consecutive recurring windows around one anchor, in the document where they come first; ``at`` is the anchor's place in the words."""
 
-    @F.pandas_udf("array<struct<anchor:long,start:int,words:string,windows:int>>")
+    @F.pandas_udf("array<struct<anchor:long,start:int,at:int,words:string,windows:int>>")
     def runs(texts: pd.Series, starts: pd.Series) -> pd.Series:
         out = []
         for t, own in zip(texts, starts, strict=True):
-            words, found = words_of(t), []
+            words, found = unpack(t), []
             own = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in own]))
             anchors, place = anchors_of(fingerprints(words), how)
             for run in np.split(own, np.flatnonzero((np.diff(own) != 1) | (np.diff(place[own]) != 0)) + 1):
                 low, high = int(run[0]), int(run[-1]) + 1
-                found.append({"anchor": int(anchors[low]), "start": low, "words": b" ".join(words[low : high + how.window - 1]).decode("utf-8", "surrogatepass"), "windows": high - low})
+                found.append({"anchor": int(anchors[low]), "start": low, "at": int(place[low]) - low, "words": b" ".join(words[low : high + how.window - 1]).decode("utf-8", "surrogatepass"), "windows": high - low})
             out.append(found)
         return pd.Series(out)
 
     starts = firsts.groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("start", "windows")).alias("_starts"))
-    both = held.select("_row", "_id", "text").join(starts, F.col("_row") == F.col("_of"))
-    return both.select(F.col("_id").alias("first"), F.explode(runs("text", "_starts")).alias("_p")).select("first", "_p.*")
+    both = held.select("_row", "_id", "packed").join(starts, F.col("_row") == F.col("_of"))
+    return both.select(F.col("_id").alias("first"), F.explode(runs("packed", "_starts")).alias("_p")).select("first", "_p.*")
 
 
 def located(held: DataFrame, known: DataFrame, how: Phrases) -> DataFrame:
-    """(_row, starts): where each document's windows repeat earlier ones.
+    """(_row, ranges): where each document's windows repeat earlier ones, as first start, last start, and so on.
 
     Documents are dealt to shards by their least recurring anchor, which versions of one text mostly share, and a shard that is too large is split.
     Each shard compiles the phrases that the anchors of its documents name, and nothing else can occur in them.
     """
-    docs = held.select("_row", F.octet_length("text").alias("_bytes"), F.array_min("anchors").alias("_least"), "anchors")
+    docs = held.select("_row", F.col("bytes").alias("_bytes"), F.array_min("anchors").alias("_least"), "anchors")
     shards = max(1, -(-(docs.agg(F.sum("_bytes")).first()[0] or 0) // how.stream))
     docs = docs.withColumn("_shard", F.pmod(F.xxhash64(F.lit(7), F.col("_least")), F.lit(shards)).cast("int"))
     parts = docs.groupBy(F.col("_shard").alias("_s")).agg(F.ceil(F.sum("_bytes") / how.stream).cast("int").alias("_parts"))
@@ -157,18 +168,21 @@ def located(held: DataFrame, known: DataFrame, how: Phrases) -> DataFrame:
     dealt = settle(dealt.select("_row", "_shard", "_part", "anchors"), "dealt")
 
     named = dealt.select("_shard", "_part", F.explode("anchors").alias("_a")).distinct()
-    tools = named.join(known, F.col("_a") == F.col("anchor")).select("_shard", "_part", "first", "start", "words", "windows")
+    tools = named.join(known, F.col("_a") == F.col("anchor")).select("_shard", "_part", "first", "start", "at", "words", "windows")
     to = dealt.select(F.col("_row").alias("_of"), F.col("_shard").alias("_to"), F.col("_part").alias("_nth"))
-    sent = held.select("_row", "_id", "text").join(to, F.col("_row") == F.col("_of")).drop("_of")
+    sent = held.select("_row", "_id", "packed").join(to, F.col("_row") == F.col("_of")).drop("_of")
 
     def stream(own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(occurrences(own, texts, how), columns=["_row", "starts"])
+        return pd.DataFrame(occurrences(own, texts, how), columns=["_row", "ranges"])
 
-    return tools.groupBy("_shard", "_part").cogroup(sent.groupBy("_to", "_nth")).applyInPandas(stream, "_row long, starts array<int>")
+    return tools.groupBy("_shard", "_part").cogroup(sent.groupBy("_to", "_nth")).applyInPandas(stream, "_row long, ranges array<int>")
 
 
 def occurrences(known: pd.DataFrame, docs: pd.DataFrame, how: Phrases) -> list[tuple[int, list[int]]]:
-    """One shard: compile its windows, stream the documents, keep every start that is not the first."""
+    """One shard: compile the phrases' anchors, stream the documents, and at every occurrence see how far the phrases reach around it.
+
+    A phrase's windows that the document's words agree with are occurrences of them; those that come after the first one count.
+    """
     if not len(known) or not len(docs):
         return []
     letters: dict[bytes, str] = {}
@@ -180,19 +194,37 @@ def occurrences(known: pd.DataFrame, docs: pd.DataFrame, how: Phrases) -> list[t
             found = letters[word] = chr(code if code < 0xD800 else code + 0x800)  # beyond the surrogates
         return found
 
-    automaton, firsts = ahocorasick.Automaton(), []
-    for first, start, words, windows in zip(known["first"], known["start"], known["words"], known["windows"], strict=True):
+    named: dict[str, list[tuple[int, int, int, str, int]]] = {}
+    for first, start, at, words, windows in zip(known["first"], known["start"], known["at"], known["words"], known["windows"], strict=True):
         text = "".join(map(letter, words_of(words)))
-        for k in range(windows):
-            automaton.add_word(text[k : k + how.window], len(firsts))
-            firsts.append((int(first), int(start) + k))
+        named.setdefault(text[at : at + how.anchor], []).append((int(first), int(start), int(at), text, int(windows)))
+    automaton = ahocorasick.Automaton()
+    for anchor, own in named.items():
+        automaton.add_word(anchor, own)
     automaton.make_automaton()
     out = []
-    for row, doc, text in zip(docs["_row"], docs["_id"], docs["text"], strict=True):
-        stream = "".join([letters.get(w, "\x01") for w in words_of(text)])
-        starts = [end - how.window + 1 for end, n in automaton.iter(stream) if (doc, end - how.window + 1) > firsts[n]]
-        if starts:
-            out.append((row, starts))
+    for row, doc, packed in zip(docs["_row"], docs["_id"], docs["packed"], strict=True):
+        stream = "".join([letters.get(w, "\x01") for w in unpack(packed)])
+        found: list[int] = []
+        for end, own in automaton.iter(stream):
+            place = end - how.anchor + 1
+            for first, start, at, text, windows in own:
+                here = place - at
+                if (doc, here) <= (first, start):
+                    continue
+                low, high = 0, windows - 1
+                if here < 0 or stream[here : here + len(text)] != text:
+                    left = right = 0
+                    while left < min(at, place) and stream[place - left - 1] == text[at - left - 1]:
+                        left += 1
+                    most = min(len(text) - at, len(stream) - place) - how.anchor
+                    while right < most and stream[end + right + 1] == text[at + how.anchor + right]:
+                        right += 1
+                    low, high = max(0, at - left), min(windows - 1, at + how.anchor + right - how.window)
+                if low <= high:
+                    found += (here + low, here + high)
+        if found:
+            out.append((row, found))
     return out
 
 
@@ -200,22 +232,22 @@ def trimmed(held: DataFrame, marks: DataFrame, how: Phrases) -> DataFrame:
     """(_of, n_removed, kept_sha256, kept_text) of the documents that lose words."""
 
     @F.pandas_udf("n_removed long, kept_sha256 string, kept_text string")
-    def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, own in zip(texts, starts, strict=True):
-            words = words_of(t)
+        for t, own in zip(texts, ranges, strict=True):
+            words = unpack(t)
             step = np.zeros(len(words) + 1, np.int64)
-            own = np.unique(np.asarray(own, np.int64))
-            step[own] += 1
-            step[own + how.window] -= 1
+            own = np.asarray(own, np.int64)
+            np.add.at(step, own[::2], 1)
+            np.add.at(step, own[1::2] + how.window, -1)
             gone = np.cumsum(step[:-1]) > 0
             kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g])
             rows.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
         return pd.DataFrame(rows, columns=["n_removed", "kept_sha256", "kept_text"])
 
-    # A document has one row of starts per shard it went to.
-    all_starts = marks.groupBy(F.col("_row").alias("_of")).agg(F.flatten(F.collect_list("starts")).alias("_starts"))
-    return held.select("_row", "text").join(all_starts, F.col("_row") == F.col("_of")).select("_of", cut("text", "_starts").alias("_c")).select("_of", "_c.*")
+    # A document went to one shard.
+    marks = marks.withColumnRenamed("_row", "_of")
+    return held.select("_row", "packed").join(marks, F.col("_row") == F.col("_of")).select("_of", cut("packed", "ranges").alias("_c")).select("_of", "_c.*")
 
 
 def remove_repeats(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
@@ -225,14 +257,21 @@ def remove_repeats(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     # The first document of each word sequence stands for its copies.
     leaders = known.filter(F.col("n_words") >= how.window).groupBy("same").agg(F.min(F.struct("_id", "_row")).alias("_lead"))
     leads = settle(leaders.select("same", F.col("_lead._id").alias("_lead_id"), F.col("_lead._row").alias("_lead_row")), "leads")
-    first = known.select("_row", "anchors").join(leads.select(F.col("_lead_row")), F.col("_row") == F.col("_lead_row"), "left_semi").dropDuplicates(["_row"])
+    copies = known.select("_row", "same").join(leads, "same").filter("_row <> _lead_row").select(F.col("_row").alias("_copy")).distinct()
+    first = known.select("_row", "anchors").join(settle(copies, "copies"), F.col("_row") == F.col("_copy"), "left_anti")
 
     marks = first.select("_row", F.explode("anchors").alias("anchor"))
     again = marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select(F.col("anchor").alias("_again"))
     again = settle(again, "recurring-anchors")
     own = marked(marks, "anchor", again, "_again").join(again, F.col("anchor") == F.col("_again")).groupBy(F.col("_row").alias("_of")).agg(F.collect_set("anchor").alias("anchors"))
     own = settle(own, "anchors")
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(pack)
+
     texts = marked(docs.select(F.xxhash64("doc_id", "text").alias("_row"), last.alias("_id"), "text"), "_row", own, "_of")
+    texts = texts.select("_row", "_id", F.octet_length("text").alias("bytes"), packed("text").alias("packed"))
     held = settle(texts.join(own, F.col("_row") == F.col("_of")).drop("_of").dropDuplicates(["_row"]), "held")
 
     known_phrases = settle(phrases(settle(recurring_windows(held, how), "windows"), held, how), "phrases")
