@@ -8,8 +8,8 @@ A window is a run of ``window`` words.  A word goes if a window over it starts e
    place where each comes first, are the recurring passages.
 3. Automata.  Consecutive recurring windows of their first document form phrases.  Documents with recurring anchors are dealt to shards of bounded size, versions of a text to the same one, and
    each shard compiles an automaton, whose letters are words, of the anchors of the phrases that its documents can hold.
-4. Location.  Every such document is streamed, whole, through the automaton of its shard; at every occurrence the words around are compared with the phrases, word by word, and every window that
-   is not the first of its kind marks its words.  Documents without recurring anchors hold no phrase.
+4. Location.  Every such document is streamed, whole, through the automaton of its shard; at every occurrence the windows that hold it are looked up among the recurring ones, word by word,
+   and every window that is not the first of its kind marks its words.  Documents without recurring anchors hold no phrase.
 
 Documents of the same words as one of a smaller doc_id are that document's copies: all their windows start earlier there, so they need no automaton.
 
@@ -179,9 +179,9 @@ def located(held: DataFrame, known: DataFrame, how: Phrases) -> DataFrame:
 
 
 def occurrences(known: pd.DataFrame, docs: pd.DataFrame, how: Phrases) -> list[tuple[int, list[int]]]:
-    """One shard: compile the phrases' anchors, stream the documents, and at every occurrence see how far the phrases reach around it.
+    """One shard: compile the phrases' anchors, stream the documents, and at every occurrence look up the windows that hold it.
 
-    A phrase's windows that the document's words agree with are occurrences of them; those that come after the first one count.
+    Every window of a document is looked up once at most, whatever the number of phrases that share an anchor; the ones that come after the first of their kind count.
     """
     if not len(known) or not len(docs):
         return []
@@ -194,35 +194,28 @@ def occurrences(known: pd.DataFrame, docs: pd.DataFrame, how: Phrases) -> list[t
             found = letters[word] = chr(code if code < 0xD800 else code + 0x800)  # beyond the surrogates
         return found
 
-    named: dict[str, list[tuple[int, int, int, str, int]]] = {}
-    for first, start, at, words, windows in zip(known["first"], known["start"], known["at"], known["words"], known["windows"], strict=True):
+    automaton, firsts = ahocorasick.Automaton(), {}
+    for first, start, at, words, windows in zip(known["first"].tolist(), known["start"].tolist(), known["at"].tolist(), known["words"], known["windows"].tolist(), strict=True):
         text = "".join(map(letter, words_of(words)))
-        named.setdefault(text[at : at + how.anchor], []).append((int(first), int(start), int(at), text, int(windows)))
-    automaton = ahocorasick.Automaton()
-    for anchor, own in named.items():
-        automaton.add_word(anchor, own)
+        automaton.add_word(text[at : at + how.anchor], at)
+        for k in range(windows):
+            firsts[text[k : k + how.window]] = (first, start + k)
     automaton.make_automaton()
     out = []
     for row, doc, packed in zip(docs["_row"], docs["_id"], docs["packed"], strict=True):
         stream = "".join([letters.get(w, "\x01") for w in unpack(packed)])
         found: list[int] = []
-        for end, own in automaton.iter(stream):
+        seen, last = 0, len(stream) - how.window
+        for end, _ in automaton.iter(stream):
             place = end - how.anchor + 1
-            for first, start, at, text, windows in own:
-                here = place - at
-                if (doc, here) <= (first, start):
-                    continue
-                low, high = 0, windows - 1
-                if here < 0 or stream[here : here + len(text)] != text:
-                    left = right = 0
-                    while left < min(at, place) and stream[place - left - 1] == text[at - left - 1]:
-                        left += 1
-                    most = min(len(text) - at, len(stream) - place) - how.anchor
-                    while right < most and stream[end + right + 1] == text[at + how.anchor + right]:
-                        right += 1
-                    low, high = max(0, at - left), min(windows - 1, at + how.anchor + right - how.window)
-                if low <= high:
-                    found += (here + low, here + high)
+            for here in range(max(seen, end - how.window + 1), min(place, last) + 1):
+                earlier = firsts.get(stream[here : here + how.window])
+                if earlier is not None and (doc, here) > earlier:
+                    if found and found[-1] == here - 1:
+                        found[-1] = here
+                    else:
+                        found += (here, here)
+            seen = max(seen, place + 1)
         if found:
             out.append((row, found))
     return out
