@@ -51,11 +51,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The encoding of every row of the mix: numbers of ids and byte ids, the print of the sequence, and whether it decodes to the text."""
+    """The encoding of every row of the mix: its ids, the numbers of ids and byte ids, the print of the sequence, and whether its decoding is the text."""
     import public_tokenizers
 
     ready(spark)
-    return encode_prints(docs, PieceModel(public_tokenizers.path(VOCABULARY)))
+    return encode_prints(docs, PieceModel(public_tokenizers.path(VOCABULARY))).drop("decoded")
 
 
 STAGES = [("quality", quality), ("near_duplicate", near_duplicate), ("substring", substring), ("mixing", mixing), ("pieces", pieces)]

@@ -5,8 +5,9 @@ exploded and equi-joined to the piece table, the matches are the edges of the se
 them into the segmentation.  For a model of merges, as the public one is, the best path is the one its merges take: edges are folded in the order of their merges (the best score first, then
 from the left), and an edge is taken if just two pieces stand on its span.  What stands inside a span develops alike whatever stands around it, so one pass is the library's result.
 
-A document is the sequence of its segments' ids.  ``encode`` writes it out; ``encode_prints`` gives counts and a print of the sequence without moving the texts: a bounded
-table of the most frequent segments is broadcast, the other segments meet the lexicon by a shuffled join, and sums per document combine before the shuffle.
+A document is the sequence of its segments' ids, and ``encode`` gives every document its own: a bounded table of the most frequent segments is broadcast, the other segments
+meet the lexicon by a shuffled join, and the parts of a document are put in order where its key is.  ``decode`` reads a document's whole sequence back, row by row, by looking
+every id up among the pieces.  ``encode_prints`` is both, one after the other, with the counts, the print of the sequence and the comparison of the decoded text with the text.
 
 Null and empty texts have no ids and decode to the empty text.  Blanks other than the space, unknown characters and controls become byte pieces, as in the library.  A text that itself holds the
 character for spaces decodes to spaces (round_trip is false for it, as with the library).  Rows that repeat an id and a text get the same result each; other columns pass through.
@@ -111,19 +112,6 @@ def lexicon(words: DataFrame, model: PieceModel) -> DataFrame:
     return grouped.select("segment", *kept, F.flatten(F.transform("_tokens", lambda t: t["_ids"])).alias("ids"))
 
 
-def decoded(rows: DataFrame, model: PieceModel, key: list[str]) -> DataFrame:
-    """rows: key columns and ids.  Returns the key and _decoded: the pieces' text, spaces still written as in the vocabulary.
-
-    Ids become pieces by an equi-join; runs of byte pieces are put together before they are read as UTF-8.
-    """
-    spark = rows.sparkSession
-    parts = spark.createDataFrame([(i, p.encode().hex()) for p, i, _ in model.pieces] + [(model.first_byte + b, f"{b:02x}") for b in range(256)], "id int, raw string")
-    each = rows.select(*key, F.posexplode("ids").alias("_at", "_id")).join(F.broadcast(parts), F.col("_id") == F.col("id"), "left")
-    joined = each.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_at", "raw"))).alias("_parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("_parts", lambda p: p["raw"]), "")), "UTF-8")
-    return joined.select(*key, text.alias("_decoded"))
-
-
 def words_of(docs: DataFrame) -> DataFrame:
     """(_row, _at, segment) of all segments of all texts."""
     return docs.filter("text IS NOT NULL").select("_row", F.posexplode(segments(F.col("text"))).alias("_at", "segment"))
@@ -133,61 +121,63 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
 
 
+def sequences(rows: DataFrame, model: PieceModel) -> DataFrame:
+    """rows: _row and text.  (_of, _ids): the whole sequence of every text that has one, once per key."""
+    words = words_of(rows)
+    lex = lexicon(words.groupBy("segment").agg(F.count(F.lit(1)).alias("n")), model).select(F.col("segment").alias("_w"), "n", "ids")
+    lex = settle(lex, "lexicon")
+
+    # Bounded: FREQUENT rows, none of more than BITS characters.
+    frequent = F.broadcast(lex.filter(F.length("_w") <= BITS).orderBy(F.desc("n"), "_w").limit(FREQUENT).drop("n"))
+    met = F.col("segment") == F.col("_w")
+    each = words.join(frequent, met).select("_row", "_at", "ids").union(words.join(frequent, met, "left_anti").join(lex, met).select("_row", "_at", "ids"))
+    parts = each.groupBy(F.col("_row").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("_at", "ids"))).alias("_parts"))
+    # Rows that repeat an id and a text have their segments listed together: of each place, one counts.
+    once = F.expr("IF(size(_parts) = element_at(_parts, -1)._at + 1, _parts, filter(_parts, (p, i) -> i = 0 OR p._at <> _parts[i - 1]._at))")
+    return parts.select("_of", F.flatten(F.transform(once, lambda p: p["ids"])).alias("_ids"))
+
+
 def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """Add ids: every text's whole sequence.  All segments of the texts are shuffled twice; see ``encode_prints`` for counts."""
-    rows = keyed(fresh(docs, "ids", "_row", "_of", "_parts"))
-    words = words_of(rows.select("_row", "text").distinct())
-    lex = settle(lexicon(words.groupBy("segment").agg(F.count(F.lit(1)).alias("n")), model), "lexicon").withColumnRenamed("segment", "_w")
-    each = words.join(lex, F.col("segment") == F.col("_w")).groupBy(F.col("_row").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("_at", "ids"))).alias("_parts"))
-    out = rows.join(each, F.col("_row") == F.col("_of"), "left")
-    ids = F.coalesce(F.flatten(F.transform("_parts", lambda p: p["ids"])), F.array().cast("array<int>"))
-    return out.withColumn("ids", ids).drop("_row", "_of", "_parts")
+    """Add ids: every text's whole sequence."""
+    rows = keyed(fresh(docs, "ids", "_row", "_of", "_ids"))
+    out = rows.join(sequences(rows.select("_row", "text"), model), F.col("_row") == F.col("_of"), "left")
+    return out.withColumn("ids", F.coalesce("_ids", F.array().cast("array<int>"))).drop("_row", "_of", "_ids")
 
 
 def decode(rows: DataFrame, model: PieceModel) -> DataFrame:
-    """Add decoded to rows with ids: pieces become text, written spaces become spaces, the one in front goes."""
-    held = fresh(rows, "decoded", "_key", "_k", "_decoded").withColumn("_key", F.xxhash64("ids"))
-    text = decoded(held.select("_key", "ids").distinct(), model, ["_key"]).withColumnRenamed("_key", "_k")
-    plain = F.coalesce(F.regexp_replace(F.translate("_decoded", SPACE, " "), "^ ", ""), F.lit(""))
-    return held.join(text, F.col("_key") == F.col("_k"), "left").withColumn("decoded", plain).drop("_key", "_k", "_decoded")
+    """Add decoded to rows with ids: pieces become text, written spaces become spaces, the one in front goes.
 
+    Runs of byte pieces are put together before they are read as UTF-8.  Ids that stand for no text give none.
+    """
+    raw = {i: p.encode().hex() for p, i, _ in model.pieces} | {model.first_byte + b: f"{b:02x}" for b in range(256)}
+    # One literal, folded into one array: the look-up of an id is by its place.
+    pieces = F.split(F.lit(",".join(raw.get(i, "") for i in range(max(raw) + 1))), ",")
+    text = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get(pieces, i)), "")), "UTF-8")
+    plain = F.regexp_replace(F.translate(text, SPACE, " "), "^ ", "")
+    return fresh(rows, "decoded").withColumn("decoded", F.coalesce(plain, F.lit("")))
 
-def encode_prints(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """Add n_tokens, n_byte_tokens, ids_print (of the sequence: which ids at which segment) and round_trip (the ids decode to the text)."""
-    sums = ("_tokens", "_bytes", "_low", "_high", "_bad", "_copies")
-    rows = keyed(fresh(docs, "n_tokens", "n_byte_tokens", "ids_print", "round_trip", "_row", "_of", "_spaced", *sums))
-    words = words_of(rows)
-    lex = settle(lexicon(words.groupBy("segment").agg(F.count(F.lit(1)).alias("n")), model), "lexicon")
-    back = decoded(lex.select("segment", "ids"), model, ["segment"]).select(F.col("segment").alias("_s"), (F.col("_decoded") == F.col("segment")).alias("good"))
-    byte = F.size(F.filter("ids", lambda i: (i >= model.first_byte) & (i < model.first_byte + 256)))
-    facts = lex.join(back, F.col("segment") == F.col("_s")).select(F.col("segment").alias("_w"), "n", F.size("ids").alias("tokens"), byte.alias("bytes"), F.xxhash64("ids").alias("print"), "good")
-    facts = settle(facts, "lexicon-facts")
 
-    # Bounded: FREQUENT rows, none of more than BITS characters.
-    frequent = F.broadcast(facts.filter(F.length("_w") <= BITS).orderBy(F.desc("n"), "_w").limit(FREQUENT).drop("n"))
-    met = F.col("segment") == F.col("_w")
+def encode_prints(docs: DataFrame, model: PieceModel) -> DataFrame:
+    """Instead of text: ids, decoded, n_tokens, n_byte_tokens, ids_print (of the sequence) and round_trip (the decoded text is the text).
 
-    def summed(each: DataFrame) -> DataFrame:
-        place = F.xxhash64("_at", "print")
-        return each.groupBy("_row").agg(
-            F.sum("tokens").alias("_tokens"), F.sum("bytes").alias("_bytes"), F.sum(place.bitwiseAND(F.lit(0xFFFFFFFF))).alias("_low"), F.sum(F.shiftrightunsigned(place, 32)).alias("_high"),
-            F.sum((~F.col("good")).cast("int")).alias("_bad"), F.sum((F.col("_at") == 0).cast("int")).alias("_copies"),
-        )
-
-    parts = summed(words.join(frequent, met)).union(summed(words.join(frequent, met, "left_anti").join(facts, met)))
-    total = parts.groupBy(F.col("_row").alias("_of")).agg(*[F.sum(c).alias(c) for c in sums])
-    # Rows that repeat are summed up together: every sum is a multiple of their number.
-    whole = lambda c: F.expr(f"coalesce({c} div _copies, 0L)")
-    out = rows.withColumn("_spaced", F.coalesce(F.col("text").contains(SPACE), F.lit(False))).drop("text").join(total, F.col("_row") == F.col("_of"), "left")
+    The texts stay where they are read; of each, its length and hash go along to be compared with the decoded one's.
+    """
+    rows = fresh(docs, "ids", "decoded", "n_tokens", "n_byte_tokens", "ids_print", "round_trip", "_row", "_of", "_ids", "_size", "_hash")
+    facts = lambda text: (F.length(text), F.xxhash64(text))
+    own = keyed(rows).withColumns(dict(zip(("_size", "_hash"), facts(F.coalesce("text", F.lit(""))), strict=True)))
+    out = own.drop("text").join(sequences(own.select("_row", "text"), model), F.col("_row") == F.col("_of"), "left")
+    out = decode(out.withColumn("ids", F.coalesce("_ids", F.array().cast("array<int>"))), model)
+    size, hashed = facts(F.col("decoded"))
+    byte = F.size(F.filter("ids", lambda i: (i >= model.first_byte) & (i < model.first_byte + 256)))
     out = out.withColumns(
         {
-            "n_tokens": whole("_tokens"),
-            "n_byte_tokens": whole("_bytes"),
-            "ids_print": F.concat(F.lpad(F.lower(F.hex(whole("_high"))), 12, "0"), F.lpad(F.lower(F.hex(whole("_low"))), 12, "0")),
-            "round_trip": (F.coalesce("_bad", F.lit(0)) == 0) & ~F.col("_spaced"),
+            "n_tokens": F.size("ids").cast("long"),
+            "n_byte_tokens": byte.cast("long"),
+            "ids_print": F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(F.lit(k), "ids"))), 16, "0") for k in (0, 1)]),
+            "round_trip": (F.col("_size") == size) & (F.col("_hash") == hashed),
         }
     )
-    return out.drop("_row", "_of", "_spaced", *sums)
+    return out.drop("_row", "_of", "_ids", "_size", "_hash")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,16 @@ def test_frequent_segments_and_the_others_give_the_same(docs, texts, monkeypatch
 def test_other_models_are_refused(tmp_path):
     with pytest.raises(Exception, match=""):
         PieceModel(str(tmp_path / "none.model"))
+
+
+def test_the_query_gives_the_ids_and_the_decoded_text_of_every_document(spark, tmp_path, library):
+    import corpus_pipeline
+    from drainwatch.llm.piece_lattice import op8_sentencepiece
+
+    rows = [(1, "Some words, and some more.", "en", "s", 0), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, "日本 ▁ x", "en", "s", 0), (None, "twice twice", "en", "s", 0), (None, "twice twice", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((str(i), library(t), (t or "").replace("▁", " "), "▁" not in (t or "")) for i, t, *_ in rows)
+    got = op8_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), list(r.ids), r.decoded, r.round_trip) for r in got) == want
+    stage = corpus_pipeline.pieces(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), list(r.ids)) for r in stage) == [w[:2] for w in want]
