@@ -2,12 +2,13 @@
 
 All pages of a host are merged into one tree of style nodes (paths of tags with their classes).  A node is as important as its presentation
 and its content vary: the entropy of the child sequences seen under it over the host's pages, and, for what stands below it, one less the entropy of each
-text block's spread over the pages.  Branches of low importance (the same menu, notice or link list on page after page) are cut from every page.  Elements whose tag, class or
+text block's spread over the pages.  Branches of low importance (the same menu, notice or link list on page after page) are cut from every page, but never inside an article or main
+element: what recurs there, as headings and table heads do, is the article's own.  Elements whose tag, class or
 role says that they are not the article are cut without counting, as a host of one page has nothing to compare.  From the rest the article
 is taken, or the main element, or the body, whichever is there first.
 
-A null or empty page gives the empty text.  Pages without a host are judged by their elements alone.  Exact copies of a page count once in
-the tree, so a page that was crawled many times is not taken for boilerplate.  Repeated rows give repeated results; other columns pass through.  Nodes nested deeper
+A null or empty page gives the empty text.  Pages without a host are judged by their elements alone.  Pages of a host with the same text, before any branch is cut, count once in
+the tree, whatever else their html holds, so an article that was crawled many times is not taken for boilerplate.  Without an article or main element, copies that differ in a block which nothing marks as noise count as pages of their own.  Repeated rows give repeated results; other columns pass through.  Nodes nested deeper
 than MAX_DEPTH share the style node of that depth (their text is kept).
 """
 
@@ -143,15 +144,19 @@ def parse(html: str | None) -> tuple[list[tuple[str, str, int, bool]], dict[str,
     return blocks, styles
 
 
+def found_blocks(blocks: list[tuple[str, str, int, bool]]) -> list[tuple[str, str, int, bool]]:
+    """The blocks outside noise of the article, or of the main element, or of the whole page, whichever is there first."""
+    own = [b for b in blocks if not b[3]]
+    for least in (2, 1):
+        if any(b[2] >= least for b in own):
+            return [b for b in own if b[2] >= least]
+    return own
+
+
 def main_text(html: str | None, cut) -> str:
     """The page's text without noise and without the branches in ``cut`` (style paths)."""
-    blocks, _ = parse(html)
     cut = [] if cut is None else list(cut)
-    kept = [b for b in blocks if not b[3] and not any(b[0] == c or b[0].startswith(c + "/") for c in cut)]
-    for least in (2, 1):
-        if any(b[2] >= least and not b[3] for b in blocks):
-            kept = [b for b in kept if b[2] >= least]
-            break
+    kept = [b for b in found_blocks(parse(html)[0]) if b[2] or not any(b[0] == c or b[0].startswith(c + "/") for c in cut)]
     return "\n".join(b[1] for b in kept)
 
 
@@ -159,23 +164,26 @@ def _feature(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def page_features(html: str | None) -> list[tuple[str, bool, int]]:
-    """(style path, is content, feature), each once per page: the child sequence of every node, the text of every block outside noise."""
+def page_features(html: str | None) -> tuple[int, list[tuple[str, bool, int]]]:
+    """The print of the page's text, and (style path, is content, feature), each once per page: the child sequence of every node, the text of every block outside noise."""
     blocks, styles = parse(html)
     out = {(p, False, _feature(" ".join(dict.fromkeys(c)))) for p, c in styles.items() if p}
     out |= {(b[0], True, _feature(b[1])) for b in blocks if not b[3]}
-    return sorted(out)
+    return _feature("\n".join(b[1] for b in found_blocks(blocks))), sorted(out)
 
 
 def branch_importance(pages: DataFrame, how: StyleTree = StyleTree()) -> DataFrame:
     """(host, path, pages, importance) of every style node of every host.  Only counts are shuffled."""
 
-    @F.pandas_udf("array<struct<path:string,content:boolean,feature:long>>")
-    def features(htmls: pd.Series) -> pd.Series:
-        return pd.Series([[{"path": p, "content": c, "feature": f} for p, c, f in page_features(h)] for h in htmls])
+    @F.pandas_udf("text long, features array<struct<path:string,content:boolean,feature:long>>")
+    def features(htmls: pd.Series) -> pd.DataFrame:
+        parsed = [page_features(h) for h in htmls]
+        return pd.DataFrame({"text": [t for t, _ in parsed], "features": [[{"path": p, "content": c, "feature": f} for p, c, f in own] for _, own in parsed]})
 
-    own = pages.filter("_host IS NOT NULL AND html IS NOT NULL").select(F.xxhash64("html").alias("_page"), "_host", F.explode(features("html")).alias("_f"))
-    once = own.select("_host", "_page", "_f.*").distinct()
+    own = pages.filter("_host IS NOT NULL AND html IS NOT NULL").select(F.xxhash64("html").alias("_html"), "_host", features("html").alias("_page"))
+    # Of the pages with one text, one stands for all: each has one child sequence per node.
+    each = own.groupBy("_host", F.col("_page.text").alias("_text")).agg(F.min_by("_page.features", "_html").alias("_features"))
+    once = each.select("_host", F.explode("_features").alias("_f")).select("_host", "_f.*")
     # Written once: several aggregates read it, and each would parse the pages again.
     counted = settle(once.groupBy("_host", "path", "content", "feature").agg(F.count(F.lit(1)).alias("n")), "style-counts")
     # Each page has one child sequence per node, so their counts add up to the node's pages.

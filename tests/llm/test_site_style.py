@@ -66,3 +66,21 @@ def test_importance_is_low_for_what_repeats(spark):
     pages = spark.createDataFrame(rows, "html string").withColumn("_host", F.lit("h"))
     got = {r.path: (r.pages, r.importance) for r in branch_importance(pages, StyleTree()).collect()}
     assert got["/body/div.a"][0] == 10 and got["/body/div.a"][1] < 0.01 and got["/body/div.b/p"][1] > 0.89
+
+
+def test_the_cut_spares_articles_and_copies_count_by_their_text(spark):
+    rows, want = [], {}
+    for i in range(20):
+        # Headings and table heads recur in the articles of a host.
+        rows.append((i, f"http://papers.example/{i}", f"<body><article><h2>Introduction</h2><p>own {i}</p><table><tr><th>Price</th><td>{i}</td></tr></table></article></body>"))
+        want[i] = f"Introduction\nown {i}\nPrice\n{i}"
+        rows.append((100 + i, f"http://shop.example/{i}", f"<body><div class='box'>Same</div><main><h2>Results</h2><p>own {i}</p></main></body>"))
+        want[100 + i] = f"Results\nown {i}"
+    for i in range(100):
+        # One article on most of the pages, each time in another html: in the script, the menu and an attribute.
+        text = "often crawled" if i < 90 else f"own {i}"
+        rows.append((200 + i, f"http://copies.example/{i}", f"<body><script>{i}</script><nav>menu {i}</nav><article data-id='{i}'><p>{text}</p></article></body>"))
+        rows.append((300 + i, f"http://plain.example/{i}", f"<body><script>{i}</script><nav>menu {i}</nav><div class='text' data-id='{i}'><p>{text}</p></div></body>"))
+        want[200 + i] = want[300 + i] = text
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_text(pages).collect()} == want
