@@ -2,8 +2,9 @@
 
 A pass draws random hyperplanes, writes the sides a vector lies on as one number (the concatenated hashes) and sorts the vectors of each label by it.
 Vectors of small angle share long beginnings of that number and come to stand near each other; each is compared with its neighbours of the sorted order, and the
-pairs of enough cosine are united across passes.  The number of passes follows from the largest label, such that a pair right at the limit meets with
-probability ``recall`` at every size.  The sorted order is cut by ranges, not by labels, so one label may hold most of the rows; ties are spread by a hash.
+pairs of enough cosine are united across passes.  Vectors are hashed as they lie about their label's mean, as vectors of a common direction would crowd on a few numbers.
+Passes come in rounds.  The passes of a round follow from the labels' sizes and means, such that a pair right at the limit meets with probability ``recall`` where a label's vectors
+are spread evenly about their mean; where they are not, further rounds of other planes follow until one unites nothing new.  The sorted order is cut by ranges, not by labels, so one label may hold most of the rows; ties are spread by a hash.
 
 A window shows some links of a dense group, enough to find its members.  All links inside each found component are then counted exactly, block against block, so
 neither copies nor dense groups lose links to the window's bound, and no pair of them is ever written out.
@@ -28,6 +29,10 @@ from drainwatch.llm.common import fresh, settle, table
 from drainwatch.llm.components import components, linked
 
 BITS = 48
+# Cosine about the mean for which a round's passes are reckoned, at least.
+LEAST_ABOUT = 0.7
+# Sums of labels that a task holds, at most.
+HELD = 4096
 
 
 @dataclass(frozen=True)
@@ -39,23 +44,27 @@ class Passes:
     seed: int = 9
 
 
-def passes_for(largest: int, how: Passes) -> int:
-    """So many passes that two vectors of cosine ``least`` share a window at least once with probability ``recall``."""
+def passes_for(largest: int, how: Passes, common: float = 0.0) -> int:
+    """So many passes that two vectors of cosine ``least`` share a window at least once with probability ``recall``.
+
+    common: the mean cosine of the label's vectors.  About their mean the two are less alike; below ``LEAST_ABOUT`` rounds make up for it.
+    """
     bits = max(0.0, math.log2(max(1, largest) / how.window))
-    once = (1 - math.acos(how.least) / math.pi) ** bits
+    about = max((how.least - common) / (1 - common), min(LEAST_ABOUT, how.least)) if common < how.least else min(LEAST_ABOUT, how.least)
+    once = (1 - math.acos(about) / math.pi) ** bits
     return max(1, math.ceil(math.log(1 - how.recall) / math.log(1 - min(once, 0.99))))
 
 
-def hashes(vectors: list, passes: int, seed: int) -> list[list[int]]:
-    """One number per vector and pass; vectors may differ in length."""
+def hashes(vectors: list, centres: list, passes: int, seed: int, first: int) -> list[list[int]]:
+    """One number per vector and pass (from the pass ``first`` on); vectors may differ in length."""
     out: list = [None] * len(vectors)
     by: dict[int, list[int]] = {}
     for i, v in enumerate(vectors):
         by.setdefault(len(v), []).append(i)
     for dim, rows in by.items():
-        x = np.array([vectors[i] for i in rows], np.float64)
+        x = units([vectors[i] for i in rows]) - np.array([np.asarray(centres[i], np.float64) for i in rows])
         codes = []
-        for p in range(passes):
+        for p in range(first, first + passes):
             planes = np.random.default_rng([seed, dim, p]).standard_normal((dim, BITS))
             codes.append((x @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)))
         for i, c in zip(rows, np.array(codes).T.tolist(), strict=True):
@@ -69,6 +78,35 @@ def units(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def partial_sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(_key, _dim, n, sums) of the unit vectors of each label, one row per task and label."""
+    held: dict[tuple, list] = {}
+
+    def rows() -> pd.DataFrame:
+        out = pd.DataFrame([(*k, n, x.tolist()) for k, (n, x) in held.items()], columns=["_key", "_dim", "n", "sums"])
+        held.clear()
+        return out
+
+    for part in parts:
+        for (key, dim), own in part.groupby(["_key", "_dim"], sort=False):
+            n, x = held.get((key, dim), (0, 0.0))
+            held[key, dim] = (n + len(own), x + units(own["_vector"].tolist()).sum(0))
+        if len(held) > HELD:
+            yield rows()
+    if held:
+        yield rows()
+
+
+def label_centres(classes: DataFrame) -> DataFrame:
+    """(_key, _dim, n, centre, common) of each label: the mean of its unit vectors, and their mean cosine."""
+    sums = classes.select("_key", "_dim", "_vector").mapInPandas(partial_sums, "_key long, _dim int, n long, sums array<double>")
+    # Rows are per task and label; their components add up before the shuffle.
+    each = sums.select("_key", "_dim", "n", F.posexplode("sums").alias("_at", "x")).groupBy("_key", "_dim", "_at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    mean = (F.col("x") / F.col("n")).cast("float")
+    placed = each.groupBy("_key", "_dim").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("_at", mean.alias("x")))).alias("_all"), F.sum(mean * mean).alias("common"))
+    return placed.select("_key", "_dim", "n", F.transform("_all", lambda a: a["x"]).alias("centre"), "common")
+
+
 def neighbour_links(parts: Iterator[pd.DataFrame], how: Passes) -> Iterator[pd.DataFrame]:
     """Walk a sorted part, each block of ``window`` rows against itself and the block before it."""
     before, waiting = None, None
@@ -117,22 +155,31 @@ def near_vectors(rows: DataFrame, how: Passes = Passes()) -> DataFrame:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
     merged = usable.groupBy(F.col("label").alias("_label"), F.col("embedding").alias("_vector")).agg(F.min("vec_id").cast("long").alias("id"), F.count(F.lit(1)).alias("_times"))
-    classes = settle(merged.withColumns({"_dim": F.size("_vector"), "_class": F.xxhash64("_label", "_vector", "id")}), "vectors")
+    classes = settle(merged.withColumns({"_dim": F.size("_vector"), "_class": F.xxhash64("_label", "_vector", "id"), "_key": F.xxhash64("_label")}), "vectors")
+
+    centres = settle(label_centres(classes), "label-centres")
+    reckoned = F.udf(lambda n, common: passes_for(n, how, common), "int")
+    # Labels of a window or less need one pass or two, whatever their mean.
+    most = centres.filter(F.col("n") > how.window).agg(F.max(reckoned("n", "common"))).first()[0]
+    passes = max(passes_for(1, how), most or 0)
+    parts = max(1, math.ceil(classes.count() * passes / 20_000))
+    about = classes.join(centres.select("_key", "_dim", "centre"), ["_key", "_dim"])
+    order = ["_pass", "_label", "_dim", "_code", "_tie"]
 
-    largest = classes.groupBy("_label", "_dim").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest, how)
+    def pairs(first: int) -> DataFrame:
+        @F.pandas_udf("array<long>")
+        def codes(vectors: pd.Series, own: pd.Series) -> pd.Series:
+            return pd.Series(hashes(vectors.tolist(), own.tolist(), passes, how.seed, first))
 
-    @F.pandas_udf("array<long>")
-    def codes(vectors: pd.Series) -> pd.Series:
-        return pd.Series(hashes(vectors.tolist(), passes, how.seed))
+        placed = about.select("id", "_label", "_dim", "_vector", F.posexplode(codes("_vector", "centre")).alias("_pass", "_code")).withColumn("_tie", F.xxhash64("id", "_pass"))
+        ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        return ordered.mapInPandas(lambda it: neighbour_links(it, how), "a long, b long")
 
-    placed = classes.select("id", "_label", "_dim", "_vector", F.posexplode(codes("_vector")).alias("_pass", "_code")).withColumn("_tie", F.xxhash64("id", "_pass"))
-    order = ["_pass", "_label", "_dim", "_code", "_tie"]
-    parts = max(1, math.ceil(largest and classes.count() * passes / 20_000))
-    ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = ordered.mapInPandas(lambda it: neighbour_links(it, how), "a long, b long")
     # Rows of one id are one node, whatever vectors they hold.
-    groups = settle(components(found), "vector-components")
+    groups, first, united = settle(components(pairs(0)), "vector-components"), 0, 0
+    while (now := groups.filter("id <> component_id").count()) > united:
+        united, first = now, first + passes
+        groups = settle(components(pairs(first).union(groups.select("id", "component_id"))), "vector-components")
 
     # All links inside the components: classes are dealt to blocks by hash, and every two blocks of a component meet once.
     inside = classes.join(groups, "id")

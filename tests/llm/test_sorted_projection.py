@@ -62,3 +62,19 @@ def test_passes_hold_the_recall_at_every_size():
         bits = max(0.0, math.log2(n / 128))
         p = (1 - math.acos(0.93) / math.pi) ** bits
         assert 1 - (1 - min(p, 0.99)) ** passes_for(n, Passes()) >= 0.999
+
+
+def test_labels_of_a_common_direction_keep_their_pairs(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, pairs, dim = 3000, 500, 64
+    # All vectors have a cosine of about 0.8, the pairs one of about 0.94.
+    own = unit(rng.standard_normal((n, dim)))
+    own[pairs : 2 * pairs] = unit(0.7 * own[:pairs] + math.sqrt(1 - 0.7**2) * unit(rng.standard_normal((pairs, dim))))
+    shared = np.zeros(dim)
+    shared[0] = 1.0
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(math.sqrt(0.8) * shared + math.sqrt(0.2) * own)]
+    want = brute(rows, 0.93)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(frame(spark, rows), Passes(window=16)).collect()}
+    linked = [i for i in want if want[i][0]]
+    assert len(linked) > pairs and sum(got[i] == want[i] for i in linked) >= 0.998 * len(linked)
