@@ -4,8 +4,8 @@ Texts are cut into sentences, sentences are normalised (lower case, letters and
 known licence sentences by an equi-join; what a document says is then the sequence of its identifiers, and a licence is found where the sequence holds the
 sentences of one of its rules in their order, other sentences in between allowed.  Of two rules that a document meets, one that contains the other hides it.
 
-A sentence ends after . ! or ? before white space, after a clause that opens a list of conditions, and at an empty line.  As licences are wrapped and also stand on lines of their own, a sentence that is not known as
-a whole is looked up line by line.  Nothing is cut: all sentences of all texts are looked up.
+A sentence ends after . ! or ? before white space, after a clause that opens a list of conditions, and at a line that is empty but for comment marks.  As licences are wrapped and also stand on lines of their own, a sentence that is not known as
+a whole is looked up line by line, and in runs of lines: where a line is the beginning of a known sentence, the lines behind it are put to it.  Nothing is cut: all sentences of all texts are looked up.
 
 Null and empty texts have no sentences and no licences.  Rows that repeat an id and a text get the same result each; other columns pass through.
 """
@@ -125,6 +125,9 @@ MOST_SENTENCES = 20_000
 # Clauses that open a list of conditions end like sentences.
 SENTENCE_END = r"([.!?]|conditions:|met:)[\x20\x09-\x0D]+"
 EMPTY_LINE = r"\n[\x20\x09-\x0D]*\n"
+# Comment marks at the start of a line, with the letters that some languages use for them.
+COMMENT_WORD = r"(^|\n)([\x20\x09]*)(?:dnl|REM)(?=[\x20\x09\n])"
+COMMENT_LINE = r"\n[\x20\x09-\x0D#*/;%<>!|-]*(?=\n)"
 
 
 def normal(sentence: str) -> str:
@@ -145,14 +148,40 @@ def contains(long: list[str], short: list[str]) -> bool:
 def sentence_hits(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(_row, _pos, _line, sentence_id) of every known sentence.  known: (sentence, sentence_id), normalised."""
     bounds = known.agg(F.min(F.length("sentence")), F.max(F.length("sentence"))).first()
-    marked = F.regexp_replace(F.regexp_replace("text", SENTENCE_END, "$1" + MARK), EMPTY_LINE, MARK)
+    bare = F.regexp_replace("text", COMMENT_WORD, "$1$2#")
+    # A line of comment marks alone becomes an empty one.
+    bare = F.regexp_replace(bare, COMMENT_LINE, "\n")
+    marked = F.regexp_replace(F.regexp_replace(bare, SENTENCE_END, "$1" + MARK), EMPTY_LINE, MARK)
     sentences = docs.filter("text IS NOT NULL").select("_row", F.posexplode(F.split(marked, MARK)).alias("_pos", "_sentence"))
     # Line 0 is the whole sentence; a sentence of several lines is also looked up line by line.
     lines = F.split("_sentence", "\n")
     pieces = sentences.select("_row", "_pos", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("_sentence"), lines)).otherwise(F.array("_sentence"))).alias("_line", "_piece"))
     # A normal form is never longer than its text, and at most as much shorter as the wrapping of a long sentence adds.
     pieces = pieces.filter(F.length("_piece") >= (bounds[0] or 0)).select("_row", "_pos", "_line", normalised(F.col("_piece")).alias("sentence"))
-    return pieces.filter(F.length("sentence") <= (bounds[1] or 0)).join(F.broadcast(known), "sentence").select("_row", "_pos", "_line", "sentence_id")
+    hits = pieces.filter(F.length("sentence") <= (bounds[1] or 0)).join(F.broadcast(known), "sentence").select("_row", "_pos", "_line", F.col("_line").alias("_end"), "sentence_id")
+    return hits.union(run_hits(sentences, known))
+
+
+def run_hits(sentences: DataFrame, known: DataFrame) -> DataFrame:
+    """(_row, _pos, _line, _end, sentence_id) of every known sentence that stands in a run of lines within a longer sentence.
+
+    Only lines that are the beginning of a known sentence start a run, and a run has no more lines with letters than the known sentence has words.
+    """
+    words = F.split("sentence", " ")
+    beginnings = known.select("sentence_id", F.col("sentence").alias("_whole"), F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))).alias("_begin"))
+    beginnings = beginnings.filter("_begin <> _whole")
+    lines = F.split("_sentence", "\n")
+    several = sentences.filter(F.size(lines) > 1).select("_row", "_pos", lines.alias("_lines"))
+    each = several.select("_row", "_pos", "_lines", F.posexplode("_lines").alias("_at", "_text")).withColumn("_begin", normalised(F.col("_text"))).filter("_begin <> ''")
+    met = each.join(F.broadcast(beginnings), "_begin")
+    # The normal forms of the next lines, and the sentence they make up to each of them.
+    most = F.size(F.split("_whole", " "))
+    rest = F.filter(F.transform(F.slice("_lines", F.col("_at") + 1, F.size("_lines")), lambda x, i: F.struct(normalised(x).alias("t"), i.alias("i"))), lambda x: x["t"] != "")
+    met = met.withColumn("_rest", F.slice(rest, F.lit(1), most))
+    ends = F.filter(F.sequence(F.lit(1), F.size("_rest")), lambda k: F.array_join(F.transform(F.slice("_rest", F.lit(1), k), lambda x: x["t"]), " ") == F.col("_whole"))
+    met = met.withColumn("_k", F.get(ends, 0)).filter("_k IS NOT NULL")
+    # Lines count from 1, as line 0 is the whole sentence.
+    return met.select("_row", "_pos", (F.col("_at") + 1).alias("_line"), (F.col("_at") + 1 + F.get("_rest", F.col("_k") - 1)["i"]).alias("_end"), "sentence_id")
 
 
 def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -164,10 +193,13 @@ def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     rows = fresh(docs, "n_sentences", "sentences", "licences", "_row", "_of").withColumn("_row", F.xxhash64("doc_id", "text"))
     hits = sentence_hits(rows.select("_row", "text"), known)
     # A row's hits: as a set, so that repeated rows count once.
-    each = hits.groupBy(F.col("_row").alias("_of")).agg(F.sort_array(F.collect_set(F.struct("_pos", "_line", "sentence_id"))).alias("_hits"))
+    each = hits.groupBy(F.col("_row").alias("_of")).agg(F.sort_array(F.collect_set(F.struct("_pos", "_line", "_end", "sentence_id"))).alias("_hits"))
     whole = F.transform(F.filter("_hits", lambda h: h["_line"] == 0), lambda h: h["_pos"])
-    own = F.filter("_hits", lambda h: (h["_line"] == 0) | ~F.array_contains(F.col("_whole"), h["_pos"]))
-    each = each.withColumn("_whole", whole).withColumn("_ids", F.transform(own, lambda h: h["sentence_id"])).withColumn("_text", F.concat(F.lit("|"), F.array_join("_ids", "||"), F.lit("|")))
+    # A run of lines hides the lines and the shorter runs in it.
+    runs = F.filter("_hits", lambda h: h["_end"] > h["_line"])
+    inside = lambda h, r: (r["_pos"] == h["_pos"]) & (r["_line"] <= h["_line"]) & (h["_end"] <= r["_end"]) & (r["_end"] - r["_line"] > h["_end"] - h["_line"])
+    own = F.filter("_hits", lambda h: (h["_line"] == 0) | (~F.array_contains(F.col("_whole"), h["_pos"]) & ~F.exists("_runs", lambda r: inside(h, r))))
+    each = each.withColumn("_whole", whole).withColumn("_runs", runs).withColumn("_ids", F.transform(own, lambda h: h["sentence_id"])).withColumn("_text", F.concat(F.lit("|"), F.array_join("_ids", "||"), F.lit("|")))
     met = F.array(*[F.col("_text").like("%" + "%".join(f"|{s}|" for s in ids) + "%") for _, ids in rules])
     each = each.withColumn("_met", met)
     names = []

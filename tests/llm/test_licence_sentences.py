@@ -43,3 +43,24 @@ def test_long_texts_repeated_rows_null_ids_and_an_empty_table(docs):
 def test_normal_forms_are_distinct():
     assert len({normal(s) for s in SENTENCES.values()}) == len(SENTENCES)
     assert normal("  The (“Software”),\tÉ 2.0. ") == "the software 2 0"
+
+
+def test_wrapped_notices_behind_lines_without_an_end(docs):
+    def wrapped(prefix, *names):
+        words, lines = " ".join(SENTENCES[n] for n in names).split(), []
+        for i in range(0, len(words), 9):
+            lines.append(prefix + " ".join(words[i : i + 9]))
+        return "\n".join(lines)
+
+    mit = ("mit-grant", "mit-notice", "mit-as-is", "mit-liability")
+    texts = [
+        "# Copyright (c) 2020 Foo\n#\n" + wrapped("# ", *mit),
+        "/*\n * Copyright (c) 2020 Foo\n" + wrapped(" * ", *mit) + "\n */",
+        "// Copyright 2020 Foo\n//\n//\n" + wrapped("// ", "bsd-redistribution", "bsd-source", "bsd-binary"),
+        "dnl Copyright 2020 Foo\ndnl\n" + wrapped("dnl ", "isc-grant"),
+        "; a file without a licence\n;\n; Permission is hereby granted, free of charge\n; to nobody.",
+    ]
+    got = found(docs, texts)
+    assert got[0] == got[1] == (4, ",".join(mit), "MIT")
+    assert got[2] == (3, "bsd-redistribution,bsd-source,bsd-binary", "BSD-2-Clause")
+    assert got[3] == (1, "isc-grant", "ISC") and got[4] == (0, "", "")
