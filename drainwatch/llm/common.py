@@ -48,3 +48,9 @@ def marked(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> Data
     words = bits.groupBy("_place").agg(F.bit_or("_bit").alias("_bits"))
     set_there = F.call_function("getbit", F.col("_bits"), bit(column)) == 1
     return rows.join(F.broadcast(words), (place(column) == F.col("_place")) & set_there, "left_semi")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the CRC-32 of an ASCII text, which DuckDB lacks: each byte is taken in, then shifted out bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda x, e: CASE WHEN e >= 0 THEN xor(x, e) ELSE xor(x >> 1, (x & 1) * 3988292384) END), 4294967295::BIGINT)"
