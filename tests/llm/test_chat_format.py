@@ -48,7 +48,7 @@ def test_escaping_round_trip(spark):
         own = sorted(c[1:] for c in conversations if c[0] == r["conv_id"])
         assert [(t["role"], t["text"]) for t in r["turns"]] == [c[1:] for c in own]
         assert r["loss_texts"] == [text for _, role, text in own if role == "assistant"]
-        bare = r["formatted"].replace(CHATML.open, "").replace(CHATML.sep, "").replace(CHATML.close, "")
+        bare = r["formatted"].replace(CHATML.open, "\0").replace(CHATML.sep, "\0").replace(CHATML.close, "\0")
         assert not any(c in bare for c in CHATML.controls)
         assert r["formatted"].count(CHATML.close) == len(own)
 
