@@ -53,8 +53,10 @@ def bucket_of(df: DataFrame, order: str, width: int = HOUR) -> Column:
         column = F.unix_timestamp(column)
     if isinstance(kind, NumericType | TimestampType):
         return F.floor(column / width)
-    # Stamped names: their beginning, down to the minute of the stamp.
-    return F.substring(column.cast("string"), 1, 24) if isinstance(kind, StringType) else F.lit(0)
+    if isinstance(kind, StringType):
+        # Stamped names: their beginning, down to the minute of the stamp.
+        return F.substring(column, 1, 24)
+    raise TypeError(f"no steps are known for an order of {kind.simpleString()}: give a bucket that does not fall along it")
 
 
 def value_bucket(column: Column) -> Column:

@@ -11,10 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drainwatch.operators.quantiles import auc, index_quantiles
+from drainwatch.operators.quantiles import compare_classes, index_quantiles
 from drainwatch.operators.select import first_crossing, newest_per_key, tally
 from drainwatch.params import DEFAULTS, Params
 from drainwatch.plans.tokens import collapsed
+from drainwatch.session import settle
 
 EARLY_S = 300
 MIN_SWAPS = 10
@@ -123,9 +124,9 @@ def third_party_removers(liq: DataFrame, facts: DataFrame, n: int = 8) -> DataFr
     rows = liq.filter(F.col("kind") == "remove").join(group, "mint").filter(
         ~F.col("provider").eqNullSafe(F.col("_c")) & (F.col("collapse_at_s").isNull() | (F.col("at_s") <= F.col("collapse_at_s")))
     )
-    counted = rows.groupBy("provider").agg(_n())
-    distinct = counted.agg(F.count(F.lit(1))).first()[0]
-    return counted.orderBy(F.desc("n"), "provider").limit(n).withColumn("distinct_wallets", F.lit(distinct).cast("bigint"))
+    # A row per wallet, for the report's few rows and for the number of all.
+    counted = settle(rows.groupBy("provider").agg(_n()), "removers")
+    return counted.orderBy(F.desc("n"), "provider").limit(n).withColumn("distinct_wallets", F.lit(counted.count()))
 
 
 def precision_of_signal(facts: DataFrame) -> DataFrame:
@@ -204,10 +205,7 @@ def group_comparison(facts: DataFrame) -> DataFrame:
     long = facts.filter("graduated").select("mint", "collapsed", F.explode(pops).alias("population"), *VARIANTS).unpivot(
         ["mint", "collapsed", "population"], list(VARIANTS), "variant", "share"
     ).filter("share is not null")
-    keys = ["variant", "population"]
-    q = index_quantiles(long, [*keys, "collapsed"], "share", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    a = auc(long, "share", F.col("collapsed"), keys).select(*keys, "auc")
-    return q.join(a, keys)
+    return compare_classes(long, ["variant", "population"], "share", "collapsed", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
 
 
 def threshold_sweep(facts: DataFrame, cuts: tuple[float, ...] = CUTS) -> DataFrame:
@@ -222,8 +220,7 @@ def threshold_sweep(facts: DataFrame, cuts: tuple[float, ...] = CUTS) -> DataFra
 
 def distinct_traders(facts: DataFrame) -> DataFrame:
     rows = facts.filter("graduated").withColumn("traders", F.coalesce("traders", F.lit(0))).withColumn("_k", F.lit(1))
-    med = index_quantiles(rows, ["_k", "collapsed"], "traders", {"p50": 0.5})
-    return med.join(auc(rows, "traders", F.col("collapsed"), ["_k"]).select("_k", "auc"), "_k").drop("_k")
+    return compare_classes(rows, ["_k"], "traders", "collapsed", {"p50": 0.5}).drop("_k")
 
 
 def serial_by_graduated_share(facts: DataFrame, la: DataFrame, over: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drainwatch.operators.lifetimes import activity, lifetimes
 from drainwatch.operators.running import Running, running
 from drainwatch.operators.select import newest_per_key
 from drainwatch.params import DEFAULTS, STAGE_RANK, Params
@@ -154,18 +155,13 @@ def idle_expiry(ev: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     A silence longer than the graduated limit always ends a lifetime; one longer than the curve
     limit ends it unless the token graduated earlier in the same lifetime.
     """
-    def run(df: DataFrame, keys: list[str], *specs: Running) -> DataFrame:
-        return running(df, keys, ["pos"], list(specs))
-
-    steps = run(ev, ["mint"], Running("_prev", "last", "block_time_s", before=True))
-    gap = F.col("block_time_s") - F.col("_prev")
-    steps = steps.withColumn("_gap", gap).withColumn("_long", F.when(gap > params.idle_graduated_s, 1).otherwise(0))
-    steps = run(steps, ["mint"], Running("_segment", "sum", "_long"))
-    steps = steps.withColumn("_grad", F.when(F.col("type") == "graduation", 1).otherwise(0))
-    steps = run(steps, ["mint", "_segment"], Running("_was", "max", "_grad", before=True))
-    breaks = (F.col("_long") == 1) | ((F.col("_gap") > params.idle_curve_s) & (F.coalesce("_was", F.lit(0)) == 0))
-    numbered = run(steps.withColumn("_break", F.when(breaks, 1).otherwise(0)), ["mint"], Running("session", "sum", "_break"))
-    return numbered.groupBy("mint", "session").agg(
-        F.min("block_time_s").alias("start_s"), F.max("block_time_s").alias("end_s"), F.count(F.lit(1)).alias("events"),
-        (F.max("_grad") == 1).alias("graduated"),
-    )
+    active = token_activity(ev, min(params.idle_curve_s, params.idle_graduated_s))
+    return token_lifetimes(active, params)
+
+
+def token_activity(ev: DataFrame, width: int) -> DataFrame:
+    return activity(ev, "mint", "block_time_s", F.col("type") == "graduation", width)
+
+
+def token_lifetimes(active: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    return lifetimes(active, "mint", params.idle_curve_s, params.idle_graduated_s).withColumnRenamed("marked", "graduated")

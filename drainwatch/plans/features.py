@@ -10,15 +10,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drainwatch.operators.running import Running, running
 from drainwatch.operators.select import first_crossing
 from drainwatch.params import DEFAULTS, Params
-from drainwatch.plans.creators import idle_expiry
-from drainwatch.plans.rules import tradable_state
-from drainwatch.plans.tokens import tradable_venue
+from drainwatch.plans.creators import token_activity, token_lifetimes
+from drainwatch.plans.rules import first_after, state_by_bucket, tradable_state
+from drainwatch.session import settle
 
 
 def token_features(ev: DataFrame) -> DataFrame:
@@ -83,30 +83,28 @@ def tradable_series(
 ) -> DataFrame:
     """Native units in non-curve pools at the price of the moment: peak, last, first collapse."""
     units = F.when(F.col("native"), F.col("reserve")).cast("decimal(28,6)")
-    rd = legs.filter(F.col("is_base") | (F.col("event") == "liquidity")).withColumn("usd", units)
-    held = tradable_state(rd).drop("all_usd", "all_peak_usd", "peak_usd")
-    valued = _with_graduation(held, ft).filter(F.col("graduated") & F.col("price").isNotNull()).withColumn(
+    read = legs.filter(F.col("is_base") | (F.col("event") == "liquidity")).withColumn("usd", units)
+    valued = state_by_bucket(_with_graduation(read, ft), read).filter(F.col("graduated") & F.col("price").isNotNull()).withColumn(
         "now_usd", (F.coalesce("total_usd", F.lit(0)) * F.col("price")).cast("decimal(28,6)")
     )
-    seen = running(valued, ["mint"], ["pos"], [Running("peak_so_far", "max", "now_usd")])
-    span = seen.groupBy("mint").agg(
-        F.max("now_usd").alias("tradable_peak"), F.max_by("now_usd", "pos").alias("tradable_last")
+    steps = first_after(
+        valued, F.col("now_usd") >= params.min_peak_usd, F.col("now_usd") <= params.max_floor_usd, ["at_s", "event", "kind", "actor"],
+        [F.max("now_usd").alias("tradable_peak"), F.max_by("now_usd", "pos").alias("tradable_last"), F.max("pos").alias("_last")],
+        [F.max("tradable_peak").alias("tradable_peak"), F.max_by("tradable_last", "_last").alias("tradable_last")],
     )
-    hit = (F.col("peak_so_far") >= params.min_peak_usd) & (F.col("now_usd") <= params.max_floor_usd)
-    first = first_crossing(seen.select("mint", "pos", "at_s", "event", "kind", "actor", "peak_so_far", "now_usd"), ["mint"], ["pos"], hit)
-    gone = first.select(
-        "mint", F.col("at_s").alias("tradable_collapse_at_s"), _cause().alias("tradable_collapse_by"),
-        F.col("actor").alias("tradable_collapse_actor"),
+    gone = F.col("hit").isNotNull()
+    return steps.select(
+        "mint", "tradable_peak", "tradable_last", F.col("hit.at_s").alias("tradable_collapse_at_s"),
+        F.when(gone, _cause("hit.event", "hit.kind")).alias("tradable_collapse_by"), F.col("hit.actor").alias("tradable_collapse_actor"),
     )
-    return span.join(gone, "mint", "left")
 
 
 def all_pool_collapse(
     legs: DataFrame, ft: DataFrame, params: Params = DEFAULTS
 ) -> DataFrame:
     """First collapse under the older metric: any pool's peak, and what the token holds now."""
-    rd = legs.filter(F.col("is_base") | (F.col("event") == "liquidity"))
-    state = _with_graduation(tradable_state(rd), ft)
+    read = legs.filter(F.col("is_base") | (F.col("event") == "liquidity"))
+    state = tradable_state(_with_graduation(read, ft), read)
     now = F.coalesce(F.when(F.col("graduated"), F.col("total_usd")), F.col("all_usd"))
     hit = (F.col("all_peak_usd") >= params.min_peak_usd) & (now <= params.max_floor_usd)
     first = first_crossing(state.select("mint", "pos", "at_s", "event", "kind", "actor", "graduated", "total_usd", "all_usd", "all_peak_usd"),
@@ -134,23 +132,27 @@ def periodic_samples(ev: DataFrame, every_s: int = 1800, params: Params = DEFAUL
     A lifetime adds one at its first sample and takes it back after its last: the tokens alive
     are a running sum over the samples, with no row per token and sample.
     """
-    life = idle_expiry(ev, params)
+    width = min(every_s, params.idle_curve_s, params.idle_graduated_s)
+    if every_s % width:
+        raise ValueError("samples must be whole steps of the shortest idle limit")
+    # A row per token and step: read for the lifetimes and for the events of each sample.
+    active = settle(token_activity(ev, width), "activity")
+    life = token_lifetimes(active, params)
     ttl = F.when(F.col("graduated"), params.idle_graduated_s).otherwise(params.idle_curve_s)
     up = lambda c: (F.ceil(c / every_s) * every_s).cast("bigint")
     gone = ((F.floor((F.col("end_s") + ttl) / every_s) + 1) * every_s).cast("bigint")
     one = lambda v: F.lit(v).cast("bigint")
+    mark = lambda df, at, tokens, events, shown=0: df.select(at.alias("at_s"), tokens.alias("_t"), events.alias("_e"), F.lit(shown).alias("_shown"))
+    span = active.agg(up(F.min("start_s")).alias("lo"), up(F.max("end_s")).alias("hi")).filter("lo IS NOT NULL")
     marks = [
-        life.select(up(F.col("start_s")).alias("at_s"), one(1).alias("_t"), one(0).alias("_e")),
-        life.select(gone.alias("at_s"), one(-1).alias("_t"), one(0).alias("_e")),
-        ev.groupBy(up(F.col("block_time_s")).alias("at_s")).agg(one(0).alias("_t"), F.count(F.lit(1)).alias("_e")),
+        mark(life, up(F.col("start_s")), one(1), one(0)),
+        mark(life, gone, one(-1), one(0)),
+        mark(active, up(F.col("bucket") * width), one(0), F.col("events")),
+        # One row per sample time, so that quiet samples appear too; departures after the last sample do not.
+        mark(span, F.explode(F.sequence("lo", "hi", F.lit(every_s).cast("bigint"))), one(0), one(0), 1),
     ]
-    lo, hi = ev.agg(F.min("block_time_s"), F.max("block_time_s")).first()
-    first, last = -(-lo // every_s) * every_s, -(-hi // every_s) * every_s
-    # One row per sample time, so that quiet samples appear too.
-    times = ev.sparkSession.range(first, last + 1, every_s).select(F.col("id").alias("at_s"), one(0).alias("_t"), one(0).alias("_e"))
-    marks.append(times)
-    summed = reduce(DataFrame.unionByName, marks).groupBy("at_s").agg(F.sum("_t").alias("_t"), F.sum("_e").alias("_e"))
-    # Departures after the last sample lie within one idle limit of it.
-    samples = (last - first + params.idle_graduated_s) // every_s + 3
-    series = running(summed, [], ["at_s"], [Running("tokens", "sum", "_t"), Running("events", "sum", "_e")])
-    return series.filter(F.col("at_s") <= last).select("at_s", "tokens", "events")
+    summed = reduce(DataFrame.unionByName, marks).groupBy("at_s").agg(F.sum("_t").alias("_t"), F.sum("_e").alias("_e"), F.max("_shown").alias("_shown"))
+    # One row per sample time: a year of half hours is 17,520.
+    along = Window.orderBy("at_s")
+    series = summed.select("at_s", F.sum("_t").over(along).alias("tokens"), F.sum("_e").over(along).alias("events"), "_shown")
+    return series.filter("_shown = 1").select("at_s", "tokens", "events")

@@ -7,14 +7,16 @@ Records
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drainwatch.operators.quantiles import index_quantiles
-from drainwatch.operators.running import Running, running
+from drainwatch.operators.quantiles import counted_quantiles
+from drainwatch.operators.pools import Held, pool_totals
+from drainwatch.operators.running import BUCKET, Running, running
 from drainwatch.operators.select import first_crossing
 from drainwatch.params import CONFIDENCE, DEFAULTS, RULE_NAME, STAGE_RANK, WRAPPED_SOL, Params
 from drainwatch.plans.tokens import stage_rank, tradable_venue
+from drainwatch.session import settle
 
 
 def fingerprint(amount: str, quote_mint: str, params: Params = DEFAULTS) -> Column:
@@ -22,40 +24,35 @@ def fingerprint(amount: str, quote_mint: str, params: Params = DEFAULTS) -> Colu
     return (F.col(quote_mint) == WRAPPED_SOL) & F.col(amount).between(params.fingerprint_min, params.fingerprint_max)
 
 
-def tradable_state(rd: DataFrame) -> DataFrame:
+def tradable_state(rd: DataFrame, summed: DataFrame | None = None) -> DataFrame:
     """After every reading: ``total_usd`` tradable now and ``peak_usd``, the largest tradable reading so far
     (``all_usd`` and ``all_peak_usd``: the same over every pool, curve pools too).
 
-    The total is the sum over non-curve pools of each pool's latest reading.  A reading replaces
-    its pool's previous contribution, so the total is a running sum of differences.  It is null
-    while no tradable pool holds a priced reading; an unpriced reading changes nothing.
+    The total is the sum over non-curve pools of each pool's latest reading.  It is null while no
+    tradable pool holds a priced reading; an unpriced reading changes nothing.
     """
+    return state_by_bucket(rd, summed).select(*rd.columns, "total_usd", "peak_usd", "all_usd", "all_peak_usd")
+
+
+def _contributions(rd: DataFrame) -> DataFrame:
     priced, open_ = F.col("usd").isNotNull(), tradable_venue()
     usd = F.col("usd").cast("decimal(28,6)")
-    held = rd.select(
+    return rd.select(
         "*",
         F.when(priced, F.when(open_, usd).otherwise(F.lit(0).cast("decimal(28,6)"))).alias("_held"),
         F.when(priced, open_.cast("int")).alias("_open"),
         F.when(priced & open_, usd).alias("_top"),
         usd.alias("_any"),
     )
-    prev = running(held, ["mint", "pool"], ["pos"], [
-        Running("_prev", "last", "_held", before=True), Running("_prev_open", "last", "_open", before=True),
-        Running("_prev_any", "last", "_any", before=True),
-    ])
-    change = lambda now, before: F.coalesce(F.col(now) - F.coalesce(before, F.lit(0)), F.lit(0))
-    diff = prev.select(
-        "*",
-        change("_held", "_prev").cast("decimal(28,6)").alias("_diff"),
-        change("_open", "_prev_open").alias("_diff_open"),
-        change("_any", "_prev_any").cast("decimal(28,6)").alias("_diff_any"),
-    )
-    state = running(diff, ["mint"], ["pos"], [
-        Running("_sum", "sum", "_diff"), Running("_pools", "sum", "_diff_open"), Running("peak_usd", "max", "_top"),
-        Running("_sum_any", "sum", "_diff_any"), Running("all_peak_usd", "max", "_any"),
-    ])
+
+
+def state_by_bucket(rd: DataFrame, summed: DataFrame | None = None) -> DataFrame:
+    """As ``tradable_state``, with the bucket that the rows are partitioned by.  ``summed``: the same readings, and maybe others, where they are cheaper to read."""
+    state = pool_totals(_contributions(rd), "mint", "pool", "pos", [
+        Held("_sum", "_held", "_top", "peak_usd"), Held("_pools", "_open"), Held("_sum_any", "_any", "_any", "all_peak_usd"),
+    ], summed=None if summed is None else _contributions(summed))
     return state.select(
-        *rd.columns,
+        *rd.columns, BUCKET,
         F.when(F.col("_pools") > 0, F.col("_sum")).alias("total_usd"),
         "peak_usd",
         F.when(F.col("all_peak_usd").isNotNull(), F.col("_sum_any")).alias("all_usd"),
@@ -63,6 +60,26 @@ def tradable_state(rd: DataFrame) -> DataFrame:
     )
 
 
+def first_after(state: DataFrame, reached: Column, gone: Column, keep: list[str], per_bucket: list[Column] = (), per_token: list[Column] = ()) -> DataFrame:
+    """Per token, the first row of ``gone`` at or after the first row of ``reached``, as ``hit`` (null where there is none); further aggregates go by way of the buckets.
+
+    ``state``: output of ``state_by_bucket``.  A summary per (token, bucket) says what follows from either state at its start; buckets are then put together in order.
+    """
+    row = F.struct("pos", *keep)
+    inside = Window.partitionBy("mint", BUCKET).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flags = state.withColumns({"_row": row, "_reached": F.coalesce(reached, F.lit(False)), "_gone": F.coalesce(gone, F.lit(False))})
+    seen = flags.withColumn("_since", F.max("_reached").over(inside))
+    steps = seen.groupBy("mint", BUCKET).agg(
+        F.max("_reached").alias("_reached"),
+        F.min(F.when(F.col("_gone"), F.col("_row"))).alias("_if_reached"),
+        F.min(F.when(F.col("_gone") & F.col("_since"), F.col("_row"))).alias("_if_not"),
+        *per_bucket,
+    )
+    earlier = Window.partitionBy("mint").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    hits = steps.withColumn("_hit", F.when(F.coalesce(F.max("_reached").over(earlier), F.lit(False)), F.col("_if_reached")).otherwise(F.col("_if_not")))
+    return hits.groupBy("mint").agg(F.min("_hit").alias("hit"), *per_token)
+
+
 def running_tradable(rd: DataFrame) -> DataFrame:
     return tradable_state(rd).select(*rd.columns, "total_usd")
 
@@ -99,7 +116,8 @@ def rug_confirmations(
 
     ``rd`` carries event (liquidity | swap), actor, pool, dex; ``tok`` carries graduated_pos.
     """
-    able = drain_candidates(rd, tok, params)
+    # Few tokens are left, and their readings are read twice.
+    able = settle(drain_candidates(rd, tok, params), "drain-candidates")
     state = tradable_state(able)
     hit = (
         (F.col("pos") > F.col("graduated_pos"))
@@ -218,9 +236,12 @@ def open_and_unconfirmed(al: DataFrame, rg: DataFrame, clock_s: Column, params:
 
 def alert_level_stats(al: DataFrame, rg: DataFrame, clock_s: Column, params: Params = DEFAULTS) -> DataFrame:
     rows = alert_status(al, rg, clock_s, params).withColumn("lead_s", F.col("rug_at") - F.col("t_at"))
-    n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    counts = rows.groupBy("level").agg(F.count(F.lit(1)).alias("fired"), n("confirmed"), n("unconfirmed"), n("open"))
-    median = index_quantiles(rows, ["level"], "lead_s", {"median_lead_s": 0.5}, rule="median").select("level", "median_lead_s")
+    # The alerts are read once; counts and median come from how many have each status and lead.
+    by_lead = settle(rows.groupBy("level", "status", "lead_s").agg(F.count(F.lit(1)).alias("_c")), "by-lead")
+    n = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("_c"))), F.lit(0)).alias(s)
+    counts = by_lead.groupBy("level").agg(F.sum("_c").alias("fired"), n("confirmed"), n("unconfirmed"), n("open"))
+    leads = by_lead.filter("lead_s is not null").groupBy("level", "lead_s").agg(F.sum("_c").alias("_c"))
+    median = counted_quantiles(leads, ["level"], "lead_s", {"median_lead_s": 0.5}, rule="median").select("level", "median_lead_s")
     resolved = F.col("confirmed") + F.col("unconfirmed")
     return counts.join(median, "level", "left").withColumn(
         "precision", F.when(resolved > 0, F.col("confirmed") / resolved)
