@@ -13,7 +13,9 @@ from drainwatch.functions.redact import redact_secrets, redact_url
 from drainwatch.plans import dedup, detect, joins, prices, tokens
 from drainwatch.plans import normalize as nz
 from drainwatch.session import settle, work_path
+from drainwatch.sources import registry
 from drainwatch.sources.tables import read_routed, write_routed
+from drainwatch.streaming import slices
 
 
 def routed(spark, sf_dir):
@@ -306,9 +308,111 @@ def j4b(spark, sf_dir):
     return joins.swaps_of_known(ev.filter("type = 'swap'"), tokens.token_dim(ev)).select("slot", "mint")
 
 
-@query("E2E_batch_records")
-def e2e(spark, sf_dir):
-    """The whole way in one job, over the raw feed: alerts and drains (no SQL; held against hand-made feeds in the tests)."""
-    alerts, drains = detect.detect(raw_frames(spark, sf_dir).select("value"), PARAMS)
+# What the detector knows at each event, over the feed: one pool per token, each reading at the price of its own event.
+ONLINE_FEED = FEED + f""",
+raw AS (SELECT id AS slot, bt, CASE type WHEN 'liquidity' THEN CASE WHEN id % 3 = 0 THEN 'remove' ELSE 'add' END ELSE type END AS typ, 'T' || k AS mint, val * (100 + k % 3) AS usd,
+  CASE WHEN type <> 'meme' OR id % 3 = 0 OR id % 2 = 0 THEN 'C' || u END AS actor, CASE WHEN type = 'meme' THEN -2 ELSE id END AS spot
+  FROM feed WHERE reason IS NULL AND type IN ('token_create', 'meme', 'graduation', 'liquidity', 'swap')),
+tk AS (SELECT mint, arg_min(actor, (bt, spot)) FILTER (WHERE typ = 'token_create') AS ba, min((bt, spot)) FILTER (WHERE typ = 'token_create') AS bp,
+  arg_min(actor, (bt, spot)) FILTER (WHERE typ <> 'token_create' AND actor IS NOT NULL) AS ka, min((bt, spot)) FILTER (WHERE typ <> 'token_create' AND actor IS NOT NULL) AS kp,
+  min(bt) AS seen, min((bt, spot)) AS fp, min((bt, spot)) FILTER (WHERE typ = 'graduation') AS gp FROM raw WHERE typ IN ('token_create', 'meme', 'graduation') GROUP BY mint),
+ev AS (SELECT r.*, t.gp, CASE WHEN (CASE WHEN (r.bt, r.spot) < t.fp THEN t.fp ELSE (r.bt, r.spot) END) >= t.bp THEN t.ba
+    WHEN (CASE WHEN (r.bt, r.spot) < t.fp THEN t.fp ELSE (r.bt, r.spot) END) >= t.kp THEN t.ka END AS creator
+  FROM raw r JOIN tk t ON t.mint = r.mint WHERE typ IN ('token_create', 'meme', 'graduation') OR (typ IN ('add', 'remove') AND r.bt >= t.seen - 600) OR (typ = 'swap' AND (r.bt, r.spot) >= t.fp)),
+st AS (SELECT *, max(usd) OVER (PARTITION BY mint ORDER BY bt, slot ROWS UNBOUNDED PRECEDING) AS peak FROM ev WHERE typ IN ('add', 'remove', 'swap')),
+rug0 AS (SELECT mint, creator, bt AS t_at, slot, typ, actor FROM st WHERE (bt, slot) > gp AND peak >= 10000 AND usd <= 1000 QUALIFY row_number() OVER (PARTITION BY mint ORDER BY bt, slot) = 1),
+red AS (SELECT 'red:' || e.mint AS id, 'red' AS level, e.mint, e.creator, e.bt AS t_at, e.slot FROM ev e LEFT JOIN rug0 r ON r.mint = e.mint
+  WHERE e.typ = 'add' AND e.actor = e.creator AND (r.mint IS NULL OR (e.bt, e.slot) < (r.t_at, r.slot)) QUALIFY row_number() OVER (PARTITION BY e.mint ORDER BY e.bt, e.slot) = 1),
+rg AS (SELECT r.*, CASE WHEN r.typ <> 'swap' AND r.actor = r.creator THEN CASE WHEN d.mint IS NOT NULL THEN 'creator-pull' ELSE 'migration-pull' END
+  WHEN r.typ <> 'swap' THEN 'third-party-remove' WHEN r.actor = r.creator THEN 'dev-dump' ELSE 'sell-off' END AS mechanism FROM rug0 r LEFT JOIN red d ON d.mint = r.mint),
+grads AS (SELECT mint, coalesce(creator, actor) AS creator, bt AS t_at, slot FROM ev WHERE typ = 'graduation'),
+prior AS (SELECT g.mint, g.creator, g.t_at, g.slot, count(*) AS n_prior FROM grads g JOIN rg r ON r.creator = g.creator AND r.mint <> g.mint AND r.t_at < g.t_at GROUP BY ALL),
+amber AS (SELECT 'amber:' || p.mint AS id, 'amber' AS level, p.mint, p.creator, p.t_at, p.slot FROM prior p LEFT JOIN rg r ON r.mint = p.mint WHERE r.mint IS NULL OR (p.t_at, p.slot) < (r.t_at, r.slot)
+  QUALIFY row_number() OVER (PARTITION BY p.mint ORDER BY p.t_at, p.slot) = 1),
+al AS (SELECT * FROM red UNION ALL SELECT * FROM amber)"""
+RECORDS_SQL = sql(ONLINE_FEED, """SELECT 'alert' AS kind, id, mint, creator, t_at, CAST(NULL AS VARCHAR) AS mechanism FROM al
+UNION ALL SELECT 'rug', 'rug:' || mint, mint, creator, t_at, mechanism FROM rg""")
+# Reserves of the feed are 0 to about 700 units at 100 dollars.
+WORTH = PARAMS.with_(min_peak_usd=10000, max_floor_usd=1000)
+
+
+def shown_records(alerts, drains):
     one = alerts.select("kind", "id", "mint", "creator", "t_at", F.lit(None).cast("string").alias("mechanism"))
     return one.unionByName(drains.select("kind", "id", "mint", "creator", "t_at", "mechanism"))
+
+
+@query("E2E_batch_records", RECORDS_SQL)
+def e2e(spark, sf_dir):
+    """The whole way in one job, over the raw feed: alerts and drains."""
+    return shown_records(*detect.detect(raw_frames(spark, sf_dir).select("value"), WORTH))
+
+
+# How far frames stray from the order of time, and how long the clock waits for them.
+JITTER_S = 7200
+_RUNS: dict[tuple[str, str], slices.Slices] = {}
+
+
+def frame_stream(spark, sf_dir, batches=3):
+    """The raw feed as a stream of a few micro-batches: out of order by up to two hours, every fifth frame delivered twice, the second time in any later place of that time."""
+    path = work_path(spark, "frames")
+    times = token_events(spark, sf_dir).select(F.col("slot").alias("id"), "block_time_s")
+    low, high = times.agg(F.min("block_time_s"), F.max("block_time_s")).first()
+    frames = raw_frames(spark, sf_dir).join(times, "id")
+    deliveries = F.explode(F.when(F.col("id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    sent = frames.select("value", "block_time_s", deliveries.alias("again"), "id")
+    at = F.col("block_time_s") + F.pmod(F.xxhash64("id", "again"), F.lit(JITTER_S))
+    stretch = F.least(F.lit(batches - 1), F.floor((at - low) * batches / (high - low + 1)))
+    for k in range(batches):
+        sent.filter(stretch == k).select("value").coalesce(1).write.parquet(f"{path}/{k}")
+    reader = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    return reader.parquet(path)
+
+
+def run_slices(spark, sf_dir):
+    """The detector over the streamed feed, to its end, once per session and data set: several queries read what it wrote."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        state, out = work_path(spark, "slices"), work_path(spark, "records")
+        run = slices.Slices(spark, state, out, WORTH, delay_s=JITTER_S, seen_s=2 * JITTER_S, keep_facts=True)
+        run.close(slices.run_feed(frame_stream(spark, sf_dir), run, f"{state}-progress"))
+        _RUNS[key] = run
+    return _RUNS[key]
+
+
+@query("E2E_stream_records", RECORDS_SQL)
+def e2e_stream(spark, sf_dir):
+    """The same records from a stream of slices."""
+    out = run_slices(spark, sf_dir).out_dir
+    return shown_records(slices.table_of(spark, out, "alerts"), slices.table_of(spark, out, "rugs"))
+
+
+@query("T7_stream_pool_readings", sql(ONLINE_FEED, "SELECT mint, slot, CASE WHEN typ = 'swap' THEN typ ELSE 'liquidity' END AS event, CAST(usd AS DOUBLE) AS usd FROM ev WHERE typ IN ('add', 'remove', 'swap')"))
+def t7_stream(spark, sf_dir):
+    """Readings at the price of the moment, as the stream learned it."""
+    rd = slices.table_of(spark, run_slices(spark, sf_dir).out_dir, "readings")
+    return rd.select("mint", F.col("pos.slot").alias("slot"), "event", F.col("usd").cast("double").alias("usd"))
+
+
+@query("U4_stream_counters", sql(FEED + """, sent AS (SELECT *, CASE WHEN id % 5 = 0 THEN 2 ELSE 1 END AS n, type IN ('token_create', 'meme', 'graduation', 'liquidity', 'swap') AS followed FROM feed)""",
+       """SELECT metric, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'received' AS metric, n FROM sent
+UNION ALL SELECT reason, n FROM sent WHERE reason IS NOT NULL
+UNION ALL SELECT 'not followed', n FROM sent WHERE reason IS NULL AND NOT followed
+UNION ALL SELECT 'admitted', 1 FROM sent WHERE reason IS NULL AND followed
+UNION ALL SELECT 'duplicate', n - 1 FROM sent WHERE reason IS NULL AND followed) GROUP BY metric"""))
+def u4_stream(spark, sf_dir):
+    """What became of every frame of the stream, by reason."""
+    told = slices.table_of(spark, run_slices(spark, sf_dir).out_dir, "counters")
+    return told.groupBy("metric").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+@query("R10_full_records", sql(ONLINE_FEED, """SELECT CASE level WHEN 'red' THEN 'RED' ELSE 'AMBER' END || ' ' || strftime(make_timestamp(t_at * 1000000), '%Y-%m-%d %H:%M:%S') || ' | token ' || mint || ' | by ' || creator AS line FROM al
+UNION ALL SELECT 'RUG ' || strftime(make_timestamp(t_at * 1000000), '%Y-%m-%d %H:%M:%S') || ' | token ' || mint || ' | ' || mechanism || ' by ' || actor FROM rg"""))
+def r10_full(spark, sf_dir):
+    """Full records through the registry and back, described: the beginning of each line."""
+    out, path = run_slices(spark, sf_dir).out_dir, work_path(spark, "registry")
+    registry.write_registry(registry.as_records(slices.table_of(spark, out, "alerts"), slices.table_of(spark, out, "rugs")), path)
+    newest = spark.read.text(path).agg(F.max(F.get_json_object("value", "$.t_at").cast("bigint"))).first()[0] or 0
+    good, _ = registry.load_registry(spark, path, 3650, newest)
+    alerts, rugs = registry.full_records(good)
+    beginning = lambda df: df.select(F.call_function("substring_index", "line", F.lit(" | "), F.lit(3)).alias("line"))
+    return beginning(detect.describe(alerts)).union(beginning(detect.describe_drains(rugs)))

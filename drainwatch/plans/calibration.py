@@ -126,7 +126,7 @@ def third_party_removers(liq: DataFrame, facts: DataFrame, n: int = 8) -> DataFr
     )
     # A row per wallet, for the report's few rows and for the number of all.
     counted = settle(rows.groupBy("provider").agg(_n()), "removers")
-    return counted.orderBy(F.desc("n"), "provider").limit(n).withColumn("distinct_wallets", F.lit(counted.count()))
+    return counted.orderBy(F.desc("n"), "provider").limit(n).withColumn("distinct_wallets", F.lit(counted.count()).cast("bigint"))
 
 
 def precision_of_signal(facts: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from drainwatch.params import CONFIDENCE, DEFAULTS, RULE_NAME, Params
 from drainwatch.plans import normalize as nz
 from drainwatch.plans import prices, rules
 from drainwatch.plans.dedup import dedup_exact, dedup_key
+from drainwatch.plans.joins import late_token_join
+from drainwatch.plans.tokens import creator_columns, creator_then
 from drainwatch.session import settle, work_path
 from drainwatch.sources.tables import read_routed, write_routed
 
@@ -37,9 +39,9 @@ def pair_moves(pairs: DataFrame) -> DataFrame:
 def graduations(grad: DataFrame, tok: DataFrame) -> DataFrame:
     low = F.lit(-1).cast("bigint")
     pos = F.struct("block_time_s", "slot", *[low.alias(p) for p in POSITION[2:]])
-    known = tok.select("mint", F.col("creator").alias("_creator"))
-    rows = grad.withColumn("pos", pos).join(known, "mint", "left")
-    return rows.select("mint", F.coalesce("_creator", "creator").alias("creator"), "pos", "block_time_s", "pool", "dex")
+    known = tok.select("mint", *creator_columns(tok))
+    rows = grad.withColumnRenamed("creator", "_own").withColumn("pos", pos).join(known, "mint", "left")
+    return rows.select("mint", F.coalesce(creator_then(known.columns), "_own").alias("creator"), "pos", "block_time_s", "pool", "dex")
 
 
 def confidence(level: Column) -> Column:
@@ -70,7 +72,9 @@ def detect(frames: DataFrame, params: Params = DEFAULTS, text: str = "value") ->
     """(alerts, drains) of a feed of raw frames."""
     norm = typed_events(frames, text)
     tok = settle(prices.token_table(norm), "tokens")
-    pairs, swaps = settle(prices.pair_rows(norm["liquidity"], tok), "pairs"), settle(prices.swap_rows(norm["swap"], tok), "swaps")
+    known = tok.select("mint", "first_seen_s")
+    pairs = settle(late_token_join(prices.pair_rows(norm["liquidity"], tok).filter("mint is not null"), known, params.pending_ttl_s).drop("held"), "pairs")
+    swaps = settle(prices.swap_rows(norm["swap"], tok), "swaps")
     rd = settle(prices.pool_readings(pairs, swaps, prices.learn_quote_prices(norm["liquidity"], pairs, swaps)), "readings")
     drained = settle(rules.rug_confirmations(rd, tok, params), "drained")
     red = settle(rules.red_alerts(pair_moves(pairs), tok, drained, params), "red")
@@ -80,6 +84,15 @@ def detect(frames: DataFrame, params: Params = DEFAULTS, text: str = "value") ->
     return alert_records(al), rug_records(rg, al)
 
 
+def describe_drains(rg: DataFrame) -> DataFrame:
+    """One line per drain: what, when, how, from what to what, and the alerts that came before it."""
+    when = F.date_format(F.timestamp_seconds("t_at"), "yyyy-MM-dd HH:mm:ss")
+    money = lambda c: F.concat(F.lit("$"), F.col(c).cast("decimal(28,2)").cast("string"))
+    warned = F.when(F.size("alerts") > 0, F.concat_ws(", ", F.transform("alerts", lambda a: F.concat(a["level"], F.lit(" "), a["lead_s"].cast("string"), F.lit(" s before"))))).otherwise("no alert")
+    how = F.concat("mechanism", F.lit(" by "), "actor")
+    return rg.withColumn("line", F.concat_ws(" | ", F.concat(F.lit("RUG "), when), F.concat(F.lit("token "), "mint"), how, F.concat(money("peak_usd"), F.lit(" to "), money("last_usd")), warned))
+
+
 def describe(al: DataFrame) -> DataFrame:
     """One line per alert: what, when, why, how sure and how long before."""
     when = F.date_format(F.timestamp_seconds("t_at"), "yyyy-MM-dd HH:mm:ss")

@@ -6,6 +6,7 @@ or changed field rejects the frame with the paths that failed.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,6 +178,20 @@ def _fields(kind: str) -> list:
     return [*ORIGIN, *SCHEMAS[kind]]
 
 
+def _built_once(build):
+    """Expressions over a frame are the same for every table: building the field rules of all types takes seconds, so each is built once per JVM."""
+    known = {}
+
+    def once_built(kind: str):
+        key = (id(SparkContext._gateway), kind)
+        if key not in known:
+            known[key] = build(kind)
+        return known[key]
+
+    return once_built
+
+
+@_built_once
 def frame_issues(kind: str) -> Column:
     return v.collect_issues([(f"{path}: expected {k.expected}", k.valid(v.get(F.col("v"), path))) for _, path, k in _fields(kind)])
 
@@ -194,17 +209,22 @@ def frames_to_routed(frames: DataFrame, text: str = "value") -> DataFrame:
     return route_by_type(parse_frames(frames, text))
 
 
-def normalize(routed: DataFrame, kind: str, carry: list[str] | None = None) -> DataFrame:
-    """The good frames of one type as typed rows: type, origin, the schema's columns."""
-    rows = routed.filter(F.col("reason").isNull() & (F.col("type") == kind))
-    good = rows.filter(F.size(frame_issues(kind)) == 0)
+@_built_once
+def _typed(kind: str) -> list[Column]:
     cols = [k.read(v.get(F.col("v"), path)).alias(name) for name, path, k in SCHEMAS[kind]]
     if kind == "metadata":
         swap = {"image_url": lambda c: redact_url(c), "socials": lambda c: F.coalesce(c, _no_links())}
         cols = [swap[name](k.read(v.get(F.col("v"), path))).alias(name) if name in swap else k.read(v.get(F.col("v"), path)).alias(name)
                 for name, path, k in SCHEMAS[kind]]
     origin = derive_origin(v.get(F.col("v"), "catchup", "boolean"), v.get(F.col("v"), "backfill", "boolean"))
-    return good.select(*(carry or []), "type", origin.alias("origin"), *cols)
+    return [origin.alias("origin"), *cols]
+
+
+def normalize(routed: DataFrame, kind: str, carry: list[str] | None = None, checked: bool = False) -> DataFrame:
+    """The good frames of one type as typed rows: type, origin, the schema's columns.  ``checked``: the frames went through ``validated`` already."""
+    rows = routed.filter(F.col("reason").isNull() & (F.col("type") == kind))
+    good = rows if checked else rows.filter(F.size(frame_issues(kind)) == 0)
+    return good.select(*(carry or []), "type", *_typed(kind))
 
 
 def quarantine_snapshots(routed: DataFrame, carry: list[str] | None = None) -> DataFrame:

@@ -75,7 +75,7 @@ def identity_events(norm: dict[str, DataFrame]) -> DataFrame:
 
 
 def token_table(norm: dict[str, DataFrame]) -> DataFrame:
-    return token_dim(identity_events(norm))
+    return token_dim(identity_events(norm), online=True)
 
 
 def pair_rows(liquidity: DataFrame, tok: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from drainwatch.operators.pools import Held, pool_totals
 from drainwatch.operators.running import BUCKET, Running, running
 from drainwatch.operators.select import first_crossing
 from drainwatch.params import CONFIDENCE, DEFAULTS, RULE_NAME, STAGE_RANK, WRAPPED_SOL, Params
-from drainwatch.plans.tokens import stage_rank, tradable_venue
+from drainwatch.plans.tokens import creator_columns, creator_then, stage_rank, tradable_venue
 from drainwatch.session import settle
 
 
@@ -105,16 +105,17 @@ def drain_candidates(rd: DataFrame, tok: DataFrame, params: Params = DEFAULTS) -
     """
     bounds = rd.filter(tradable_venue()).groupBy("mint").agg(F.max("usd").alias("_max"), F.min("usd").alias("_min"))
     able = bounds.filter((F.col("_max") >= params.min_peak_usd) & (F.col("_min") <= params.max_floor_usd))
-    graduated = tok.filter(F.col("stage_rank") == STAGE_RANK["graduated"]).select("mint", "creator", "graduated_pos")
+    graduated = tok.filter(F.col("stage_rank") == STAGE_RANK["graduated"]).select("mint", "graduated_pos", *creator_columns(tok))
     return rd.join(graduated.join(able.select("mint"), "mint", "left_semi"), "mint")
 
 
 def rug_confirmations(
-    rd: DataFrame, tok: DataFrame, params: Params = DEFAULTS
+    rd: DataFrame, tok: DataFrame, params: Params = DEFAULTS, among: Column | None = None
 ) -> DataFrame:
     """First reading at which a graduated token, once worth the peak, holds no more than the floor.
 
-    ``rd`` carries event (liquidity | swap), actor, pool, dex; ``tok`` carries graduated_pos.
+    ``rd`` carries event (liquidity | swap), actor, pool, dex; ``tok`` carries graduated_pos.  ``among``:
+    the readings that may complete a drain, where others only carry the past.
     """
     # Few tokens are left, and their readings are read twice.
     able = settle(drain_candidates(rd, tok, params), "drain-candidates")
@@ -124,9 +125,9 @@ def rug_confirmations(
         & (F.col("peak_usd") >= params.min_peak_usd)
         & (F.col("total_usd") <= params.max_floor_usd)
     )
-    first = first_crossing(state, ["mint"], ["pos"], hit)
+    first = first_crossing(state, ["mint"], ["pos"], hit if among is None else hit & among)
     return first.select(
-        "mint", "creator", F.col("at_s").alias("t_at"), "pos", "event", "actor", "pool", "dex",
+        "mint", creator_then(first.columns).alias("creator"), F.col("at_s").alias("t_at"), "pos", "event", "actor", "pool", "dex",
         "peak_usd", F.col("total_usd").alias("last_usd"),
     )
 
@@ -137,8 +138,9 @@ def red_alerts(pair_ev: DataFrame, tok: DataFrame, rg: DataFrame, params: Params
     ``pair_ev``: mint, actor, kind, pool, dex, pos, block_time_s and optionally quote_mint, quote_units.
     An add that itself completes a drain raises nothing.
     """
-    creators = tok.select("mint", "creator")
-    own = pair_ev.filter(F.col("kind") == "add").join(creators, "mint").filter(F.col("actor") == F.col("creator"))
+    creators = tok.select("mint", *creator_columns(tok))
+    adds = pair_ev.filter(F.col("kind") == "add").join(creators, "mint")
+    own = adds.withColumn("creator", creator_then(creators.columns)).filter(F.col("actor") == F.col("creator"))
     first = first_crossing(own, ["mint"], ["pos"])
     gone = rg.select("mint", F.col("pos").alias("_rug_pos"))
     live = first.join(gone, "mint", "left").filter(F.col("_rug_pos").isNull() | (F.col("pos") < F.col("_rug_pos")))

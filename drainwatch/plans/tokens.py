@@ -53,9 +53,33 @@ def _first_known(column: str, born: Column, other: Column) -> Column:
     ).alias(column)
 
 
-def token_dim(ev: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def _creators(born: Column, other: Column) -> list[Column]:
+    named = F.when(other & F.col("creator").isNotNull(), F.col("pos"))
+    launch = F.when(born, F.col("pos"))
+    return [F.min_by("creator", launch).alias("born_by"), F.min(launch).alias("born_pos"), F.min_by("creator", named).alias("known_by"), F.min(named).alias("known_pos")]
+
+
+def creator_then(columns: list[str]) -> Column:
+    """The creator as known at ``pos``, where the token table says from when (``online``); else the token's.  An event before its token counts from the token's first."""
+    if "born_pos" not in columns:
+        return F.col("creator")
+    at = F.when(F.col("pos") < F.col("first_pos"), F.col("first_pos")).otherwise(F.col("pos"))
+    return F.when(at >= F.col("born_pos"), F.col("born_by")).when(at >= F.col("known_pos"), F.col("known_by"))
+
+
+# What ``creator_then`` reads of a token.
+CREATOR = ("creator", "born_by", "born_pos", "known_by", "known_pos", "first_pos")
+
+
+def creator_columns(tok: DataFrame) -> list[str]:
+    return [c for c in CREATOR if c in tok.columns]
+
+
+def token_dim(ev: DataFrame, history: DataFrame | None = None, online: bool = False) -> DataFrame:
     """One row per token: identity, times, stage.
 
+    ``online`` adds who is known as the creator from when: born_by and born_pos (the first launch), known_by and known_pos (the first other event that names one).
+
     Identity columns come from the few identity rows only; the firehose rows contribute two
     longs (first and last activity), which hash-aggregate on the map side.
     """
@@ -71,6 +95,7 @@ def token_dim(ev: DataFrame, history: DataFrame | None = None) -> DataFrame:
         F.min_by("pool", grad).alias("graduation_pool"),
         F.min(grad).alias("graduated_pos"),
         F.min("pos").alias("first_pos"),
+        *(_creators(born, other) if online else []),
     )
     activity = ev.groupBy("mint").agg(
         F.min("block_time_s").alias("first_seen_s"), F.max("block_time_s").alias("last_activity_s")
