@@ -7,7 +7,7 @@ sentences of one of its rules in their order, other sentences in between allowed
 A sentence ends after . ! or ? before white space, after a clause that opens a list of conditions, and at a line that is empty but for comment marks.  As licences are wrapped and also stand on lines of their own, a sentence that is not known as
 a whole is looked up line by line, and in runs of lines: where a line is the beginning of a known sentence, the lines behind it are put to it.  Nothing is cut: all sentences of all texts are looked up.
 
-Null and empty texts have no sentences and no licences.  Rows that repeat an id and a text get the same result each; other columns pass through.
+Very long texts and texts of very many lines cost in proportion to their length; an empty table gives an empty one.  Null and empty texts have no sentences and no licences.  Rows that repeat an id and a text get the same result each; other columns pass through.
 """
 
 from __future__ import annotations
@@ -122,6 +122,8 @@ RULES = [
 MARK = "\x01"
 # The sentence table is broadcast: entries at most.
 MOST_SENTENCES = 20_000
+# Lines of a block in which runs are looked for.
+BLOCK_LINES = 1_000
 # Clauses that open a list of conditions end like sentences.
 SENTENCE_END = r"([.!?]|conditions:|met:)[\x20\x09-\x0D]+"
 EMPTY_LINE = r"\n[\x20\x09-\x0D]*\n"
@@ -145,43 +147,59 @@ def contains(long: list[str], short: list[str]) -> bool:
     return len(long) > len(short) and all(s in rest for s in short)
 
 
+def first_word(text: Column) -> Column:
+    return F.substring_index(F.substring_index(text, "\n", 1), " ", 1)
+
+
+def alone(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row: a generator's output is not copied into the expressions that use it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def sentence_hits(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(_row, _pos, _line, sentence_id) of every known sentence.  known: (sentence, sentence_id), normalised."""
-    bounds = known.agg(F.min(F.length("sentence")), F.max(F.length("sentence"))).first()
+    """(_row, _pos, _line, _end, sentence_id) of every known sentence.  known: (sentence, sentence_id), normalised.
+
+    Line 0 is the whole sentence; lines with letters or digits count from 1.
+    """
+    bounds = known.agg(F.min(F.length("sentence")).alias("least"), F.max(F.length("sentence")).alias("most"), F.max(F.size(F.split("sentence", " "))).alias("words"), F.array_sort(F.collect_set(first_word(F.col("sentence")))).alias("first")).first()
     bare = F.regexp_replace("text", COMMENT_WORD, "$1$2#")
     # A line of comment marks alone becomes an empty one.
     bare = F.regexp_replace(bare, COMMENT_LINE, "\n")
     marked = F.regexp_replace(F.regexp_replace(bare, SENTENCE_END, "$1" + MARK), EMPTY_LINE, MARK)
     sentences = docs.filter("text IS NOT NULL").select("_row", F.posexplode(F.split(marked, MARK)).alias("_pos", "_sentence"))
-    # Line 0 is the whole sentence; a sentence of several lines is also looked up line by line.
-    lines = F.split("_sentence", "\n")
-    pieces = sentences.select("_row", "_pos", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("_sentence"), lines)).otherwise(F.array("_sentence"))).alias("_line", "_piece"))
     # A normal form is never longer than its text, and at most as much shorter as the wrapping of a long sentence adds.
-    pieces = pieces.filter(F.length("_piece") >= (bounds[0] or 0)).select("_row", "_pos", "_line", normalised(F.col("_piece")).alias("sentence"))
-    hits = pieces.filter(F.length("sentence") <= (bounds[1] or 0)).join(F.broadcast(known), "sentence").select("_row", "_pos", "_line", F.col("_line").alias("_end"), "sentence_id")
-    return hits.union(run_hits(sentences, known))
+    least, most = bounds["least"] or 0, bounds["most"] or 0
+    whole = sentences.filter(F.length("_sentence") >= least).select("_row", "_pos", F.lit(0).alias("_line"), normalised(F.col("_sentence")).alias("sentence")).filter(F.length("sentence") <= most)
+    # Each line is normalised once; what is longer than any known sentence is cut to where it shows that.
+    lines = F.filter(F.transform(F.split("_sentence", "\n"), lambda x: F.substring(normalised(x), 1, most + 2)), lambda x: x != "")
+    several = alone(sentences.filter(F.contains("_sentence", F.lit("\n"))), _lines=lines).select("_row", "_pos", "_lines")
+    single = several.select("_row", "_pos", F.posexplode("_lines").alias("_line", "sentence")).filter(F.length("sentence").between(least, most)).withColumn("_line", F.col("_line") + 1)
+    hits = whole.unionByName(single).join(F.broadcast(known), "sentence").select("_row", "_pos", "_line", F.col("_line").alias("_end"), "sentence_id")
+    return hits.union(run_hits(several, known, most, bounds["words"] or 1, bounds["first"] or [""]))
 
 
-def run_hits(sentences: DataFrame, known: DataFrame) -> DataFrame:
+def run_hits(several: DataFrame, known: DataFrame, most: int, words: int, first: list[str]) -> DataFrame:
     """(_row, _pos, _line, _end, sentence_id) of every known sentence that stands in a run of lines within a longer sentence.
 
-    Only lines that are the beginning of a known sentence start a run, and a run has no more lines with letters than the known sentence has words.
+    A line that begins with a known sentence's first word starts a window: the lines from there on, no more than the longest known sentence has words, and no more letters than it has.  The lines are
+    dealt in blocks that overlap by one window, so the work is in proportion to the lines, and no row holds more than a block's windows.
     """
-    words = F.split("sentence", " ")
-    beginnings = known.select("sentence_id", F.col("sentence").alias("_whole"), F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))).alias("_begin"))
-    beginnings = beginnings.filter("_begin <> _whole")
-    lines = F.split("_sentence", "\n")
-    several = sentences.filter(F.size(lines) > 1).select("_row", "_pos", lines.alias("_lines"))
-    each = several.select("_row", "_pos", "_lines", F.posexplode("_lines").alias("_at", "_text")).withColumn("_begin", normalised(F.col("_text"))).filter("_begin <> ''")
-    met = each.join(F.broadcast(beginnings), "_begin")
-    # The normal forms of the next lines, and the sentence they make up to each of them.
-    most = F.size(F.split("_whole", " "))
-    rest = F.filter(F.transform(F.slice("_lines", F.col("_at") + 1, F.size("_lines")), lambda x, i: F.struct(normalised(x).alias("t"), i.alias("i"))), lambda x: x["t"] != "")
-    met = met.withColumn("_rest", F.slice(rest, F.lit(1), most))
-    ends = F.filter(F.sequence(F.lit(1), F.size("_rest")), lambda k: F.array_join(F.transform(F.slice("_rest", F.lit(1), k), lambda x: x["t"]), " ") == F.col("_whole"))
-    met = met.withColumn("_k", F.get(ends, 0)).filter("_k IS NOT NULL")
-    # Lines count from 1, as line 0 is the whole sentence.
-    return met.select("_row", "_pos", (F.col("_at") + 1).alias("_line"), (F.col("_at") + 1 + F.get("_rest", F.col("_k") - 1)["i"]).alias("_end"), "sentence_id")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / BLOCK_LINES).cast("int")), lambda b: F.struct((b * BLOCK_LINES).alias("base"), F.slice("_lines", b * BLOCK_LINES + 1, F.lit(BLOCK_LINES + words)).alias("lines")))
+    dealt = several.filter(F.size("_lines") > 1).select("_row", "_pos", F.explode(blocks).alias("_block")).select("_row", "_pos", F.col("_block.base").alias("_base"), F.col("_block.lines").alias("_part"))
+    window = lambda k: F.struct((F.col("_base") + k).alias("line"), F.substring(F.array_join(F.slice("_part", k, F.lit(words)), "\n"), 1, most + 1).alias("window"))
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.lit(BLOCK_LINES), F.size("_part"))), lambda k: F.when(first_word(F.get("_part", k - 1)).isin(*first), window(k)))
+    opened = dealt.select("_row", "_pos", F.explode(F.array_compact(starts)).alias("_w")).select("_row", "_pos", F.col("_w.line").alias("_line"), F.col("_w.window").alias("_window"))
+    met = opened.withColumn("_first", first_word(F.col("_window"))).join(F.broadcast(known.withColumn("_begins", first_word(F.col("sentence")))), F.col("_first") == F.col("_begins"))
+    n = F.length("sentence")
+    ends = (F.length("_window") == n) | (F.substring(F.col("_window"), n + 1, F.lit(1)) == "\n")
+    found = met.filter(F.startswith(F.translate("_window", "\n", " "), F.col("sentence")) & ends)
+    breaks = F.regexp_count(F.substring(F.col("_window"), F.lit(1), n), F.lit("\n"))
+    return found.withColumn("_end", F.col("_line") + breaks).filter("_end > _line").select("_row", "_pos", "_line", "_end", "sentence_id")
+
+
+def row_print() -> Column:
+    """128 bits of a row's id and text: rows that repeat both are one."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary")))
 
 
 def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -190,7 +208,7 @@ def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     if len(sentences) > MOST_SENTENCES:
         raise ValueError("the sentence table is too large to broadcast")
     known = spark.createDataFrame([(normal(s), i) for i, s in sentences.items()], "sentence string, sentence_id string")
-    rows = fresh(docs, "n_sentences", "sentences", "licences", "_row", "_of").withColumn("_row", F.xxhash64("doc_id", "text"))
+    rows = fresh(docs, "n_sentences", "sentences", "licences", "_row", "_of").withColumn("_row", row_print())
     hits = sentence_hits(rows.select("_row", "text"), known)
     # A row's hits: as a set, so that repeated rows count once.
     each = hits.groupBy(F.col("_row").alias("_of")).agg(F.sort_array(F.collect_set(F.struct("_pos", "_line", "_end", "sentence_id"))).alias("_hits"))

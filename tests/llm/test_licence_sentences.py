@@ -1,4 +1,8 @@
-from drainwatch.llm.licence_sentences import SENTENCES, normal, scan_licences
+import random
+import re
+import time
+
+from drainwatch.llm.licence_sentences import COMMENT_LINE, COMMENT_WORD, SENTENCES, normal, scan_licences
 
 
 def found(docs, texts, extra="extra"):
@@ -64,3 +68,49 @@ def test_wrapped_notices_behind_lines_without_an_end(docs):
     assert got[0] == got[1] == (4, ",".join(mit), "MIT")
     assert got[2] == (3, "bsd-redistribution,bsd-source,bsd-binary", "BSD-2-Clause")
     assert got[3] == (1, "isc-grant", "ISC") and got[4] == (0, "", "")
+
+
+def brute(text):
+    """The known sentences of a text in order, found line by line in plain Python."""
+    known = {normal(s): i for i, s in SENTENCES.items()}
+    text = re.sub(COMMENT_LINE, "\n", re.sub(COMMENT_WORD, r"\1\2#", text))
+    text = re.sub(r"\n[\x20\x09-\x0D]*\n", "\x01", re.sub(r"([.!?]|conditions:|met:)[\x20\x09-\x0D]+", "\\1\x01", text))
+    out = []
+    for sentence in text.split("\x01"):
+        if normal(sentence) in known:
+            out.append(known[normal(sentence)])
+            continue
+        lines = [n for n in map(normal, sentence.split("\n")) if n]
+        if "\n" not in sentence:
+            continue
+        runs = [(i, j, known[" ".join(lines[i : j + 1])]) for i in range(len(lines)) for j in range(i, min(len(lines), i + 90)) if " ".join(lines[i : j + 1]) in known]
+        out += [name for i, j, name in sorted(runs) if not any(a <= i and j <= b and b - a > j - i for a, b, _ in runs)]
+    return out
+
+
+def test_random_notices_against_brute_force(docs):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(150):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            words = SENTENCES[rng.choice(list(SENTENCES))].split()
+            if rng.random() < 0.2:
+                words = words[: rng.randint(1, len(words))]
+            width, mark = rng.choice([1, 2, 5, 9, 100]), rng.choice(["", "# ", " * ", "// ", "REM "])
+            lines += rng.choice([[], [mark + "Copyright 2020 Foo"], ["the", "software"], [mark.strip()]])
+            lines += [mark + " ".join(words[k : k + width]) for k in range(0, len(words), width)]
+            lines += rng.choice([[], [""], ["in no event", "this"]])
+        texts.append("\n".join(lines))
+    got = found(docs, texts)
+    assert {k: v[1] for k, v in got.items()} == {k: ",".join(brute(t)) for k, t in enumerate(texts)}
+    assert sum(v[0] for v in got.values()) > 150
+
+
+def test_many_lines_take_time_in_proportion(docs):
+    words = ["the", "software", "this"] * 34_000
+    grant = SENTENCES["mit-grant"].split()
+    started = time.time()
+    got = found(docs, ["\n".join(words[:100_000] + grant + words[:1000])])
+    assert got[0][1] == "mit-grant"
+    assert time.time() - started < 60
