@@ -352,7 +352,7 @@ JITTER_S = 7200
 _RUNS: dict[tuple[str, str], slices.Slices] = {}
 
 
-def frame_stream(spark, sf_dir, batches=3):
+def frame_stream(spark, sf_dir, batches=2):
     """The raw feed as a stream of a few micro-batches: out of order by up to two hours, every fifth frame delivered twice, the second time in any later place of that time."""
     path = work_path(spark, "frames")
     times = token_events(spark, sf_dir).select(F.col("slot").alias("id"), "block_time_s")
