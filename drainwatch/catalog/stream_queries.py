@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from drainwatch.catalog.adapter import EV, PARAMS, RUGS, Story, as_token_events, readings, sql, table, token_events
 from drainwatch.catalog.feed_adapter import FEED, raw_frames
+from drainwatch.catalog.feed_queries import JITTER_S, frame_stream
 from drainwatch.catalog.registry import query
+from drainwatch.plans import normalize as nz
 from drainwatch.plans import rules, tokens
 from drainwatch.session import shared_dir, work_path
 from drainwatch.sources import frames as fr
-from drainwatch.streaming import feed, lifecycle
+from drainwatch.streaming import feed, lifecycle, slices
 
 
 # Micro-batches of the registered streams.
@@ -66,16 +68,59 @@ def x3(spark, sf_dir):
     return feed.drain(ev.select("slot", "late"), "x3").groupBy("late").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("U3_dedup_stream", sql(EV, "SELECT DISTINCT mint, actor FROM ev"))
+# Repeats of the streamed feed come within twice its jitter.
+HORIZON = f"{2 * JITTER_S} seconds"
+
+
+def keyed_stream(spark, sf_dir):
+    """Valid frames of the streamed feed (every fifth delivered twice, out of order) with their type, key and event time."""
+    routed = nz.validated(nz.frames_to_routed(frame_stream(spark, sf_dir))).filter(F.col("reason").isNull() & F.col("type").isin(*slices.KINDS))
+    at = F.try_variant_get("v", "$.block_time", "bigint")
+    return routed.select("type", "v", slices.frame_key(F.col("type")).alias("key"), at.alias("block_time_s"))
+
+
+_FOLLOWED = "SELECT * FROM feed WHERE reason IS NULL AND type IN ('token_create', 'meme', 'graduation', 'liquidity', 'swap')"
+
+
+@query("U3_dedup_stream", sql(FEED + f", good AS ({_FOLLOWED})", "SELECT type, count(*) AS n, CAST(sum(bt % 1000) AS BIGINT) AS at_sum FROM good GROUP BY type"))
 def u3(spark, sf_dir):
-    ev = event_stream(spark, sf_dir, delay="60 days").withColumn("key", F.concat_ws("|", "mint", "actor"))
-    return feed.drain(feed.dedup_stream(ev, ("key",)).select("mint", "actor"), "u3")
+    """First delivery of each frame of the feed by its own key."""
+    ev = feed.event_clock(keyed_stream(spark, sf_dir), PARAMS, HORIZON)
+    out = feed.drain(feed.dedup_stream(ev).select("type", "block_time_s"), "u3")
+    return out.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("block_time_s") % 1000).alias("at_sum"))
 
 
-@query("X4_streaming_dedup", sql(EV, "SELECT CASE WHEN typ IN ('add', 'remove') THEN 'liquidity' ELSE typ END AS type, mint FROM ev GROUP BY ALL"))
+@query("X4_streaming_dedup", sql(FEED + f", good AS ({_FOLLOWED})", """SELECT type, CASE WHEN type = 'graduation' THEN 'T' || k || '|' || id ELSE 'sig' || id || '|' || (id % 5) || '|' || (id % 3 - 1) || '|T' || k END AS key FROM good WHERE type <> 'meme'"""))
 def x4(spark, sf_dir):
-    ev = event_stream(spark, sf_dir, delay="60 days").withColumn("key", F.col("mint"))
-    return feed.drain(feed.dedup_stream(ev).select("type", "mint"), "x4")
+    """The keys that reach what follows, each once."""
+    ev = feed.event_clock(keyed_stream(spark, sf_dir).filter("type <> 'meme'"), PARAMS, HORIZON)
+    return feed.drain(feed.dedup_stream(ev).select("type", "key"), "x4")
+
+
+def late_parts(spark, sf_dir):
+    """The events table as parts of hourly buckets, its batches mixed: most rows are days behind the newest of the batches before."""
+    path, out = work_path(spark, "mixed"), work_path(spark, "parts")
+    batch = table(spark, sf_dir, "events")
+    for k in range(3):
+        batch.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).write.parquet(f"{path}/{k}")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    ev = as_token_events(stream.parquet(path))
+    ev = ev.withColumn("usd", F.when(F.col("type").isin("liquidity", "swap"), F.col("usd")))
+    feed.run_to_end(ev.writeStream.foreachBatch(feed.bucket_parts(out, 3600)).option("checkpointLocation", f"{out}-progress"))
+    return spark.read.parquet(out)
+
+
+@query("X13_rate_with_late_rows", sql(EV, "SELECT bt // 3600 * 3600 AS start_s, count(*) AS n FROM ev GROUP BY 1"))
+def x13_late(spark, sf_dir):
+    """Every row counts, however late it comes."""
+    return feed.merged_rate(late_parts(spark, sf_dir))
+
+
+@query("X12_buckets_with_late_rows", sql(EV, """SELECT mint, pool, bt // 3600 * 3600 AS start_s, CAST(arg_max(usd, (bt, slot)) AS DOUBLE) AS usd FROM ev
+WHERE typ IN ('add', 'remove', 'swap') GROUP BY mint, pool, bt // 3600"""))
+def x12_late(spark, sf_dir):
+    rows = feed.merged_readings(late_parts(spark, sf_dir))
+    return rows.select("mint", "pool", "start_s", F.col("usd").cast("double").alias("usd"))
 
 
 _CLOSED = "(SELECT max(bt) FROM ev) - 3600"

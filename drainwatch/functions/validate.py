@@ -33,6 +33,10 @@ def _value(raw: Column, kind: str) -> Column:
     return F.try_variant_get(raw, "$", kind)
 
 
+def text_of(raw: Column) -> Column:
+    return _value(raw, "string")
+
+
 def is_text(raw: Column) -> Column:
     return F.coalesce(kind_of(raw) == "STRING", F.lit(False))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from drainwatch.operators.select import newest_per_key
 from drainwatch.plans.normalize import CONTROL_TYPES
 
-NOT_CONTENT = ("origin", "received_at_ms", "arrival", "type")
+NOT_CONTENT = ("origin", "received_at_ms", "arrival", "type", "inexact")
 INSTRUCTION = ("signature", "ix_index", "inner_ix_index")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from drainwatch.functions import validate as v
 from drainwatch.functions.events import derive_origin
+from drainwatch.functions.exact import fits
 from drainwatch.functions.redact import redact_secrets, redact_url
 from drainwatch.operators.select import tally
 
@@ -217,7 +218,19 @@ def _typed(kind: str) -> list[Column]:
         cols = [swap[name](k.read(v.get(F.col("v"), path))).alias(name) if name in swap else k.read(v.get(F.col("v"), path)).alias(name)
                 for name, path, k in SCHEMAS[kind]]
     origin = derive_origin(v.get(F.col("v"), "catchup", "boolean"), v.get(F.col("v"), "backfill", "boolean"))
-    return [origin.alias("origin"), *cols]
+    return [origin.alias("origin"), *cols, _inexact(kind)]
+
+
+def _inexact(kind: str) -> Column:
+    """name=text of every number that its column cannot hold to the last digit, so that none is lost (``functions.exact.told`` reads them)."""
+    lost = lambda name, raw: F.when(v.is_text(raw) & ~fits(v.text_of(raw)), F.concat(name, F.lit("="), v.text_of(raw)))
+    found = F.array(*[lost(F.lit(name), v.get(F.col("v"), path)) for name, path, k in SCHEMAS[kind] if k.expected == v.DECIMAL.expected]).cast("array<string>")
+    for name, path in [(name, path) for name, path, k in SCHEMAS[kind] if k.expected == WINDOWS.expected]:
+        decimals = lambda e: [(f, raw) for f, (raw, fk) in _window_fields(e["value"]).items() if fk is v.DECIMAL]
+        of_window = lambda e: F.array(*[lost(F.concat(F.lit(f"{name}."), e["key"], F.lit(f".{f}")), raw) for f, raw in decimals(e)])  # noqa: B023, E731
+        each = F.transform(F.map_entries(v.get(F.col("v"), path, "map<string,variant>")), of_window)
+        found = F.concat(found, F.coalesce(F.flatten(each), F.array().cast("array<string>")))
+    return F.filter(found, lambda x: x.isNotNull()).alias("inexact")
 
 
 def normalize(routed: DataFrame, kind: str, carry: list[str] | None = None, checked: bool = False) -> DataFrame:

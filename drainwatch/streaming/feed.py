@@ -49,6 +49,37 @@ def rate_stream(ev: DataFrame, seconds: int = 1) -> DataFrame:
     return ev.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).select(F.unix_timestamp("w.start").alias("start_s"), "n")
 
 
+def bucket_parts(directory: str, seconds: int) -> Callable[[DataFrame, int], None]:
+    """Buckets that lose no row: each batch files what it adds to any bucket, closed or not, as a part of its own; ``merged_rate`` and ``merged_readings`` put the parts together on read.
+
+    A part is one row per bucket (and pool) that the batch touches.  A row behind the watermark corrects its bucket the moment its batch is filed, and a batch that runs again replaces its parts.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        start = (F.floor(F.col("block_time_s") / seconds) * seconds).alias("start_s")
+        priced = F.when(F.col("usd").isNotNull(), F.col("pos"))
+        parts = batch.groupBy("mint", "pool", start).agg(F.count(F.lit(1)).alias("n"), F.max_by("usd", priced).alias("usd"), F.max(priced).alias("pos"))
+        parts.write.mode("overwrite").parquet(f"{directory}/batch={number}")
+
+    return run
+
+
+def merged_rate(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("start_s").agg(F.sum("n").alias("n"))
+
+
+def merged_readings(parts: DataFrame) -> DataFrame:
+    """Newest reading per (token, pool, bucket) over all batches."""
+    return parts.filter("pos is not null").groupBy("mint", "pool", "start_s").agg(F.max_by("usd", "pos").alias("usd"), F.max("pos").alias("pos"))
+
+
+def compact_parts(parts: DataFrame, path: str, before_s: int) -> None:
+    """Parts of buckets that are long closed, as one part; the rest is left to the batches."""
+    old = parts.filter(F.col("start_s") < before_s)
+    newest = F.max_by(F.struct("usd", "pos"), "pos").alias("_r")
+    merged = old.groupBy("mint", "pool", "start_s").agg(F.sum("n").alias("n"), newest)
+    merged.select("mint", "pool", "start_s", "n", F.col("_r.usd").alias("usd"), F.col("_r.pos").alias("pos")).write.mode("overwrite").parquet(path)
+
+
 def normalize_batches(good_dir: str, bad_dir: str) -> Callable[[DataFrame, int], None]:
     """One micro-batch: valid frames filed by type, rejected ones to quarantine.
 
