@@ -4,7 +4,8 @@ All pages of a host are merged into one tree of style nodes (paths of tags with
 and its content vary: the entropy of the child sequences seen under it over the host's pages, and, for what stands below it, one less the entropy of each
 text block's spread over the pages.  Branches of low importance (the same menu, notice or link list on page after page) are cut from every page, but never inside an article or main
 element: what recurs there, as headings and table heads do, is the article's own.  Elements whose tag, class or
-role says that they are not the article are cut without counting, as a host of one page has nothing to compare.  From the rest the article
+role says that they are not the article are cut without counting, as a host of one page has nothing to compare.  A class or id says so as a whole, not by one of its words, and neither it nor a form
+hides an article that stands within and is the page's only one.  From the rest the article
 is taken, or the main element, or the body, whichever is there first.
 
 A null or empty page gives the empty text.  Pages without a host are judged by their elements alone.  Pages of a host with the same text, before any branch is cut, count once in
@@ -54,30 +55,47 @@ def attributes(raw: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
-def is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in NOISE_TAGS or (tag == "header" and not in_article):
-        return True
-    if not attrs:
-        return False
-    if "hidden" in attrs:
-        return True
-    if attrs.get("role", "").lower() in NOISE_ROLES:
-        return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return tag not in ("html", "body", "article", "main") and any(n.lower() in NOISE_NAMES for n in NAME_PART.findall(names)) or (tag == "article" and any(n.lower() in ("comment", "comments", "reply") for n in NAME_PART.findall(names)))
+# Words that name a box and not what it says; beside them a name of noise still names noise ("site-header", "share-buttons").
+BOX_WORDS = frozenset(
+    "area bar block blocks body bottom box btn button buttons center col column container content desktop fixed form global group holder icons inner item items js left link links list main mobile module outer "
+    "page panel posts primary region right row secondary section sidebar site slot sticky strip top unit wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# A branch is text, noise by its name or as a form (which may still hold the article), or noise by its element; RESCUED is an article that stands within noise by name.
+TEXT, SOFT, HARD, RESCUED = 0, 1, 2, -1
+
+
+def names_noise(name: str) -> bool:
+    """A class or id that says noise as a whole: a name of noise alone or among words for boxes.  "no-sidebar" and "related-work" say something else."""
+    parts = [p.lower() for p in NAME_PART.findall(name)]
+    return any(p in NOISE_NAMES for p in parts) and all(p in NOISE_NAMES or p in BOX_WORDS for p in parts)
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, str, int, bool]], dict[str, list[str]]]:
-    """Blocks in page order (style path, text, 2 in an article / 1 in main / 0 elsewhere, noise), and the children of each style node."""
+def noise_of(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    if tag == "form":
+        return SOFT
+    if tag in NOISE_TAGS or (tag == "header" and not in_article) or "hidden" in attrs or attrs.get("role", "").lower() in NOISE_ROLES:
+        return HARD
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    if tag == "article":
+        return HARD if any(p.lower() in ("comment", "comments", "reply") for n in names for p in NAME_PART.findall(n)) else TEXT
+    # Ids of headings are made from their words.
+    if tag in ("html", "body", "main") or tag in HEADINGS:
+        return TEXT
+    return SOFT if any(map(names_noise, names)) else TEXT
+
+
+def parse(html: str | None) -> tuple[list[tuple[str, str, int, int]], dict[str, list[str]]]:
+    """Blocks in page order (style path, text, 2 in an article / 1 in main / 0 elsewhere, kind of noise), and the children of each style node."""
     html = html or ""
-    stack: list[tuple[str, str, bool, int]] = []  # tag, path, noise, region
+    stack: list[tuple[str, str, int, int]] = []  # tag, path, noise, region
     blocks, words, styles = [], [], {}
 
     def flush():
         if words:
             text = " ".join(unescape("".join(words)).split())
             if text:
-                _, path, noise, region = stack[-1] if stack else ("", "", False, 0)
+                _, path, noise, region = stack[-1] if stack else ("", "", TEXT, 0)
                 blocks.append((path, text, region, noise))
             words.clear()
 
@@ -118,12 +136,12 @@ def parse(html: str | None) -> tuple[list[tuple[str, str, int, bool]], dict[str,
             flush()
         if tag in VOID:
             continue
-        _, above, noise, region = stack[-1] if stack else ("", "", False, 0)
+        _, above, noise, region = stack[-1] if stack else ("", "", TEXT, 0)
         if tag in INLINE and not m[3]:
             stack.append((tag, above, noise, region))
             continue
         attrs = attributes(m[3]) if m[3] else {}
-        own = is_noise(tag, attrs, region == 2)
+        own = noise_of(tag, attrs, region == 2)
         if tag in INLINE and not own:
             stack.append((tag, above, noise, region))
             continue
@@ -133,23 +151,34 @@ def parse(html: str | None) -> tuple[list[tuple[str, str, int, bool]], dict[str,
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if own and not noise:
+        if own and noise <= TEXT:
             flush()
         styles.setdefault(above, []).append(label)
         styles.setdefault(path, [])
-        stack.append((tag, path, noise or own, max(region, 2 if tag == "article" else 1 if tag == "main" else 0)))
+        if noise == SOFT and own == TEXT and tag in ("article", "main"):
+            kind = RESCUED
+        else:
+            kind = own if noise <= TEXT and own else max(noise, own) if noise > TEXT else noise
+        stack.append((tag, path, kind, max(region, 2 if tag == "article" else 1 if tag == "main" else 0)))
     rest = html[at:]
     words.append(OPEN_END.sub("", rest))
     flush()
     return blocks, styles
 
 
-def found_blocks(blocks: list[tuple[str, str, int, bool]]) -> list[tuple[str, str, int, bool]]:
-    """The blocks outside noise of the article, or of the main element, or of the whole page, whichever is there first."""
-    own = [b for b in blocks if not b[3]]
-    for least in (2, 1):
-        if any(b[2] >= least for b in own):
-            return [b for b in own if b[2] >= least]
+def found_blocks(blocks: list[tuple[str, str, int, int]]) -> list[tuple[str, str, int, int]]:
+    """The blocks outside noise of the article, or of the main element, or of the whole page, whichever is there first.
+
+    An article that is less than half of its main element is a part of it, as a teaser is, not the article.  An article within noise by name counts where there is no other.
+    """
+    own = [b for b in blocks if b[3] == TEXT]
+    for rows in (own, [b for b in blocks if b[3] == RESCUED]):
+        article, main = [b for b in rows if b[2] == 2], [b for b in rows if b[2] >= 1]
+        chars = [sum(len(b[1]) for b in part) for part in (article, main)]
+        if chars[0] and 2 * chars[0] >= chars[1]:
+            return article
+        if main:
+            return main
     return own
 
 
@@ -168,7 +197,7 @@ def page_features(html: str | None) -> tuple[int, list[tuple[str, bool, int]]]:
     """The print of the page's text, and (style path, is content, feature), each once per page: the child sequence of every node, the text of every block outside noise."""
     blocks, styles = parse(html)
     out = {(p, False, _feature(" ".join(dict.fromkeys(c)))) for p, c in styles.items() if p}
-    out |= {(b[0], True, _feature(b[1])) for b in blocks if not b[3]}
+    out |= {(b[0], True, _feature(b[1])) for b in blocks if b[3] <= TEXT}
     return _feature("\n".join(b[1] for b in found_blocks(blocks))), sorted(out)
 
 

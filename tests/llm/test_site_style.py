@@ -84,3 +84,66 @@ def test_the_cut_spares_articles_and_copies_count_by_their_text(spark):
         want[200 + i] = want[300 + i] = text
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in extract_text(pages).collect()} == want
+
+
+def test_articles_stay_whatever_stands_around_them():
+    words = "<p>One long paragraph of the article itself.</p><p>And another one.</p>"
+    text = "One long paragraph of the article itself.\nAnd another one."
+    whole = [
+        f'<form id="aspnetForm"><div class="menu">Home</div><article>{words}</article></form>',
+        f'<div class="page no-sidebar"><article>{words}</article><div class="sidebar">x</div></div>',
+        f'<div class="content-with-sidebar"><article>{words}</article></div>',
+        f'<article><section id="social-sciences">{words}</section></article>',
+        f'<article><section class="chapter header-image">{words}</section></article>',
+        f'<div id="footer"><main>{words}</main></div>',
+        f'<main>{words}<aside>x</aside><div class="site-header">y</div><div class="share-buttons">z</div></main>',
+    ]
+    for html in whole:
+        assert main_text(f"<html><body>{html}</body></html>", None) == text, html
+    named = '<article><h2 id="cookies">Cookies</h2><p>How they work.</p><h2 id="notice-of-appeal">Notice</h2><div class="related-work">Others did.</div><p class="ad-hoc">Some ad hoc text.</p></article>'
+    assert main_text(named, None) == "Cookies\nHow they work.\nNotice\nOthers did.\nSome ad hoc text."
+    teaser = f"<main>{words}<article><h3>Next</h3></article></main>"
+    assert main_text(teaser, None) == text + "\nNext"
+    # Noise by its element stays noise, and so do comments and forms with no article.
+    assert main_text(f'<aside><article>teaser</article></aside><article>{words}</article><form>Your name</form><div class="comments"><article class="comment">me too</article></div>', None) == text
+    assert main_text("<body><form>Your name <input></form><p>Body text.</p></body>", None) == "Body text."
+
+
+def test_branches_that_repeat_go_from_pages_without_an_article(spark):
+    pages = [(k, f"http://h/{k}", f'<body><div class="lead">Read our terms before you go on</div><div class="text"><p>Story number {k} of {k * 7} words.</p></div></body>') for k in range(20)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story number {k} of {k * 7} words." for k in range(20)}
+
+
+def test_importance_against_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from drainwatch.llm.site_style import page_features
+
+    rng = random.Random(4)
+    part = lambda: f"<p>{rng.choice('ab')}</p>" + rng.choice(["", "<ul><li>x</li></ul>", "<ul><li>x</li><li>y</li></ul>"])
+    htmls = [f"<body><div class='{rng.choice('uv')}'>{part()}</div>{part()}<span>{k}</span></body>" for k in range(30)]
+    seen = {}
+    for h in htmls:
+        text, features = page_features(h)
+        seen.setdefault(text, features)
+    shapes, texts = {}, {}
+    for features in seen.values():
+        for path, content, feature in features:
+            (texts if content else shapes).setdefault(path, Counter())[feature] += 1
+    entropy = lambda c, m: sum(-n / m * math.log(n / m) for n in c.values()) / math.log(m) if m > 1 else 1.0
+    pages = {p: sum(c.values()) for p, c in shapes.items()}
+    weight = {p: sum(1 - (math.log(n) / math.log(pages[p]) if pages[p] > 1 else 0) for n in c.values() for _ in range(n)) for p, c in texts.items()}
+    want = {}
+    for path in shapes:
+        below = [p for p in texts if p == path or p.startswith(path + "/")]
+        if below:
+            content = sum(weight[p] for p in below) / sum(sum(texts[p].values()) for p in below)
+            share = StyleTree().gamma ** len(shapes[path])
+            want[path] = (1 - share) * entropy(shapes[path], pages[path]) + share * content
+    df = spark.createDataFrame([("h", h) for h in htmls], "_host string, html string")
+    got = {r.path: r.importance for r in branch_importance(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
