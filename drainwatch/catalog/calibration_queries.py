@@ -17,6 +17,8 @@ from drainwatch.sources import tables
 _DOUBLE = lambda c: F.col(c).cast("double").alias(c)
 BAND = PARAMS.with_(fingerprint_min=60, fingerprint_max=110)
 # The adapter's pools seldom end near zero: an ending under 60 counts as collapsed in the report.
+# The adapter's swaps come hours apart: twelve days after graduation count as early.
+EARLY_S = 12 * 86400
 ENDED = PARAMS.with_(max_floor_usd=60)
 
 
@@ -53,7 +55,7 @@ class Capture:
         ft = settle(self.full(), "features")
         liq = features.liquidity_rows(self.legs)
         sw = features.graduated_swaps(self.legs, ft)
-        facts = settle(cal.token_facts(ft, outcomes(self.spark, self.sf_dir), liq, sw, ENDED, min_swaps), "facts")
+        facts = settle(cal.token_facts(ft, outcomes(self.spark, self.sf_dir), liq, sw, ENDED, min_swaps, EARLY_S), "facts")
         return facts, liq, sw
 
 
@@ -89,7 +91,7 @@ sw AS ({_SWAPS}),
 fadd AS (SELECT l.mint, l.bt AS add_at_s, l.moved AS add_units, l.dex AS add_dex FROM liq l JOIN ft f ON f.mint = l.mint
   WHERE kind = 'add' AND provider = f.creator AND (f.collapse_at_s IS NULL OR l.bt <= f.collapse_at_s) QUALIFY row_number() OVER (PARTITION BY l.mint ORDER BY l.bt, l.slot) = 1),
 shr AS (SELECT s.mint, count(*) AS n_all, count(*) FILTER (WHERE sell) AS s_all, count(*) FILTER (WHERE bf) AS n_before, count(*) FILTER (WHERE bf AND sell) AS s_before,
-  count(*) FILTER (WHERE bf AND s.bt < grad_at_s + 300) AS n_early, count(*) FILTER (WHERE bf AND sell AND s.bt < grad_at_s + 300) AS s_early, count(DISTINCT actor) AS traders
+  count(*) FILTER (WHERE bf AND s.bt < grad_at_s + {EARLY_S}) AS n_early, count(*) FILTER (WHERE bf AND sell AND s.bt < grad_at_s + {EARLY_S}) AS s_early, count(DISTINCT actor) AS traders
   FROM (SELECT s.*, f.grad_at_s, f.collapse_at_s IS NULL OR s.bt < f.collapse_at_s AS bf FROM sw s JOIN ft f ON f.mint = s.mint) s GROUP BY s.mint),
 net AS (SELECT l.mint, coalesce(sum(CASE WHEN kind = 'remove' THEN moved ELSE -moved END), 0) AS net_units FROM liq l JOIN ft f ON f.mint = l.mint AND f.creator = l.provider GROUP BY l.mint),
 sel AS (SELECT mint, sum(n) AS sells, max(n) AS top_sells FROM (SELECT s.mint, s.actor, count(*) AS n FROM sw s JOIN ft f ON f.mint = s.mint
@@ -276,6 +278,14 @@ def p12(spark, sf_dir):
     return cal.standalone_band_rule(liq, facts, BAND)
 
 
+@query("P12_band_providers", sql(FACTS, """SELECT provider, count(*) AS n FROM (SELECT l.provider, f.creator FROM liq l JOIN facts f ON f.mint = l.mint
+  WHERE l.kind = 'add' AND l.moved BETWEEN 60 AND 110 AND f.stage IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l.mint ORDER BY l.bt, l.slot) = 1)
+WHERE provider IS DISTINCT FROM creator GROUP BY provider ORDER BY n DESC, provider LIMIT 5"""))
+def p12_providers(spark, sf_dir):
+    facts, liq, _ = Capture(spark, sf_dir).facts()
+    return cal.band_providers(liq, facts, BAND)
+
+
 @query("P13_sell_share", sql(FACTS, "SELECT mint, share_all, share_before, share_early FROM facts"))
 def p13(spark, sf_dir):
     return Capture(spark, sf_dir).facts()[0].select("mint", *cal.VARIANTS)
@@ -296,11 +306,9 @@ def p14(spark, sf_dir):
 
 @query("P15_threshold_sweep", sql(FACTS, """SELECT CAST(c AS DOUBLE) AS cut, count(f.mint) AS flagged, count(*) FILTER (WHERE f.collapsed) AS collapsed,
   CASE WHEN count(f.mint) > 0 THEN count(*) FILTER (WHERE f.collapsed) / CAST(count(f.mint) AS DOUBLE) END AS precision
-FROM (VALUES (0.3), (0.4), (0.5), (0.6)) x(c) LEFT JOIN facts f ON f.graduated AND NOT f.signal AND f.share_before <= CAST(c AS DOUBLE) GROUP BY c"""))
+FROM (VALUES (0.3), (0.4), (0.5), (0.6)) x(c) LEFT JOIN facts f ON f.graduated AND NOT f.signal AND f.share_early <= CAST(c AS DOUBLE) GROUP BY c"""))
 def p15(spark, sf_dir):
-    """The adapter has few swaps right after a graduation: the share before the collapse stands in."""
-    facts, _, _ = Capture(spark, sf_dir).facts()
-    return cal.threshold_sweep(facts.withColumn("share_early", F.col("share_before")), (0.3, 0.4, 0.5, 0.6))
+    return cal.threshold_sweep(Capture(spark, sf_dir).facts()[0], (0.3, 0.4, 0.5, 0.6))
 
 
 @query("P16_distinct_traders", sql(FACTS, f"""SELECT q.*, (SELECT CAST(sum(CASE WHEN a.traders > b.traders THEN 1.0 WHEN a.traders = b.traders THEN 0.5 ELSE 0 END) / count(*) AS DOUBLE)

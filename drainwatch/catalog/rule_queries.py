@@ -240,6 +240,14 @@ def p21(spark, sf_dir):
     return reports.validation_metrics(al, rg, clock(s.ev))
 
 
+@query("P21_leads", sql(RECORDS + """, x AS (SELECT a.level, r.t_at - a.t_at AS lead FROM al a JOIN rg r ON r.mint = a.mint),
+k AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY lead) - 1 AS i, count(*) OVER (PARTITION BY level) AS n FROM x)""", " UNION ALL ".join(
+    [f"SELECT level || ' lead {name}' AS metric, CAST(max(lead) AS BIGINT) AS value FROM k WHERE i = least(n - 1, CAST(floor({p} * n) AS BIGINT)) GROUP BY level" for name, p in reports.LEADS.items()]
+    + ["SELECT level || ' lead min', min(lead) FROM x GROUP BY level"] + [f"SELECT level || ' lead under {s}', count(*) FILTER (WHERE lead < {s}) FROM x GROUP BY level" for s in (60, 120)])))
+def p21_leads(spark, sf_dir):
+    return reports.lead_metrics(*Story(spark, sf_dir).records())
+
+
 @query("J12_metrics_vs_expected", sql(RUGS + """, got AS (SELECT mechanism AS metric, count(*) AS actual FROM rg GROUP BY mechanism),
 want AS (SELECT mechanism AS metric, count(*) AS expected FROM rg WHERE t_at % 2 = 0 GROUP BY mechanism)""", """SELECT coalesce(g.metric, w.metric) AS metric, actual, expected, actual IS DISTINCT FROM expected AS differs FROM got g FULL JOIN want w ON g.metric = w.metric""").replace("\n, got", ", got"))
 def j12(spark, sf_dir):

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from drainwatch.catalog.adapter import EV, RECORDS, Story, sql, table, token_events
+from drainwatch.catalog.adapter import EV, PARAMS, RECORDS, Story, sql, table, token_events
 from drainwatch.catalog.registry import query
-from drainwatch.plans import joins, prices, rules, tokens
+from drainwatch.plans import history, joins, prices, rules, tokens
 from drainwatch.plans.creators import creator_launches
-from drainwatch.session import work_path
+from drainwatch.session import settle, work_path
 from drainwatch.sources import frames as fr
 from drainwatch.sources import registry, snapshots
 
@@ -212,21 +212,72 @@ def t17(spark, sf_dir):
     return tokens.latest_rest_reading(rd.unionByName(older)).select("mint", F.col("rest_usd").cast("double").alias("rest_usd"))
 
 
-@query("J11_reconcile_with_snapshot", """WITH s AS (SELECT o_orderpriority AS stratum, o_totalprice / 2 AS peak, o_orderkey % 2 = 0 AS gone, CASE WHEN o_custkey % 11 <> 0 THEN CAST(CAST(o_totalprice * (o_orderkey % 3) AS DECIMAL(18,2)) AS DOUBLE) END AS liq, o_orderkey FROM orders)
-SELECT stratum, CASE WHEN liq IS NULL THEN 'not listed' WHEN gone AND liq <= 5 THEN 'agree: collapsed' WHEN NOT gone AND liq > 5 THEN 'agree: alive'
-  WHEN gone AND liq / peak BETWEEN 1.4 AND 2.6 THEN 'theirs high: about twice our peak' WHEN gone THEN 'theirs high: other'
-  WHEN o_orderkey % 5 = 0 THEN 'theirs low: value left in the curve pool' WHEN o_orderkey % 7 = 0 THEN 'theirs low: pool active in the last 30 min' ELSE 'theirs low: pool quiet' END AS verdict, count(*) AS n
-FROM s GROUP BY ALL""")
+def _judged(gone, peak):
+    return f"""CASE WHEN liq IS NULL THEN 'unlisted' WHEN {gone} AND liq <= 5 THEN 'same-collapsed' WHEN NOT {gone} AND liq > 5 THEN 'same-alive'
+  WHEN {gone} AND liq / {peak} BETWEEN 1.4 AND 2.6 THEN 'high-double' WHEN {gone} THEN 'high'
+  WHEN o_orderkey % 5 = 0 THEN 'low-curve' WHEN o_orderkey % 7 = 0 THEN 'low-active' ELSE 'low-quiet' END"""
+
+
+@query("J11_reconcile_with_snapshot", f"""WITH s AS (SELECT o_orderpriority AS stratum, o_totalprice / 2 AS peak, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice ELSE o_totalprice / 2 END AS tpeak, o_orderkey % 2 = 0 AS gone, o_orderkey % 3 = 1 AS tgone,
+  CASE WHEN o_custkey % 11 <> 0 THEN CAST(CAST(o_totalprice * (o_orderkey % 3) AS DECIMAL(18,2)) AS DOUBLE) END AS liq, o_orderkey FROM orders)
+SELECT stratum, {_judged("gone", "peak")} AS verdict, {_judged("tgone", "tpeak")} AS verdict_tradable, count(*) AS n FROM s GROUP BY ALL""")
 def j11(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     sample = o.select(
         F.col("o_orderpriority").alias("stratum"), k.alias("mint"), (F.col("o_totalprice") / 2).alias("peak_usd"), (k % 2 == 0).alias("collapsed"), F.lit(True).alias("graduated"),
         F.when(k % 5 == 0, 1.0).otherwise(0.0).alias("curve_units"), F.lit(0.0).alias("tradable_last_usd"), F.when(k % 7 == 0, 9000).otherwise(0).alias("last_pool_s"),
+        (k % 3 == 1).alias("tradable_collapsed"), F.when(k % 4 != 0, F.col("o_totalprice")).alias("tradable_peak_usd"),
     )
     listed = o.filter("o_custkey % 11 <> 0").select(k.alias("mint"), (F.col("o_totalprice") * (k % 3)).cast("decimal(18,2)").cast("double").alias("liquidity_usd"))
     out = joins.reconcile_with_snapshot(sample, listed, F.lit(10000))
-    return out.groupBy("stratum", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    return out.groupBy("stratum", "verdict", "verdict_tradable").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Orders as launches: a third were heard in the stream (some by no known creator), every second of those on the curve.
+_HEARD = HIST + """, heard AS (SELECT 'M' || o_orderkey AS mint, CASE WHEN o_orderkey % 2 = 1 THEN 'K' || o_custkey END AS creator, CAST(epoch(o_orderdate) AS BIGINT) - 50 + o_orderkey % 100 AS s, o_orderkey % 2 AS rank FROM orders WHERE o_orderkey % 3 = 0),
+clock AS (SELECT max(CAST(epoch(o_orderdate) AS BIGINT)) AS now FROM orders)"""
+
+
+class Merged:
+    def __init__(self, spark, sf_dir):
+        o = table(spark, sf_dir, "orders")
+        key, made = F.col("o_orderkey"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+        heard = o.filter(key % 3 == 0).select(
+            F.lit("token_create").alias("type"), F.concat(F.lit("M"), key).alias("mint"), F.when(key % 2 == 1, F.concat(F.lit("K"), "o_custkey")).alias("actor"), (made - 50 + key % 100).alias("block_time_s"), (key % 2).cast("int").alias("rank"),
+        )
+        tok = heard.select("mint", F.col("actor").alias("creator"), F.col("block_time_s").alias("created_at_s"), F.col("rank").alias("stage_rank"), F.lit(None).cast("bigint").alias("graduated_at_s"), F.lit("").alias("stage"))
+        named = heard.filter("actor is not null")
+        dim = named.groupBy(F.col("actor").alias("creator")).agg(F.min("block_time_s").alias("first_seen_s"), F.max("block_time_s").alias("last_seen_s"), F.lit(False).alias("serial"))
+        hist, _ = snapshots.load_creator_history(history_lines(spark, sf_dir))
+        hist = settle(hist, "history")
+        now = F.lit(o.agg(F.max(made)).first()[0])
+        self.tokens, self.launches, self.creators = history.apply_creator_history(named, tok, dim, hist, snapshots.history_tokens(hist), now, PARAMS.with_(burst_window_s=86400 * 365, burst_max_launches=3))
+
+
+@query("J5_tokens_after_history", sql(_HEARD, """SELECT h.mint, coalesce(h.creator, o.creator) AS creator, least(h.s, coalesce(o.made, h.s)) AS created_at_s,
+  CASE WHEN o.o_orderstatus = 'F' THEN 'graduated' WHEN h.rank = 1 THEN 'curve' ELSE 'created' END AS stage, CASE WHEN o.o_orderstatus = 'F' THEN o.made + 100 END AS graduated_at_s,
+  o.o_orderkey % 100 AS holders, CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS ath_mcap_usd FROM heard h LEFT JOIN o ON o.mint = h.mint"""))
+def j5_tokens(spark, sf_dir):
+    t = Merged(spark, sf_dir).tokens
+    return t.select("mint", "creator", "created_at_s", "stage", "graduated_at_s", "holders", F.col("ath_mcap_usd").cast("double").alias("ath_mcap_usd"))
+
+
+@query("J5_launches_after_history", sql(_HEARD, """SELECT coalesce(o.creator, n.creator) AS creator, coalesce(o.mint, n.mint) AS mint, least(coalesce(o.made, n.s), coalesce(n.s, o.made)) AS created_s, CASE WHEN n.mint IS NOT NULL THEN 'stream' ELSE 'rest' END AS source,
+  CASE WHEN o.o_orderkey % 3 <> 0 AND o.o_orderstatus = 'F' THEN 'graduated' END AS stage, CASE WHEN o.o_orderkey % 3 <> 0 THEN o.o_orderkey % 100 END AS holders
+FROM o FULL JOIN (SELECT * FROM heard WHERE creator IS NOT NULL) n ON n.creator = o.creator AND n.mint = o.mint"""))
+def j5_launches(spark, sf_dir):
+    return Merged(spark, sf_dir).launches.select("creator", "mint", "created_s", "source", "stage", "holders")
+
+
+@query("C5_creators_after_history", sql(_HEARD + """, la AS (SELECT coalesce(o.creator, n.creator) AS creator, coalesce(o.mint, n.mint) AS mint, least(coalesce(o.made, n.s), coalesce(n.s, o.made)) AS at
+  FROM o FULL JOIN (SELECT * FROM heard WHERE creator IS NOT NULL) n ON n.creator = o.creator AND n.mint = o.mint),
+h AS (SELECT creator, min(made) AS a, max(made) AS b FROM o GROUP BY creator), d AS (SELECT creator, min(s) AS a, max(s) AS b FROM heard WHERE creator IS NOT NULL GROUP BY creator),
+t AS (SELECT creator, max(n) AS tokens_launched FROM (SELECT creator, o_orderkey // 4096, count(*) AS n FROM o GROUP BY ALL) GROUP BY creator)""", """SELECT l.creator, least(coalesce(any_value(h.a), any_value(d.a)), coalesce(any_value(d.a), any_value(h.a)), min(l.at)) AS first_seen_s,
+  greatest(coalesce(any_value(h.b), any_value(d.b)), coalesce(any_value(d.b), any_value(h.b)), max(l.at)) AS last_seen_s, count(*) AS launches, count(*) FILTER (WHERE now - l.at < 86400 * 365) > 3 AS serial, any_value(t.tokens_launched) AS tokens_launched
+FROM la l LEFT JOIN h ON h.creator = l.creator LEFT JOIN d ON d.creator = l.creator LEFT JOIN t ON t.creator = l.creator, clock GROUP BY l.creator"""))
+def c5_after(spark, sf_dir):
+    return Merged(spark, sf_dir).creators.select("creator", "first_seen_s", "last_seen_s", "launches", "serial", "tokens_launched")
 
 
 # ---- raw text joins

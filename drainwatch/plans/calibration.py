@@ -36,11 +36,11 @@ def first_creator_add(liq: DataFrame, ft: DataFrame) -> DataFrame:
     return first.select("mint", F.col("at_s").alias("add_at_s"), F.col("moved").alias("add_units"), F.col("dex").alias("add_dex"))
 
 
-def sell_shares(sw: DataFrame, ft: DataFrame, min_swaps: int = MIN_SWAPS) -> DataFrame:
+def sell_shares(sw: DataFrame, ft: DataFrame, min_swaps: int = MIN_SWAPS, early_s: int = EARLY_S) -> DataFrame:
     """Share of sells per token: all swaps, before the collapse, and just after graduation."""
     rows = sw.join(ft.select("mint", "collapse_at_s", "grad_at_s"), "mint")
     before = F.col("collapse_at_s").isNull() | (F.col("at_s") < F.col("collapse_at_s"))
-    early = before & (F.col("at_s") < F.col("grad_at_s") + EARLY_S)
+    early = before & (F.col("at_s") < F.col("grad_at_s") + early_s)
     sets = {"share_all": F.lit(True), "share_before": before, "share_early": early}
     counts = rows.groupBy("mint").agg(
         *[a for k, c in sets.items() for a in (F.count_if(c).alias(f"_n_{k}"), F.count_if(c & F.col("sell")).alias(f"_s_{k}"))]
@@ -63,14 +63,14 @@ def selling_rows(sw: DataFrame, ft: DataFrame) -> DataFrame:
     return per.groupBy("mint").agg(F.sum("n").alias("sells"), F.max("n").alias("top_sells"))
 
 
-def token_facts(ft: DataFrame, outcomes: DataFrame, liq: DataFrame, sw: DataFrame, params: Params = DEFAULTS, min_swaps: int = MIN_SWAPS) -> DataFrame:
+def token_facts(ft: DataFrame, outcomes: DataFrame, liq: DataFrame, sw: DataFrame, params: Params = DEFAULTS, min_swaps: int = MIN_SWAPS, early_s: int = EARLY_S) -> DataFrame:
     """One row per token.  Each part is an aggregate by mint that combines on the map side."""
     removes = liq.filter(F.col("kind") == "remove").join(ft.select("mint", "creator", "collapse_at_s"), "mint")
     removes = removes.filter(F.col("collapse_at_s").isNull() | (F.col("at_s") <= F.col("collapse_at_s")))
     removed = removes.groupBy("mint").agg(F.max((F.col("provider") == F.col("creator")).cast("int")).alias("creator_removed"))
     parts = [
         outcomes.select("mint", "stage", "peak_usd", "last_usd"),
-        first_creator_add(liq, ft), sell_shares(sw, ft, min_swaps), net_extraction_rows(liq, ft), selling_rows(sw, ft),
+        first_creator_add(liq, ft), sell_shares(sw, ft, min_swaps, early_s), net_extraction_rows(liq, ft), selling_rows(sw, ft),
         sw.groupBy("mint").agg(F.countDistinct("trader").alias("traders")), removed,
     ]
     facts = reduce(lambda a, b: a.join(b, "mint", "left"), parts, ft.drop("graduated_pos"))
@@ -198,6 +198,14 @@ def standalone_band_rule(liq: DataFrame, facts: DataFrame, params: Params = DEFA
     return out.withColumn("precision", F.col("collapsed") / F.col("tokens"))
 
 
+def band_providers(liq: DataFrame, facts: DataFrame, params: Params = DEFAULTS, n: int = 5) -> DataFrame:
+    """The busiest wallets behind the band's first adds that are not the creator's."""
+    band = (F.col("kind") == "add") & F.col("moved").between(params.fingerprint_min, params.fingerprint_max)
+    first = first_crossing(liq, ["mint"], ["at_s", "pos"], band).select("mint", "provider")
+    others = first.join(facts.filter("stage is not null").select("mint", "creator"), "mint").filter(~F.col("provider").eqNullSafe(F.col("creator")))
+    return tally(others, "provider", "provider").limit(n)
+
+
 def group_comparison(facts: DataFrame) -> DataFrame:
     """Each sell-share variant in each population: quartiles by outcome, and AUC."""
     pops = F.array(F.lit("all"), F.when(F.col("signal"), "with signal").otherwise("without signal"))

@@ -118,22 +118,26 @@ def merge_creator_history(la: DataFrame, hist_tokens: DataFrame) -> DataFrame:
 
 
 def reconcile_with_snapshot(sample: DataFrame, snapshot: DataFrame, end_s: Column, floor=DEFAULTS.max_floor_usd) -> DataFrame:
-    """Our verdict on each sampled token against the snapshot's liquidity.
+    """Our verdicts on each sampled token against the snapshot's liquidity: by the whole value (``verdict``) and by the tradable one (``verdict_tradable``).
 
-    ``sample``: stratum, mint, peak_usd, last_usd, collapsed, graduated, curve_units, tradable_last_usd, last_pool_s.
+    ``sample``: stratum, mint, peak_usd, collapsed, graduated, curve_units, tradable_last_usd, last_pool_s, and for the second verdict tradable_collapsed, tradable_peak_usd.
     ``snapshot``: mint, liquidity_usd.
     """
     s = sample.join(snapshot.select("mint", "liquidity_usd"), "mint", "left")
     theirs = F.col("liquidity_usd") <= floor
-    times = F.col("liquidity_usd") / F.col("peak_usd")
-    verdict = (
-        F.when(F.col("liquidity_usd").isNull(), "not listed")
-        .when(F.col("collapsed") & theirs, "agree: collapsed")
-        .when(~F.col("collapsed") & ~theirs, "agree: alive")
-        .when(F.col("collapsed") & (F.col("peak_usd") > 0) & times.between(1.4, 2.6), "theirs high: about twice our peak")
-        .when(F.col("collapsed"), "theirs high: other")
-        .when(F.col("graduated") & (F.col("curve_units") > 0.05) & (F.col("tradable_last_usd") <= floor), "theirs low: value left in the curve pool")
-        .when(end_s - F.col("last_pool_s") < 1800, "theirs low: pool active in the last 30 min")
-        .otherwise("theirs low: pool quiet")
+    low = (
+        F.when(F.col("graduated") & (F.col("curve_units") > 0.05) & (F.col("tradable_last_usd") <= floor), "low-curve")
+        .when(end_s - F.col("last_pool_s") < 1800, "low-active")
+        .otherwise("low-quiet")
     )
-    return s.withColumn("verdict", verdict)
+
+    def judged(ours: Column, peak: Column) -> Column:
+        times = F.col("liquidity_usd") / F.when(peak > 0, peak)
+        high = F.when(times.between(1.4, 2.6), "high-double").otherwise("high")
+        same = F.when(ours, "same-collapsed").otherwise("same-alive")
+        return F.when(F.col("liquidity_usd").isNull(), "unlisted").when(ours == theirs, same).when(ours, high).otherwise(low)
+
+    out = s.withColumn("verdict", judged(F.col("collapsed"), F.col("peak_usd")))
+    if "tradable_collapsed" in sample.columns:
+        out = out.withColumn("verdict_tradable", judged(F.coalesce("tradable_collapsed", F.lit(False)), F.coalesce("tradable_peak_usd", "peak_usd")))
+    return out

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drainwatch.operators.quantiles import index_quantiles
 from drainwatch.operators.select import newest_per_key
 from drainwatch.params import DEFAULTS, HOUR, Params
 from drainwatch.plans import rules
@@ -97,6 +98,24 @@ def validation_metrics(al: DataFrame, rg: DataFrame, end_s: Column) -> DataFrame
     return reduce(DataFrame.unionByName, [long, *singles, by])
 
 
+LEADS = {"p5": 0.05, "p10": 0.1, "p50": 0.5, "p90": 0.9}
+
+
+def lead_metrics(al: DataFrame, rg: DataFrame) -> DataFrame:
+    """Metric rows on warning times by rule: quantiles, least, how many under one and two minutes; and, where alerts carry it, how many show the fingerprint."""
+    rows = rules.with_confirmation(al, rg).withColumn("lead_s", F.col("rug_at") - F.col("t_at"))
+    leads = rows.filter("lead_s is not null")
+    q = index_quantiles(leads, ["level"], "lead_s", LEADS).drop("n")
+    least = leads.groupBy("level").agg(F.min("lead_s").alias("min"), *[F.count_if(F.col("lead_s") < s).alias(f"under {s}") for s in (60, 120)])
+    both = q.join(least, "level")
+    names = [c for c in both.columns if c != "level"]
+    out = both.unpivot(["level"], names, "what", "value").select(F.concat_ws(" ", "level", F.lit("lead"), "what").alias("metric"), F.col("value").cast("bigint").alias("value"))
+    if "fingerprint" in al.columns:
+        marked = al.groupBy("level").agg(F.count_if(F.coalesce("fingerprint", F.lit(False))).alias("value"))
+        out = out.unionByName(marked.filter("level = 'red'").select(F.lit("red fingerprint").alias("metric"), "value"))
+    return out
+
+
 def metrics_vs_expected(actual: DataFrame, expected: DataFrame) -> DataFrame:
     a = actual.select("metric", F.col("value").alias("actual"))
     e = expected.select("metric", F.col("value").alias("expected"))
