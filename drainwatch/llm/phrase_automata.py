@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drainwatch.llm.common import fresh, marked, settle, table
-from drainwatch.llm.shingles import MIX, chained, fingerprints, mixed
+from drainwatch.llm.shingles import MIX, chained, mixed
 
 LAST = (1 << 63) - 1
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -57,6 +57,34 @@ def unpack(packed: bytes) -> list[bytes]:
     return zstandard.decompress(packed).split()
 
 
+# Which bytes of eight belong to a word that has so many left; longer words than LONG are hashed alone.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 256
+
+
+def prints_of(joined: bytes) -> np.ndarray:
+    """A 64-bit print of each word of a text whose words are joined by one blank: eight bytes at a time are mixed in, for all words at once."""
+    if not joined:
+        return np.empty(0, np.uint64)
+    raw = np.frombuffer(joined + bytes(8), np.uint8)
+    starts = np.append(0, np.flatnonzero(raw[:-8] == 0x20) + 1)
+    sizes = np.diff(starts, append=len(raw) - 7) - 1
+    # Every byte of the text as the first of eight.
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    out = mixed(sizes.astype(np.uint64) + MIX[2], MIX[0])
+    out = mixed(out + (eights[starts] & MASKS[np.minimum(sizes, 8)]), MIX[1])
+    for k in range(8, min(int(sizes.max()), LONG), 8):
+        rest = np.flatnonzero(sizes > k)
+        out[rest] = mixed(mixed(out[rest], MIX[0]) + (eights[starts[rest] + k] & MASKS[np.minimum(sizes[rest] - k, 8)]), MIX[1])
+    for k in np.flatnonzero(sizes > LONG):
+        out[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : starts[k] + sizes[k]])
+    return mixed(out, MIX[3])
+
+
+def prints_in(packed: bytes) -> np.ndarray:
+    return prints_of(zstandard.decompress(packed))
+
+
 def anchors_of(prints: np.ndarray, how: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """For every window, by its start: its anchor, and where the anchor stands (the leftmost, of equal ones).  Places never fall."""
     if len(prints) < how.window:
@@ -89,7 +117,7 @@ def survey(docs: DataFrame, how: Phrases) -> DataFrame:
         for t in texts:
             words = words_of(t)
             joined = b" ".join(words)
-            anchors, place = anchors_of(fingerprints(words), how)
+            anchors, place = anchors_of(prints_of(joined), how)
             values, times = np.unique(anchors[np.flatnonzero(np.diff(place, prepend=-1))], return_counts=True)
             rows.append((len(words), hashlib.sha256(joined).hexdigest(), xxhash.xxh3_128_digest(joined), np.repeat(values, np.minimum(times, 2))))
         return pd.DataFrame(rows, columns=["n_words", "whole", "same", "anchors"])
@@ -107,13 +135,13 @@ def recurring_windows(held: DataFrame, how: Phrases) -> DataFrame:
     @F.pandas_udf("array<struct<anchor:long,k1:long,k2:long,start:int,windows:int>>")
     def spans(texts: pd.Series, anchors: pd.Series) -> pd.Series:
         names = ("anchor", "k1", "k2", "start", "windows")
-        return pd.Series([[dict(zip(names, s, strict=True)) for s in spans_of(fingerprints(unpack(t)), np.asarray(own, np.int64), how)] for t, own in zip(texts, anchors, strict=True)])
+        return pd.Series([[dict(zip(names, s, strict=True)) for s in spans_of(prints_in(t), np.asarray(own, np.int64), how)] for t, own in zip(texts, anchors, strict=True)])
 
     @F.pandas_udf("h1 array<long>, h2 array<long>, start array<int>, n array<long>")
     def windows(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
         rows = []
         for t, own in zip(texts, parts, strict=True):
-            prints = fingerprints(unpack(t))
+            prints = prints_in(t)
             at = np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in own])
             n = np.repeat([p["n"] for p in own], [p["windows"] for p in own])
             rows.append((chained(prints, how.window)[at].view(np.int64), chained(mixed(prints, MIX[1]), how.window)[at].view(np.int64), at.astype(np.int32), n))
@@ -142,7 +170,7 @@ def phrases(firsts: DataFrame, held: DataFrame, how: Phrases) -> DataFrame:
         for t, own in zip(texts, starts, strict=True):
             words, found = unpack(t), []
             own = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in own]))
-            anchors, place = anchors_of(fingerprints(words), how)
+            anchors, place = anchors_of(prints_in(t), how)
             for run in np.split(own, np.flatnonzero((np.diff(own) != 1) | (np.diff(place[own]) != 0)) + 1):
                 low, high = int(run[0]), int(run[-1]) + 1
                 found.append({"anchor": int(anchors[low]), "start": low, "at": int(place[low]) - low, "words": b" ".join(words[low : high + how.window - 1]).decode("utf-8", "surrogatepass"), "windows": high - low})

@@ -58,3 +58,17 @@ def test_kept_text_repeated_rows_and_an_empty_table(docs):
 def test_a_very_long_text_that_repeats_itself(docs):
     text = " ".join(f"w{i % 3000}" for i in range(9000))
     assert got(docs([(5, text)])) == brute([(5, text)])
+
+
+def test_prints_tell_words_apart_and_only_by_the_word():
+    from drainwatch.llm.phrase_automata import prints_of
+
+    rng = random.Random(12)
+    words = [bytes(rng.choice(b"abc\x00\xff\xc3") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 40, 255, 256, 257, 3000]))) for _ in range(600)] + [b"a", b"a\x00", b"a" * 8, b"a" * 9]
+    seen = {}
+    for _ in range(20):
+        part = rng.sample(words, 150)
+        for word, got in zip(part, prints_of(b" ".join(part)).tolist(), strict=True):
+            assert seen.setdefault(word, got) == got
+    assert len(set(seen.values())) == len(seen)
+    assert len(prints_of(b"")) == 0
