@@ -30,7 +30,7 @@ def legs_of(ev):
         "mint", "pool", "dex", "event", "kind", "actor", "at_s", "pos", "usd", "source", "holders",
         ((F.col("event") == "liquidity") | (slot % 6 != 0)).alias("is_base"),
         (number % 10 != 0).alias("native"), (slot % 2 == 0).alias("sell"),
-        F.col("usd").alias("moved"), F.col("usd").alias("reserve"),
+        F.col("usd").alias("moved"), F.col("usd").alias("reserve"), (slot * 1000).alias("base_reserve"),
         (1 + F.floor(F.col("at_s") / 86400) % 3).cast("int").alias("price"),
     )
 
@@ -151,9 +151,10 @@ def f4(spark, sf_dir):
     return features.curve_swap_counts(c.legs, c.base())
 
 
-@query("F5_pool_last", sql(FT, "SELECT mint, pool, arg_max(dex, (bt, slot)) AS dex, max(bt) AS at_s, CAST(CASE WHEN bool_and(native) THEN arg_max(usd, (bt, slot)) END AS DOUBLE) AS units FROM legs WHERE is_base GROUP BY mint, pool"))
+@query("F5_pool_last", sql(FT, """SELECT mint, pool, arg_max(dex, (bt, slot)) AS dex, max(bt) AS at_s, CAST(CASE WHEN bool_and(native) THEN arg_max(usd, (bt, slot)) END AS DOUBLE) AS units,
+  arg_max(slot, (bt, slot)) * 1000 AS base_reserve, CAST(arg_max(price, (bt, slot)) AS BIGINT) AS price FROM legs WHERE is_base GROUP BY mint, pool"""))
 def f5(spark, sf_dir):
-    return features.pool_last(Capture(spark, sf_dir).legs).select("mint", "pool", "dex", "at_s", _DOUBLE("units"))
+    return features.pool_last(Capture(spark, sf_dir).legs).select("mint", "pool", "dex", "at_s", _DOUBLE("units"), "base_reserve", F.col("price").cast("bigint").alias("price"))
 
 
 @query("F6_tradable_series", sql(FT, "SELECT mint, CAST(tradable_peak AS DOUBLE) AS tradable_peak, CAST(tradable_last AS DOUBLE) AS tradable_last, tradable_collapse_at_s, tradable_collapse_by, tradable_collapse_actor FROM tser"))

@@ -207,6 +207,13 @@ def e6(spark, sf_dir):
     return worklist.worklist_stats(w.eligible(), w.now)
 
 
+@query("E6_dispatch_stats", sql(EV + ", " + ASKED + """, ranked AS (SELECT *, row_number() OVER (ORDER BY CASE class WHEN 'suspect' THEN 0 WHEN 'graduation' THEN 1 WHEN 'new-creator' THEN 2 ELSE 3 END, enqueued_s, creator) <= 25 AS taken FROM one)""",
+    "SELECT class, count(*) FILTER (WHERE taken) AS dispatched, count(*) FILTER (WHERE NOT taken) AS pending, CAST(round(avg(now - enqueued_s) FILTER (WHERE taken)) AS BIGINT) AS mean_wait_s FROM ranked, clock GROUP BY class"))
+def e6_dispatch(spark, sf_dir):
+    w = Work(spark, sf_dir)
+    return worklist.dispatch_stats(worklist.dispatch(w.eligible(), w.now, 25))
+
+
 @query("D5_system_metrics", sql(RD + ", " + ASKED, "SELECT 'frames' AS metric, count(*) AS value FROM ev UNION ALL SELECT 'worklist', count(*) FROM elig UNION ALL " + _STATS))
 def d5(spark, sf_dir):
     ev = token_events(spark, sf_dir)

@@ -239,6 +239,23 @@ def u5(spark, sf_dir):
     return dedup.key_collision_report(ev, {"mint": ["mint"], "mint+actor": ["mint", "actor"], "mint+actor+slot": ["mint", "actor", "slot"]}, content)
 
 
+_IDENT = FEED + f""",
+ident AS (SELECT 'T' || k AS mint, bt, CASE WHEN type = 'meme' THEN -2 ELSE id END AS spot, type = 'token_create' AS born,
+  CASE type WHEN 'token_create' THEN 'Coin "' || k || '"' WHEN 'meme' THEN CASE WHEN id % 2 = 0 THEN 'Coin ' || k END END AS name, CASE WHEN type = 'token_create' THEN 'S' || k END AS symbol,
+  CASE WHEN type = 'token_create' THEN {SOL} END AS quote_mint, CASE WHEN type <> 'meme' OR id % 3 = 0 OR id % 2 = 0 THEN 'C' || u END AS creator FROM feed WHERE reason IS NULL AND type IN ('token_create', 'meme', 'graduation'))"""
+
+
+def _known_first(column):
+    return f"coalesce(arg_min({column}, (bt, spot)) FILTER (WHERE born), arg_min({column}, (bt, spot)) FILTER (WHERE NOT born AND {column} IS NOT NULL)) AS {column}"
+
+
+@query("T1_token_identity", sql(_IDENT, f"SELECT mint, 'pumpfun' AS launchpad, {', '.join(map(_known_first, ('creator', 'name', 'symbol', 'quote_mint')))}, min(bt) FILTER (WHERE born) AS created_at_s FROM ident GROUP BY mint"))
+def t1_identity(spark, sf_dir):
+    """Names, symbols, launchpads and quote assets from the frames of three types."""
+    norm = {k: nz.normalize(routed_frames(spark, sf_dir), k) for k in ("token_create", "meme", "graduation")}
+    return prices.token_table(norm).select("mint", "launchpad", "creator", "name", "symbol", "quote_mint", "created_at_s")
+
+
 # ---- prices and readings
 
 class Feed:

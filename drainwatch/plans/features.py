@@ -67,11 +67,12 @@ def curve_swap_counts(legs: DataFrame, ft: DataFrame) -> DataFrame:
 
 
 def pool_last(legs: DataFrame) -> DataFrame:
-    """Latest state of each pool by position."""
+    """Latest state of each pool by position: venue, time, native units, and where the legs carry them the base reserve and the price."""
     reserve = F.when(F.col("native"), F.col("reserve"))
+    more = [c for c in ("base_reserve", "price") if c in legs.columns]
     rows = legs.filter(F.col("is_base") | (F.col("event") == "liquidity")).withColumn("_units", reserve)
-    last = rows.groupBy("mint", "pool").agg(F.max_by(F.struct("dex", "at_s", "_units"), "pos").alias("r"))
-    return last.select("mint", "pool", F.col("r.dex").alias("dex"), F.col("r.at_s").alias("at_s"), F.col("r._units").alias("units"))
+    last = rows.groupBy("mint", "pool").agg(F.max_by(F.struct("dex", "at_s", "_units", *more), "pos").alias("r"))
+    return last.select("mint", "pool", F.col("r.dex").alias("dex"), F.col("r.at_s").alias("at_s"), F.col("r._units").alias("units"), *[F.col(f"r.{c}").alias(c) for c in more])
 
 
 def _cause(event: str = "event", kind: str = "kind"):

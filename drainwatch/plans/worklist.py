@@ -90,3 +90,19 @@ def worklist_stats(requests: DataFrame, now_s: Column) -> DataFrame:
         F.count_if(F.col("status") == "stale").alias("discarded"),
         F.round(F.avg(F.when(F.col("status") == "ready", now_s - F.col("enqueued_s")))).cast("bigint").alias("mean_wait_s"),
     )
+
+
+def dispatch(requests: DataFrame, now_s: Column, budget: int) -> DataFrame:
+    """The ready requests with whether this run's budget takes them (``dispatched``) and how long they waited.  Only ``budget`` rows are put in order."""
+    ready = one_per_creator(requests.filter("status = 'ready'"))
+    taken = rank_worklist(ready, budget).select(F.col("creator").alias("_taken"))
+    rows = ready.join(taken, F.col("creator").eqNullSafe(F.col("_taken")), "left")
+    return rows.select("creator", "class", "enqueued_s", "mint", F.col("_taken").isNotNull().alias("dispatched"), (now_s - F.col("enqueued_s")).alias("waited_s"))
+
+
+def dispatch_stats(dispatched: DataFrame) -> DataFrame:
+    """Per class: dispatched, left pending, and the mean wait of the dispatched."""
+    d = F.col("dispatched")
+    return dispatched.groupBy("class").agg(
+        F.count_if(d).alias("dispatched"), F.count_if(~d).alias("pending"), F.round(F.avg(F.when(d, F.col("waited_s")))).cast("bigint").alias("mean_wait_s")
+    )
