@@ -120,8 +120,9 @@ def known_labels(labels: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, known: DataFrame, how: Training = Training()) -> DataFrame:
-    """The bounded sample, in a fixed order."""
-    known = known.withColumn("_at", F.xxhash64("doc_id", F.lit(2)))
+    """The bounded sample, in a fixed order: of the labelled texts that are short enough to learn from."""
+    usable = docs.filter(F.octet_length("text") <= how.max_bytes).select("doc_id")
+    known = known.join(usable, "doc_id", "left_semi").withColumn("_at", F.xxhash64("doc_id", F.lit(2)))
     picked = [known.filter(F.col("_label") == k).orderBy("_at", "doc_id").limit(how.per_class) for k in (0, 1)]
     ids = picked[0].union(picked[1])  # at most 2 * per_class rows, so safe to broadcast
     texts = docs.select("doc_id", F.col("text").alias("_text")).filter(F.octet_length("_text") <= how.max_bytes)
@@ -132,7 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
     known = known_labels(labels)
     n = dict(known.groupBy("_label").count().collect())  # two rows
     odds = (n.get(1, 0) + 1) / (n.get(0, 0) + 1)
-    return fit([(r["_text"], r["_label"]) for r in training_rows(docs, known, how).collect()], how, odds)
+    rows = [(r["_text"], r["_label"]) for r in training_rows(docs, known, how).collect()]
+    missing = set(n) - {label for _, label in rows}
+    if missing and not known.filter(F.col("_label").isin(*missing)).join(docs.select("doc_id"), "doc_id", "left_semi").isEmpty():
+        raise ValueError("no text of a label is short enough to learn from")
+    return fit(rows, how, odds)
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:

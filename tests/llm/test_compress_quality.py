@@ -1,7 +1,10 @@
 import random
 import zlib
 
-from drainwatch.llm.compress_quality import Training, known_labels, score_quality, train
+import pytest
+from pyspark.sql import functions as F
+
+from drainwatch.llm.compress_quality import Training, known_labels, op2_quality_classifier, score_quality, train, training_rows
 
 WORDS = [f"{a}{b}{c}" for a in ("tor", "ven", "lam", "qui") for b in ("is", "en", "a") for c in ("da", "mo", "r", "st")]
 
@@ -57,9 +60,26 @@ def test_without_labels_and_without_documents(docs, spark):
 
 
 def test_the_sample_is_bounded(docs, spark):
-    from drainwatch.llm.compress_quality import training_rows
-
     rows, labels = corpus(400)
     lab = known_labels(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     sample = training_rows(docs(rows), lab, Training(per_class=20, max_bytes=600)).collect()
     assert 0 < len(sample) <= 40 and all(len(r["_text"].encode()) <= 600 for r in sample)
+
+
+def test_labels_whose_texts_are_all_too_long_are_an_error(docs, spark):
+    rows, labels = corpus(60)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    with pytest.raises(ValueError):
+        train(docs(rows), lab, Training(max_bytes=10))
+    # The sample is filled with other texts where some are too long.
+    long = [(i, t * 50) if i % 5 == 0 else (i, t) for i, t in rows]
+    got = {r["doc_id"] for r in training_rows(docs(long), known_labels(lab), Training(per_class=10, max_bytes=5000)).collect()}
+    assert len(got) == 20 and not any(i % 5 == 0 for i in got)
+
+
+def test_held_out_accuracy_on_the_given_documents(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = op2_quality_classifier(spark, sf_dir).filter("held_out").join(labels, "doc_id")
+    right, n = scored.agg(F.count_if(F.col("predicted") == F.col("quality")), F.count(F.lit(1))).first()
+    assert n > 50 and right / n > 0.95
