@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drainwatch.llm.common import fresh, marked, settle, table
-from drainwatch.llm.shingles import MIX, chained, mixed
+from drainwatch.llm.shingles import MIX, mixed
 
 LAST = (1 << 63) - 1
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -81,6 +81,16 @@ def prints_of(joined: bytes) -> np.ndarray:
     return mixed(out, MIX[3])
 
 
+def runs_of(prints: np.ndarray, size: int, factor: np.uint64 = MIX[2]) -> np.ndarray:
+    """One print per run of ``size`` consecutive words: a polynomial in an odd factor over the words' prints."""
+    n = len(prints) - size + 1
+    out = prints[: max(n, 0)].copy()
+    for k in range(1, size):
+        out *= factor
+        out += prints[k : k + n]
+    return mixed(mixed(out, MIX[0]), MIX[1])
+
+
 def prints_in(packed: bytes) -> np.ndarray:
     return prints_of(zstandard.decompress(packed))
 
@@ -89,7 +99,7 @@ def anchors_of(prints: np.ndarray, how: Phrases) -> tuple[np.ndarray, np.ndarray
     """For every window, by its start: its anchor, and where the anchor stands (the leftmost, of equal ones).  Places never fall."""
     if len(prints) < how.window:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    runs = chained(prints, how.anchor).view(np.int64)
+    runs = runs_of(prints, how.anchor).view(np.int64)
     place = np.lib.stride_tricks.sliding_window_view(runs, how.window - how.anchor + 1).argmin(1)
     place += np.arange(len(place))
     return runs[place], place
@@ -144,7 +154,7 @@ def recurring_windows(held: DataFrame, how: Phrases) -> DataFrame:
             prints = prints_in(t)
             at = np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in own])
             n = np.repeat([p["n"] for p in own], [p["windows"] for p in own])
-            rows.append((chained(prints, how.window)[at].view(np.int64), chained(mixed(prints, MIX[1]), how.window)[at].view(np.int64), at.astype(np.int32), n))
+            rows.append((runs_of(prints, how.window)[at].view(np.int64), runs_of(mixed(prints, MIX[1]), how.window, MIX[3])[at].view(np.int64), at.astype(np.int32), n))
         return pd.DataFrame(rows, columns=["h1", "h2", "start", "n"])
 
     each = held.select("_row", "_id", F.explode(spans("packed", "anchors")).alias("_s")).select("_row", "_id", "_s.*")
