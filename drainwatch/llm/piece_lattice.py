@@ -5,30 +5,48 @@ exploded and equi-joined to the piece table, the matches are the edges of the se
 them into the segmentation.  For a model of merges, as the public one is, the best path is the one its merges take: edges are folded in the order of their merges (the best score first, then
 from the left), and an edge is taken if just two pieces stand on its span.  What stands inside a span develops alike whatever stands around it, so one pass is the library's result.
 
-A document is the sequence of its segments' ids, and ``encode`` gives every document its own: a bounded table of the most frequent segments is broadcast, the other segments
-meet the lexicon by a shuffled join, and the parts of a document are put in order where its key is.  ``decode`` reads a document's whole sequence back, row by row, by looking
-every id up among the pieces.  ``encode_prints`` is both, one after the other, with the counts, the print of the sequence and the comparison of the decoded text with the text.
+A document is the sequence of its segments' ids, and ``encode`` gives every document its own.  Texts are read in Arrow batches: units of spaces and what follows are met first, and cut into
+segments only when new.  A dictionary of the most frequent segments, of bounded size, goes to every task, which leaves a hole for each other segment; the holes alone meet the lexicon by a shuffled join, and
+their ids come back to the document's packed sequence.  A segment behind a hole is rarer than all in the dictionary, so no key of that join is hot; repeated rows share one set of fillings.  ``decode`` reads a document's
+whole sequence back by looking every id up among the pieces.  ``encode_prints`` is both, one after the other, with the counts, the print of the sequence and the comparison of the decoded text with the text.
 
 Null and empty texts have no ids and decode to the empty text.  Blanks other than the space, unknown characters and controls become byte pieces, as in the library.  A text that itself holds the
-character for spaces decodes to spaces (round_trip is false for it, as with the library).  Rows that repeat an id and a text get the same result each; other columns pass through.
+character for spaces decodes to spaces (round_trip is false for it, as with the library).  Rows that repeat an id and a text get the same result each; other columns pass through, but for those named like a result.
+An empty table gives an empty one.  A very long text is one row throughout; its units and segments are counted and met like all others, and only short ones are remembered from text to text.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drainwatch.llm.common import fresh, settle, table
 
 SPACE = "▁"
 # Letters with their marks, or anything else, behind the spaces in front of them.
-SEGMENT = rf"{SPACE}*(?:[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{SPACE}]+)|{SPACE}+"
+SEGMENT = regex.compile(rf"{SPACE}*(?:[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{SPACE}]+)|{SPACE}+")
+# Spaces and what follows up to the next: whole segments, found by a cheaper pattern.
+UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 # Segments of up to so many characters fold in one long.
 BITS = 61
-# Broadcast at most: the vocabulary, and the most frequent segments.
+# Broadcast at most: the vocabulary, and so many bytes of the most frequent segments, each with its ids and what a dictionary spends on it.
 MOST_PIECES = 500_000
-FREQUENT = 1 << 17
+FREQUENT_BYTES = 64_000_000
+ENTRY_BYTES = 100
+# What a task remembers at most: so many units, of so many characters each.
+UNITS = 200_000
+SHORT = 64
+HELD_CHARS = 8_000_000
+HOLE = np.int32(-1).tobytes()
 
 
 class PieceModel:
@@ -51,8 +69,7 @@ class PieceModel:
         self.longest = max(len(p) for p, _, _ in self.pieces)
         if len(self.pieces) > MOST_PIECES:
             raise ValueError("the piece table is too large to broadcast")
-        whole = regex.compile(SEGMENT)
-        if any(not whole.fullmatch(p) for p, _, _ in self.pieces if len(p) > 1):
+        if any(not SEGMENT.fullmatch(p) for p, _, _ in self.pieces if len(p) > 1):
             raise ValueError("a piece reaches across the cuts between segments")
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -60,10 +77,109 @@ class PieceModel:
         return spark.createDataFrame(self.pieces, "piece string, id int, rank int")
 
 
-def segments(text: Column) -> Column:
-    """The array of segments of a text; null texts and empty ones have none."""
-    spaced = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(spaced, F.lit(SEGMENT), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def units(text: str) -> list[str]:
+    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+
+def segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, n) of the texts, added up in the task while they fit its memory."""
+
+    def told(counts: Counter) -> Iterator[pa.RecordBatch]:
+        own: Counter = Counter()
+        for unit, n in counts.items():
+            for segment in SEGMENT.findall(unit):
+                own[segment] += n
+        words, times = list(own), list(own.values())
+        for i in range(0, len(words), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 10_000], pa.string()), pa.array(times[i : i + 10_000], pa.int64())], ["segment", "n"])
+
+    counts: Counter = Counter()
+    held = 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            found = units(text)
+            counts.update(found)
+            # Texts of long units count as they are; of short ones the number is bounded.
+            held += len(text) if text and len(text) > SHORT * len(found) else 0
+            if len(counts) >= UNITS or held >= HELD_CHARS:
+                yield from told(counts)
+                counts, held = Counter(), 0
+    yield from told(counts)
+
+
+class Known(dict):
+    """Unit -> the bytes of its ids, with a hole for each segment that the dictionary lacks; ``rare`` tells which those are."""
+
+    def __init__(self, frequent: dict[str, bytes]):
+        self.frequent, self.rare, self.long = frequent, {}, []
+
+    def __missing__(self, unit: str) -> bytes:
+        segments = SEGMENT.findall(unit)
+        ids = b"".join([self.frequent.get(s, HOLE) for s in segments])
+        lacking = [s for s in segments if s not in self.frequent]
+        if lacking:
+            self.rare[unit] = lacking
+        if len(unit) <= SHORT:
+            self[unit] = ids
+        else:
+            self.long.append(unit)
+        return ids
+
+    def sequence(self, text: str | None) -> tuple[bytes, list[str]]:
+        found = units(text or "")
+        ids = b"".join([self[u] for u in found])
+        holes = [s for u in found if u in self.rare for s in self.rare[u]]
+        for u in self.long:
+            self.rare.pop(u, None)
+        self.long.clear()
+        if len(self) > UNITS:
+            self.clear()
+            self.rare.clear()
+        return ids, holes
+
+
+def lists(flat: np.ndarray, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
+
+
+def with_holes(frequent):
+    """The packed sequence of a text, and the segments that its holes stand for, in order.  frequent: a broadcast dictionary."""
+    state = {}
+
+    @F.arrow_udf("struct<packed:binary,holes:array<string>>")
+    def sequence(texts: pa.Array) -> pa.Array:
+        known = state.get("known")
+        if known is None:
+            known = state["known"] = Known(frequent.value)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        packed, holes = [], []
+        for text in texts.to_pylist():
+            ids, rare = known.sequence(text)
+            packed.append(pack(ids))
+            holes.append(rare)
+        return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(holes, pa.list_(pa.string()))], ["packed", "holes"])
+
+    return sequence
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def filled(packed: pa.Array, fillings: pa.Array) -> pa.Array:
+    """The whole sequence: each hole gets its ids."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    starts, inner = fillings.offsets.to_numpy(), fillings.values
+    inner_starts, values = inner.offsets.to_numpy(), inner.values.to_numpy(zero_copy_only=False)
+    out = []
+    for k, p in enumerate(packed.to_pylist()):
+        ids = np.frombuffer(unpack(p), np.int32)
+        hole = ids == -1
+        own = inner_starts[starts[k] : starts[k + 1] + 1]
+        if hole.any():
+            times = np.ones(len(ids), np.int64)
+            times[hole] = np.diff(own)
+            ids, hole = np.repeat(ids, times), np.repeat(hole, times)
+            ids[hole] = values[own[0] : own[-1]]
+        out.append(ids)
+    return lists(np.concatenate([np.empty(0, np.int32), *out]), [len(o) for o in out])
 
 
 def folds() -> tuple[Column, Column]:
@@ -112,49 +228,75 @@ def lexicon(words: DataFrame, model: PieceModel) -> DataFrame:
     return grouped.select("segment", *kept, F.flatten(F.transform("_tokens", lambda t: t["_ids"])).alias("ids"))
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """(_row, _at, segment) of all segments of all texts."""
-    return docs.filter("text IS NOT NULL").select("_row", F.posexplode(segments(F.col("text"))).alias("_at", "segment"))
-
-
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    """_row: 128 bits of the id and the text."""
+    return docs.withColumn("_row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))))
 
 
-def sequences(rows: DataFrame, model: PieceModel) -> DataFrame:
-    """rows: _row and text.  (_of, _ids): the whole sequence of every text that has one, once per key."""
-    words = words_of(rows)
-    lex = lexicon(words.groupBy("segment").agg(F.count(F.lit(1)).alias("n")), model).select(F.col("segment").alias("_w"), "n", "ids")
-    lex = settle(lex, "lexicon")
+def most_frequent(lex: DataFrame) -> dict[str, bytes]:
+    """The most frequent segments and their ids, up to FREQUENT_BYTES.
 
-    # Bounded: FREQUENT rows, none of more than BITS characters.
-    frequent = F.broadcast(lex.filter(F.length("_w") <= BITS).orderBy(F.desc("n"), "_w").limit(FREQUENT).drop("n"))
-    met = F.col("segment") == F.col("_w")
-    each = words.join(frequent, met).select("_row", "_at", "ids").union(words.join(frequent, met, "left_anti").join(lex, met).select("_row", "_at", "ids"))
-    parts = each.groupBy(F.col("_row").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("_at", "ids"))).alias("_parts"))
-    # Rows that repeat an id and a text have their segments listed together: of each place, one counts.
-    once = F.expr("IF(size(_parts) = element_at(_parts, -1)._at + 1, _parts, filter(_parts, (p, i) -> i = 0 OR p._at <> _parts[i - 1]._at))")
-    return parts.select("_of", F.flatten(F.transform(once, lambda p: p["ids"])).alias("_ids"))
+    Sizes are added up by steps of an eighth of an octave of n, some hundred rows; whole steps are taken, so nothing is put in order.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    size = F.octet_length("segment") + 4 * F.size("ids") + ENTRY_BYTES
+    room, least = FREQUENT_BYTES, None
+    for at, taken in sorted(lex.groupBy(step).agg(F.sum(size)).collect(), reverse=True):
+        room -= taken
+        if room < 0:
+            break
+        least = at
+    if least is None:
+        return {}
+    rows = lex.filter(step >= least).select("segment", "ids").toArrow()
+    return {s: np.array(i, np.int32).tobytes() for batch in rows.to_batches() for s, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
+
+
+def sequenced(rows: DataFrame, model: PieceModel, *dropped: str) -> DataFrame:
+    """rows: _row, text and others.  Adds ids, without the columns of dropped, which the shuffle need not carry."""
+    spark = rows.sparkSession
+    counted = rows.select("text").mapInArrow(segment_counts, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    lex = settle(lexicon(counted, model), "lexicon")
+    frequent = most_frequent(lex)
+    cut = rows.withColumn("_cut", with_holes(spark.sparkContext.broadcast(frequent))("text"))
+    holes = cut.select("_row", F.posexplode("_cut.holes").alias("_at", "_segment"))
+    met = holes.join(lex, F.col("_segment") == F.col("segment")).select(F.col("_row").alias("_of"), "_at", F.col("ids").alias("_ids"))
+    # A set: rows that repeat an id and a text have the same fillings.
+    parts = met.groupBy("_of").agg(F.sort_array(F.collect_set(F.struct("_at", "_ids"))).alias("_parts")).select("_of", F.transform("_parts", lambda p: p["_ids"]).alias("_fillings"))
+    own = cut.withColumn("_packed", F.col("_cut.packed")).drop("_cut", *dropped)
+    out = own.join(parts, F.col("_row") == F.col("_of"), "left")
+    return out.withColumn("ids", filled("_packed", F.coalesce("_fillings", F.array().cast("array<array<int>>")))).drop("_packed", "_of", "_fillings")
+
+
+OWN = ("_row", "_cut", "_at", "_segment", "_of", "_ids", "_parts", "_packed", "_fillings", "_size", "_hash")
 
 
 def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
     """Add ids: every text's whole sequence."""
-    rows = keyed(fresh(docs, "ids", "_row", "_of", "_ids"))
-    out = rows.join(sequences(rows.select("_row", "text"), model), F.col("_row") == F.col("_of"), "left")
-    return out.withColumn("ids", F.coalesce("_ids", F.array().cast("array<int>"))).drop("_row", "_of", "_ids")
+    return sequenced(keyed(fresh(docs, "ids", *OWN)), model).drop("_row")
+
+
+def reader(model: PieceModel):
+    """ids -> text: pieces become text, written spaces become spaces, the one in front goes."""
+    raw = {i: p.encode() for p, i, _ in model.pieces} | {model.first_byte + b: bytes([b]) for b in range(256)}
+
+    @F.arrow_udf("string")
+    def text(ids: pa.Array) -> pa.Array:
+        out = []
+        for own in ids.to_pylist():
+            read = b"".join([raw.get(i, b"") for i in own or ()]).decode("utf-8", "replace")
+            out.append(read.replace(SPACE, " ").removeprefix(" "))
+        return pa.array(out, pa.string())
+
+    return text
 
 
 def decode(rows: DataFrame, model: PieceModel) -> DataFrame:
-    """Add decoded to rows with ids: pieces become text, written spaces become spaces, the one in front goes.
+    """Add decoded to rows with ids.
 
-    Runs of byte pieces are put together before they are read as UTF-8.  Ids that stand for no text give none.
+    Runs of byte pieces are put together before they are read as UTF-8.  Ids that stand for no text give none, and no ids the empty text.
     """
-    raw = {i: p.encode().hex() for p, i, _ in model.pieces} | {model.first_byte + b: f"{b:02x}" for b in range(256)}
-    # One literal, folded into one array: the look-up of an id is by its place.
-    pieces = F.split(F.lit(",".join(raw.get(i, "") for i in range(max(raw) + 1))), ",")
-    text = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get(pieces, i)), "")), "UTF-8")
-    plain = F.regexp_replace(F.translate(text, SPACE, " "), "^ ", "")
-    return fresh(rows, "decoded").withColumn("decoded", F.coalesce(plain, F.lit("")))
+    return fresh(rows, "decoded").withColumn("decoded", reader(model)("ids"))
 
 
 def encode_prints(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -162,11 +304,10 @@ def encode_prints(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     The texts stay where they are read; of each, its length and hash go along to be compared with the decoded one's.
     """
-    rows = fresh(docs, "ids", "decoded", "n_tokens", "n_byte_tokens", "ids_print", "round_trip", "_row", "_of", "_ids", "_size", "_hash")
+    rows = fresh(docs, "ids", "decoded", "n_tokens", "n_byte_tokens", "ids_print", "round_trip", *OWN)
     facts = lambda text: (F.length(text), F.xxhash64(text))
     own = keyed(rows).withColumns(dict(zip(("_size", "_hash"), facts(F.coalesce("text", F.lit(""))), strict=True)))
-    out = own.drop("text").join(sequences(own.select("_row", "text"), model), F.col("_row") == F.col("_of"), "left")
-    out = decode(out.withColumn("ids", F.coalesce("_ids", F.array().cast("array<int>"))), model)
+    out = decode(sequenced(own, model, "text"), model)
     size, hashed = facts(F.col("decoded"))
     byte = F.size(F.filter("ids", lambda i: (i >= model.first_byte) & (i < model.first_byte + 256)))
     out = out.withColumns(
@@ -177,7 +318,7 @@ def encode_prints(docs: DataFrame, model: PieceModel) -> DataFrame:
             "round_trip": (F.col("_size") == size) & (F.col("_hash") == hashed),
         }
     )
-    return out.drop("_row", "_of", "_ids", "_size", "_hash")
+    return out.drop("_row", "_size", "_hash")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

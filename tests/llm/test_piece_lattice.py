@@ -56,7 +56,7 @@ def test_frequent_segments_and_the_others_give_the_same(docs, texts, monkeypatch
     model, rows = PieceModel(FILE), list(enumerate(texts))[:150]
     columns = ("doc_id", "n_tokens", "ids_print", "round_trip")
     one = sorted(encode_prints(docs(rows), model).select(*columns).collect())
-    monkeypatch.setattr(piece_lattice, "FREQUENT", 10)
+    monkeypatch.setattr(piece_lattice, "FREQUENT_BYTES", 2_000)
     assert sorted(encode_prints(docs(rows), model).select(*columns).collect()) == one
 
 
