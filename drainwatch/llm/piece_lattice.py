@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -81,13 +82,18 @@ def units(text: str) -> list[str]:
     return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+def segments(unit: str) -> list[str]:
+    # Most units are a space and letters: one segment.
+    return [unit] if unit[1:].isalpha() else SEGMENT.findall(unit)
+
+
 def segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(segment, n) of the texts, added up in the task while they fit its memory."""
 
     def told(counts: Counter) -> Iterator[pa.RecordBatch]:
         own: Counter = Counter()
         for unit, n in counts.items():
-            for segment in SEGMENT.findall(unit):
+            for segment in segments(unit):
                 own[segment] += n
         words, times = list(own), list(own.values())
         for i in range(0, len(words), 10_000):
@@ -108,33 +114,33 @@ def segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class Known(dict):
-    """Unit -> the bytes of its ids, with a hole for each segment that the dictionary lacks; ``rare`` tells which those are."""
+    """Unit -> the bytes of its ids, with a hole for each segment that the dictionary lacks; ``rare`` tells which those are.  The first UNITS short ones are remembered."""
 
     def __init__(self, frequent: dict[str, bytes]):
-        self.frequent, self.rare, self.long = frequent, {}, []
+        self.frequent, self.rare, self.passing = frequent, {}, []
 
     def __missing__(self, unit: str) -> bytes:
-        segments = SEGMENT.findall(unit)
-        ids = b"".join([self.frequent.get(s, HOLE) for s in segments])
-        lacking = [s for s in segments if s not in self.frequent]
-        if lacking:
-            self.rare[unit] = lacking
-        if len(unit) <= SHORT:
+        parts = segments(unit)
+        found = [self.frequent.get(s) for s in parts]
+        short = len(unit) <= SHORT and len(self) < UNITS
+        if None in found:
+            self.rare[unit] = [s for s, i in zip(parts, found, strict=True) if i is None]
+            found = [HOLE if i is None else i for i in found]
+            if not short:
+                self.passing.append(unit)
+        ids = b"".join(found)
+        if short:
             self[unit] = ids
-        else:
-            self.long.append(unit)
         return ids
 
     def sequence(self, text: str | None) -> tuple[bytes, list[str]]:
         found = units(text or "")
         ids = b"".join([self[u] for u in found])
-        holes = [s for u in found if u in self.rare for s in self.rare[u]]
-        for u in self.long:
-            self.rare.pop(u, None)
-        self.long.clear()
-        if len(self) > UNITS:
-            self.clear()
-            self.rare.clear()
+        rare = self.rare
+        holes = [s for u in found if u in rare for s in rare[u]]
+        for u in self.passing:
+            rare.pop(u, None)
+        self.passing.clear()
         return ids, holes
 
 
@@ -282,9 +288,10 @@ def reader(model: PieceModel):
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
+        values, ends = ids.values.fill_null(-1).to_numpy(), ids.offsets.to_pylist()
         out = []
-        for own in ids.to_pylist():
-            read = b"".join([raw.get(i, b"") for i in own or ()]).decode("utf-8", "replace")
+        for start, end in pairwise(ends):
+            read = b"".join([raw.get(i, b"") for i in values[start:end].tolist()]).decode("utf-8", "replace")
             out.append(read.replace(SPACE, " ").removeprefix(" "))
         return pa.array(out, pa.string())
 
