@@ -41,12 +41,12 @@ UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 BITS = 61
 # Broadcast at most: the vocabulary, and so many bytes of the most frequent segments, each with its ids and what a dictionary spends on it.
 MOST_PIECES = 500_000
-FREQUENT_BYTES = 64_000_000
+FREQUENT_BYTES = 48_000_000
 ENTRY_BYTES = 100
 # What a task remembers at most: so many units, of so many characters each.
-UNITS = 200_000
+UNITS = 120_000
 SHORT = 64
-HELD_CHARS = 8_000_000
+HELD_CHARS = 4_000_000
 HOLE = np.int32(-1).tobytes()
 
 
