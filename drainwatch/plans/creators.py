@@ -12,6 +12,7 @@ from drainwatch.operators.running import Running, running
 from drainwatch.operators.select import newest_per_key
 from drainwatch.params import DEFAULTS, STAGE_RANK, Params
 from drainwatch.plans.tokens import collapsed
+from drainwatch.session import dealt, settle
 
 
 def creator_launches(ev: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -43,17 +44,27 @@ def rolling_launches(la: DataFrame, window_s: int = DEFAULTS.burst_window_s) ->
     sum of arrivals and departures.  That stays parallel for a creator with millions of launches,
     which a range window over the creator would not.
     """
-    at = la.filter(F.col("created_s").isNotNull()).groupBy("creator", "created_s").agg(F.count(F.lit(1)).alias("_n"))
-    arrive = at.select("creator", F.col("created_s").alias("t"), F.lit(1).alias("_kind"), "_n")
-    leave = at.select("creator", (F.col("created_s") + window_s).alias("t"), F.lit(0).alias("_kind"), (-F.col("_n")).alias("_n"))
-    counted = running(arrive.unionByName(leave), ["creator"], ["t", "_kind"], [Running("n", "sum", "_n")])
+    return _rolled(_launch_seconds(la), window_s)
+
+
+def _launch_seconds(la: DataFrame) -> DataFrame:
+    return la.filter(F.col("created_s").isNotNull()).groupBy("creator", "created_s").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _rolled(at: DataFrame, window_s: int) -> DataFrame:
+    step = lambda t, kind, n: F.struct(t.alias("t"), F.lit(kind).alias("_kind"), n.alias("_n"))
+    steps = F.array(step(F.col("created_s"), 1, F.col("_n")), step(F.col("created_s") + window_s, 0, -F.col("_n")))
+    counted = running(at.select("creator", F.inline(steps)), ["creator"], ["t", "_kind"], [Running("n", "sum", "_n")])
     return counted.filter("_kind = 1").select("creator", F.col("t").alias("created_s"), "n")
 
 
 def serial_creators(la: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Creators who ever had more launches within the window than the limit; sticky."""
+    la = dealt(la.select("creator", "created_s"), "creator")
     busy = la.groupBy("creator").agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") > params.burst_max_launches)
-    rolled = rolling_launches(la.join(busy, "creator", "left_semi"), params.burst_window_s)
+    # The running count reads them twice: found once.
+    at = settle(_launch_seconds(la.join(busy, "creator", "left_semi")), "launch-seconds")
+    rolled = _rolled(at, params.burst_window_s)
     most = rolled.groupBy("creator").agg(F.max("n").alias("most"))
     return most.filter(F.col("most") > params.burst_max_launches)
 

@@ -93,3 +93,22 @@ def test_peak_counts_what_downsampling_replaces(spark):
     assert sorted(r.usd for r in tokens.downsample_readings(rd).collect()) == [5, 20]
     peak = tokens.peak_liquidity(rd).first()
     assert (peak.peak_usd, peak.peak_at_s) == (50, 605)
+
+
+def test_a_large_key_is_dealt_over_tasks_that_adaptive_execution_does_not_join(spark):
+    rows = spark.range(4000).select(F.lit("hot").alias("k"), (F.col("id") * 60).alias("t"), F.lit(1).alias("v")).repartition("k")
+    got = running(rows, ["k"], ["t"], [Running("s", "sum", "v")])
+    at = got.select(F.spark_partition_id().alias("p"), "s", "t").collect()
+    assert len({r.p for r in at}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(r.s == r.t // 60 + 1 for r in at)
+
+
+def test_busy_creators_are_counted_in_as_many_tasks_as_the_session_shuffles_to(spark):
+    from drainwatch.plans.creators import serial_creators
+
+    la = spark.range(3000).select(F.concat(F.lit("C"), F.col("id") % 100).alias("creator"), F.col("id").cast("string").alias("mint"), (F.col("id") * 60).alias("created_s"))
+    late = spark.createDataFrame([("C0", "x", None), ("few", "y", 1), ("few", "z", None)], "creator string, mint string, created_s bigint")
+    got = serial_creators(la.unionByName(late))
+    assert {(r.creator, r.most) for r in got.collect()} == {(f"C{i}", 30) for i in range(100)}
+    windows = [p for p in got._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in p]
+    assert windows
