@@ -84,8 +84,7 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         path = work_path(spark, "feed")
-        # The driver's table is one small file; a feed lands as many.
-        build_frames(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id").write.parquet(path)
+        build_frames(spark, sf_dir).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 
@@ -102,7 +101,8 @@ def routed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame per event; the type follows from the event number."""
-    rows = base(spark, sf_dir)
+    # The driver's table is one small file; a feed lands as many, and its frames are built as many at a time.
+    rows = base(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id")
     text = F.lit(None).cast("string")
     for i, kind in enumerate(STREAM_TYPES):
         fields = {"type": f"'{kind}'", **RAW[kind], **_ORIGIN}

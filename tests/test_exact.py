@@ -53,3 +53,12 @@ def test_a_frame_loses_no_number(spark):
     rows = nz.normalize(routed, "stats").select("inexact", told("price_usd").alias("n")).collect()
     assert sorted(str(plain(r.n).normalize()) for r in rows) == ["0.25", "1E-25"]
     assert {tuple(r.inexact) for r in rows} == {("price_usd=1e-25", "windows.60.volume_usd=1e21"), ("windows.60.volume_usd=1e21",)}
+
+
+def test_a_plainly_written_number_is_told_by_one_pattern(spark):
+    """Taking it apart comes after: the dozen patterns are for the few others."""
+    plan = spark.range(1).select(fits(F.col("id").cast("string")).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN RLIKE" in plan
+    edge = ["9" * 20, "9" * 21, "0." + "1" * 18, "0." + "1" * 19, "-" + "9" * 20 + "." + "1" * 18, "0" * 30 + "5", "5\n", None, ""]
+    rows = spark.createDataFrame([(t,) for t in edge], "t string").select(fits(F.col("t")).alias("f")).collect()
+    assert [r.f for r in rows] == [True, False, True, False, True, True, True, None, False]
