@@ -15,7 +15,7 @@ from drainwatch.plans import normalize as nz
 from drainwatch.session import settle, work_path
 from drainwatch.sources import registry
 from drainwatch.sources.tables import read_routed, write_routed
-from drainwatch.streaming import slices
+from drainwatch.streaming import feed, slices
 
 
 def routed(spark, sf_dir):
@@ -379,10 +379,7 @@ def frame_stream(spark, sf_dir, batches=2):
     sent = frames.select("value", "block_time_s", deliveries.alias("again"), "id")
     at = F.col("block_time_s") + F.pmod(F.xxhash64("id", "again"), F.lit(JITTER_S))
     stretch = F.least(F.lit(batches - 1), F.floor((at - low) * batches / (high - low + 1)))
-    for k in range(batches):
-        sent.filter(stretch == k).select("value").coalesce(1).write.parquet(f"{path}/{k}")
-    reader = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-    return reader.parquet(path)
+    return feed.landed(sent.select("value", "id", stretch.alias("_stretch")), F.col("_stretch"), batches, "id", path, ["value"])
 
 
 def run_slices(spark, sf_dir):

@@ -23,11 +23,8 @@ def event_stream(spark, sf_dir, delay="1 hour", received=False):
     shared_dir(spark)
     path = work_path(spark, "events")
     low, high = batch.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
-    for k in range(STRETCHES):
-        at = F.floor((F.unix_timestamp("ts") - low) * STRETCHES / (high - low + 1))
-        batch.filter(at == k).write.mode("append").parquet(f"{path}/{k}")
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-    ev = as_token_events(stream.parquet(path))
+    at = F.floor((F.unix_timestamp("ts") - low) * STRETCHES / (high - low + 1))
+    ev = as_token_events(feed.landed(batch, at, STRETCHES, "event_id", path))
     if received:
         ev = ev.withColumn("received_s", F.col("block_time_s") + (F.col("slot") % 5) * 30 - 120)
     return feed.event_clock(ev, PARAMS, delay)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drainwatch.params import DEFAULTS, Params
@@ -114,6 +114,24 @@ def records_sink(directory: str) -> Callable[[DataFrame, int], None]:
     return run
 
 
+def landed(rows: DataFrame, stretch: Column, stretches: int, key: str, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A table as a stream: its stretches land one after the other, and each is one micro-batch.
+
+    A stretch lands in as many files as tasks run at a time, and a micro-batch takes that many.  Where few rows leave some unwritten, empty files make up the number: a batch that began in one
+    stretch and ended in the next would move the watermark past rows still to come.
+    """
+    spark: SparkSession = rows.sparkSession
+    files = spark.sparkContext.defaultParallelism
+    kept = columns or rows.columns
+    schema = rows.select(*kept).schema
+    for k in range(stretches):
+        rows.filter(stretch == k).repartition(files, key).select(*kept).write.parquet(f"{path}/{k}")
+        missing = files - len(spark.read.schema(schema).parquet(f"{path}/{k}").inputFiles())
+        for _ in range(missing):
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
+
+
 def run_to_end(writer) -> None:
     """Process everything there is now, then stop."""
     writer.trigger(availableNow=True).start().awaitTermination()

@@ -121,3 +121,38 @@ def test_stream_dedup_forgets_only_after_the_delay(spark):
     ev = as_stream(spark, h.df(spark), 5, "10 minutes").withColumn("key", F.col("mint"))
     kept = feed.drain(feed.dedup_stream(ev).select("mint", "slot"), "dedup").collect()
     assert sorted(r.slot for r in kept) == [1, 3, 4, 5]
+
+
+@pytest.mark.parametrize("rows", [3, 600])
+def test_each_stretch_is_one_batch_however_many_files_its_table_has(spark, rows):
+    """Rows of any moment lie in each of the table's files: a batch that is a part of a stretch would move the watermark past the rest of it."""
+    ev = spark.range(rows).select("id", (F.col("id") * 7200 / rows).cast("bigint").alias("block_time_s")).repartition(6, "id")
+    at = F.floor(F.col("block_time_s") / 2400)
+    stream = feed.landed(ev, at, 3, "id", work_path(spark, "landed"), ["block_time_s"])
+    clocked = feed.event_clock(stream, DEFAULTS, "1 second")
+    batches = []
+    feed.run_to_end(clocked.writeStream.foreachBatch(lambda df, n: batches.append({r[0] // 2400 for r in df.collect()})).option("checkpointLocation", work_path(spark, "progress")))
+    assert [b for b in batches if b] == [{0}, {1}, {2}]
+    counted = feed.drain(feed.rate_stream(clocked, 60), "rate")
+    closed = 7200 * (rows - 1) // rows // 60 * 60
+    assert counted.agg(F.sum("n")).first()[0] == ev.filter(F.col("block_time_s") < closed).count()
+
+
+def test_events_of_a_table_of_several_files_all_count(spark):
+    from drainwatch.catalog.stream_queries import x13
+
+    path = work_path(spark, "tables")
+    rows = spark.range(2000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(T0) + F.col("id") * 60).alias("ts"), (F.col("id") % 9).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    rows.repartition(6, "event_id").write.parquet(f"{path}/events.parquet")
+    hours = rows.groupBy(F.floor(F.unix_timestamp("ts") / 3600) * 3600).count().collect()
+    last = T0 + 1999 * 60 - 3600
+    assert {tuple(r) for r in x13(spark, path).collect()} == {(h, n) for h, n in hours if h + 3600 <= last}
+
+
+def test_frames_are_built_by_as_many_tasks_as_run_at_a_time(spark):
+    from drainwatch.catalog.feed_adapter import build_frames
+
+    path = work_path(spark, "tables")
+    spark.createDataFrame([(i, "2024-01-01 00:00:00", i, "click", 1.0, '{"k": 1}') for i in range(64)], "event_id long, ts string, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{path}/events.parquet")
+    assert build_frames(spark, path).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
