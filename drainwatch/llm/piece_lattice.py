@@ -5,10 +5,11 @@ exploded and equi-joined to the piece table, the matches are the edges of the se
 them into the segmentation.  For a model of merges, as the public one is, the best path is the one its merges take: edges are folded in the order of their merges (the best score first, then
 from the left), and an edge is taken if just two pieces stand on its span.  What stands inside a span develops alike whatever stands around it, so one pass is the library's result.
 
-A document is the sequence of its segments' ids, and ``encode`` gives every document its own.  Texts are read in Arrow batches: units of spaces and what follows are met first, and cut into
-segments only when new.  A dictionary of the most frequent segments, of bounded size, goes to every task, which leaves a hole for each other segment; the holes alone meet the lexicon by a shuffled join, and
-their ids come back to the document's packed sequence.  A segment behind a hole is rarer than all in the dictionary, so no key of that join is hot; repeated rows share one set of fillings.  ``decode`` reads a document's
-whole sequence back by looking every id up among the pieces.  ``encode_prints`` is both, one after the other, with the counts, the print of the sequence and the comparison of the decoded text with the text.
+A document is the sequence of its segments' ids, and ``encode`` gives every document its own where it is read: no text and no sequence is shuffled or written.  Texts are read in Arrow batches: units of
+spaces and what follows are met first, and cut into segments only when new.  A dictionary of the most frequent segments, of bounded size, is made by the joins above and goes to every task.  The segments it lacks meet the
+piece table, which goes along, in the task that reads them, and their edges are folded in the same order (``Coder.lattice``): sending their ids from a shuffled join back to the documents moved every sequence, more than the
+input takes.  ``decode`` reads a document's whole sequence back by looking every id up among the pieces.  ``encode_prints`` is both, one after the other, with the counts, the print of the sequence and the comparison of the
+decoded text with the text.
 
 Null and empty texts have no ids and decode to the empty text.  Blanks other than the space, unknown characters and controls become byte pieces, as in the library.  A text that itself holds the
 character for spaces decodes to spaces (round_trip is false for it, as with the library).  Rows that repeat an id and a text get the same result each; other columns pass through, but for those named like a result.
@@ -18,14 +19,15 @@ An empty table gives an empty one.  A very long text is one row throughout; its
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,12 +44,13 @@ BITS = 61
 # Broadcast at most: the vocabulary, and so many bytes of the most frequent segments, each with its ids and what a dictionary spends on it.
 MOST_PIECES = 500_000
 FREQUENT_BYTES = 48_000_000
-ENTRY_BYTES = 100
-# What a task remembers at most: so many units, of so many characters each.
+ENTRY_BYTES = 150
+# What a task remembers at most: so many units, of so many characters each, twice.
 UNITS = 120_000
 SHORT = 64
 HELD_CHARS = 4_000_000
-HOLE = np.int32(-1).tobytes()
+# A rank that no piece has.
+NEVER = 1 << 31
 
 
 class PieceModel:
@@ -88,14 +91,15 @@ def segments(unit: str) -> list[str]:
 
 
 def segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(segment, n) of the texts, added up in the task while they fit its memory."""
+    """(segment, n) of the texts, added up in the task while they fit its memory.  What is met once in such a stretch has no place in a dictionary and stays there."""
 
     def told(counts: Counter) -> Iterator[pa.RecordBatch]:
         own: Counter = Counter()
         for unit, n in counts.items():
             for segment in segments(unit):
                 own[segment] += n
-        words, times = list(own), list(own.values())
+        words = [w for w, n in own.items() if n > 1]
+        times = [own[w] for w in words]
         for i in range(0, len(words), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 10_000], pa.string()), pa.array(times[i : i + 10_000], pa.int64())], ["segment", "n"])
 
@@ -113,79 +117,131 @@ def segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from told(counts)
 
 
-class Known(dict):
-    """Unit -> the bytes of its ids, with a hole for each segment that the dictionary lacks; ``rare`` tells which those are.  The first UNITS short ones are remembered."""
+class Coder(dict):
+    """Unit -> the bytes of its ids.  Short units are remembered; of UNITS, those are kept on that are met again."""
 
-    def __init__(self, frequent: dict[str, bytes]):
-        self.frequent, self.rare, self.passing = frequent, {}, []
+    def __init__(self, frequent: dict[str, bytes], pieces: list[tuple[str, int, int]], first_byte: int):
+        self.frequent, self.first_byte, self.before = frequent, first_byte, {}
+        self.ids = {p: i for p, i, _ in pieces}
+        self.ranks = {p: rank for p, _, rank in pieces if len(p) > 1}
+        self.longest = max(map(len, self.ranks), default=1)
 
     def __missing__(self, unit: str) -> bytes:
-        parts = segments(unit)
-        found = [self.frequent.get(s) for s in parts]
-        short = len(unit) <= SHORT and len(self) < UNITS
-        if None in found:
-            self.rare[unit] = [s for s, i in zip(parts, found, strict=True) if i is None]
-            found = [HOLE if i is None else i for i in found]
-            if not short:
-                self.passing.append(unit)
-        ids = b"".join(found)
-        if short:
+        ids = self.before.get(unit)
+        if ids is None:
+            known = self.frequent.get
+            ids = b"".join([known(s) or self.lattice(s) for s in segments(unit)])
+        if len(unit) <= SHORT:
+            if len(self) >= UNITS:
+                self.before = dict(self)
+                self.clear()
             self[unit] = ids
         return ids
 
-    def sequence(self, text: str | None) -> tuple[bytes, list[str]]:
-        found = units(text or "")
-        ids = b"".join([self[u] for u in found])
-        rare = self.rare
-        holes = [s for u in found if u in rare for s in rare[u]]
-        for u in self.passing:
-            rare.pop(u, None)
-        self.passing.clear()
-        return ids, holes
-
-
-def lists(flat: np.ndarray, sizes: list[int]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
-
-
-def with_holes(frequent):
-    """The packed sequence of a text, and the segments that its holes stand for, in order.  frequent: a broadcast dictionary."""
-    state = {}
-
-    @F.arrow_udf("struct<packed:binary,holes:array<string>>")
-    def sequence(texts: pa.Array) -> pa.Array:
-        known = state.get("known")
-        if known is None:
-            known = state["known"] = Known(frequent.value)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        packed, holes = [], []
-        for text in texts.to_pylist():
-            ids, rare = known.sequence(text)
-            packed.append(pack(ids))
-            holes.append(rare)
-        return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(holes, pa.list_(pa.string()))], ["packed", "holes"])
-
-    return sequence
-
-
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def filled(packed: pa.Array, fillings: pa.Array) -> pa.Array:
-    """The whole sequence: each hole gets its ids."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    starts, inner = fillings.offsets.to_numpy(), fillings.values
-    inner_starts, values = inner.offsets.to_numpy(), inner.values.to_numpy(zero_copy_only=False)
-    out = []
-    for k, p in enumerate(packed.to_pylist()):
-        ids = np.frombuffer(unpack(p), np.int32)
-        hole = ids == -1
-        own = inner_starts[starts[k] : starts[k + 1] + 1]
-        if hole.any():
-            times = np.ones(len(ids), np.int64)
-            times[hole] = np.diff(own)
-            ids, hole = np.repeat(ids, times), np.repeat(hole, times)
-            ids[hole] = values[own[0] : own[-1]]
-        out.append(ids)
-    return lists(np.concatenate([np.empty(0, np.int32), *out]), [len(o) for o in out])
+    def lattice(self, segment: str) -> bytes:
+        """The ids of a segment: its tokens, or the bytes of those that are no pieces."""
+        tokens, known, ids = self.merged(segment) if len(segment) <= BITS else self.folded(segment), self.ids.get, []
+        for token in tokens:
+            i = known(token)
+            if i is None:
+                ids += [self.first_byte + b for b in token.encode()]
+            else:
+                ids.append(i)
+        return array("i", ids).tobytes()
+
+    def merged(self, segment: str) -> list[str]:
+        """The fold over the edges that have one border within, the others not being made: for short segments."""
+        rank, tokens = self.ranks.get, list(segment)
+        ranks = [rank(a + b, NEVER) for a, b in pairwise(segment)]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            tokens[i] += tokens.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(tokens[i - 1] + tokens[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(tokens[i] + tokens[i + 1], NEVER)
+        return tokens
+
+    def folded(self, segment: str) -> list[str]:
+        """The fold of ``folds`` over all edges, in time linear to the segment."""
+        ranks, n = self.ranks, len(segment)
+        edges = [(ranks[p], e, -s) for s in range(n - 1) for e in range(s + 2, min(s + self.longest, n) + 1) if (p := segment[s:e]) in ranks]
+        border = bytearray(b"\1") * (n + 1)
+        for _, e, back in sorted(edges):
+            if border[-back] and border[e] and border.count(1, 1 - back, e) == 1:
+                border[1 - back : e] = bytes(e + back - 1)
+        return [segment[s:e] for s, e in pairwise(compress(range(n + 1), border))]
+
+    def sequences(self, texts: pa.Array) -> pa.ListArray:
+        """Every text's whole sequence."""
+        packed = [b"".join([self[u] for u in units(t or "")]) for t in texts.to_pylist()]
+        ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+class Reader:
+    """ids -> text: pieces become text, written spaces become spaces, the one in front goes."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]], first_byte: int):
+        raw = {i: p.replace(SPACE, " ").encode() for p, i, _ in pieces} | {first_byte + b: bytes([b]) for b in range(256)}
+        self.none = max(raw) + 1
+        self.raw = pa.array([raw.get(i, b"") for i in range(self.none + 1)], pa.large_binary())
+
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        values = ids.values.fill_null(-1).to_numpy(zero_copy_only=False)
+        spelt = self.raw.take(pa.array(np.where((values >= 0) & (values < self.none), values, self.none)))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), spelt), pa.scalar(b"", pa.large_binary()))
+        return pa.array([read.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for read in joined.to_pylist()], pa.string())
+
+
+def once(make):
+    """make(), called by the first batch of a task and kept for the others."""
+    made = []
+
+    def get():
+        if not made:
+            made.append(make())
+        return made[0]
+
+    return get
+
+
+def coder(shared):
+    """text -> ids.  shared: a broadcast (frequent, pieces, first_byte)."""
+    own = once(lambda: Coder(*shared.value))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(texts: pa.Array) -> pa.Array:
+        return own().sequences(texts)
+
+    return ids
+
+
+def reader(shared):
+    """ids -> text.  shared: a broadcast (pieces, first_byte)."""
+    own = once(lambda: Reader(*shared.value))
+
+    @F.arrow_udf("string")
+    def text(ids: pa.Array) -> pa.Array:
+        return own().texts(ids)
+
+    return text
+
+
+def coder_and_reader(shared):
+    """text -> ids, the text read back from them, and how many of them are bytes: a sequence need not leave the worker to be read.  shared: a broadcast (frequent, pieces, first_byte)."""
+    own = once(lambda: (Coder(*shared.value), Reader(*shared.value[1:])))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string,n_byte_tokens:bigint>")
+    def both(texts: pa.Array) -> pa.Array:
+        code, read = own()
+        ids = code.sequences(texts)
+        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        before = np.concatenate([[0], np.cumsum((values >= code.first_byte) & (values < code.first_byte + 256))])
+        return pa.StructArray.from_arrays([ids, read.texts(ids), pa.array(np.diff(before[ends]), pa.int64())], ["ids", "decoded", "n_byte_tokens"])
+
+    return both
 
 
 def folds() -> tuple[Column, Column]:
@@ -234,68 +290,36 @@ def lexicon(words: DataFrame, model: PieceModel) -> DataFrame:
     return grouped.select("segment", *kept, F.flatten(F.transform("_tokens", lambda t: t["_ids"])).alias("ids"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """_row: 128 bits of the id and the text."""
-    return docs.withColumn("_row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))))
-
-
-def most_frequent(lex: DataFrame) -> dict[str, bytes]:
-    """The most frequent segments and their ids, up to FREQUENT_BYTES.
+def most_frequent(counted: DataFrame, model: PieceModel) -> dict[str, bytes]:
+    """The most frequent segments and their ids, up to FREQUENT_BYTES.  counted: (segment, n).
 
     Sizes are added up by steps of an eighth of an octave of n, some hundred rows; whole steps are taken, so nothing is put in order.
     """
     step = F.floor(F.log2("n") * 8).cast("int")
-    size = F.octet_length("segment") + 4 * F.size("ids") + ENTRY_BYTES
+    # A segment has no more ids than bytes.
+    size = 5 * F.octet_length("segment") + ENTRY_BYTES
     room, least = FREQUENT_BYTES, None
-    for at, taken in sorted(lex.groupBy(step).agg(F.sum(size)).collect(), reverse=True):
+    for at, taken in sorted(counted.groupBy(step).agg(F.sum(size)).collect(), reverse=True):
         room -= taken
         if room < 0:
             break
         least = at
     if least is None:
         return {}
-    rows = lex.filter(step >= least).select("segment", "ids").toArrow()
+    rows = lexicon(counted.filter(step >= least).select("segment"), model).toArrow()
     return {s: np.array(i, np.int32).tobytes() for batch in rows.to_batches() for s, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
 
 
-def sequenced(rows: DataFrame, model: PieceModel, *dropped: str) -> DataFrame:
-    """rows: _row, text and others.  Adds ids, without the columns of dropped, which the shuffle need not carry."""
-    spark = rows.sparkSession
-    counted = rows.select("text").mapInArrow(segment_counts, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    lex = settle(lexicon(counted, model), "lexicon")
-    frequent = most_frequent(lex)
-    cut = rows.withColumn("_cut", with_holes(spark.sparkContext.broadcast(frequent))("text"))
-    holes = cut.select("_row", F.posexplode("_cut.holes").alias("_at", "_segment"))
-    met = holes.join(lex, F.col("_segment") == F.col("segment")).select(F.col("_row").alias("_of"), "_at", F.col("ids").alias("_ids"))
-    # A set: rows that repeat an id and a text have the same fillings.
-    parts = met.groupBy("_of").agg(F.sort_array(F.collect_set(F.struct("_at", "_ids"))).alias("_parts")).select("_of", F.transform("_parts", lambda p: p["_ids"]).alias("_fillings"))
-    own = cut.withColumn("_packed", F.col("_cut.packed")).drop("_cut", *dropped)
-    out = own.join(parts, F.col("_row") == F.col("_of"), "left")
-    return out.withColumn("ids", filled("_packed", F.coalesce("_fillings", F.array().cast("array<array<int>>")))).drop("_packed", "_of", "_fillings")
-
-
-OWN = ("_row", "_cut", "_at", "_segment", "_of", "_ids", "_parts", "_packed", "_fillings", "_size", "_hash")
+def shared(docs: DataFrame, model: PieceModel):
+    """What every task is sent: the most frequent segments of the texts with their ids, and the pieces."""
+    counts = docs.select("text").mapInArrow(segment_counts, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    return docs.sparkSession.sparkContext.broadcast((most_frequent(settle(counts, "segments"), model), model.pieces, model.first_byte))
 
 
 def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
     """Add ids: every text's whole sequence."""
-    return sequenced(keyed(fresh(docs, "ids", *OWN)), model).drop("_row")
-
-
-def reader(model: PieceModel):
-    """ids -> text: pieces become text, written spaces become spaces, the one in front goes."""
-    raw = {i: p.encode() for p, i, _ in model.pieces} | {model.first_byte + b: bytes([b]) for b in range(256)}
-
-    @F.arrow_udf("string")
-    def text(ids: pa.Array) -> pa.Array:
-        values, ends = ids.values.fill_null(-1).to_numpy(), ids.offsets.to_pylist()
-        out = []
-        for start, end in pairwise(ends):
-            read = b"".join([raw.get(i, b"") for i in values[start:end].tolist()]).decode("utf-8", "replace")
-            out.append(read.replace(SPACE, " ").removeprefix(" "))
-        return pa.array(out, pa.string())
-
-    return text
+    rows = fresh(docs, "ids")
+    return rows.withColumn("ids", coder(shared(rows, model))("text"))
 
 
 def decode(rows: DataFrame, model: PieceModel) -> DataFrame:
@@ -303,29 +327,23 @@ def decode(rows: DataFrame, model: PieceModel) -> DataFrame:
 
     Runs of byte pieces are put together before they are read as UTF-8.  Ids that stand for no text give none, and no ids the empty text.
     """
-    return fresh(rows, "decoded").withColumn("decoded", reader(model)("ids"))
+    pieces = rows.sparkSession.sparkContext.broadcast((model.pieces, model.first_byte))
+    return fresh(rows, "decoded").withColumn("decoded", reader(pieces)("ids"))
 
 
 def encode_prints(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """Instead of text: ids, decoded, n_tokens, n_byte_tokens, ids_print (of the sequence) and round_trip (the decoded text is the text).
-
-    The texts stay where they are read; of each, its length and hash go along to be compared with the decoded one's.
-    """
-    rows = fresh(docs, "ids", "decoded", "n_tokens", "n_byte_tokens", "ids_print", "round_trip", *OWN)
-    facts = lambda text: (F.length(text), F.xxhash64(text))
-    own = keyed(rows).withColumns(dict(zip(("_size", "_hash"), facts(F.coalesce("text", F.lit(""))), strict=True)))
-    out = decode(sequenced(own, model, "text"), model)
-    size, hashed = facts(F.col("decoded"))
-    byte = F.size(F.filter("ids", lambda i: (i >= model.first_byte) & (i < model.first_byte + 256)))
-    out = out.withColumns(
+    """Instead of text: ids, decoded, n_tokens, n_byte_tokens, ids_print (of the sequence) and round_trip (the decoded text is the text)."""
+    rows = fresh(docs, "ids", "decoded", "n_tokens", "n_byte_tokens", "ids_print", "round_trip", "_coded")
+    out = rows.withColumn("_coded", coder_and_reader(shared(rows, model))("text"))
+    out = out.withColumns({"ids": F.col("_coded.ids"), "decoded": F.col("_coded.decoded")})
+    return out.withColumns(
         {
             "n_tokens": F.size("ids").cast("long"),
-            "n_byte_tokens": byte.cast("long"),
+            "n_byte_tokens": F.col("_coded.n_byte_tokens"),
             "ids_print": F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(F.lit(k), "ids"))), 16, "0") for k in (0, 1)]),
-            "round_trip": (F.col("_size") == size) & (F.col("_hash") == hashed),
+            "round_trip": F.col("decoded") == F.coalesce("text", F.lit("")),
         }
-    )
-    return out.drop("_row", "_size", "_hash")
+    ).drop("text", "_coded")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

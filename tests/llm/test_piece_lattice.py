@@ -76,3 +76,35 @@ def test_the_query_gives_the_ids_and_the_decoded_text_of_every_document(spark, t
     assert sorted((str(r.doc_id), list(r.ids), r.decoded, r.round_trip) for r in got) == want
     stage = corpus_pipeline.pieces(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
     assert sorted((str(r.doc_id), list(r.ids)) for r in stage) == [w[:2] for w in want]
+
+
+def test_documents_are_encoded_and_read_back_without_a_shuffle_of_theirs(docs, texts):
+    model, rows = PieceModel(FILE), docs(list(enumerate(texts))[:20])
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (encode_prints(rows, model), decode(encode(rows, model), model))]
+    assert not any("Exchange" in p or "Join" in p for p in plans)
+
+
+def test_segments_that_the_dictionary_lacks_are_cut_as_by_the_lexicon(spark, texts):
+    import numpy as np
+
+    from drainwatch.llm.piece_lattice import SPACE, Coder, lexicon, segments, units
+
+    model = PieceModel(FILE)
+    words = sorted({s for t in texts for u in units(t) for s in segments(u)} | {SPACE * k for k in range(1, 80)} | {"ab" * k + "é" for k in range(25, 40)} | {"no" * 5_000})
+    want = {r.segment: r.ids for r in lexicon(spark.createDataFrame([(w,) for w in words], "segment string"), model).collect()}
+    code = Coder({}, model.pieces, model.first_byte)
+    assert {w: np.frombuffer(code.lattice(w), np.int32).tolist() for w in words} == want
+    short = [w for w in words if 1 < len(w) <= 61]
+    assert [code.merged(w) for w in short] == [code.folded(w) for w in short]
+
+
+def test_remembered_units_give_way_and_change_no_ids(docs, texts, library, monkeypatch):
+    import pyarrow as pa
+
+    from drainwatch.llm import piece_lattice
+
+    monkeypatch.setattr(piece_lattice, "UNITS", 7)
+    model = PieceModel(FILE)
+    code = piece_lattice.Coder({}, model.pieces, model.first_byte)
+    assert code.sequences(pa.array([*texts, None, *texts])).to_pylist() == [library(t) for t in [*texts, "", *texts]]
+    assert len(code) <= 7 and len(code.before) <= 7
