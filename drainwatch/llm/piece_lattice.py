@@ -46,7 +46,7 @@ MOST_PIECES = 500_000
 FREQUENT_BYTES = 48_000_000
 ENTRY_BYTES = 150
 # What a task remembers at most: so many units, of so many characters each, twice.
-UNITS = 120_000
+UNITS = 60_000
 SHORT = 64
 HELD_CHARS = 4_000_000
 # A rank that no piece has.
@@ -111,7 +111,7 @@ def segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             counts.update(found)
             # Texts of long units count as they are; of short ones the number is bounded.
             held += len(text) if text and len(text) > SHORT * len(found) else 0
-            if len(counts) >= UNITS or held >= HELD_CHARS:
+            if len(counts) >= 2 * UNITS or held >= HELD_CHARS:
                 yield from told(counts)
                 counts, held = Counter(), 0
     yield from told(counts)
@@ -195,51 +195,41 @@ class Reader:
         return pa.array([read.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for read in joined.to_pylist()], pa.string())
 
 
-def once(make):
-    """make(), called by the first batch of a task and kept for the others."""
-    made = []
-
-    def get():
-        if not made:
-            made.append(make())
-        return made[0]
-
-    return get
-
-
 def coder(shared):
-    """text -> ids.  shared: a broadcast (frequent, pieces, first_byte)."""
-    own = once(lambda: Coder(*shared.value))
+    """text -> ids, by one coder for all batches of a task, which goes with the task.  shared: a broadcast (frequent, pieces, first_byte)."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pa.Array) -> pa.Array:
-        return own().sequences(texts)
+    def ids(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        code = Coder(*shared.value)
+        for texts in parts:
+            yield code.sequences(texts)
 
     return ids
 
 
 def reader(shared):
     """ids -> text.  shared: a broadcast (pieces, first_byte)."""
-    own = once(lambda: Reader(*shared.value))
 
     @F.arrow_udf("string")
-    def text(ids: pa.Array) -> pa.Array:
-        return own().texts(ids)
+    def text(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        read = Reader(*shared.value)
+        for ids in parts:
+            yield read.texts(ids)
 
     return text
 
 
 def coder_and_reader(shared):
     """text -> ids, the text read back from them, and how many of them are bytes: a sequence need not leave the worker to be read.  shared: a broadcast (frequent, pieces, first_byte)."""
-    own = once(lambda: (Coder(*shared.value), Reader(*shared.value[1:])))
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string,n_byte_tokens:bigint>")
-    def both(texts: pa.Array) -> pa.Array:
-        code, read = own()
-        ids = code.sequences(texts)
-        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-        before = np.concatenate([[0], np.cumsum((values >= code.first_byte) & (values < code.first_byte + 256))])
-        return pa.StructArray.from_arrays([ids, read.texts(ids), pa.array(np.diff(before[ends]), pa.int64())], ["ids", "decoded", "n_byte_tokens"])
+    def both(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        code, read = Coder(*shared.value), Reader(*shared.value[1:])
+        for texts in parts:
+            ids = code.sequences(texts)
+            values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+            before = np.concatenate([[0], np.cumsum((values >= code.first_byte) & (values < code.first_byte + 256))])
+            yield pa.StructArray.from_arrays([ids, read.texts(ids), pa.array(np.diff(before[ends]), pa.int64())], ["ids", "decoded", "n_byte_tokens"])
 
     return both
 
