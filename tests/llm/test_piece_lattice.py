@@ -82,6 +82,8 @@ def test_documents_are_encoded_and_read_back_without_a_shuffle_of_theirs(docs, t
     model, rows = PieceModel(FILE), docs(list(enumerate(texts))[:20])
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (encode_prints(rows, model), decode(encode(rows, model), model))]
     assert not any("Exchange" in p or "Join" in p for p in plans)
+    # One Python worker a task.
+    assert plans[0].count("ArrowEvalPython") == 1
 
 
 def test_segments_that_the_dictionary_lacks_are_cut_as_by_the_lexicon(spark, texts):
