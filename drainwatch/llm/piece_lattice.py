@@ -5,15 +5,15 @@ exploded and equi-joined to the piece table, the matches are the edges of the se
 them into the segmentation.  For a model of merges, as the public one is, the best path is the one its merges take: edges are folded in the order of their merges (the best score first, then
 from the left), and an edge is taken if just two pieces stand on its span.  What stands inside a span develops alike whatever stands around it, so one pass is the library's result.
 
-A document is the sequence of its segments' ids, and ``encode`` gives every document its own where it is read: no text and no sequence is shuffled or written.  Texts are read in Arrow batches: units of
-spaces and what follows are met first, and cut into segments only when new.  A dictionary of the most frequent segments, of bounded size, is made by the joins above and goes to every task.  The segments it lacks meet the
-piece table, which goes along, in the task that reads them, and their edges are folded in the same order (``Coder.lattice``): sending their ids from a shuffled join back to the documents moved every sequence, more than the
+A document is the sequence of its segments' ids, and ``encode`` gives every document its own where it is read: no text and no sequence is shuffled or written.  Texts are read in Arrow batches: a stretch
+of texts is cut at once, and every segment is met once a stretch.  A dictionary of the most frequent segments, of bounded size, is made by the joins above and goes to every task.  The segments it lacks meet the
+piece table, which goes along, in the task that reads them, and are merged in the same order, those of a stretch together (``Merges``): sending their ids from a shuffled join back to the documents moved every sequence, more than the
 input takes.  ``decode`` reads a document's whole sequence back by looking every id up among the pieces.  ``encode_prints`` is both, one after the other, with the counts, the print of the sequence and the comparison of the
 decoded text with the text.
 
 Null and empty texts have no ids and decode to the empty text.  Blanks other than the space, unknown characters and controls become byte pieces, as in the library.  A text that itself holds the
 character for spaces decodes to spaces (round_trip is false for it, as with the library).  Rows that repeat an id and a text get the same result each; other columns pass through, but for those named like a result.
-An empty table gives an empty one.  A very long text is one row throughout; its units and segments are counted and met like all others, and only short ones are remembered from text to text.
+An empty table gives an empty one.  A very long text is one row throughout; its segments are counted and met like all others, and only short ones are remembered from text to text.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, pairwise
+from functools import cache
+from itertools import batched, chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from drainwatch.llm.common import fresh, settle, table
 SPACE = "▁"
 # Letters with their marks, or anything else, behind the spaces in front of them.
 SEGMENT = regex.compile(rf"{SPACE}*(?:[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{SPACE}]+)|{SPACE}+")
-# Spaces and what follows up to the next: whole segments, found by a cheaper pattern.
+# Spaces and what follows up to the next: whole segments.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 # Segments of up to so many characters fold in one long.
 BITS = 61
@@ -45,12 +46,15 @@ BITS = 61
 MOST_PIECES = 500_000
 FREQUENT_BYTES = 48_000_000
 ENTRY_BYTES = 150
-# What a task remembers at most: so many units, of so many characters each, twice.
+# What a task remembers at most: so many segments that the dictionary lacks, of so many characters each, twice.
 UNITS = 60_000
 SHORT = 64
 HELD_CHARS = 4_000_000
-# A rank that no piece has.
-NEVER = 1 << 31
+# Texts are cut in stretches of so many bytes, or one longer text; so many segments are merged at a time.
+STRETCH_BYTES = 2_000_000
+MERGED = 10_000
+# Ranks stand above the place, in a long; none is as high as this.
+NEVER = 1 << 62
 
 
 class PieceModel:
@@ -75,93 +79,200 @@ class PieceModel:
             raise ValueError("the piece table is too large to broadcast")
         if any(not SEGMENT.fullmatch(p) for p, _, _ in self.pieces if len(p) > 1):
             raise ValueError("a piece reaches across the cuts between segments")
+        self.merges = Merges(self.pieces, self.first_byte)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, rank)"""
         return spark.createDataFrame(self.pieces, "piece string, id int, rank int")
 
 
+def stretches(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in parts of STRETCH_BYTES, or of one longer text."""
+    texts = texts.cast(pa.string()).fill_null("")
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        most = STRETCH_BYTES + (ends[at - 1] if at else 0)
+        after = max(at + 1, int(np.searchsorted(ends, most, "right")))
+        yield texts.slice(at, after - at)
+        at = after
+
+
+def listed(values: pa.Array) -> list:
+    """As to_pylist, which makes every value by itself."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def units(text: str) -> list[str]:
+    """A text's units; with ``segments`` the rule that ``cut`` follows."""
     return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def segments(unit: str) -> list[str]:
-    # Most units are a space and letters: one segment.
-    return [unit] if unit[1:].isalpha() else SEGMENT.findall(unit)
+    return SEGMENT.findall(unit)
+
+
+@cache
+def kinds() -> np.ndarray:
+    """Of every code point: 1 for letters and marks, 2 for spaces, else 0.  A segment ends where the kind changes, but not behind spaces."""
+    kind = np.zeros(0x110000, np.uint8)
+    every = np.arange(len(kind), dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    for run in regex.finditer(r"[\p{L}\p{M}]+", every):
+        kind[run.start() : run.end()] = 1
+    kind[[ord(" "), ord(SPACE)]] = 2
+    return kind
+
+
+def cut(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The segments of the units of all texts in a row, and where each text's begin, and the end.  The space in front of every text but the empty ones is added."""
+    texts = pc.replace_substring(texts, SPACE, " ")
+    led = pc.binary_join_element_wise(pc.if_else(pc.equal(texts, ""), "", " "), texts, "")
+    bounds = np.concatenate([[0], np.cumsum(pc.binary_length(led).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    raw = (led.buffers()[2] or pa.py_buffer(b""))[: bounds[-1]]
+    kind = kinds()[np.frombuffer(raw.to_pybytes().decode().encode("utf-32-le"), np.uint32)]
+    begins = np.zeros(len(kind), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 2)
+    first = np.zeros(bounds[-1] + 1, bool)
+    # From characters to bytes.
+    first[:-1][(np.frombuffer(raw, np.uint8) & 0xC0) != 0x80] = begins
+    first[bounds] = True
+    # The end of all begins nothing.
+    offsets = np.flatnonzero(first)
+    found = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), raw).dictionary_encode()
+    return pa.DictionaryArray.from_arrays(found.indices, pc.replace_substring(found.dictionary, " ", SPACE)), np.searchsorted(offsets, bounds)
 
 
 def segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(segment, n) of the texts, added up in the task while they fit its memory.  What is met once in such a stretch has no place in a dictionary and stays there."""
 
     def told(counts: Counter) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
-        for unit, n in counts.items():
-            for segment in segments(unit):
-                own[segment] += n
-        words = [w for w, n in own.items() if n > 1]
-        times = [own[w] for w in words]
+        words = [w for w, n in counts.items() if n > 1]
+        times = [counts[w] for w in words]
         for i in range(0, len(words), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 10_000], pa.string()), pa.array(times[i : i + 10_000], pa.int64())], ["segment", "n"])
 
     counts: Counter = Counter()
     held = 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found = units(text)
-            counts.update(found)
-            # Texts of long units count as they are; of short ones the number is bounded.
-            held += len(text) if text and len(text) > SHORT * len(found) else 0
+        for texts in stretches(batch.column(0)):
+            # Counted in Arrow first: Python meets every segment of a stretch once.
+            found, _ = cut(texts)
+            counts.update(dict(zip(listed(found.dictionary), np.bincount(found.indices.to_numpy()).tolist(), strict=True)))
+            # Long segments count by their size; of short ones the number is bounded.
+            sizes = pc.binary_length(found.dictionary).to_numpy(zero_copy_only=False)
+            held += int(sizes[sizes > SHORT].sum())
             if len(counts) >= 2 * UNITS or held >= HELD_CHARS:
                 yield from told(counts)
                 counts, held = Counter(), 0
     yield from told(counts)
 
 
+class Merges:
+    """Which two tokens become which, as sorted arrays.  A token is a piece's id, or beyond all ids a character that is no piece."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]], first_byte: int):
+        ids, ranks = {p: i for p, i, _ in pieces}, {p: rank for p, _, rank in pieces if len(p) > 1}
+        self.first_byte, self.known = first_byte, max(*ids.values(), first_byte + 255) + 1
+        tokens = {c: self.known + ord(c) for p in ranks for c in p} | ids
+        of = tokens.get
+        made = sorted((a << 32 | b, rank, ids[p]) for p, rank in ranks.items() for k in range(1, len(p)) if (a := of(p[:k])) is not None and (b := of(p[k:])) is not None)
+        # The last pair stands for all that become nothing.
+        pairs, of_pair, into = zip(*made, ((1 << 63) - 1, NEVER >> 32, 0), strict=True)
+        self.pairs, self.rank, self.into = np.array(pairs), np.array(of_pair) << 32, np.array(into)
+        alone = {ord(c): i for c, i in ids.items() if len(c) == 1}
+        self.alone = np.full(max(alone, default=0) + 2, -1)
+        self.alone[list(alone)] = list(alone.values())
+
+    def met(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair, above 32 bits for its place, and what it becomes."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.pairs, pair)
+        at[self.pairs[at] != pair] = len(self.pairs) - 1
+        return self.rank[at], self.into[at]
+
+    def merged(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every segment's best pair is merged, the first of equals, until none has one: the fold over the edges that have one border within, the others not being made.
+
+        Gives the token at each place of the segments in a row, which places still begin one, and where the segments begin.  One place without a token stands in front of each segment and one at the end.
+        """
+        points = np.frombuffer("".join(["\0" + s for s in segments] + ["\0"]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        gaps = np.cumsum([0] + [len(s) + 1 for s in segments])
+        tokens = self.alone[np.minimum(points, len(self.alone) - 1)]
+        tokens = np.where(tokens < 0, self.known + points, tokens)
+        tokens[gaps] = -1
+        here = np.arange(len(tokens))
+        after, before, begins = here + 1, here - 1, tokens >= 0
+        rank, into = np.full(len(tokens), NEVER), np.zeros(len(tokens), np.int64)
+        best, into[:-1] = self.met(tokens[:-1], tokens[1:])
+        rank[:-1] = best | here[:-1]
+        while True:
+            best = np.minimum.reduceat(rank, gaps[:-1])
+            at = best[best < NEVER] & 0xFFFFFFFF
+            if not len(at):
+                return tokens, begins, gaps
+            gone = after[at]
+            tokens[at], begins[gone], rank[gone] = into[at], False, NEVER
+            after[at] = then = after[gone]
+            before[then] = at
+            # The merged token meets its neighbours.
+            left = np.concatenate([at, before[at]])
+            best, into[left] = self.met(tokens[left], tokens[after[left]])
+            rank[left] = best | left
+
+    def ids(self, segments: list[str]) -> list[bytes]:
+        """The ids of every segment: its tokens, or the bytes of those that are no pieces."""
+        tokens, begins, gaps = self.merged(segments)
+        sizes = begins.astype(np.int64)
+        raw = begins & (tokens >= self.known)
+        points = tokens[raw] - self.known
+        sizes[raw] = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        ids, spelt = np.repeat(tokens, sizes).astype(np.int32), np.repeat(raw, sizes)
+        ids[spelt] = np.frombuffer(points.astype(np.uint32).tobytes().decode("utf-32-le").encode(), np.uint8).astype(np.int32) + self.first_byte
+        packed, ends = ids.tobytes(), (4 * np.concatenate([[0], np.cumsum(sizes)])[gaps]).tolist()
+        return [packed[s:e] for s, e in pairwise(ends)]
+
+
 class Coder(dict):
-    """Unit -> the bytes of its ids.  Short units are remembered; of UNITS, those are kept on that are met again."""
+    """Segment -> the bytes of its ids, for short segments that the dictionary lacks; of UNITS, those are kept on that are met again."""
 
-    def __init__(self, frequent: dict[str, bytes], pieces: list[tuple[str, int, int]], first_byte: int):
+    def __init__(self, frequent: dict[str, bytes], pieces: list[tuple[str, int, int]], first_byte: int, merges: Merges | None = None):
         self.frequent, self.first_byte, self.before = frequent, first_byte, {}
         self.ids = {p: i for p, i, _ in pieces}
         self.ranks = {p: rank for p, _, rank in pieces if len(p) > 1}
         self.longest = max(map(len, self.ranks), default=1)
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.before.get(unit)
-        if ids is None:
-            known = self.frequent.get
-            ids = b"".join([known(s) or self.lattice(s) for s in segments(unit)])
-        if len(unit) <= SHORT:
-            if len(self) >= UNITS:
-                self.before = dict(self)
-                self.clear()
-            self[unit] = ids
-        return ids
+        self.merges = merges or Merges(pieces, first_byte)
+
+    def coded(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the segments, which differ."""
+        ids = list(map(self.frequent.get, words))
+        lacking = [w for w, i in zip(words, ids, strict=True) if i is None]
+        met = {w: self.get(w) or self.before.get(w) for w in lacking}
+        met |= self.lattices([w for w, i in met.items() if i is None])
+        for word, i in met.items():
+            if len(word) <= SHORT and word not in self:
+                if len(self) >= UNITS:
+                    self.before = dict(self)
+                    self.clear()
+                self[word] = i
+        return [met[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+
+    def lattices(self, segments: list[str]) -> dict[str, bytes]:
+        """Segment -> its ids.  Short segments are merged together, so that a step is one for all of them."""
+        made = {}
+        for part in batched((s for s in segments if len(s) <= BITS), MERGED):
+            made.update(zip(part, self.merges.ids(part), strict=True))
+        for segment in segments:
+            if len(segment) > BITS:
+                ids = ((self.ids[t],) if t in self.ids else (self.first_byte + b for b in t.encode()) for t in self.folded(segment))
+                made[segment] = array("i", chain.from_iterable(ids)).tobytes()
+        return made
 
     def lattice(self, segment: str) -> bytes:
-        """The ids of a segment: its tokens, or the bytes of those that are no pieces."""
-        tokens, known, ids = self.merged(segment) if len(segment) <= BITS else self.folded(segment), self.ids.get, []
-        for token in tokens:
-            i = known(token)
-            if i is None:
-                ids += [self.first_byte + b for b in token.encode()]
-            else:
-                ids.append(i)
-        return array("i", ids).tobytes()
+        return self.lattices([segment])[segment]
 
     def merged(self, segment: str) -> list[str]:
-        """The fold over the edges that have one border within, the others not being made: for short segments."""
-        rank, tokens = self.ranks.get, list(segment)
-        ranks = [rank(a + b, NEVER) for a, b in pairwise(segment)]
-        while ranks and (best := min(ranks)) < NEVER:
-            i = ranks.index(best)
-            tokens[i] += tokens.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(tokens[i - 1] + tokens[i], NEVER)
-            if i < len(ranks):
-                ranks[i] = rank(tokens[i] + tokens[i + 1], NEVER)
-        return tokens
+        """The tokens of a short segment."""
+        _, begins, _ = self.merges.merged([segment])
+        return [segment[s:e] for s, e in pairwise([*np.flatnonzero(begins[1:-1]).tolist(), len(segment)])]
 
     def folded(self, segment: str) -> list[str]:
         """The fold of ``folds`` over all edges, in time linear to the segment."""
@@ -175,9 +286,15 @@ class Coder(dict):
 
     def sequences(self, texts: pa.Array) -> pa.ListArray:
         """Every text's whole sequence."""
-        packed = [b"".join([self[u] for u in units(t or "")]) for t in texts.to_pylist()]
+        return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *map(self.stretch, stretches(texts))])
+
+    def stretch(self, texts: pa.Array) -> pa.ListArray:
+        found, begin = cut(texts)
+        packed = self.coded(listed(found.dictionary))
         ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        each = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        row = each.take(found.indices)
+        return pa.ListArray.from_arrays(row.offsets.take(pa.array(begin)), row.values)
 
 
 class Reader:
@@ -196,7 +313,7 @@ class Reader:
 
 
 def coder(shared):
-    """text -> ids, by one coder for all batches of a task, which goes with the task.  shared: a broadcast (frequent, pieces, first_byte)."""
+    """text -> ids, by one coder for all batches of a task, which goes with the task.  shared: a broadcast (frequent, pieces, first_byte, merges)."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -220,11 +337,11 @@ def reader(shared):
 
 
 def coder_and_reader(shared):
-    """text -> ids, the text read back from them, and how many of them are bytes: a sequence need not leave the worker to be read.  shared: a broadcast (frequent, pieces, first_byte)."""
+    """text -> ids, the text read back from them, and how many of them are bytes: a sequence need not leave the worker to be read.  shared: a broadcast (frequent, pieces, first_byte, merges)."""
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string,n_byte_tokens:bigint>")
     def both(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        code, read = Coder(*shared.value), Reader(*shared.value[1:])
+        code, read = Coder(*shared.value), Reader(*shared.value[1:3])
         for texts in parts:
             ids = code.sequences(texts)
             values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
@@ -303,7 +420,7 @@ def most_frequent(counted: DataFrame, model: PieceModel) -> dict[str, bytes]:
 def shared(docs: DataFrame, model: PieceModel):
     """What every task is sent: the most frequent segments of the texts with their ids, and the pieces."""
     counts = docs.select("text").mapInArrow(segment_counts, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    return docs.sparkSession.sparkContext.broadcast((most_frequent(settle(counts, "segments"), model), model.pieces, model.first_byte))
+    return docs.sparkSession.sparkContext.broadcast((most_frequent(settle(counts, "segments"), model), model.pieces, model.first_byte, model.merges))
 
 
 def encode(docs: DataFrame, model: PieceModel) -> DataFrame:

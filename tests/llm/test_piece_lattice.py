@@ -110,3 +110,47 @@ def test_remembered_units_give_way_and_change_no_ids(docs, texts, library, monke
     code = piece_lattice.Coder({}, model.pieces, model.first_byte)
     assert code.sequences(pa.array([*texts, None, *texts])).to_pylist() == [library(t) for t in [*texts, "", *texts]]
     assert len(code) <= 7 and len(code.before) <= 7
+
+
+def test_new_segments_are_merged_together_not_one_by_one(library):
+    import sys
+
+    import pyarrow as pa
+
+    from drainwatch.llm import piece_lattice
+
+    model, rng, calls = PieceModel(FILE), random.Random(4), 0
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(16)) for _ in range(4_000)]
+    rows = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    code = piece_lattice.Coder({}, model.pieces, model.first_byte)
+
+    def count(_, event, __):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = code.sequences(pa.array(rows))
+    finally:
+        sys.setprofile(None)
+    assert got.to_pylist() == [library(t) for t in rows]
+    # A word of 16 letters takes some ten merges, of several calls each if made by itself.
+    assert calls < 12 * len(words)
+
+
+def test_texts_are_cut_as_by_the_patterns_in_stretches_of_any_size(texts, library, monkeypatch):
+    import pyarrow as pa
+
+    from drainwatch.llm import piece_lattice
+    from drainwatch.llm.piece_lattice import segments, units
+
+    odd = [*texts, "", "áb 1́ ‍", "ß2ß", " ▁ ", "\n \n", "😀é日 "]
+    found, begin = piece_lattice.cut(pa.array(odd))
+    each = found.to_pylist()
+    assert [each[s:e] for s, e in zip(begin, begin[1:], strict=False)] == [[s for u in units(t) for s in segments(u)] for t in odd]
+    model = PieceModel(FILE)
+    for most in (1, 100, 10_000):
+        monkeypatch.setattr(piece_lattice, "STRETCH_BYTES", most)
+        monkeypatch.setattr(piece_lattice, "MERGED", most)
+        got = piece_lattice.Coder({}, model.pieces, model.first_byte, model.merges).sequences(pa.array([None, *odd]))
+        assert got.to_pylist() == [library(t) for t in ["", *odd]]
